@@ -72,12 +72,16 @@ def surname_overlap(left: Column, right: Column, cfg: MatchConfig = MATCH) -> Co
     )
 
 
-def last_surnames_agree(left: Column, right: Column, cfg: MatchConfig = MATCH) -> Column:
+def last_names_agree(x: Column, y: Column, cfg: MatchConfig = MATCH) -> Column:
     """The looser rule used for the last surnames only."""
+    starts = (F.length(x) >= 4) & (F.length(y) >= 4) & (F.startswith(x, y) | F.startswith(y, x))
+    return within_edits(x, y, cfg.surname_edits) | starts
+
+
+def last_surnames_agree(left: Column, right: Column, cfg: MatchConfig = MATCH) -> Column:
     x = F.try_element_at(left, F.lit(-1))
     y = F.try_element_at(right, F.lit(-1))
-    starts = (F.length(x) >= 4) & (F.length(y) >= 4) & (F.startswith(x, y) | F.startswith(y, x))
-    return F.coalesce(_same_surname(x, y, cfg) | starts, F.lit(False))
+    return F.coalesce(last_names_agree(x, y, cfg), F.lit(False))
 
 
 def score_text(score: Column, cfg: MatchConfig = MATCH) -> Column:

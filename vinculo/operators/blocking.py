@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import MATCH, MatchConfig
 from ..functions.fold import one_of
 from ..functions.similarity import (
-    first_names_pass, jaro_winkler, last_surnames_agree, surnames_agree,
+    first_names_pass, jaro_winkler, last_names_agree, surnames_agree,
 )
 
 # Fixed value: letters from rare to frequent; any fixed order is correct, this one gives short candidate lists.
@@ -114,12 +114,11 @@ def surname_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig = MATCH) -
     cut_left = right.filter(F.length(y) >= 4).select("y", starts(y).alias("x")).join(left, "x")
     pairs = edits.unionByName(cut_right).unionByName(cut_left).distinct()
     longer = F.when(F.length(x) > F.length(y), x).otherwise(y)
-    agree = surnames_agree(x, y, cfg)
-    rare = agree & (~one_of(x, cfg.common_surnames) | ~one_of(longer, cfg.common_surnames))
-    return pairs.select(
-        "x", "y", agree.alias("agree"), last_surnames_agree(F.array(x), F.array(y), cfg).alias("last_ok"),
-        rare.alias("rare"),
-    ).filter("agree or last_ok")
+    # Whatever agrees by S-13 also agrees by the looser last-name rule, so that rule alone is the filter.
+    kept = pairs.withColumn("last_ok", last_names_agree(x, y, cfg)).filter("last_ok")
+    kept = kept.withColumn("agree", surnames_agree(x, y, cfg))
+    rare = F.col("agree") & (~one_of(x, cfg.common_surnames) | ~one_of(longer, cfg.common_surnames))
+    return kept.select("x", "y", "agree", "last_ok", rare.alias("rare"))
 
 
 def words_inside_tokens(words: DataFrame, tokens: DataFrame) -> DataFrame:

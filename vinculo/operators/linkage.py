@@ -102,8 +102,24 @@ def _until(bound_file: Column, last_era: Column) -> Column:
     return F.sequence(F.lit(0), F.coalesce(_era(bound_file), last_era))
 
 
+def name_dictionaries(targets: DataFrame, payees: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFrame]:
+    """Stored (f1, f2) and (x, y, ...) tables of related first names and surnames."""
+    first = first_name_pairs(
+        targets.select("f1").filter("f1 <> ''").distinct(), payees.select("f2").filter("f2 <> ''").distinct(), cfg
+    )
+    sur = surname_pairs(
+        targets.select(F.explode("s1").alias("x")).distinct(), payees.select(F.explode("s2").alias("y")).distinct(), cfg
+    )
+    return materialize(first, "first-names"), materialize(sur, "surnames")
+
+
 def payee_pairs(
-    targets: DataFrame, payees: DataFrame, cfg: MatchConfig, nearest: bool = False, last_era: int = 0
+    targets: DataFrame,
+    payees: DataFrame,
+    dictionaries: tuple[DataFrame, DataFrame],
+    cfg: MatchConfig,
+    nearest: bool = False,
+    last_era: int = 0,
 ) -> DataFrame:
     """Candidate (target, payee) norm pairs, complete for scores of ``cfg.relaxed`` and more.
 
@@ -113,12 +129,7 @@ def payee_pairs(
     only. With ``nearest`` any agreeing surname counts. ``targets`` may carry a
     ``bound`` (page_ord): payees first seen in later files are of no use to it.
     """
-    first = first_name_pairs(
-        targets.select("f1").filter("f1 <> ''").distinct(), payees.select("f2").filter("f2 <> ''").distinct(), cfg
-    )
-    sur = surname_pairs(
-        targets.select(F.explode("s1").alias("x")).distinct(), payees.select(F.explode("s2").alias("y")).distinct(), cfg
-    )
+    first, sur = dictionaries
     t = targets.select("norm", "f1", "s1", "bound", F.size("s1").alias("n1")).join(first, "f1")
     if nearest:
         eras = F.array(F.lit(0))
@@ -126,7 +137,8 @@ def payee_pairs(
     else:
         eras = _until(F.shiftright("bound", 32), F.lit(last_era))
         p = payees.withColumn("era", _era(F.shiftright("first_ord", 32)))
-    t = t.select("*", F.explode(eras).alias("era"))
+    # Stored, because three branches read it and the dictionaries behind it are not cheap.
+    t = materialize(t.select("*", F.explode(eras).alias("era")), "keyed-targets")
 
     # (a) names without surnames: few distinct ones per first name.
     bare_t = t.filter("n1 = 0").join(p.select("f2", "era", "payee", "first_ord"), ["f2", "era"])
@@ -157,7 +169,7 @@ def payee_pairs(
     return found.select("norm", "payee", "first_ord").distinct()
 
 
-def class_bounds(targets: DataFrame, payees: DataFrame, cfg: MatchConfig) -> DataFrame:
+def class_bounds(targets: DataFrame, payees: DataFrame, surnames_related: DataFrame, cfg: MatchConfig) -> DataFrame:
     """(norm, bound): earliest page that surely scores 1.0 for a target, found without pairs.
 
     Equal names score 1.0. Equal first names with agreeing last surnames score
@@ -175,7 +187,7 @@ def class_bounds(targets: DataFrame, payees: DataFrame, cfg: MatchConfig) -> Dat
         .groupBy(F.col("f2").alias("f1"), F.element_at("s2", -1).alias("y"))
         .agg(F.min("first_ord").alias("bound"))
     )
-    sur = surname_pairs(t.select("x").distinct(), p.select("y").distinct(), cfg).filter("agree and last_ok")
+    sur = surnames_related.filter("agree and last_ok").select("x", "y")
     classes = (
         t.select("f1", "x").distinct().join(sur, "x").join(p, ["f1", "y"]).groupBy("f1", "x").agg(F.min("bound").alias("bound"))
     )
@@ -199,9 +211,10 @@ def payee_hits(targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig, las
     for all. Weaker hits keep all pages of the first file that has any.
     """
     payees = materialize(payee_dictionary(occurrences, cfg), "payees")
-    bounds = materialize(class_bounds(targets, payees, cfg), "bounds")
+    dictionaries = name_dictionaries(targets, payees, cfg)
+    bounds = materialize(class_bounds(targets, payees, dictionaries[1], cfg), "bounds")
     bounded = targets.join(bounds, "norm", "left")
-    pairs = payee_pairs(bounded, payees, cfg, last_era=last_era)
+    pairs = materialize(payee_pairs(bounded, payees, dictionaries, cfg, last_era=last_era), "payee-pairs")
     scored = with_match_score(pairs, "norm", "payee", cfg).filter(F.col("score") >= cfg.relaxed)
     scored = materialize(scored.select("norm", "payee", "first_ord", "score"), "payee-scores")
     sure = (
@@ -419,7 +432,9 @@ def first_page_with_name(pages: DataFrame, names: DataFrame, cfg: MatchConfig =
     bounded = materialize(targets.withColumn("bound", F.lit(None).cast("long")), "search-targets")
     last_era = int((prepared.agg(F.max("file_ord")).first()[0] or 0) + 1).bit_length() - 1
     same = bounded.join(payees.withColumnRenamed("payee", "norm"), "norm").select("norm", F.col("norm").alias("payee"))
-    pairs = payee_pairs(bounded, payees, cfg, nearest=True, last_era=last_era).select("norm", "payee")
+    payees = materialize(payees, "search-payees")
+    dictionaries = name_dictionaries(bounded, payees, cfg)
+    pairs = payee_pairs(bounded, payees, dictionaries, cfg, nearest=True).select("norm", "payee")
     scored = with_match_score(pairs.unionByName(same).distinct(), "norm", "payee", cfg)
     by_payee = scored.filter(F.col("score") >= cfg.relaxed).join(occurrences, "payee").select("norm", "page_ord")
     by_text = text_hits(bounded.withColumn("last_ord", F.lit(None).cast("long")), prepared, cfg, last_era)

@@ -9,8 +9,7 @@ from .. import config as C
 from ..config import MATCH, MatchConfig
 from ..functions.fold import words
 from ..functions.similarity import with_match_score
-from .blocking import first_name_pairs
-from .linkage import first_copies, payee_dictionary, payee_occurrences, payee_pairs, prepare_targets, text_anchors, page_tokens
+from .linkage import first_copies, name_dictionaries, payee_dictionary, payee_occurrences, payee_pairs, prepare_targets, text_anchors, page_tokens
 from .scale import cell_join, materialize, number_rows
 
 
@@ -91,16 +90,16 @@ def nearest_payee(targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig =
     order = occurrences.groupBy("payee").agg(seen.alias("seen"))
     payees = materialize(payee_dictionary(occurrences, cfg).join(order, "payee"), "miss-payees")
     bounded = targets.withColumn("bound", F.lit(None).cast("long"))
-    pairs = payee_pairs(bounded, payees, cfg, nearest=True).select("norm", "payee")
+    dictionaries = name_dictionaries(targets, payees, cfg)
+    pairs = payee_pairs(bounded, payees, dictionaries, cfg, nearest=True).select("norm", "payee")
     same = targets.select("norm").join(payees.select(F.col("payee").alias("norm")), "norm").select(
         "norm", F.col("norm").alias("payee")
     )
-    scored = with_match_score(pairs.unionByName(same).distinct(), "norm", "payee", cfg).join(
+    pairs = materialize(pairs.unionByName(same).distinct(), "miss-pairs")
+    scored = with_match_score(pairs, "norm", "payee", cfg).join(
         payees.select("payee", "seen"), "payee"
     )
-    first = first_name_pairs(
-        targets.select("f1").filter("f1 <> ''").distinct(), payees.select("f2").filter("f2 <> ''").distinct(), cfg
-    )
+    first = dictionaries[0]
     surnamed = payees.filter("size(s2) > 0").groupBy("f2").agg(F.min(F.struct("seen", "payee")).alias("p"))
     low = (
         targets.filter("size(s1) > 0").select("norm", "f1").join(first, "f1").join(surnamed, "f2")
