@@ -89,6 +89,14 @@ def fold_name(c: Column) -> Column:
     return F.trim(_squeeze(F.regexp_replace(c, "[^A-Z ]+", "")))
 
 
+def fold_constant(text: str) -> str:
+    """``fold_name`` of a parameter value."""
+    drop = dict.fromkeys(map(ord, INVISIBLE + MARKS))
+    blank = dict.fromkeys(map(ord, SPACES + NAME_SEPARATORS), " ")
+    plain = unicodedata.normalize("NFD", text).translate({**drop, **blank}).upper()
+    return " ".join("".join(ch for ch in plain if ch == " " or "A" <= ch <= "Z").split())
+
+
 def fold_name_ocr(c: Column) -> Column:
     """S-2. As ``fold_name`` after repairing digits between letters."""
     c = F.upper(_translate(F.coalesce(c, F.lit("")), INVISIBLE + MARKS, SPACES + NAME_SEPARATORS))
