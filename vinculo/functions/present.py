@@ -38,7 +38,7 @@ def brl(amount: Column) -> Column:
     """S-28. ``R$ 1.234,56`` with a no-break space, '—' for NULL."""
     digits = F.translate(F.format_number(F.abs(amount), 2), ",.", ".,")
     sign = F.when(F.round(amount, 2) < 0, "-").otherwise("")
-    return F.coalesce(F.concat(sign, F.lit("R$ "), digits), F.lit("—"))
+    return F.coalesce(F.concat(sign, F.lit("R$\u00A0"), digits), F.lit("—"))
 
 
 def output_name(company: Column, city: Column, contract: Column, name: Column) -> Column:
