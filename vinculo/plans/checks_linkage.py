@@ -1 +1,437 @@
+"""Registered queries: linkage, misses, page scans and statistics."""
 
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions import extract
+from ..operators import linkage, misses
+from ..operators.scale import materialize
+from ..sources import pages as P
+from ..sources import sinks
+from . import sqltext as S
+from .link_run import LinkRun, run_links
+from .registered import big, query
+from .tables import (
+    benchmark_employees, document_pages, named_documents, receipt_pages, slip_pages, table,
+)
+
+
+def _run(spark, sf) -> LinkRun:
+    return run_links(slip_pages(spark, sf), receipt_pages(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# The link run on one slip and one receipt per document
+# ---------------------------------------------------------------------------
+
+@query()
+def link_methods(spark, sf):
+    """A-3 of the whole run: extract, link, settle conflicts, count per method."""
+    return linkage.methods_count(_run(spark, sf).links)
+
+
+@query()
+def link_run(spark, sf):
+    """Every chosen link with method, score and whether it won its page."""
+    return _run(spark, sf).links.drop("page_ord")
+
+
+@query()
+def link_report(spark, sf):
+    """A-15, A-17, A-8 and P-20 of one run in one table."""
+    run = _run(spark, sf)
+    tiers = linkage.confidence_tiers(run.links).select(F.concat(F.lit("tier "), "tier").alias("fact"), F.col("links").cast("double").alias("value"))
+    rate = linkage.success_rate(run.links, run.employees).select(F.lit("success rate").alias("fact"), F.col("rate").alias("value"))
+    check = linkage.page_invariant(run.links).select(
+        F.lit("one link per page").alias("fact"), F.col("consistent").cast("double").alias("value")
+    )
+    review = linkage.links_to_review(run.links).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit("to review").alias("fact"), "value"
+    )
+    return tiers.unionByName(rate).unionByName(check).unionByName(review)
+
+
+@query()
+def contested_pages(spark, sf):
+    return linkage.contested_pages(_run(spark, sf).links)
+
+
+@query()
+def misses_report(spark, sf):
+    return _run(spark, sf).misses()
+
+
+@query()
+def miss_reasons(spark, sf):
+    return misses.reason_counts(_run(spark, sf).misses())
+
+
+# ---------------------------------------------------------------------------
+# Text methods: benchmark names in whole documents
+# ---------------------------------------------------------------------------
+
+# The check looks at all pairs. Receipts are the documents, first copies included; documents name no payees that fit.
+_TEXT_PAIRS = f"""
+    tg AS (SELECT item_id AS emp_ord, {S.text_name('text')} AS norm FROM benchmark),
+    t AS (SELECT *, {S.words('norm', 3)} AS w FROM tg),
+    pg AS (SELECT doc_id AS page_no, CAST(substr(source, 4) AS INTEGER) AS file_ord, {S.fold('text', repair=True)} AS page
+        FROM documents),
+    pp AS (SELECT *, ' ' || page || ' ' AS padded FROM pg),
+    pairs AS (SELECT emp_ord, norm, w, file_ord, page_no, page, padded, instr(page, norm) AS hit_at,
+        instr(page, w[1]) AS i, instr(page, w[len(w)]) AS j FROM t, pp WHERE norm <> ''),
+    hits AS (SELECT emp_ord, norm, file_ord, page_no, CASE
+        WHEN length(norm) >= 8 AND hit_at > 0 AND (hit_at = 1 OR substr(page, hit_at - 1, 1) = ' ')
+            AND substr(page, hit_at + length(norm), 1) IN ('', ' ') THEN 2
+        WHEN contains(padded, ' ' || w[1] || ' ') AND contains(padded, ' ' || w[len(w)] || ' ')
+            AND len(list_filter(w, lambda x: contains(padded, ' ' || x || ' '))) >= greatest(2, floor(len(w) * CAST(0.7 AS DOUBLE)))
+            AND regexp_matches(page, array_to_string(w, '.*?')) THEN 3
+        WHEN i > 0 AND j > 0 AND i <> j AND abs(i - j) < 100 THEN 4 END AS rank FROM pairs),
+    scored AS (SELECT *, [1.0, 0.8, 0.6, 0.5][rank] AS score FROM hits WHERE rank IS NOT NULL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY file_ord, score DESC, page_no) AS rn FROM scored),
+    best AS (SELECT *, row_number() OVER (PARTITION BY file_ord, page_no ORDER BY score DESC, emp_ord) = 1 AS accepted
+        FROM ranked WHERE rn = 1)"""
+_TEXT_METHOD = "['favorecido', 'substring', 'word-overlap', 'proximity'][rank]"
+
+
+def _text_links(spark, sf):
+    employees = linkage.first_seen(benchmark_employees(spark, sf).filter("norm <> ''"), "norm", "emp_ord")
+    pages = materialize(linkage.prepare_pages(document_pages(spark, sf)), "prepared-pages")
+    return employees, pages, linkage.link(employees, pages)
+
+
+@query(
+    f"""WITH {_TEXT_PAIRS} SELECT norm AS name, CAST(file_ord AS BIGINT) AS file_ord, CAST(page_no AS BIGINT) AS page_no,
+        {_TEXT_METHOD} AS method, CAST(score AS DOUBLE) AS score FROM ranked WHERE rn = 1"""
+)
+def link_by_text(spark, sf):
+    """J-3, J-4, J-5 with W-2 and W-3."""
+    _, _, links = _text_links(spark, sf)
+    return links.select("name", big("file_ord").alias("file_ord"), big("receipt_page").alias("page_no"), "method", "score")
+
+
+@query()
+def link_by_text_conflicts(spark, sf):
+    """W-4, A-10 on the same links; which of equal names counts as first depends on the slip order."""
+    _, _, links = _text_links(spark, sf)
+    return links.groupBy("method", "accepted").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(
+    f"""WITH {_TEXT_PAIRS}, per AS (SELECT norm, file_ord, min(page_no) AS page_no FROM scored GROUP BY norm, file_ord)
+    SELECT norm AS name, CAST(file_ord AS BIGINT) AS file_ord, CAST(page_no AS BIGINT) AS page_no FROM per"""
+)
+def first_page_with_name(spark, sf):
+    """J-6: first page per file for every benchmark name."""
+    names = benchmark_employees(spark, sf).filter("norm <> ''").select("name").distinct()
+    found = linkage.first_page_with_name(document_pages(spark, sf), names)
+    return found.select("name", big("file_ord").alias("file_ord"), big("page_no").alias("page_no"))
+
+
+# ---------------------------------------------------------------------------
+# Exact payees: links, conflicts, dedup
+# ---------------------------------------------------------------------------
+
+@query(
+    f"""WITH {S.NAMED} SELECT {S.fold('name')} AS norm, min_by(doc_id, file_ord * 4294967296 + doc_id) AS page_no,
+        CAST(min(file_ord * 4294967296 + doc_id) // 4294967296 AS BIGINT) AS file_ord
+    FROM named WHERE name <> '' GROUP BY 1"""
+)
+def dedup_first_seen(spark, sf):
+    """W-1 on document names."""
+    d = named_documents(spark, sf).filter("name <> ''").select(
+        F.col("name").alias("norm"), linkage.page_ord(F.col("file_ord"), F.col("doc_id")).alias("ord"), "doc_id"
+    )
+    return linkage.first_seen(d, "norm", "ord").select(
+        "norm", F.col("doc_id").alias("page_no"), F.shiftright("ord", 32).alias("file_ord")
+    )
+
+
+@query(
+    f"""WITH {S.NAMED}, a AS (SELECT name AS norm, min(file_ord * 4294967296 + doc_id) AS emp_ord FROM named
+        WHERE name <> '' GROUP BY name),
+    r AS (SELECT file_ord * 4294967296 + doc_id AS page_ord, {S.altered('name', 'n_chars')} AS payee FROM named WHERE name <> ''),
+    hit AS (SELECT emp_ord, norm, min(page_ord) AS page_ord FROM a JOIN r ON norm = payee GROUP BY emp_ord, norm),
+    won AS (SELECT page_ord, min(emp_ord) AS emp_ord FROM hit GROUP BY page_ord)
+    SELECT hit.norm, hit.page_ord, won.emp_ord IS NOT NULL AS accepted
+    FROM hit LEFT JOIN won ON hit.page_ord = won.page_ord AND hit.emp_ord = won.emp_ord"""
+)
+def link_exact(spark, sf):
+    """J-2 restricted to equal names, with W-3 and W-4."""
+    d = named_documents(spark, sf).filter("name <> ''")
+    ord_ = linkage.page_ord(F.col("file_ord"), F.col("doc_id"))
+    employees = linkage.first_seen(d.select(F.col("name").alias("norm"), ord_.alias("emp_ord")), "norm", "emp_ord")
+    from .tables import altered
+
+    payees = d.select(altered(F.col("name"), F.col("n_chars")).alias("norm"), ord_.alias("page_ord"))
+    first = payees.groupBy("norm").agg(F.min("page_ord").alias("page_ord"))
+    links = employees.join(first, "norm").withColumn("score", F.lit(1.0))
+    return linkage.resolve_conflicts(links).select("norm", "page_ord", "accepted")
+
+
+# ---------------------------------------------------------------------------
+# Page statistics and estimates
+# ---------------------------------------------------------------------------
+
+_PAGE_TEXT = (
+    "CASE WHEN role = 'user' THEN 'Favorecido: ' || text WHEN length(text) % 3 = 0 THEN 'Recibo de Pagamento ' || text ELSE text END"
+)
+
+
+def _conversation_pages(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select(
+        F.col("conv_id").cast("string").alias("file_id"), (F.col("turn") + 1).cast("int").alias("page_no"),
+        F.expr(_PAGE_TEXT).alias("text"),
+    )
+
+
+@query(
+    f"""SELECT CAST(conv_id AS VARCHAR) AS file_id, count(*) FILTER (WHERE regexp_matches(upper(strip_accents({_PAGE_TEXT})),
+        'FAVORECIDO\\s*:?')) AS receipts FROM conversations GROUP BY conv_id"""
+)
+def receipt_estimate(spark, sf):
+    """A-12, P-18."""
+    return P.receipt_estimate(_conversation_pages(spark, sf), extract.has_payee_label(F.col("text")))
+
+
+def _slip_estimate_sql() -> str:
+    from .checks_functions import _employee_sql
+
+    source = f"(SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn + 1 AS VARCHAR) AS k, {_PAGE_TEXT} AS text FROM conversations)"
+    pattern = C.SLIP_PAGE_PATTERN.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
+    return f"""WITH names AS ({_employee_sql(source, 'k')}),
+    pg AS (SELECT CAST(conv_id AS VARCHAR) AS file_id, turn + 1 AS page_no, CAST(conv_id AS VARCHAR) || '/' || CAST(turn + 1 AS VARCHAR) AS k,
+        regexp_matches(upper(strip_accents({_PAGE_TEXT})), '{pattern}') AS pat FROM conversations),
+    f AS (SELECT pg.*, pat OR name IS NOT NULL AS hit, max(page_no) OVER (PARTITION BY file_id) AS n FROM pg JOIN names USING (k))
+    SELECT file_id, CASE WHEN bool_or(hit AND page_no IN (1, greatest(1, n // 2), greatest(1, n - 1)))
+        THEN count(*) FILTER (WHERE hit) ELSE greatest(1, max(n) - 1) END AS slips FROM f GROUP BY file_id"""
+
+
+@query(_slip_estimate_sql())
+def slip_estimate(spark, sf):
+    """A-13, P-19."""
+    pages = _conversation_pages(spark, sf).withColumn("name", extract.employee_name(F.col("text")))
+    return P.slip_estimate(pages, extract.is_slip_page(F.col("text"), F.col("name")))
+
+
+@query(
+    f"""WITH {S.NAMED}, r AS (SELECT CASE WHEN n_chars % 4 < 3 THEN 'COMPROVANTE DE TRANSFERENCIA FAVORECIDO '
+            || {S.altered('name', 'n_chars')} || ' R' ELSE 'PAGO A ' || name || ' EM' END AS page,
+        CASE WHEN n_chars % 4 < 3 THEN {S.altered('name', 'n_chars')} END AS payee FROM named)
+    SELECT count(*) AS pages, count(*) FILTER (WHERE length(trim(page)) > 50) AS pages_with_text,
+        count(*) FILTER (WHERE payee IS NULL) AS pages_without_payee, count(payee) AS payees_total,
+        count(DISTINCT payee) AS payees_distinct FROM r"""
+)
+def page_statistics(spark, sf):
+    """A-7."""
+    pages = materialize(linkage.prepare_pages(receipt_pages(spark, sf)), "prepared-pages")
+    return misses.page_statistics(pages).select(*[big(c).alias(c) for c in (
+        "pages", "pages_with_text", "pages_without_payee", "payees_total", "payees_distinct")])
+
+
+@query(
+    f"""WITH {S.NAMED}, r AS (SELECT DISTINCT {S.altered('name', 'n_chars')} AS payee FROM named WHERE n_chars % 4 < 3)
+    SELECT payee, row_number() OVER (ORDER BY payee) AS position FROM r"""
+)
+def numbered_payees(spark, sf):
+    """L-6."""
+    return misses.numbered_payees(linkage.prepare_pages(receipt_pages(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Page scans
+# ---------------------------------------------------------------------------
+
+@query(
+    """SELECT doc_id, CAST(i AS BIGINT) AS page_no, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
+        unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"""
+)
+def page_texts(spark, sf):
+    """IO-1: lines of a document as its pages."""
+    d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("texts"))
+    return P.explode_pages(d).select("doc_id", big("page_no").alias("page_no"), "text")
+
+
+@query(
+    """SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations"""
+)
+def document_layout(spark, sf):
+    """IO-2."""
+    c = table(spark, sf, "conversations").withColumn("page_no", F.col("turn"))
+    return P.document_layout(c, "conv_id").select("conv_id", big("turn").alias("turn"), big("start").alias("start"))
+
+
+@query(
+    """SELECT source, doc_id, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents"""
+)
+def source_layout(spark, sf):
+    """IO-2 with few large documents: the sums run in blocks."""
+    d = table(spark, sf, "documents").withColumn("page_no", F.col("doc_id"))
+    return P.document_layout(d, "source").select("source", "doc_id", big("start").alias("start"))
+
+
+@query("SELECT conv_id, role, text FROM conversations WHERE turn = 1")
+def single_page(spark, sf):
+    """IO-3: the page filter reaches the scan."""
+    c = table(spark, sf, "conversations").withColumn("page_no", F.col("turn"))
+    return P.one_page(c, 1).select("conv_id", "role", "text")
+
+
+@query(
+    """WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS str,
+        unnest(range(len(string_split(text, ' ')))) AS i FROM conversations),
+    it AS (SELECT conv_id, turn, str, i, (i * 7) % 90 AS x, 1000000.0 - (i // 9) * 12 + (i % 4) AS y FROM w
+        WHERE regexp_replace(str, '\\s', '', 'g') <> ''),
+    l AS (SELECT *, CASE WHEN lag(y) OVER (PARTITION BY conv_id, turn ORDER BY y DESC, x, i) - y > 5 THEN 1 ELSE 0 END AS nl FROM it),
+    n AS (SELECT *, sum(nl) OVER (PARTITION BY conv_id, turn ORDER BY y DESC, x, i ROWS UNBOUNDED PRECEDING) AS line FROM l)
+    SELECT conv_id, CAST(turn AS BIGINT) AS turn, string_agg(str, ' ' ORDER BY line, x, i) AS text FROM n GROUP BY conv_id, turn"""
+)
+def reading_order(spark, sf):
+    """IO-4 on the words of a text laid out in lines of nine with uneven heights."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("seq", "str"))
+    i = F.col("seq")
+    items = c.select(
+        F.col("conv_id").alias("file_id"), F.col("turn").alias("page_no"), "seq", ((i * 7) % 90).cast("double").alias("x"),
+        (F.lit(1000000.0) - F.floor(i / 9) * 12 + (i % 4)).alias("y"), F.lit(10.0).alias("h"), "str",
+    )
+    return P.reading_order(items).select(F.col("file_id").alias("conv_id"), big("page_no").alias("turn"), "text")
+
+
+@query(
+    """SELECT conv_id, CAST(turn AS BIGINT) AS turn, text || ' ' || role || CASE WHEN turn % 2 = 0 THEN ' note ' || turn ELSE '' END
+        || ' seen' AS text FROM conversations"""
+)
+def annotated_pages(spark, sf):
+    """IO-5."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("page_no"), "role", "text")
+    one = c.select(
+        "file_id", "page_no", F.lit(1).alias("seq"), F.concat(F.lit(" "), "role").alias("contents"), F.lit("  ").alias("field_value"),
+        F.when(F.col("page_no") % 2 == 0, F.concat(F.lit("note "), F.col("page_no").cast("string"))).alias("alternative_text"),
+    )
+    two = c.select(
+        "file_id", "page_no", F.lit(2).alias("seq"), F.lit(None).cast("string").alias("contents"), F.lit("seen ").alias("field_value"),
+        F.lit("").alias("alternative_text"),
+    )
+    out = P.with_annotations(c.drop("role"), one.unionByName(two))
+    return out.select(F.col("file_id").alias("conv_id"), big("page_no").alias("turn"), "text")
+
+
+def _versions(spark, sf):
+    c = table(spark, sf, "conversations")
+    n = F.length("text")
+    key = [F.col("conv_id").cast("string").alias("file_id"), F.col("turn").cast("int").alias("page_no")]
+    out = c.select(*key, F.lit("native").alias("stage"), F.when(F.col("role") == "user", F.col("text")).otherwise("").alias("text"),
+                   F.lit(False).alias("timed_out"))
+    ocr = c.filter("turn % 5 <> 4").select(
+        *key, F.lit("ocr").alias("stage"), F.when(n % 2 == 0, F.col("text")).otherwise(F.col("role")).alias("text"),
+        (n % 5 == 0).alias("timed_out"),
+    )
+    retry = c.filter("turn % 3 = 0").select(
+        *key, F.lit("retry").alias("stage"), F.concat_ws(" ", "role", "text").alias("text"), (n % 7 == 0).alias("timed_out")
+    )
+    return out.unionByName(ocr).unionByName(retry)
+
+
+_VERSIONS = f"""v AS (SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(turn AS BIGINT) AS page_no,
+        length({S.js_trim("CASE WHEN role = 'user' THEN text ELSE '' END")}) AS nl,
+        CASE WHEN role = 'user' THEN text ELSE '' END AS native,
+        CASE WHEN turn % 5 <> 4 THEN CASE WHEN length(text) % 2 = 0 THEN text ELSE role END END AS ocr,
+        CASE WHEN turn % 3 = 0 THEN role || ' ' || text END AS retry,
+        turn % 5 <> 4 AND length(text) % 5 = 0 AS ot, turn % 3 = 0 AND length(text) % 7 = 0 AS rt FROM conversations),
+    x AS (SELECT *, coalesce(length({S.js_trim('ocr')}), 0) AS ol, coalesce(length({S.js_trim('retry')}), 0) AS rl FROM v),
+    y AS (SELECT *, ol < 40 AND NOT ot AND retry IS NOT NULL AS retried FROM x)"""
+
+
+@query(
+    f"""WITH {_VERSIONS} SELECT file_id, page_no, CASE WHEN nl >= 100 THEN native WHEN retried AND rl > ol THEN retry
+        ELSE coalesce(ocr, '[Empty page ' || page_no || ']') END AS text FROM y"""
+)
+def best_text_version(spark, sf):
+    """IO-6 for receipts."""
+    return P.best_versions(_versions(spark, sf)).select("file_id", big("page_no").alias("page_no"), "text")
+
+
+@query()
+def best_slip_version(spark, sf):
+    """IO-6 for slips."""
+    return P.best_slip_versions(_versions(spark, sf), extract.employee_name)
+
+
+@query(
+    f"""WITH {_VERSIONS} SELECT file_id, count(*) AS pages_total, count(*) FILTER (WHERE nl < 100) AS pages_needing_ocr,
+        count(*) FILTER (WHERE nl < 100 AND greatest(ol, CASE WHEN retried THEN rl ELSE 0 END) < 40) AS pages_empty_or_short,
+        count(*) FILTER (WHERE nl < 100 AND ot) + count(*) FILTER (WHERE nl < 100 AND retried AND rt) AS timeouts,
+        count(*) FILTER (WHERE nl < 100 AND retried) AS retries FROM y GROUP BY ROLLUP (file_id)"""
+)
+def text_metrics(spark, sf):
+    """A-5."""
+    return P.text_metrics(_versions(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Miss texts
+# ---------------------------------------------------------------------------
+
+_REPORT = """rep AS (SELECT event_id + 1 AS idx, user_id, event_type, value > 50 AS as_payee, value > 20 AS in_text,
+        CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_type END AS candidate FROM events)"""
+
+
+def _report(spark, sf):
+    e = table(spark, sf, "events")
+    candidate = F.when(F.col("event_id") % 2 != 0, F.col("event_type"))
+    r = e.select(
+        (F.col("event_id") + 1).alias("index"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("name"),
+        F.upper("event_type").alias("normalized"), F.lit("a.pdf").alias("source_file"), F.lit(1).alias("source_page"),
+        (F.col("value") > 20).alias("found_in_full_text"), (F.col("value") > 50).alias("found_as_payee"), candidate.alias("candidate"),
+    )
+    return r.withColumns({
+        "reason": misses.miss_reason(F.col("found_as_payee"), F.col("found_in_full_text"), F.col("candidate"), F.lit("SCORE BAIXO (0.10)")),
+        "closest_candidate": F.coalesce("candidate", F.lit(C.NO_CANDIDATE)),
+    })
+
+
+@query(
+    f"""WITH {_REPORT} SELECT CASE WHEN as_payee THEN '{C.CATEGORY_AS_PAYEE}' WHEN in_text THEN '{C.CATEGORY_IN_TEXT}'
+        WHEN candidate IS NOT NULL THEN '{C.CATEGORY_CANDIDATE}' ELSE '{C.CATEGORY_NONE}' END AS category, count(*) AS misses
+    FROM rep GROUP BY 1"""
+)
+def miss_categories(spark, sf):
+    """S-29, A-9."""
+    return misses.reason_counts(_report(spark, sf))
+
+
+@query(
+    f"""WITH {_REPORT}, t AS (SELECT 'User ' || user_id AS "Nome", upper(event_type) AS "Normalizado", 'a.pdf' AS "Arquivo",
+        1 AS "Página", CASE WHEN in_text THEN 'SIM' ELSE 'NÃO' END AS "No Texto",
+        CASE WHEN as_payee THEN 'SIM' ELSE 'NÃO' END AS "FAVORECIDO", coalesce(candidate, '(nenhum)') AS "Candidato Próximo",
+        CASE WHEN as_payee THEN '{C.REASON_AS_PAYEE}' WHEN in_text THEN '{C.REASON_IN_TEXT}' WHEN candidate IS NOT NULL
+            THEN 'SCORE BAIXO (0.10) (candidato: ' || candidate || ')' ELSE '{C.REASON_NONE}' END AS "Motivo" FROM rep)
+    SELECT * FROM t WHERE contains(lower("Nome"), 'user 1') OR contains(lower("Motivo"), 'user 1')"""
+)
+def miss_export_search(spark, sf):
+    """IO-13 columns of the misses a search finds (P-17)."""
+    return sinks.misses_for_export(misses.search_misses(_report(spark, sf), "User 1"))
+
+
+@query(
+    f"""WITH {_REPORT} SELECT CAST((idx - 1) // 1000 AS BIGINT) AS part, count(*) AS n FROM rep GROUP BY 1"""
+)
+def miss_history_parts(spark, sf):
+    """IO-12: the miss list of a run in JSON parts."""
+    from ..functions.present import miss_count
+
+    return sinks.misses_json(_report(spark, sf)).select(big("part").alias("part"), big(miss_count(F.col("unprocessed_data"))).alias("n"))
+
+
+@query(
+    f"""WITH {S.NAMED}, w AS (SELECT doc_id, {S.words('name', 3)} AS a, {S.words(S.altered('name', 'n_chars'), 3)} AS b FROM named)
+    SELECT doc_id, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS BIGINT) AS shared FROM w"""
+)
+def shared_words(spark, sf):
+    """U-4."""
+    from .tables import name_pairs
+
+    d = name_pairs(spark, sf)
+    return d.select("doc_id", big(misses.shared_words(F.col("target"), F.col("candidate"))).alias("shared"))
