@@ -173,13 +173,13 @@ CITY_SHEET_SKIP_VALUES = (
     "SUBTOTAL", "SOMA",
 )
 PAYROLL_SKIP_PATTERN = (
-    r"(?i)^(?:TOTAL|SUBTOTAL|SOMA|RELAC|COMPETENCIA|PAGAMENTO|SERVI[ÇC]O|EMPRESA|CNPJ|CODIGO|NOME)"
+    r"(?iu)^(?:TOTAL|SUBTOTAL|SOMA|RELAC|COMPETENCIA|PAGAMENTO|SERVI[ÇC]O|EMPRESA|CNPJ|CODIGO|NOME)"
 )
 SECTION_TYPES = (
-    (r"(?i)^EMPREGADOS?\s*$", "Empregados"),
-    (r"(?i)^CONTRIBUINTES?\s*$", "Contribuintes"),
-    (r"(?i)^AUTONOMOS?\s*$", "Autônomos"),
-    (r"(?i)^ESTAGIARIOS?\s*$", "Estagiários"),
+    (r"(?iu)^EMPREGADOS?\s*$", "Empregados"),
+    (r"(?iu)^CONTRIBUINTES?\s*$", "Contribuintes"),
+    (r"(?iu)^AUTONOMOS?\s*$", "Autônomos"),
+    (r"(?iu)^ESTAGIARIOS?\s*$", "Estagiários"),
 )
 
 # ---------------------------------------------------------------------------

@@ -31,7 +31,7 @@ def locale_number(value: Column, num: Column | None = None) -> Column:
 
     NULL for blank cells and a lone hyphen; a text without digits is 0.
     """
-    text = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?i)R\$", "")
+    text = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?iu)R\$", "")
     text = F.regexp_replace(text, f"{SPACE_CLASS}+", "")
 
     def read(t: Column) -> Column:
@@ -56,7 +56,7 @@ def positive_number(value: Column, num: Column | None = None) -> Column:
 
 def looks_like_city(c: Column) -> Column:
     """P-12."""
-    return c.rlike(r"(?i)\s*-\s*(?:" + "|".join(C.CITY_LINE_SUFFIXES) + ")")
+    return c.rlike(r"(?iu)\s*-\s*(?:" + "|".join(C.CITY_LINE_SUFFIXES) + ")")
 
 
 def looks_like_company(c: Column) -> Column:
@@ -77,7 +77,7 @@ def denotes_municipality(c: Column) -> Column:
         bare = without_code(c)
         plain = (
             ~looks_like_company(c) & (F.length(bare) >= 3)
-            & ~bare.rlike(r"(?i)(?<![A-Za-z0-9_])(?:SERVICO|SERVICE|CLEAN|ASSESSOR|CONSULT)(?![A-Za-z0-9_])")
+            & ~bare.rlike(r"(?iu)(?<![A-Za-z0-9_])(?:SERVICO|SERVICE|CLEAN|ASSESSOR|CONSULT)(?![A-Za-z0-9_])")
         )
         return (F.replace(norm, F.lit(" "), F.lit("")) != "SERVICO") & (
             norm.rlike("|".join(C.MUNICIPAL_WORDS)) | plain
@@ -101,20 +101,20 @@ def city_of_service(c: Column) -> Column:
     forms = [
         F.trim(F.regexp_extract(bare, p, 1))
         for p in (
-            r"(?i)^MUNIC[IÍ]PIO\s+DE\s+(.+)", r"(?i)^PREFEITURA\s+MUNICIPAL\s+DE\s+(.+)",
-            r"(?i)^C[AÂ]MARA\s+MUNICIPAL\s+DE\s+(.+)",
+            r"(?iu)^MUNIC[IÍ]PIO\s+DE\s+(.+)", r"(?iu)^PREFEITURA\s+MUNICIPAL\s+DE\s+(.+)",
+            r"(?iu)^C[AÂ]MARA\s+MUNICIPAL\s+DE\s+(.+)",
         )
     ]
     city = F.coalesce(*[F.nullif(f, F.lit("")) for f in forms], bare)
-    label_only = F.trim(c).rlike(r"(?i)^Servi[çc]o\s*:?\s*$")
+    label_only = F.trim(c).rlike(r"(?iu)^Servi[çc]o\s*:?\s*$")
     return F.when((F.coalesce(c, F.lit("")) != "") & ~label_only & denotes_municipality(c), city).otherwise("")
 
 
 def clean_employee(c: Column) -> Column:
     """S-18. Employee cell without a PIX note or phone number."""
     text = F.trim(c)
-    text = F.trim(F.regexp_replace(text, r"(?i)\s*-\s*PIX.*$", ""))
-    text = F.trim(F.regexp_replace(text, r"(?i)\s*PIX.*$", ""))
+    text = F.trim(F.regexp_replace(text, r"(?iu)\s*-\s*PIX.*$", ""))
+    text = F.trim(F.regexp_replace(text, r"(?iu)\s*PIX.*$", ""))
     text = F.trim(F.regexp_replace(text, r"\s*\(\d{2}\)\s*\d{4,5}-?\d{4}.*$", ""))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -17,7 +17,7 @@ from ..sources.grids import SHEET, cell_at, fill_merges, grid_rows
 from ..sources.schemas import EMPLOYEE_RECORDS, struct
 from .scale import carry_forward, materialize
 
-SERVICE = r"(?i)Servi[çc]o\s*:\s*"
+SERVICE = r"(?iu)Servi[çc]o\s*:\s*"
 LAYOUTS = ("payroll", "todos", "city_sheets")
 SECTION_BLOCK = 1 << 16
 
@@ -88,7 +88,7 @@ def payroll_company(rows: DataFrame, headers: DataFrame) -> DataFrame:
     above = rows.join(headers.select(*SHEET, "header_r"), SHEET).filter("r < least(header_r, 10)")
     cells = above.select(*SHEET, "r", F.posexplode("cells").alias("c", "raw")).withColumn("v", F.trim("raw"))
     coded = F.col("v").rlike(r"^\d+\s*-\s*.+")
-    named = (F.length("v") > 5) & ~F.col("v").rlike(r"(?i)^(RELAC|Servi|Codigo|Nome|Salari|INSS|IRRF|FGTS|Liquid)")
+    named = (F.length("v") > 5) & ~F.col("v").rlike(r"(?iu)^(RELAC|Servi|Codigo|Nome|Salari|INSS|IRRF|FGTS|Liquid)")
     at = F.struct("r", "c", "v")
     found = cells.groupBy(*SHEET).agg(F.min(F.when(coded, at)).alias("a"), F.min(F.when(named, at)).alias("b"))
     return found.select(
@@ -98,19 +98,19 @@ def payroll_company(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
 def _service_of_row(cells: Column) -> Column:
     """W-6. Service text of a row; NULL when the row has no service label, '' when the label has no value."""
-    label = r"(?i)Servi[çc]o\s*:\s*(.*)"
+    label = r"(?iu)Servi[çc]o\s*:\s*(.*)"
 
     def value(at: Column) -> Column:
         own = F.trim(F.regexp_extract(F.element_at(cells, at), label, 1))
         right = F.filter(
             F.transform(F.slice(cells, at + 1, F.size(cells)), lambda c: F.trim(c)),
-            lambda c: (c != "") & ~c.rlike(r"(?i)^Servi[çc]o\s*:?\s*$"),
+            lambda c: (c != "") & ~c.rlike(r"(?iu)^Servi[çc]o\s*:?\s*$"),
         )
         return F.when(own != "", own).otherwise(F.coalesce(F.get(right, F.lit(0)), F.lit("")))
 
     def in_row(joined: Column) -> Column:
-        rest = F.regexp_extract(joined, r"(?i)Servi[çc]o\s*:\s*(.+)", 1)
-        return F.when(rest != "", F.trim(F.regexp_replace(rest, r"(?i)Servi[çc]o\s*:?\s*", "")))
+        rest = F.regexp_extract(joined, r"(?iu)Servi[çc]o\s*:\s*(.+)", 1)
+        return F.when(rest != "", F.trim(F.regexp_replace(rest, r"(?iu)Servi[çc]o\s*:?\s*", "")))
 
     position = F.array_position(F.transform(cells, lambda c: F.trim(c).rlike(SERVICE)), F.lit(True)).cast("int")
     return let(
@@ -122,7 +122,7 @@ def _service_of_row(cells: Column) -> Column:
 def _unlabelled_service(cells: Column) -> Column:
     hits = F.filter(
         F.transform(cells, lambda c: F.trim(c)),
-        lambda c: c.rlike(r"^\d+\s*-\s*.{5,}") & c.rlike(r"(?i)MUNIC|PREFEIT|CAMARA"),
+        lambda c: c.rlike(r"^\d+\s*-\s*.{5,}") & c.rlike(r"(?iu)MUNIC|PREFEIT|CAMARA"),
     )
     return F.get(hits, F.lit(0))
 
@@ -323,7 +323,7 @@ def city_sheet_rows(rows: DataFrame) -> DataFrame:
         F.when(F.col("raw") == "", "empty_name")
         .when(F.col("norm").isin(*C.CITY_SHEET_SKIP_VALUES), "skip_value")
         .when(F.col("norm").rlike("^(TOTAL|SUBTOTAL|SOMA|COLUNA)"), "skip_pattern")
-        .when(F.col("raw").rlike(r"(?i)^R\$\s*[\d.,]"), "money")
+        .when(F.col("raw").rlike(r"(?iu)^R\$\s*[\d.,]"), "money")
         .when(looks_like_city(F.col("raw")), "city")
         .when(looks_like_company(F.col("raw")), "company")
         .when(F.length("colaborador") < 3, "short_name")

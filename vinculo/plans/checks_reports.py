@@ -1 +1,391 @@
+"""Registered queries: enrichment, manifest, dashboard, lists, policies, streams."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import enrich, kpi, policy
+from ..operators.scale import shared_folder
+from ..sources import registry, sinks
+from ..streaming import incremental
+from . import sqltext as S
+from .registered import big, query
+from .tables import table
+
+# ---------------------------------------------------------------------------
+# Roster and registry lookups
+# ---------------------------------------------------------------------------
+
+_ROSTER = """roster AS (SELECT p_partkey AS row_ord, upper(p_name || ' ' || p_type) AS norm, p_brand AS empresa, p_type AS cidade,
+        CAST(p_size AS VARCHAR) AS contrato, upper(split_part(p_name, ' ', 1)) AS a, upper(p_type) AS b,
+        list_filter(string_split(upper(p_name || ' ' || p_type), ' '), lambda w: length(w) >= 2) AS w FROM part)"""
+
+
+def _roster(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(
+        F.col("p_partkey").alias("row_ord"), F.concat_ws(" ", "p_name", "p_type").alias("colaborador"),
+        F.col("p_brand").alias("empresa"), F.col("p_type").alias("cidade"), F.col("p_size").cast("string").alias("contrato"),
+    )
+
+
+def _lookup_names(spark, sf):
+    """Names of the roster itself, and names that share only first and last word with it."""
+    p = table(spark, sf, "part")
+    exact = p.select(F.initcap(F.concat_ws(" ", "p_name", "p_type")).alias("name"))
+    ends = p.select(
+        F.concat_ws(" ", F.substring_index("p_name", " ", 1), F.lit("de"), F.translate("p_brand", "#0123456789", "XABCDEFGHIJ"), "p_type").alias("name")
+    )
+    return exact.unionByName(ends).distinct()
+
+
+@query(
+    f"""WITH {_ROSTER}, names AS (SELECT DISTINCT {S.initcap("p_name || ' ' || p_type")} AS name FROM part
+        UNION SELECT split_part(p_name, ' ', 1) || ' de ' || translate(p_brand, '#0123456789', 'XABCDEFGHIJ') || ' ' || p_type FROM part),
+    n AS (SELECT name, upper(regexp_replace(name, '[^A-Za-z ]', '', 'g')) AS norm, upper(split_part(name, ' ', 1)) AS a,
+        upper(string_split(name, ' ')[-1]) AS b FROM names),
+    ex AS (SELECT norm, min_by(struct_pack(empresa, cidade, contrato), row_ord) AS x FROM roster GROUP BY norm),
+    en AS (SELECT a, b, min_by(struct_pack(empresa, cidade, contrato), row_ord) AS y FROM roster WHERE len(w) >= 2 GROUP BY a, b HAVING count(*) = 1)
+    SELECT name, coalesce(x, y).empresa AS empresa, coalesce(x, y).cidade AS cidade, coalesce(x, y).contrato AS contrato
+    FROM n LEFT JOIN ex USING (norm) LEFT JOIN en ON n.a = en.a AND n.b = en.b"""
+)
+def roster_lookup(spark, sf):
+    """J-7."""
+    return enrich.roster_lookup(_lookup_names(spark, sf), _roster(spark, sf))
+
+
+@query(
+    f"""WITH {_ROSTER}, names AS (SELECT DISTINCT p_name AS name FROM part),
+    n AS (SELECT name, upper(name) AS norm, upper(split_part(name, ' ', 1)) AS a, upper(split_part(name, ' ', 2)) AS b FROM names),
+    en AS (SELECT a, b, min_by(struct_pack(empresa, cidade), row_ord) AS y FROM roster GROUP BY a, b HAVING count(*) = 1)
+    SELECT name, y.empresa AS empresa, y.cidade AS cidade FROM n LEFT JOIN en ON n.a = en.a AND n.b = en.b"""
+)
+def roster_company_and_city(spark, sf):
+    """J-8."""
+    return enrich.roster_company_and_city(table(spark, sf, "part").select(F.col("p_name").alias("name")), _roster(spark, sf))
+
+
+_ACTIVE = "act AS (SELECT upper(p_name || ' ' || p_type) AS norm, p_brand AS empresa, p_type AS cidade, CAST(p_size AS VARCHAR) AS contrato FROM part)"
+
+
+def _active(spark, sf):
+    return _roster(spark, sf).select(F.upper("colaborador").alias("nome_normalizado"), "empresa", "cidade", "contrato")
+
+
+def _links(spark, sf):
+    """One link per part; company known for some only."""
+    p = table(spark, sf, "part")
+    return p.select(
+        F.col("p_partkey").alias("link_ord"), F.initcap(F.concat_ws(" ", "p_name", "p_type")).alias("name"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("").alias("empresa"), F.lit(None).cast("string").alias("cidade"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("São José / 01")).alias("contrato"),
+    )
+
+
+_FILLED = f"""{_ACTIVE}, one AS (SELECT norm, min(empresa) AS e, min(cidade) AS m, min(contrato) AS c FROM act GROUP BY norm HAVING count(*) = 1),
+    fl AS (SELECT p_partkey AS link_ord, {S.initcap("p_name || ' ' || p_type")} AS name,
+        coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END, ''), e) AS empresa, m AS cidade,
+        coalesce(CASE WHEN p_size % 3 = 0 THEN 'São José / 01' END, c) AS contrato
+    FROM part LEFT JOIN one ON upper(p_name || ' ' || p_type) = norm)"""
+
+
+@query(f"WITH {_FILLED} SELECT * FROM fl")
+def registry_fallback(spark, sf):
+    """J-9, A-16."""
+    return enrich.registry_fallback(_links(spark, sf), _active(spark, sf)).select("link_ord", "name", "empresa", "cidade", "contrato")
+
+
+_OUT = (
+    f"{S.file_part('''coalesce(empresa, 'EMPRESA')''')} || '_' || {S.file_part('''coalesce(cidade, 'CIDADE')''')} || '_' || "
+    f"{S.file_part('''coalesce(contrato, 'CONTRATO')''')} || '_' || {S.file_part('name')} || '.pdf'"
+)
+
+
+@query(
+    f"""WITH {_FILLED} SELECT {_OUT} AS out_file, max(link_ord) AS link_ord, count(*) - 1 AS collisions FROM fl GROUP BY 1"""
+)
+def output_manifest(spark, sf):
+    """IO-14, S-5, S-25, W-10."""
+    filled = enrich.registry_fallback(_links(spark, sf), _active(spark, sf))
+    return enrich.manifest(filled, F.lit("2026-03-01").cast("timestamp")).select("out_file", "link_ord", "collisions")
+
+
+@query(
+    f"""WITH {_FILLED}, t AS (SELECT empresa FROM fl WHERE empresa <> '' GROUP BY empresa ORDER BY count(*) DESC, min(link_ord) LIMIT 1)
+    SELECT {S.file_part('empresa')} || '_Marco_2026_PDFs.zip' AS run_name FROM t"""
+)
+def run_archive_name(spark, sf):
+    """A-11, S-25."""
+    filled = enrich.registry_fallback(_links(spark, sf), _active(spark, sf))
+    return enrich.archive_name(filled, F.lit("2026-03-01").cast("timestamp"))
+
+
+@query(
+    """SELECT CAST(l_suppkey AS VARCHAR) AS empresa, count(*) AS links, min(l_orderkey * 8 + l_linenumber) AS first_ord FROM lineitem
+    GROUP BY l_suppkey ORDER BY links DESC, first_ord LIMIT 1"""
+)
+def modal_company(spark, sf):
+    """A-11."""
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("empresa"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("link_ord")
+    )
+    return enrich.modal_company(li)
+
+
+@query(
+    """SELECT c_custkey AS id, c_name AS nome, coalesce(n_name, '—') AS empresa, coalesce(r_name, '—') AS cidade, s AS salario
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0
+    LEFT JOIN region ON c_nationkey % 7 = r_regionkey LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey"""
+)
+def registry_display(spark, sf):
+    """J-10."""
+    c, n, r, o = (table(spark, sf, t) for t in ("customer", "nation", "region", "orders"))
+    emp = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("nome"), F.col("c_nationkey").alias("empresa_id"),
+                   (F.col("c_nationkey") % 7).alias("municipio_id"))
+    companies = n.filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nome"))
+    cities = r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("nome"))
+    salaries = o.groupBy(F.col("o_custkey").alias("funcionario_id")).agg(F.max("o_totalprice").alias("salario"))
+    return registry.display_join(emp, companies, cities, salaries).select("id", "nome", "empresa", "cidade", "salario")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(upper(c_name), 'R#00000001') AND c_acctbal > 0")
+def registry_search(spark, sf):
+    """P-15, P-16."""
+    c = table(spark, sf, "customer").withColumns({"ativo": F.col("c_acctbal") > 0, "nome_normalizado": F.upper("c_name")})
+    return registry.search_by_name(registry.active_only(c), "r#00000001 ").select("c_custkey", "c_name")
+
+
+# ---------------------------------------------------------------------------
+# Dashboard and lists
+# ---------------------------------------------------------------------------
+
+_RUNS = """runs AS (SELECT CAST(event_id AS VARCHAR) AS id, ts AS created_at, user_id AS pdf_count,
+        CASE WHEN event_type = 'click' THEN '[' || props || ',' || props || ']' WHEN event_type = 'view' THEN props END AS unprocessed_data FROM events)"""
+
+
+def _runs(spark, sf):
+    e = table(spark, sf, "events")
+    data = F.when(F.col("event_type") == "click", F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]"))).when(
+        F.col("event_type") == "view", F.col("props")
+    )
+    return e.select(
+        F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("pdf_count"),
+        data.alias("unprocessed_data"),
+    )
+
+
+@query(
+    f"""WITH {_RUNS}, top AS (SELECT * FROM runs ORDER BY created_at DESC LIMIT 100),
+    s AS (SELECT CAST(sum(pdf_count) AS BIGINT) AS documents, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_run,
+        CAST(sum(CASE WHEN left(unprocessed_data, 1) = '[' THEN 2 ELSE 0 END) AS BIGINT) AS misses FROM top)
+    SELECT (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS employees, (SELECT count(*) FROM nation) AS companies,
+        (SELECT count(*) FROM region) AS cities, documents, last_run,
+        CAST(floor(100.0 * documents / (documents + misses) + 0.5) AS BIGINT) AS success_percent FROM s"""
+)
+def dashboard_kpis(spark, sf):
+    """A-6, S-31."""
+    emp = table(spark, sf, "customer").select((F.col("c_acctbal") > 0).alias("ativo"))
+    d = kpi.dashboard(emp, table(spark, sf, "nation"), table(spark, sf, "region"), _runs(spark, sf))
+    return d.withColumn("last_run", F.date_format("last_run", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY ts DESC LIMIT 100")
+def top_runs(spark, sf):
+    """L-3, L-2."""
+    e = table(spark, sf, "events").withColumn("created_at", F.col("ts"))
+    return registry.top_runs(e).select("event_id", "value")
+
+
+@query(
+    f"""WITH {_RUNS} SELECT id, CASE WHEN left(unprocessed_data, 1) = '[' THEN 2 ELSE 1 END AS copies FROM runs"""
+)
+def run_misses(spark, sf):
+    """S-31: one row per miss, one for runs without."""
+    return kpi.runs_with_misses(_runs(spark, sf)).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS n FROM orders")
+def pending_links(spark, sf):
+    """P-21."""
+    return kpi.pending(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status")), "O")
+
+
+@query(
+    """SELECT c_custkey, c_name, CAST(ceil(t.n / 50.0) AS INTEGER) AS page, CAST(ceil(t.n / 50.0) AS INTEGER) AS pages, t.n AS total
+    FROM customer, (SELECT count(*) AS n FROM customer) t ORDER BY c_name, c_custkey
+    OFFSET (SELECT (CAST(ceil(count(*) / 50.0) AS INTEGER) - 1) * 50 FROM customer)"""
+)
+def page_slice(spark, sf):
+    """L-4, L-1: a page number behind the end shows the last page."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    out = registry.page_slice(c, [F.col("c_name"), F.col("c_custkey")], 1_000_000_000, 50)
+    return out.withColumn("total", big("total"))
+
+
+@query("SELECT p_partkey AS row_ord, p_name, true AS has_more FROM part ORDER BY p_partkey LIMIT 20")
+def record_preview(spark, sf):
+    """L-5."""
+    head, more = registry.preview(table(spark, sf, "part").select(F.col("p_partkey").alias("row_ord"), "p_name"))
+    return head.withColumn("has_more", more)
+
+
+@query("SELECT user_id, min(event_type) AS role FROM events WHERE user_id = 7 GROUP BY user_id")
+def role_of_user(spark, sf):
+    """L-7."""
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("role"))
+    return registry.role_of(e, "7").select(F.col("user_id").cast("bigint").alias("user_id"), "role")
+
+
+# ---------------------------------------------------------------------------
+# Policies
+# ---------------------------------------------------------------------------
+
+_ROLES = """roles AS (SELECT DISTINCT user_id, CASE event_type WHEN 'purchase' THEN 'admin' WHEN 'error' THEN 'financeiro' ELSE 'employee' END AS role
+        FROM events WHERE value > 30)"""
+
+
+def _roles(spark, sf):
+    role = F.when(F.col("event_type") == "purchase", "admin").when(F.col("event_type") == "error", "financeiro").otherwise("employee")
+    return table(spark, sf, "events").filter("value > 30").select("user_id", role.alias("role")).distinct()
+
+
+@query(
+    f"""WITH {_ROLES}, u AS (SELECT min(user_id) AS x FROM events)
+    SELECT policy, count(*) AS rows FROM (
+        SELECT 'own_rows' AS policy FROM events, u WHERE user_id = x
+        UNION ALL SELECT 'own_or_admin' FROM events, u WHERE user_id = x OR EXISTS (SELECT 1 FROM roles WHERE user_id = x AND role = 'admin')
+        UNION ALL SELECT 'admin_only' FROM events, u WHERE EXISTS (SELECT 1 FROM roles WHERE user_id = x AND role = 'admin')
+        UNION ALL SELECT 'salary' FROM events, u WHERE EXISTS (SELECT 1 FROM roles WHERE user_id = x AND role IN ('admin', 'financeiro')))
+    GROUP BY policy"""
+)
+def row_policy(spark, sf):
+    """P-22, J-11: the rows the lowest user id may see under each policy."""
+    e, roles = table(spark, sf, "events"), _roles(spark, sf)
+    user = e.agg(F.min("user_id")).first()[0]
+    out = None
+    for p in (policy.OWN_ROWS, policy.OWN_OR_ADMIN, policy.ADMIN_ONLY, policy.SALARY):
+        n = policy.restrict(e, roles, user, p).groupBy(F.lit(p).alias("policy")).agg(F.count(F.lit(1)).alias("rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query(
+    f"""WITH {_ROLES} SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT user_id FROM roles WHERE role IN ('admin', 'financeiro'))"""
+)
+def users_with_any_role(spark, sf):
+    """J-11."""
+    return policy.with_role(table(spark, sf, "events").select("user_id").distinct(), _roles(spark, sf), "admin", "financeiro")
+
+
+@query(
+    f"""WITH {_ROLES} SELECT user_id, coalesce(max(role), 'employee') AS role FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN roles USING (user_id)
+    GROUP BY user_id"""
+)
+def users_and_roles(spark, sf):
+    """J-12, after new users got the default role."""
+    users = table(spark, sf, "events").select("user_id").distinct()
+    return policy.users_with_role(users, policy.add_default_roles(users, _roles(spark, sf)))
+
+
+_IP = "'10.' || user_id % 300 || '.' || event_id % 260 || '.1'"
+
+
+@query(
+    f"""SELECT event_id, {_IP} IN (SELECT DISTINCT {_IP} FROM events WHERE event_type = 'purchase' AND value > 30) AS listed,
+        true AS open, user_id % 300 <= 255 AND event_id % 260 <= 255 AS well_formed FROM events"""
+)
+def allow_list(spark, sf):
+    """J-13, P-23: with active entries, and with none."""
+    e = table(spark, sf, "events").withColumn("ip", F.expr("concat('10.', user_id % 300, '.', event_id % 260, '.1')"))
+    entries = e.filter("event_type = 'purchase'").select("ip", (F.col("value") > 30).alias("active")).distinct()
+    listed = policy.allow(e.select("event_id", "ip"), entries).withColumnRenamed("allowed", "listed")
+    none = policy.allow(listed, entries.filter("false")).withColumnRenamed("allowed", "open")
+    return none.select("event_id", "listed", "open", policy.well_formed_ip(F.col("ip")).alias("well_formed"))
+
+
+# ---------------------------------------------------------------------------
+# Streams
+# ---------------------------------------------------------------------------
+
+def _stream(spark, sf, name):
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}.parquet*")
+
+
+def _folder(spark):
+    return f"{shared_folder(spark)}/vinculo/stream-{uuid.uuid4().hex}"
+
+
+def _finish(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
+@query()
+def stream_extraction(spark, sf):
+    """T-1: documents arrive as files, names are extracted, the stored result is read back."""
+    pages = _stream(spark, sf, "documents").select(
+        F.col("source").alias("file_id"), F.substring("source", 4, 9).cast("int").alias("file_ord"),
+        F.col("doc_id").cast("int").alias("page_no"), F.lit("2026-01-01").cast("timestamp").alias("started_at"), "text",
+    )
+    folder = _folder(spark)
+    _finish(incremental.resume_extraction(pages, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(incremental.extract_slips(pages).schema).parquet(f"{folder}/out").drop("started_at")
+
+
+@query("SELECT upper(p_name) AS norm, min(p_partkey) AS entry_ord FROM part GROUP BY 1")
+def stream_first_seen(spark, sf):
+    """T-2."""
+    entries = _stream(spark, sf, "part").select(F.upper("p_name").alias("norm"), F.col("p_partkey").alias("entry_ord"))
+    folder = _folder(spark)
+    _finish(incremental.first_seen_stream(entries, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(entries.schema).parquet(f"{folder}/out").drop("batch")
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def stale_states(spark, sf):
+    """T-3."""
+    e = table(spark, sf, "events").withColumn("started_at", F.col("ts").cast("timestamp"))
+    now = e.agg(F.max("started_at")).first()[0]
+    return incremental.drop_stale(e, F.lit(now)).select("event_id")
+
+
+@query(
+    """SELECT coalesce(c.c_custkey, s.s_suppkey) AS id, coalesce(s.s_acctbal, c.c_acctbal) AS balance FROM customer c
+    FULL JOIN supplier s ON c.c_custkey = s.s_suppkey"""
+)
+def stream_merge(spark, sf):
+    """T-4: supplier balances arrive as uploads and are merged into the snapshot of customer balances."""
+    uploads = _stream(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("fresh"))
+
+    def base(s):
+        return table(s, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+
+    def merge(current, batch):
+        return current.join(batch, "id", "full").select("id", F.coalesce("fresh", "balance").alias("balance"))
+
+    folder = _folder(spark)
+    _finish(incremental.merge_uploads(uploads, base, merge, f"{folder}/snapshots", f"{folder}/checkpoint"))
+    return incremental.latest_snapshot(spark, f"{folder}/snapshots")
+
+
+@query(
+    """SELECT sha256('u|' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')) AS id, CAST(count(*) AS BIGINT) AS total FROM orders"""
+)
+def upload_history(spark, sf):
+    """IO-11."""
+    stats = table(spark, sf, "orders").agg(
+        F.count(F.lit(1)).alias("total"), F.max("o_orderdate").cast("timestamp").alias("at"),
+        *[F.lit(0).alias(c) for c in ("empresas", "municipios", "novos", "atualizados", "removidos")],
+    )
+    row = sinks.upload_history_row(stats, F.lit("u"), F.col("at"))
+    return row.select("id", big("total_funcionarios").alias("total"))
+
+
+@query()
+def run_history(spark, sf):
+    """IO-12: the history rows of a run whose misses are the events."""
+    from .checks_linkage import _report
+
+    return sinks.run_history_rows(_report(spark, sf), 10, 12345, F.lit("2026-03-01").cast("timestamp"), F.lit("u")).drop("unprocessed_data")

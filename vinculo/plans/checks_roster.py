@@ -1 +1,371 @@
+"""Registered queries: grids, layouts, registry merge."""
 
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..operators import layouts, merge
+from ..operators.scale import carry_forward, materialize
+from ..sources import grids
+from . import sqltext as S
+from .registered import big, query
+from .roster_import import sync_records
+from .tables import table, workbook_cells
+
+# ---------------------------------------------------------------------------
+# Workbooks built from customers and nations
+# ---------------------------------------------------------------------------
+
+_CUST = f"""cust AS (SELECT *, n_nationkey % 3 AS kind, 'wb-' || n_nationkey AS file, {S.initcap('n_name')} AS nat,
+        {S.initcap('c_mktsegment')} AS seg, {S.initcap('c_mktsegment')} || ' ' || {S.initcap('n_name')} || ' da Silva' AS person
+    FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _rows(spark, sf):
+    return materialize(grids.grid_rows(workbook_cells(spark, sf)), "grid-rows")
+
+
+def _of_layout(rows, kind):
+    return rows.filter(F.substring("file", 4, 9).cast("int") % 3 == kind)
+
+
+@query(
+    f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS r, CASE kind
+        WHEN 0 THEN CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE 5 END WHEN 1 THEN 4 ELSE 2 END AS filled_to,
+        CASE kind WHEN 0 THEN CASE WHEN c_custkey % 7 = 0 THEN 'Serviço:' ELSE CAST(c_custkey AS VARCHAR) END
+            WHEN 1 THEN seg ELSE person || ' - PIX 123' END AS first_cell
+    FROM cust WHERE NOT (kind = 1)
+    UNION ALL SELECT file, CAST(c_custkey + 10 AS BIGINT), 4, seg FROM cust WHERE kind = 1"""
+)
+def grid_rows(spark, sf):
+    """IO-7."""
+    r = _rows(spark, sf).filter("r >= 10")
+    return r.select("file", big("r").alias("r"), F.size("cells").alias("filled_to"), F.get("cells", F.lit(0)).alias("first_cell"))
+
+
+@query(
+    """WITH base AS (SELECT 'wb-' || n_nationkey AS file, n_nationkey AS r0, n_name AS v, n_regionkey AS span FROM nation)
+    SELECT file, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, CASE WHEN r = r0 AND c = 2 THEN 'own' ELSE v END AS value
+    FROM base, range(0, 30) AS rr(r), range(0, 8) AS cc(c) WHERE r BETWEEN r0 AND r0 + span AND c BETWEEN 0 AND span + 1
+    UNION ALL SELECT file, r0, 2, 'own' FROM base WHERE span + 1 < 2"""
+)
+def merged_cells(spark, sf):
+    """IO-8: every nation cell merged over a square, one cell of it filled already."""
+    n = table(spark, sf, "nation")
+    base = n.select(
+        F.concat(F.lit("wb-"), F.col("n_nationkey").cast("string")).alias("file"), F.lit(0).alias("sheet_ord"), F.lit("s").alias("sheet"),
+        F.col("n_nationkey").alias("r"), F.lit(0).alias("c"), F.col("n_name").alias("value"), F.lit(None).cast("double").alias("num"),
+    )
+    own = base.withColumns({"c": F.lit(2), "value": F.lit("own")})
+    merges = n.select(
+        F.concat(F.lit("wb-"), F.col("n_nationkey").cast("string")).alias("file"), F.lit(0).alias("sheet_ord"),
+        F.col("n_nationkey").alias("r0"), F.lit(0).alias("c0"), (F.col("n_nationkey") + F.col("n_regionkey")).alias("r1"),
+        (F.col("n_regionkey") + 1).alias("c1"),
+    )
+    out = grids.fill_merges(base.unionByName(own), merges)
+    return out.select("file", big("r").alias("r"), big("c").alias("c"), "value")
+
+
+@query(
+    """SELECT 'wb-' || n_nationkey AS file, 'empty workbook' AS reason FROM nation
+    WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)"""
+)
+def populated_files(spark, sf):
+    """IO-9: nations without a customer of high balance count as empty workbooks."""
+    files = table(spark, sf, "nation").select(F.concat(F.lit("wb-"), F.col("n_nationkey").cast("string")).alias("file"))
+    cells = table(spark, sf, "customer").select(
+        F.concat(F.lit("wb-"), F.col("c_nationkey").cast("string")).alias("file"),
+        F.when(F.col("c_acctbal") > 9900, F.col("c_name")).alias("value"), F.lit(None).cast("double").alias("num"),
+    )
+    return grids.split_populated(cells, files)[1]
+
+
+@query(
+    """SELECT 'wb-' || n_nationkey AS file, ['payroll', 'todos', 'city_sheets'][n_nationkey % 3 + 1] AS layout FROM nation
+    WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey % 3 <> 2
+    UNION ALL SELECT 'wb-' || n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'payroll' ELSE 'payroll' END
+    FROM nation WHERE n_nationkey % 3 = 2
+    UNION ALL SELECT 'wb-' || n_nationkey, ['payroll', 'todos'][n_nationkey % 3 + 1] FROM nation
+    WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer) AND n_nationkey % 3 <> 2"""
+)
+def route_layouts(spark, sf):
+    """P-1, P-4, P-7. City sheets with a name and salary header fit the payroll rule, which comes first."""
+    rows = _rows(spark, sf)
+    sheets = rows.groupBy("file", "sheet_ord").agg(F.max("sheet").alias("sheet"))
+    return layouts.route_layouts(layouts.payroll_headers(rows), layouts.validate_todos(rows, sheets))
+
+
+_PAYROLL = f"""{_CUST}, pay AS (SELECT *, c_custkey % 7 = 0 AS service FROM cust WHERE kind = 0),
+    st AS (SELECT *, last_value(CASE WHEN service THEN seg END IGNORE NULLS) OVER w AS cidade,
+        last_value(CASE WHEN service THEN '6 - Município de ' || seg END IGNORE NULLS) OVER w AS contrato
+        FROM pay WINDOW w AS (PARTITION BY file ORDER BY c_custkey ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    f"""WITH {_PAYROLL} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, 'Empresa ' || nat AS empresa,
+        coalesce(cidade, '') AS cidade, coalesce(contrato, '') AS contrato, person AS colaborador,
+        CAST(c_custkey AS VARCHAR) AS codigo, round(c_acctbal, 2) AS salario, round(c_acctbal, 2) AS liquido
+    FROM st WHERE NOT service"""
+)
+def payroll_records(spark, sf):
+    """P-4 to P-6, P-10, P-11, W-5, W-6, S-20, S-21."""
+    rows = _of_layout(_rows(spark, sf), 0)
+    r = layouts.payroll_records(rows, layouts.payroll_headers(rows), block=64)
+    return r.select(
+        "file", "row_ord", "empresa", "cidade", "contrato", "colaborador", "codigo",
+        F.col("salario").cast("double").alias("salario"), F.col("liquido").cast("double").alias("liquido"),
+    )
+
+
+@query(f"WITH {_PAYROLL} SELECT 'service' AS skip_reason, count(*) AS rows FROM st WHERE service HAVING count(*) > 0")
+def payroll_skip_reasons(spark, sf):
+    """A-14."""
+    rows = _of_layout(_rows(spark, sf), 0)
+    headers = layouts.choose_sheet(layouts.payroll_headers(rows))
+    return layouts.skip_reasons(layouts.payroll_rows(rows, headers))
+
+
+@query(
+    f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, seg AS empresa, nat AS cidade, 'Limpeza - Itaú' AS contrato,
+        person AS colaborador FROM cust WHERE kind = 1"""
+)
+def todos_records(spark, sf):
+    """P-2, P-8, S-22."""
+    rows = _of_layout(_rows(spark, sf), 1)
+    sheets = rows.groupBy("file", "sheet_ord").agg(F.max("sheet").alias("sheet"))
+    return layouts.todos_records(rows, sheets).select("file", "row_ord", "empresa", "cidade", "contrato", "colaborador")
+
+
+@query(
+    f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, 'Empresa ' || nat AS empresa, nat AS cidade,
+        nat AS contrato, person AS colaborador, CASE WHEN c_acctbal > 0 THEN round(c_acctbal, 2) END AS salario FROM cust WHERE kind = 2"""
+)
+def city_sheet_records(spark, sf):
+    """P-9, P-11, S-18, S-19, S-22."""
+    r = layouts.city_sheet_records(_of_layout(_rows(spark, sf), 2))
+    return r.select("file", "row_ord", "empresa", "cidade", "contrato", "colaborador", F.col("salario").cast("double").alias("salario"))
+
+
+@query()
+def workbook_import(spark, sf):
+    """P-7 with all layouts, then J-14 to J-16 and A-4 against an empty registry."""
+    records, _, _ = layouts.parse_workbooks(workbook_cells(spark, sf))
+    from ..sources.schemas import REGISTRY
+
+    empty = lambda t: spark.createDataFrame([], REGISTRY[t])
+    out = sync_records(
+        records, empty("empresas"), empty("municipios"), empty("funcionarios"), empty("funcionarios_salario"),
+        F.lit("2026-01-01").cast("timestamp"),
+    )
+    return out.stats
+
+
+_ALIASES = "['codigo', 'matricula', 'nome']"
+
+
+@query(
+    """WITH w AS (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS h FROM documents),
+    f AS (SELECT doc_id, list_transform(h, lambda x: """ + S.fold("x") + """) AS h FROM w)
+    SELECT doc_id, (CASE
+        WHEN list_position(h, 'EN') > 0 THEN list_position(h, 'EN') - 1
+        WHEN list_position(h, 'LES') > 0 THEN list_position(h, 'LES') - 1
+        WHEN list_position(list_transform(h, lambda x: starts_with(x, 'EN')), true) > 0
+            THEN list_position(list_transform(h, lambda x: starts_with(x, 'EN')), true) - 1
+        WHEN list_position(list_transform(h, lambda x: starts_with(x, 'LES')), true) > 0
+            THEN list_position(list_transform(h, lambda x: starts_with(x, 'LES')), true) - 1
+        WHEN list_position(list_transform(h, lambda x: contains(x, 'EN')), true) > 0
+            THEN list_position(list_transform(h, lambda x: contains(x, 'EN')), true) - 1
+        WHEN list_position(list_transform(h, lambda x: contains(x, 'LES')), true) > 0
+            THEN list_position(list_transform(h, lambda x: contains(x, 'LES')), true) - 1
+        ELSE -1 END)::BIGINT AS position FROM f"""
+)
+def find_column(spark, sf):
+    """P-2: the words of a document as headers, two aliases."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.split(F.regexp_replace("text", r"[ \t\n\f\r]+", " "), " ").alias("h")
+    )
+    return d.select("doc_id", F.col("h")).select(
+        "doc_id", layouts.folded_headers(F.col("h")).alias("h")
+    ).select("doc_id", big(layouts.find_column(F.col("h"), ("En", "Les"))).alias("position"))
+
+
+@query(
+    """SELECT conv_id, CAST(turn AS BIGINT) AS turn, last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS)
+        OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations"""
+)
+def section_carry_forward(spark, sf):
+    """W-5 on conversations: a user turn starts a section."""
+    c = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.when(F.col("role") == "user", big(F.length("text"))).alias("section")
+    )
+    return carry_forward(c, ["conv_id"], "turn", ["section"], block=2).select("conv_id", big("turn").alias("turn"), "section")
+
+
+@query(
+    """SELECT o_orderkey, last_value(CASE WHEN o_totalprice > 150000 THEN o_custkey END IGNORE NULLS)
+        OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS section FROM orders"""
+)
+def section_carry_forward_large(spark, sf):
+    """W-5 with three very large groups, in blocks."""
+    o = table(spark, sf, "orders").select(
+        "o_orderstatus", "o_orderkey", F.when(F.col("o_totalprice") > 150000, F.col("o_custkey")).alias("section")
+    )
+    return carry_forward(o, ["o_orderstatus"], "o_orderkey", ["section"], block=1 << 10).select("o_orderkey", "section")
+
+
+@query(
+    f"""WITH {_CUST} SELECT nat AS cidade, count(*) AS employees FROM cust GROUP BY nat"""
+)
+def employees_per_city(spark, sf):
+    """A-1."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return layouts.employees_per_city(c.select(F.initcap("n_name").alias("cidade")))
+
+
+@query("SELECT DISTINCT p_name AS empresa FROM part WHERE p_name <> ''")
+def distinct_sorted(spark, sf):
+    """A-2."""
+    return layouts.distinct_sorted(table(spark, sf, "part").select(F.col("p_name").alias("empresa")), "empresa")
+
+
+# ---------------------------------------------------------------------------
+# Registry merge
+# ---------------------------------------------------------------------------
+
+@query(
+    """WITH old AS (SELECT upper(c_mktsegment) AS norm, min(c_custkey) AS id FROM customer GROUP BY 1),
+    nw AS (SELECT upper(regexp_replace(regexp_replace(n, '[-]', ' ', 'g'), '[^A-Za-z ]', '', 'g')) AS norm, n, o FROM (
+        SELECT lower(c_mktsegment) AS n, c_custkey AS o FROM customer
+        UNION ALL SELECT o_orderpriority, o_orderkey + 10000000 FROM orders)),
+    f AS (SELECT trim(norm) AS norm, min_by(n, o) AS nome FROM nw GROUP BY 1)
+    SELECT f.norm AS nome_normalizado, CASE WHEN old.norm IS NULL THEN sha256(f.norm) ELSE CAST(old.id AS VARCHAR) END AS id,
+        CASE WHEN old.norm IS NULL THEN f.nome END AS added FROM f LEFT JOIN old ON f.norm = old.norm"""
+)
+def dimension_upsert(spark, sf):
+    """J-14: market segments are known, order priorities are new."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    now = F.lit("2026-01-01").cast("timestamp")
+    existing = c.groupBy(F.upper("c_mktsegment").alias("nome_normalizado")).agg(F.min("c_custkey").cast("string").alias("id"))
+    existing = existing.select("id", F.col("nome_normalizado").alias("nome"), "nome_normalizado", F.lit(None).cast("timestamp").alias("created_at"))
+    names = c.select(F.lower("c_mktsegment").alias("nome"), F.col("c_custkey").alias("row_ord")).unionByName(
+        o.select(F.col("o_orderpriority").alias("nome"), (F.col("o_orderkey") + 10000000).alias("row_ord"))
+    )
+    new_table, ids = merge.upsert_dimension(existing, names, now)
+    added = new_table.filter("created_at is not null").select("nome_normalizado", F.col("nome").alias("added"))
+    return ids.join(added, "nome_normalizado", "left")
+
+
+_MERGE = """
+    reg AS (SELECT o_orderpriority AS e, o_orderstatus AS m, 'C' || o_custkey AS nome, CAST(min(o_orderkey) AS VARCHAR) AS id,
+        CASE WHEN min(o_orderkey) % 3 = 0 THEN 'ITAU' ELSE '' END AS banco, CASE WHEN max(o_orderkey) % 2 = 0 THEN 'Limpeza - Itau' ELSE 'X' END AS contrato,
+        CAST(NULL AS VARCHAR) AS obs, CASE WHEN count(*) > 1 THEN 'K' END AS codigo, min(o_orderkey) % 4 <> 0 AS ativo FROM orders GROUP BY 1, 2, 3),
+    rec AS (SELECT o_orderpriority AS e, o_orderstatus AS m, 'C' || (o_custkey + 1) AS nome, o_orderkey AS ord,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'itau ' ELSE 'Itau' END AS banco, CASE WHEN o_orderkey % 2 = 0 THEN 'Limpeza - Itau' ELSE 'x' END AS contrato,
+        '' AS obs, CASE WHEN o_totalprice > 150000 THEN 'k' ELSE '' END AS codigo FROM orders WHERE o_orderstatus <> 'P'),
+    inc AS (SELECT e, m, nome, count(*) AS copies, min_by(banco, ord) AS fb, min_by(contrato, ord) AS fc, min_by(codigo, ord) AS fk,
+        max_by(banco, ord) AS lb, max_by(contrato, ord) AS lc, max_by(codigo, ord) AS lk FROM rec GROUP BY 1, 2, 3),
+    j AS (SELECT coalesce(reg.e, inc.e) AS empresa_id, coalesce(reg.m, inc.m) AS municipio_id, coalesce(reg.nome, inc.nome) AS nome_normalizado,
+        id, banco, contrato, codigo, ativo, inc.* EXCLUDE (e, m, nome),
+        nullif(upper(trim(lb)), '') IS NOT DISTINCT FROM nullif(upper(trim(banco)), '')
+        AND nullif(upper(trim(lc)), '') IS NOT DISTINCT FROM nullif(upper(trim(contrato)), '')
+        AND nullif(upper(trim(lk)), '') IS NOT DISTINCT FROM nullif(upper(trim(codigo)), '') AS same
+        FROM reg FULL JOIN inc ON reg.e = inc.e AND reg.m = inc.m AND reg.nome = inc.nome),
+    a AS (SELECT *, CASE WHEN id IS NULL THEN 'insert' WHEN copies IS NOT NULL AND NOT ativo THEN 'reactivate'
+        WHEN copies IS NOT NULL AND NOT same THEN 'update' WHEN copies IS NOT NULL THEN 'unchanged'
+        WHEN ativo AND municipio_id IN (SELECT m FROM rec) THEN 'deactivate' ELSE 'untouched' END AS action FROM j)"""
+
+
+def _merged(spark, sf, scope="city"):
+    o = table(spark, sf, "orders")
+    text = lambda v: F.lit(v).cast("string")
+    registry = o.groupBy(
+        F.col("o_orderpriority").alias("empresa_id"), F.col("o_orderstatus").alias("municipio_id"),
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("nome_normalizado"),
+    ).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count(F.lit(1)).alias("n"))
+    at = F.lit("2025-01-01").cast("timestamp")
+    registry = registry.select(
+        F.col("lo").cast("string").alias("id"), *merge.KEY, F.col("nome_normalizado").alias("nome"), text(None).alias("cargo"),
+        F.when(F.col("lo") % 3 == 0, "ITAU").otherwise("").alias("banco"),
+        F.when(F.col("hi") % 2 == 0, "Limpeza - Itau").otherwise("X").alias("contrato"), text(None).alias("observacoes"),
+        F.when(F.col("n") > 1, "K").alias("codigo"), (F.col("lo") % 4 != 0).alias("ativo"), at.alias("created_at"), at.alias("updated_at"),
+    )
+    k = F.col("o_orderkey")
+    keyed = o.filter("o_orderstatus <> 'P'").select(
+        F.col("o_orderpriority").alias("empresa_id"), F.col("o_orderstatus").alias("municipio_id"),
+        F.concat(F.lit("C"), (F.col("o_custkey") + 1).cast("string")).alias("nome_normalizado"),
+        F.concat(F.lit("c"), (F.col("o_custkey") + 1).cast("string")).alias("colaborador"), k.alias("row_ord"),
+        F.when(k % 3 == 0, "itau ").otherwise("Itau").alias("banco"),
+        F.when(k % 2 == 0, "Limpeza - Itau").otherwise("x").alias("contrato"), F.lit("").alias("observacoes"),
+        F.when(F.col("o_totalprice") > 150000, "k").otherwise("").alias("codigo"),
+    )
+    cities = keyed.select(F.col("municipio_id").alias("id")).distinct()
+    return merge.merge_employees(registry, keyed, cities, F.lit("2026-01-01").cast("timestamp"), scope), keyed, cities
+
+
+@query(
+    f"""WITH {_MERGE} SELECT empresa_id, municipio_id, nome_normalizado, action, coalesce(copies, 0) AS copies,
+        coalesce(id, sha256(concat_ws('|', empresa_id, municipio_id, nome_normalizado))) AS id,
+        CASE action WHEN 'insert' THEN fb WHEN 'update' THEN lb WHEN 'reactivate' THEN lb ELSE banco END AS banco,
+        CASE action WHEN 'insert' THEN fc WHEN 'update' THEN lc WHEN 'reactivate' THEN lc ELSE contrato END AS contrato,
+        CASE action WHEN 'insert' THEN nullif(fk, '') WHEN 'update' THEN nullif(lk, '') WHEN 'reactivate' THEN nullif(lk, '')
+            ELSE codigo END AS codigo,
+        CASE WHEN action IN ('insert', 'update', 'reactivate') THEN true WHEN action = 'deactivate' THEN false ELSE ativo END AS ativo
+    FROM a"""
+)
+def registry_merge(spark, sf):
+    """J-15, U-2."""
+    return _merged(spark, sf)[0].select(
+        *merge.KEY, "action", "copies", "id", "banco", "contrato", "codigo", "ativo"
+    )
+
+
+@query(
+    f"""WITH {_MERGE} SELECT count(DISTINCT empresa_id) FILTER (WHERE copies IS NOT NULL) AS empresas,
+        count(DISTINCT municipio_id) FILTER (WHERE copies IS NOT NULL) AS municipios, count(*) FILTER (WHERE action = 'insert') AS novos,
+        count(*) FILTER (WHERE action IN ('update', 'reactivate')) AS atualizados, count(*) FILTER (WHERE action = 'deactivate') AS removidos,
+        CAST(sum(copies) AS BIGINT) AS total, CAST(sum(copies - 1) AS BIGINT) AS duplicados FROM a"""
+)
+def merge_stats(spark, sf):
+    """A-4."""
+    merged, keyed, cities = _merged(spark, sf)
+    companies = keyed.select("empresa_id").distinct()
+    return merge.sync_stats(merged, companies, cities, keyed)
+
+
+@query(
+    f"""WITH {_MERGE} SELECT CASE WHEN action = 'deactivate' AND NOT EXISTS (SELECT 1 FROM rec WHERE rec.e = empresa_id AND rec.m = municipio_id)
+        THEN 'untouched' ELSE action END AS action, count(*) AS rows FROM a GROUP BY 1"""
+)
+def merge_company_scope(spark, sf):
+    """J-15 with deactivation by company and city."""
+    return _merged(spark, sf, "company_city")[0].groupBy("action").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    """WITH nw AS (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS salario FROM orders GROUP BY 1)
+    SELECT CAST(c_custkey AS VARCHAR) AS funcionario_id, round(coalesce(nw.salario, c_acctbal), 2) AS salario
+    FROM customer LEFT JOIN nw ON c_custkey = o_custkey"""
+)
+def salary_upsert(spark, sf):
+    """J-16: balances are the stored salaries, the last order of a customer brings a new one."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    key = lambda k: [F.lit("e").alias("empresa_id"), F.lit("m").alias("municipio_id"), k.cast("string").alias("nome_normalizado")]
+    money = lambda v, n: v.cast("decimal(18,2)").alias(n)
+    rest = [F.lit(None).cast("decimal(18,2)").alias(f) for f in C.PAYROLL_MONEY_FIELDS[1:]]
+    stored = c.select(F.col("c_custkey").cast("string").alias("funcionario_id"), money(F.col("c_acctbal"), "salario"), *rest)
+    keyed = o.select(*key(F.col("o_custkey")), F.col("o_orderkey").alias("row_ord"), money(F.col("o_totalprice"), "salario"), *rest)
+    ids = c.select(F.col("c_custkey").cast("string").alias("id"), *key(F.col("c_custkey")))
+    return merge.upsert_salaries(stored, keyed, ids).select("funcionario_id", F.col("salario").cast("double").alias("salario"))
+
+
+@query(
+    """SELECT c_custkey AS id, c_custkey % 2 = 0 AS has_salary FROM customer
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+)
+def cascade_delete(spark, sf):
+    """J-17."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    salaries = c.filter("id % 2 = 0").select(F.col("id").alias("funcionario_id"))
+    ids = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")).distinct()
+    left, paid = merge.delete_employees(c, salaries, ids)
+    paid = paid.select(F.col("funcionario_id").alias("id"), F.lit(True).alias("has_salary"))
+    return left.join(paid, "id", "left").withColumn("has_salary", F.coalesce("has_salary", F.lit(False)))
