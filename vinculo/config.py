@@ -58,12 +58,12 @@ _FIELD_AFTER_NAME = r"(?= *(?:CPF|CARGO|FUNCAO|ADMISSAO|CNPJ|MATRICULA|\d{3}\.\d
 # The name patterns in rank order. The page text holds single blanks as its
 # only white space, so a blank stands for any white space here; word bounds
 # are spelled out because Java's \b also looks at letters outside ASCII.
-# Each entry: (pattern, words of which the text must hold one, or None).
+# Each entry: (pattern, what the text must hold for it: one of some words, a cheaper pattern, or '').
 SLIP_NAME_PATTERNS = (
     (r"NOME +DO +FUNCIONARIO +CBO +(?:DEPARTAMENTO +)?(?:FILIAL +)?\d{1,5} +"
      r"((?:[A-Z]{2,15} +){1,6}[A-Z]{2,15}) +S?\d{4,6}", ("FUNCIONARIO",)),
     (r"(?<![A-Za-z0-9_])(?=[A-Z0-9]*\d)[A-Z0-9]{1,5} +([A-Z][A-Z ]{5,55}?) +"
-     r"(?:" + _ROLES_AFTER_CODE + r"|S?\d{4,6})(?![A-Za-z0-9_])", None),
+     r"(?:" + _ROLES_AFTER_CODE + r"|S?\d{4,6})(?![A-Za-z0-9_])", r"\d"),
     (r"(?:" + _MONTHS + r") +DE +\d{4} +(?:[^ ]{1,6} +)?([A-Z][A-Z ]{5,55}?) +(?:S?\d{4,6}) ",
      tuple(_MONTHS.split("|"))),
     (r"([A-Z][A-Z ]{8,60}?) +(?:" + _ROLES_AFTER_NAME + r")", tuple(_ROLES_AFTER_NAME.split("|"))),
@@ -75,9 +75,10 @@ SLIP_NAME_PATTERNS = (
     (r"RECIBO +DE +PAGAMENTO[^A-Z]*([A-Z][A-Z ]{5,60}?)(?= *(?:CPF|CARGO))", ("RECIBO",)),
     (r"RECIBO[^A-Z]{0,20}([A-Z][A-Z ]{5,60}?)" + _FIELD_AFTER_NAME, ("RECIBO",)),
     (r"FAVORECIDO *:? *([A-Z][A-Z ]{5,60}?)(?= *(?:CPF|CNPJ|AG|AGENCIA|CONTA|\d{3}))", ("FAVORECIDO",)),
-    (r"([A-Z][A-Z ]{5,60}?) *\d{3}[. ]?\d{3}[. ]?\d{3}[-. ]?\d{2}", None),
-    (r"(?<![A-Za-z0-9_])([A-Z]{3,15}(?: +[A-Z]{2,15}){1,4})(?![A-Za-z0-9_])", None),
-    (r"\A([A-Z][A-Z ]{8,60})\z", None),
+    (r"([A-Z][A-Z ]{5,60}?) *\d{3}[. ]?\d{3}[. ]?\d{3}[-. ]?\d{2}",
+     r"[A-Z ]{5}\d{3}[. ]?\d{3}[. ]?\d{3}[-. ]?\d{2}"),
+    (r"(?<![A-Za-z0-9_])([A-Z]{3,15}(?: +[A-Z]{2,15}){1,4})(?![A-Za-z0-9_])", ""),
+    (r"\A([A-Z][A-Z ]{8,60})\z", ""),
 )
 
 # Patterns that mark a page as a pay slip even when no name is read from it.

@@ -22,8 +22,9 @@ def valid_person_name(name: Column, bad_words=C.NON_NAME_WORDS, bad_starts=C.LEA
     return (
         (F.size(w) >= 2)
         & F.length(name).between(5, 60)
-        & ~F.exists(w, lambda x: (F.length(x) > 15) | one_of(x, bad_words))
         & ~one_of(F.get(w, F.lit(0)), bad_starts)
+        # A list of literals becomes a hash set in the plan; most captures of prose end here.
+        & ~F.exists(w, lambda x: (F.length(x) > 15) | x.isin(*bad_words))
     )
 
 
@@ -31,14 +32,17 @@ def employee_name(text: Column, patterns=C.SLIP_NAME_PATTERNS) -> Column:
     """X-1. First valid capture of the highest-ranked pattern that has one, else NULL.
 
     ``coalesce`` stops at the first pattern with a valid name. A pattern that
-    needs one of a few words is only run on texts that hold one of them.
+    needs certain words or digits is only run on texts that hold them.
     """
+    bad_words = [F.lit(w) for w in C.NON_NAME_WORDS]
 
-    def first_valid(page: Column, pattern: str, needs: tuple[str, ...] | None) -> Column:
+    def first_valid(page: Column, pattern: str, needs: tuple[str, ...] | str) -> Column:
         found = F.regexp_extract_all(page, F.lit(pattern), F.lit(1))
         names = F.transform(found, lambda x: F.trim(x))
-        name = F.get(F.filter(names, lambda x: valid_person_name(x)), F.lit(0))
-        return name if needs is None else F.when(_contains_any(page, needs), name)
+        name = F.get(F.filter(names, lambda x: valid_person_name(x, bad_words)), F.lit(0))
+        if not needs:
+            return name
+        return F.when(page.rlike(needs) if isinstance(needs, str) else _contains_any(page, needs), name)
 
     return let(fold_page(text), lambda page: F.coalesce(*[first_valid(page, p, needs) for p, needs in patterns]))
 

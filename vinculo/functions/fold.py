@@ -9,6 +9,7 @@ and stays inside code generation.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -59,7 +60,11 @@ def _table(drop: str, blank: str) -> tuple[str, str]:
 
 
 def _translate(c: Column, drop: str, blank: str) -> Column:
-    return F.translate(c, *_table(drop, blank))
+    """Texts without any accent (as many bytes as letters) only need their separators blanked."""
+    plain = "".join(ch for ch in blank if ord(ch) < 0x80 and ch != " ")
+    quick = F.regexp_replace(c, "[" + re.escape(plain) + "]", " ") if plain else c
+    full = F.translate(c, *_table(drop, blank))
+    return F.when(F.octet_length(c) == F.length(c), quick).otherwise(full)
 
 
 def _squeeze(c: Column) -> Column:

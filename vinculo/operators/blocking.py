@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MATCH, MatchConfig
-from ..functions.fold import one_of
+from ..functions.fold import let, one_of
 from ..functions.similarity import (
     first_names_pass, jaro_winkler, last_names_agree, surnames_agree,
 )
@@ -41,32 +41,45 @@ def edit2_keys_same_initial(c: Column) -> Column:
 def similarity_keys_same_initial(c: Column, threshold: float, own_first: bool) -> Column:
     """Keys shared by words of one initial whose Jaro-Winkler similarity reaches ``threshold``.
 
-    With the largest prefix bonus the similarity needs m/a + m/b >= s for m
-    common letters of words of a and b letters. Words that share m letters
-    (counting repeats) share one of the first a - m + 1 letters of each in any
-    fixed letter order, so one key per partner length and such letter is enough.
+    For a common start of p letters (four at most count) the similarity of words
+    of n and m letters needs k common letters with k/n + k/m >= s(p), p of them
+    in the start. So the rests behind the start share k - p letters, counting
+    repeats, and then they share one of the first (rest - (k - p) + 1) letters
+    of each in any fixed order of letters. One key per p, partner length and
+    such letter is enough.
     """
-    s = 3 * (threshold - 0.4) / 0.6 - 1
     n = F.length(c)
-    ranked = F.translate(c, LETTER_ORDER, SORT_LETTERS)
-    letters = F.filter(F.split(ranked, ""), lambda x: x != "")
-    sorted_letters = F.array_sort(letters)
-    numbered = F.transform(
-        sorted_letters,
-        lambda x, i: F.concat(x, (i - F.array_position(sorted_letters, x) + 1).cast("string")),
-    )
+    none = F.array().cast("array<string>")
     reach = F.sequence(F.greatest(F.lit(4), F.floor(n / 4).cast("int")), n * 4)
 
-    def for_partner(m: Column) -> Column:
-        need = F.greatest(F.ceil(F.lit(s) * n * m / (n + m) - F.lit(1e-9)).cast("int"), F.lit(1))
-        head = F.slice(numbered, 1, F.greatest(n - need + 1, F.lit(0)))
-        sizes = (n, m) if own_first else (m, n)
-        stem = F.concat_ws("|", F.left(c, F.lit(1)), *[x.cast("string") for x in sizes])
-        return F.when(
-            need <= F.least(n, m), F.transform(head, lambda x: F.concat_ws("|", stem, x))
-        ).otherwise(F.array().cast("array<string>"))
+    def level(p: int) -> Column:
+        s = 3 * (threshold - 0.1 * p) / (1 - 0.1 * p) - 1
+        rest = F.translate(F.substring(c, p + 1, 1 << 20), LETTER_ORDER, SORT_LETTERS)
+        ranked = F.array_sort(F.filter(F.split(rest, ""), lambda x: x != ""))
+
+        def keys(letters: Column) -> Column:
+            numbered = F.transform(
+                letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x) + 1).cast("string"))
+            )
+            return let(numbered, for_partners)
+
+        def for_partners(numbered: Column) -> Column:
+            def for_partner(m: Column) -> Column:
+                need = F.ceil(F.lit(s) * n * m / (n + m) - F.lit(1e-9)).cast("int")
+                sizes = (n, m) if own_first else (m, n)
+                stem = F.concat_ws("|", F.left(c, F.lit(p)), *[x.cast("string") for x in sizes])
+                head = F.slice(numbered, 1, F.greatest(F.size(numbered) - (need - p) + 1, F.lit(0)))
+                return (
+                    F.when(need > F.least(n, m), none)
+                    .when(need <= p, F.array(stem))
+                    .otherwise(F.transform(head, lambda x: F.concat_ws("|", stem, x)))
+                )
+
+            return F.flatten(F.transform(reach, for_partner))
+
+        return let(ranked, keys)
 
-    return F.when(n >= 4, F.flatten(F.transform(reach, for_partner))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 4, F.concat(*[level(p) for p in (1, 2, 3, 4)])).otherwise(none)
 
 
 def first_name_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
@@ -79,6 +92,7 @@ def first_name_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig = MATCH
     edits = (
         la.select("f1", F.explode(edit2_keys_same_initial(a)).alias("k"))
         .join(rb.select("f2", F.explode(edit2_keys_same_initial(b)).alias("k")), "k")
+        .filter(F.abs(longer(a) - longer(b)) <= cfg.first_name_edits)
         .select("f1", "f2")
     )
     similar = (

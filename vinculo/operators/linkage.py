@@ -130,38 +130,47 @@ def payee_pairs(
     ``bound`` (page_ord): payees first seen in later files are of no use to it.
     """
     first, sur = dictionaries
-    t = targets.select("norm", "f1", "s1", "bound", F.size("s1").alias("n1")).join(first, "f1")
-    if nearest:
-        eras = F.array(F.lit(0))
-        p = payees.withColumn("era", F.lit(0))
-    else:
-        eras = _until(F.shiftright("bound", 32), F.lit(last_era))
-        p = payees.withColumn("era", _era(F.shiftright("first_ord", 32)))
-    # Stored, because three branches read it and the dictionaries behind it are not cheap.
-    t = materialize(t.select("*", F.explode(eras).alias("era")), "keyed-targets")
+    base = targets.select("norm", "f1", "s1", "bound", F.size("s1").alias("n1"))
 
     # (a) names without surnames: few distinct ones per first name.
-    bare_t = t.filter("n1 = 0").join(p.select("f2", "era", "payee", "first_ord"), ["f2", "era"])
-    bare_p = t.filter("n1 > 0").join(p.filter("size(s2) = 0").select("f2", "era", "payee", "first_ord"), ["f2", "era"])
+    bare_t = base.filter("n1 = 0").join(first, "f1").join(payees.select("f2", "payee", "first_ord"), "f2")
+    bare_p = (
+        payees.filter("size(s2) = 0").select("f2", "payee", "first_ord").join(first, "f2")
+        .join(base.filter("n1 > 0"), "f1")
+    )
     out = [d.select("norm", "bound", "payee", "first_ord") for d in (bare_t, bare_p)]
 
-    # (b) surname keys.
-    tx = t.filter("n1 > 0").select(
-        "norm", "bound", "f1", "f2", "era", "n1", F.posexplode("s1").alias("i", "x")
-    ).withColumn("x_last", F.col("i") == F.col("n1") - 1)
-    py = p.filter("size(s2) > 0").select(
-        "payee", "first_ord", "f2", "era", F.size("s2").alias("n2"), F.posexplode("s2").alias("j", "y")
+    # (b) surname keys. Which (first name, surname) classes can meet is settled on distinct classes.
+    tx = base.filter("n1 > 0").select(
+        "norm", "bound", "f1", (F.col("n1") == 1).alias("single"), "n1", F.posexplode("s1").alias("i", "x")
+    ).withColumn("x_last", F.col("i") == F.col("n1") - 1).drop("i", "n1")
+    py = payees.filter("size(s2) > 0").select(
+        "payee", "first_ord", "f2", F.size("s2").alias("n2"), F.posexplode("s2").alias("j", "y")
     ).withColumn("y_last", F.col("j") == F.col("n2") - 1).drop("n2", "j")
-    related = tx.join(sur, "x")
+    related = tx.select("f1", "x", "x_last", "single").distinct().join(first, "f1").join(sur, "x")
     if nearest:
-        keyed = related.filter("agree").withColumn("need_last", F.lit(False))
+        related = related.filter("agree").withColumn("need_last", F.lit(False))
     else:
-        open_key = related.filter("rare or (n1 = 1 and agree)").withColumn("need_last", F.lit(False))
+        open_key = F.col("rare") | (F.col("single") & F.col("agree"))
         # Equal first names whose last surnames agree are settled per class and need no pairs.
-        by_last = related.filter("x_last and last_ok and not (f1 = f2 and agree)").withColumn("need_last", F.lit(True))
-        keyed = open_key.unionByName(by_last)
-    keyed = keyed.select("norm", "bound", "f2", "era", "y", "need_last").distinct()
-    pairs = cell_join(keyed, py, ["f2", "era", "y"], cfg.pairs_per_cell).filter("not need_last or y_last")
+        by_last = F.expr("x_last and last_ok and not (f1 = f2 and agree)")
+        roles = F.array(F.when(open_key, False), F.when(by_last & ~open_key, True))
+        related = related.withColumn("need_last", F.explode(F.filter(roles, lambda r: r.isNotNull())))
+    held = py.select("f2", "y", "y_last").groupBy("f2", "y").agg(F.max("y_last").alias("some_last"))
+    classes = (
+        related.join(held, ["f2", "y"]).filter("not need_last or some_last")
+        .select("f1", "x", "x_last", "single", "f2", "y", "need_last")
+    )
+    classes = materialize(classes, "name-classes")
+    keyed = tx.join(classes, ["f1", "x", "x_last", "single"]).select("norm", "bound", "f2", "y", "need_last").distinct()
+    if nearest:
+        keys = ["f2", "y"]
+    else:
+        # Payees first seen in later files than the bound are of no use: join within age classes of files.
+        keys = ["f2", "y", "era"]
+        keyed = keyed.withColumn("era", F.explode(_until(F.shiftright("bound", 32), F.lit(last_era))))
+        py = py.withColumn("era", _era(F.shiftright("first_ord", 32)))
+    pairs = cell_join(keyed, py, keys, cfg.pairs_per_cell).filter("not need_last or y_last")
     out.append(pairs.select("norm", "bound", "payee", "first_ord"))
     found = out[0].unionByName(out[1]).unionByName(out[2])
     if not nearest:

@@ -40,43 +40,45 @@ def found_in_text(targets: DataFrame, pages: DataFrame, cfg: MatchConfig = MATCH
     i, j = F.instr(F.col("page"), F.col("first")), F.instr(F.col("page"), F.col("last"))
     near = (F.col("first") != "") & (F.col("last") != "") & (i > 0) & (j > 0) & (F.abs(i - j) < cfg.proximity_chars)
     long_names = hits.filter(F.contains("page", "norm") | near).select("norm")
-    # Names made of words under three letters: every token of the name lies inside a page token.
+    found = long_names
     short = targets.filter((n == 0) & (F.col("norm") != "")).select("norm", F.split("norm", " ").alias("t"))
+    if not short.isEmpty():
+        found = found.unionByName(_short_names_in_text(short, index, pages))
+    # An empty name is part of every text.
+    blank = targets.filter("norm = ''").select("norm").join(pages.select("page_ord").limit(1), how="cross").select("norm")
+    return found.unionByName(blank).distinct()
+
+
+def _short_names_in_text(short: DataFrame, index: DataFrame, pages: DataFrame) -> DataFrame:
+    """Norms made of words under three letters that occur in some page, looked up by pieces of its tokens."""
+    # Three words or more: the inner ones are whole tokens of the page.
     inner = short.filter(F.size("t") >= 3).select("norm", F.element_at("t", 2).alias("token")).join(index, "token")
-    # One or two short words leave no whole token to look for: match the end of one token and the start of the next.
+    # Two words: the first one ends a token.
     edge = short.filter(F.size("t") == 2).select(
         "norm", F.length(F.get("t", F.lit(0))).alias("len"), F.get("t", F.lit(0)).alias("tail")
     )
     tails = index.select("page_ord", "token", F.explode(F.array(F.lit(1), F.lit(2))).alias("len")).select(
         "page_ord", "len", F.right("token", F.col("len")).alias("tail")
     )
+    # One word: it is a piece of a token.
     single = short.filter(F.size("t") == 1).select("norm", F.get("t", F.lit(0)).alias("piece"))
-    bits = index.select(
-        "page_ord",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("token")),
-                        lambda k: F.array(F.substring("token", k, F.lit(1)), F.substring("token", k, F.lit(2))),
-                    )
-                )
-            )
-        ).alias("piece"),
+    pieces = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.length("token")),
+            lambda k: F.array(F.substring("token", k, F.lit(1)), F.substring("token", k, F.lit(2))),
+        )
     )
-    short_pairs = (
+    bits = index.select("page_ord", F.explode(F.array_distinct(pieces)).alias("piece"))
+    pairs = (
         inner.select("norm", "page_ord")
         .unionByName(edge.join(tails, ["len", "tail"]).select("norm", "page_ord"))
         .unionByName(single.join(bits, "piece").select("norm", "page_ord"))
         .distinct()
     )
-    short_names = (
-        short_pairs.join(pages.select("page_ord", F.col("norm").alias("page")), "page_ord")
+    return (
+        pairs.join(pages.select("page_ord", F.col("norm").alias("page")), "page_ord")
         .filter(F.contains("page", "norm")).select("norm")
     )
-    # An empty name is part of every text.
-    blank = targets.filter("norm = ''").select("norm").join(pages.select("page_ord").limit(1), how="cross").select("norm")
-    return long_names.unionByName(short_names).unionByName(blank).distinct()
 
 
 def nearest_payee(targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:

@@ -22,6 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with few splits to all cores, for costly work per row.
+
+    A large table has more splits than cores and stays as it is. Only for plain
+    scans: asking a plan with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fold import fold_name, let, words
+from ..operators.scale import spread
+
+
+TEXT_TABLES = ("documents", "conversations")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def text_name(text: Column) -> Column:
