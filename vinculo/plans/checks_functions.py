@@ -198,7 +198,7 @@ def surname_overlap(spark, sf):
     return d.select("doc_id", big("o.count").alias("shared"), F.col("o.distinctive").alias("rare"))
 
 
-_SCORED = f"""{S.PAIRS}, {_TOKENS}, {_OVERLAP}, {_jw_ctes('p', 'f1', 'f2', 'f')}, {_jw_ctes('p', 'c1', 'c2', 'c')},
+_SCORE_CTES = f"""{_TOKENS}, {_OVERLAP}, {_jw_ctes('p', 'f1', 'f2', 'f')}, {_jw_ctes('p', 'c1', 'c2', 'c')},
     facts AS (SELECT p.*, coalesce(shared, 0) AS n, coalesce(rare, false) AS rare, jw_f.jw AS fj, jw_c.jw AS nj,
         coalesce({_LAST_OK}, false) AS lst FROM p LEFT JOIN ov ON p.doc_id = ov.doc_id
         JOIN jw_f ON p.doc_id = jw_f.doc_id JOIN jw_c ON p.doc_id = jw_c.doc_id),
@@ -208,6 +208,7 @@ _SCORED = f"""{S.PAIRS}, {_TOKENS}, {_OVERLAP}, {_jw_ctes('p', 'f1', 'f2', 'f')}
     v4 AS (SELECT *, CASE WHEN target = candidate THEN 1.0 WHEN f1 = '' OR f2 = '' OR NOT {_FIRST_OK} THEN 0.0
         WHEN n = 0 AND len(s1) > 0 AND len(s2) > 0 THEN 0.1
         WHEN f1 <> f2 THEN a3 * fj ELSE a3 END AS score FROM v3)"""
+_SCORED = f"{S.PAIRS}, {_SCORE_CTES}"
 
 
 @query(

@@ -9,6 +9,7 @@ from ..operators.scale import materialize
 from ..sources import pages as P
 from ..sources import sinks
 from . import sqltext as S
+from .checks_functions import _PART, _RECEIPTS, _SCORE_CTES, _SLIPS, _employee_sql
 from .link_run import LinkRun, run_links
 from .registered import big, query
 from .tables import (
@@ -16,34 +17,96 @@ from .tables import (
 )
 
 
+def _first(c: str) -> str:
+    """First word of two letters or more that is no particle."""
+    return f"list_filter(string_split({c}, ' '), lambda w: length(w) >= 2 AND w NOT IN {_PART})[1]"
+
+
 def _run(spark, sf) -> LinkRun:
     return run_links(slip_pages(spark, sf), receipt_pages(spark, sf))
 
 
 # ---------------------------------------------------------------------------
-# The link run on one slip and one receipt per document
+# The link run on one slip and one receipt per document. The check SQL scores
+# every name against every payee and looks into every page.
 # ---------------------------------------------------------------------------
 
-@query()
+_RUN_SQL = f"""nm AS ({_employee_sql(f'({_SLIPS})', 'doc_id')}),
+    src AS (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS file_ord, source || '.pdf' AS slip_file FROM documents),
+    ent AS (SELECT CAST(file_ord AS BIGINT) * 8589934592 + doc_id AS emp_ord, name, {S.fold('name', repair=True)} AS norm, slip_file, doc_id
+        FROM nm JOIN src USING (doc_id) WHERE name IS NOT NULL),
+    emp AS (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY norm ORDER BY emp_ord) = 1),
+    t AS (SELECT *, {S.words('norm', 3)} AS w FROM emp),
+    rec AS (SELECT doc_id AS page_no, text FROM ({_RECEIPTS})),
+    {S.NAMED},
+    pay AS (SELECT doc_id AS page_no, {S.altered('name', 'n_chars')} AS payee FROM named WHERE n_chars % 4 < 3),
+    pg AS (SELECT rec.page_no, src.file_ord, slip_file AS receipt_file, CAST(src.file_ord AS BIGINT) * 4294967296 + rec.page_no AS page_ord,
+        {S.fold('rec.text', repair=True)} AS page,
+        CASE WHEN length(payee) >= 5 AND len({S.words('payee', 2)}) >= 2 THEN payee END AS payee
+        FROM rec JOIN src ON rec.page_no = src.doc_id LEFT JOIN pay USING (page_no)),
+    names AS (SELECT DISTINCT norm AS target FROM emp), payees AS (SELECT DISTINCT payee AS candidate FROM pg WHERE payee IS NOT NULL),
+    pairs AS (SELECT row_number() OVER () AS doc_id, target, candidate FROM names, payees
+        WHERE target = candidate OR left({_first('target')}, 1) = left({_first('candidate')}, 1)),
+    {_SCORE_CTES},
+    sc AS (SELECT target AS norm, candidate AS payee, score FROM v4),
+    ph AS (SELECT norm, page_ord, 1 AS rank, CASE WHEN score >= 0.85 THEN 1.0 ELSE score END AS score FROM sc JOIN pg USING (payee) WHERE score >= 0.78),
+    tp AS (SELECT norm, page_ord, w, page, ' ' || page || ' ' AS padded, instr(page, norm) AS hit_at, instr(page, w[1]) AS i,
+        CASE WHEN len(w) >= 2 THEN instr(page, w[len(w)]) ELSE 0 END AS j FROM t, pg),
+    th AS (SELECT norm, page_ord, CASE
+        WHEN length(norm) >= 8 AND hit_at > 0 AND (hit_at = 1 OR substr(page, hit_at - 1, 1) = ' ')
+            AND substr(page, hit_at + length(norm), 1) IN ('', ' ') THEN 2
+        WHEN len(w) >= 2 AND contains(padded, ' ' || w[1] || ' ') AND contains(padded, ' ' || w[len(w)] || ' ')
+            AND len(list_filter(w, lambda x: contains(padded, ' ' || x || ' '))) >= greatest(2, floor(len(w) * CAST(0.7 AS DOUBLE)))
+            AND regexp_matches(page, array_to_string(w, '.*?')) THEN 3
+        WHEN i > 0 AND j > 0 AND i <> j AND abs(i - j) < 100 THEN 4 END AS rank FROM tp WHERE hit_at > 0 OR (i > 0 AND j > 0)),
+    hits AS (SELECT * FROM ph UNION ALL SELECT norm, page_ord, rank, CASE rank WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 ELSE 0.5 END FROM th WHERE rank IS NOT NULL),
+    per_page AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY norm, page_ord ORDER BY rank) = 1),
+    best AS (SELECT * FROM per_page QUALIFY row_number() OVER (PARTITION BY norm ORDER BY page_ord // 4294967296, score DESC, page_ord) = 1),
+    links AS (SELECT emp_ord, name, norm, slip_file, doc_id AS slip_page, receipt_file, file_ord, page_no AS receipt_page, page_ord,
+        ['favorecido', 'substring', 'word-overlap', 'proximity'][rank] AS method, CAST(score AS DOUBLE) AS score,
+        row_number() OVER (PARTITION BY page_ord ORDER BY score DESC, emp_ord) = 1 AS accepted
+        FROM best JOIN emp USING (norm) JOIN (SELECT page_ord, receipt_file, file_ord, page_no FROM pg) USING (page_ord))"""
+_MISS_SQL = f"""{_RUN_SQL},
+    miss AS (SELECT t.* FROM t WHERE emp_ord NOT IN (SELECT emp_ord FROM links WHERE accepted)),
+    mt AS (SELECT norm, bool_or(hit_at > 0 OR (i > 0 AND j > 0 AND abs(i - j) < 100)) AS in_text FROM tp GROUP BY norm),
+    fo AS (SELECT payee, min(page_ord) AS seen FROM pg WHERE payee IS NOT NULL GROUP BY payee),
+    nr AS (SELECT norm, payee AS candidate FROM sc JOIN fo USING (payee) WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY norm ORDER BY score DESC, seen) = 1),
+    rep AS (SELECT emp_ord, row_number() OVER (ORDER BY emp_ord) AS "index", name, miss.norm AS normalized, w[1] AS first_name,
+        CASE WHEN len(w) >= 2 THEN w[len(w)] ELSE '' END AS last_name, slip_file AS source_file, doc_id AS source_page, in_text AS found_in_full_text,
+        miss.norm IN (SELECT payee FROM fo) AS found_as_payee, coalesce(candidate, '(nenhum)') AS closest_candidate
+        FROM miss LEFT JOIN mt USING (norm) LEFT JOIN nr USING (norm))"""
+
+
+@query(f"WITH {_RUN_SQL} SELECT method, count(*) AS links FROM links WHERE accepted GROUP BY method")
 def link_methods(spark, sf):
     """A-3 of the whole run: extract, link, settle conflicts, count per method."""
     return linkage.methods_count(_run(spark, sf).links)
 
 
-@query()
+@query(
+    f"""WITH {_RUN_SQL} SELECT emp_ord, name, norm, slip_file, CAST(slip_page AS INTEGER) AS slip_page, receipt_file, file_ord,
+        CAST(receipt_page AS INTEGER) AS receipt_page, method, round(score, 9) AS score, accepted FROM links"""
+)
 def link_run(spark, sf):
     """Every chosen link with method, score and whether it won its page."""
-    return _run(spark, sf).links.drop("page_ord")
+    return _run(spark, sf).links.drop("page_ord").withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(
+    f"""WITH {_RUN_SQL} SELECT 'tier ' || CASE method WHEN 'favorecido' THEN 'high' WHEN 'substring' THEN 'medium' ELSE 'low' END AS fact,
+        CAST(count(*) AS DOUBLE) AS value FROM links WHERE accepted GROUP BY 1
+    UNION ALL SELECT 'success rate', round(100.0 * count(*) / (SELECT count(*) FROM emp), 1) FROM links WHERE accepted
+    UNION ALL SELECT 'one link per page', CAST(CAST(count(*) = count(DISTINCT page_ord) AS INTEGER) AS DOUBLE) FROM links WHERE accepted
+    UNION ALL SELECT 'to review', CAST(count(*) AS DOUBLE) FROM links WHERE score < 0.8"""
+)
 def link_report(spark, sf):
     """A-15, A-17, A-8 and P-20 of one run in one table."""
     run = _run(spark, sf)
     tiers = linkage.confidence_tiers(run.links).select(F.concat(F.lit("tier "), "tier").alias("fact"), F.col("links").cast("double").alias("value"))
     rate = linkage.success_rate(run.links, run.employees).select(F.lit("success rate").alias("fact"), F.col("rate").alias("value"))
     check = linkage.page_invariant(run.links).select(
-        F.lit("one link per page").alias("fact"), F.col("consistent").cast("double").alias("value")
+        F.lit("one link per page").alias("fact"), F.col("consistent").cast("int").cast("double").alias("value")
     )
     review = linkage.links_to_review(run.links).agg(F.count(F.lit(1)).cast("double").alias("value")).select(
         F.lit("to review").alias("fact"), "value"
@@ -51,18 +114,34 @@ def link_report(spark, sf):
     return tiers.unionByName(rate).unionByName(check).unionByName(review)
 
 
-@query()
+@query(
+    f"""WITH {_RUN_SQL} SELECT receipt_file, CAST(receipt_page AS INTEGER) AS receipt_page, n_names, name, round(score, 9) AS score, accepted
+    FROM links JOIN (SELECT page_ord, count(*) AS n_names FROM links GROUP BY page_ord HAVING count(*) > 1) USING (page_ord)"""
+)
 def contested_pages(spark, sf):
-    return linkage.contested_pages(_run(spark, sf).links)
+    """A-10."""
+    return linkage.contested_pages(_run(spark, sf).links).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(
+    f"""WITH {_MISS_SQL} SELECT "index", name, normalized, first_name, last_name, source_file, CAST(source_page AS INTEGER) AS source_page,
+        found_in_full_text, found_as_payee, closest_candidate FROM rep"""
+)
 def misses_report(spark, sf):
-    return _run(spark, sf).misses()
+    """U-5, W-8, J-18, S-30: the employees without an accepted link."""
+    return _run(spark, sf).misses().select(
+        "index", "name", "normalized", "first_name", "last_name", "source_file", "source_page", "found_in_full_text",
+        "found_as_payee", "closest_candidate",
+    )
 
 
-@query()
+@query(
+    f"""WITH {_MISS_SQL} SELECT CASE WHEN found_as_payee THEN '{C.CATEGORY_AS_PAYEE}' WHEN found_in_full_text THEN '{C.CATEGORY_IN_TEXT}'
+        WHEN closest_candidate <> '(nenhum)' THEN '{C.CATEGORY_CANDIDATE}' ELSE '{C.CATEGORY_NONE}' END AS category, count(*) AS misses
+    FROM rep GROUP BY 1"""
+)
 def miss_reasons(spark, sf):
+    """A-9."""
     return misses.reason_counts(_run(spark, sf).misses())
 
 
@@ -195,8 +274,6 @@ def receipt_estimate(spark, sf):
 
 
 def _slip_estimate_sql() -> str:
-    from .checks_functions import _employee_sql
-
     source = f"(SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn + 1 AS VARCHAR) AS k, {_PAGE_TEXT} AS text FROM conversations)"
     pattern = C.SLIP_PAGE_PATTERN.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
     return f"""WITH names AS ({_employee_sql(source, 'k')}),
