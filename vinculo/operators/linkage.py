@@ -337,6 +337,7 @@ def text_hits(targets: DataFrame, pages: DataFrame, cfg: MatchConfig, last_era:
     keys = anchors.join(targets.select("norm", "last_ord"), "norm").select(
         "norm", "last_ord", "token", F.explode(reach).alias("era")
     )
+    keys = materialize(keys, "text-keys")
     wanted = index.join(keys.select("token").distinct(), "token", "left_semi").withColumn(
         "era", _era(F.shiftright("page_ord", 32))
     )
