@@ -80,7 +80,7 @@ PAGES = [
     ("AGOSTO DE 2025 83 CLEUSA CORREA DA SILVA 514215 x", "CLEUSA CORREA DA SILVA", []),
     ("FAVORECIDO: JOAO DA SILVA CPF 123.456.789", "JOAO DA SILVA", ["JOAO DA SILVA CPF"]),
     ("TITULAR DA CONTA ANA LIMA CPF:", "TITULAR DA CONTA ANA LIMA", ["DA CONTA ANA LIMA"]),
-    ("FAVORECIDO: JOSE SOUZA VALOR 9 BENEFICIARIO ANA LIMA BANCO", "ANA LIMA BANCO", ["JOSE SOUZA", "ANA LIMA"]),
+    ("FAVORECIDO: JOSE SOUZA VALOR 9 BENEFICIARIO ANA LIMA BANCO", "ANA LIMA BANCO", ["JOSE SOUZA", "ANA LIMA BANCO"]),
     ("FAVORECIDO JOSE LIMA x9", None, ["JOSE LIMA"]),
     ("12/05 9", None, []),
 ]

@@ -42,7 +42,7 @@ def test_layouts(spark):
         ("city", "ACME", "IVOTI", "Ivoti", "Rita Lima", None, None, None),
         ("pay", "B SERVICE LTDA", "", "7-CAMARA LTDA", "Rita Souza", "12", "Empregados", 0),
         ("pay", "B SERVICE LTDA", "Canoas", "6 - Município de Canoas", "Maria da Silva", "001", "Empregados", 1234.56),
-        ("todos", "ACME", "Canoas", "Limpeza - Itaú", "Ana Lima", None, None, None),
+        ("todos", "ACME", "Canoas", "Limpeza - Itaú", "Ana Lima", None, "", None),
     ]
 
 
