@@ -52,8 +52,9 @@ def number_rows(df: DataFrame, *order: Column, name: str = "index") -> DataFrame
     most as many as there are shuffle partitions) give the offsets.
     """
     place = F.monotonically_increasing_id()
+    # Range partitioning samples its input first; a stored input is not computed twice for that.
     placed = (
-        df.repartitionByRange(*order)
+        materialize(df, "unnumbered").repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))})
     )
