@@ -151,7 +151,7 @@ def miss_reasons(spark, sf):
 
 # The check looks at all pairs. Receipts are the documents, first copies included; documents name no payees that fit.
 _TEXT_PAIRS = f"""
-    tg AS (SELECT item_id AS emp_ord, {S.text_name('text')} AS norm FROM benchmark),
+    tg AS (SELECT min(item_id) AS emp_ord, norm FROM (SELECT item_id, {S.text_name('text')} AS norm FROM benchmark) GROUP BY norm),
     t AS (SELECT *, {S.words('norm', 3)} AS w FROM tg),
     pg AS (SELECT doc_id AS page_no, CAST(substr(source, 4) AS INTEGER) AS file_ord, {S.fold('text', repair=True)} AS page
         FROM documents),
@@ -188,9 +188,9 @@ def link_by_text(spark, sf):
     return links.select("name", big("file_ord").alias("file_ord"), big("receipt_page").alias("page_no"), "method", "score")
 
 
-@query()
+@query(f"WITH {_TEXT_PAIRS} SELECT {_TEXT_METHOD} AS method, accepted, count(*) AS links FROM best GROUP BY 1, 2")
 def link_by_text_conflicts(spark, sf):
-    """W-4, A-10 on the same links; which of equal names counts as first depends on the slip order."""
+    """W-4 on the same links."""
     _, _, links = _text_links(spark, sf)
     return links.groupBy("method", "accepted").agg(F.count(F.lit(1)).alias("links"))
 
@@ -430,10 +430,18 @@ def best_text_version(spark, sf):
     return P.best_versions(_versions(spark, sf)).select("file_id", big("page_no").alias("page_no"), "text")
 
 
-@query()
+@query(
+    f"""WITH {_VERSIONS}, n AS ({_employee_sql("(SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS k, CASE WHEN role = 'user' THEN text ELSE '' END AS text FROM conversations)", 'k')}),
+    o AS ({_employee_sql("(SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS k, CASE WHEN length(text) % 2 = 0 THEN text ELSE role END AS text FROM conversations)", 'k')})
+    SELECT file_id, page_no, CASE WHEN n.name IS NOT NULL THEN native
+        WHEN (ocr IS NULL OR o.name IS NULL) AND ol < 60 AND rl > ol THEN retry ELSE ocr END AS text,
+        CAST(CASE WHEN n.name IS NOT NULL THEN 0 ELSE 1 END AS BIGINT) AS phase
+    FROM y JOIN n ON n.k = file_id || '/' || page_no JOIN o ON o.k = n.k"""
+)
 def best_slip_version(spark, sf):
     """IO-6 for slips."""
-    return P.best_slip_versions(_versions(spark, sf), extract.employee_name)
+    out = P.best_slip_versions(_versions(spark, sf), extract.employee_name)
+    return out.select("file_id", big("page_no").alias("page_no"), "text", big("phase").alias("phase"))
 
 
 @query(

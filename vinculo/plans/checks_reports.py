@@ -9,6 +9,7 @@ from ..operators.scale import shared_folder
 from ..sources import registry, sinks
 from ..streaming import incremental
 from . import sqltext as S
+from .checks_functions import _employee_sql
 from .registered import big, query
 from .tables import table
 
@@ -322,7 +323,11 @@ def _finish(q):
         raise q.exception()
 
 
-@query()
+@query(
+    f"""WITH n AS ({_employee_sql('documents', 'doc_id')})
+    SELECT source AS file_id, CAST(substr(source, 4) AS INTEGER) AS file_ord, CAST(doc_id AS INTEGER) AS page_no, name,
+        {S.fold('name', repair=True)} AS norm FROM documents JOIN n USING (doc_id) WHERE name IS NOT NULL"""
+)
 def stream_extraction(spark, sf):
     """T-1: documents arrive as files, names are extracted, the stored result is read back."""
     pages = _stream(spark, sf, "documents").select(
@@ -383,9 +388,15 @@ def upload_history(spark, sf):
     return row.select("id", big("total_funcionarios").alias("total"))
 
 
-@query()
+@query(
+    """SELECT CAST(part AS BIGINT) AS part, 'u' AS user_id, CASE WHEN part = 0 THEN 10 ELSE 0 END AS pdf_count,
+        CASE WHEN part = 0 THEN 12 ELSE 0 END AS duration_seconds, 3 AS month, 2026 AS year, 'Março' AS month_name
+    FROM range(0, (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) FROM events)) t(part)"""
+)
 def run_history(spark, sf):
     """IO-12: the history rows of a run whose misses are the events."""
     from .checks_linkage import _report
 
-    return sinks.run_history_rows(_report(spark, sf), 10, 12345, F.lit("2026-03-01").cast("timestamp"), F.lit("u")).drop("unprocessed_data")
+    return sinks.run_history_rows(_report(spark, sf), 10, 12345, F.lit("2026-03-01").cast("timestamp"), F.lit("u")).select(
+        big("part").alias("part"), "user_id", "pdf_count", "duration_seconds", "month", "year", "month_name"
+    )
