@@ -312,7 +312,7 @@ def page_statistics(spark, sf):
 )
 def numbered_payees(spark, sf):
     """L-6."""
-    return misses.numbered_payees(linkage.prepare_pages(receipt_pages(spark, sf)))
+    return misses.numbered_payees(materialize(linkage.prepare_pages(receipt_pages(spark, sf)), "prepared-pages"))
 
 
 # ---------------------------------------------------------------------------
