@@ -292,9 +292,10 @@ def slip_estimate(spark, sf):
 
 
 @query(
-    f"""WITH {S.NAMED}, r AS (SELECT CASE WHEN n_chars % 4 < 3 THEN 'COMPROVANTE DE TRANSFERENCIA FAVORECIDO '
+    f"""WITH {S.NAMED}, q AS (SELECT CASE WHEN n_chars % 4 < 3 THEN 'COMPROVANTE DE TRANSFERENCIA FAVORECIDO '
             || {S.altered('name', 'n_chars')} || ' R' ELSE 'PAGO A ' || name || ' EM' END AS page,
-        CASE WHEN n_chars % 4 < 3 THEN {S.altered('name', 'n_chars')} END AS payee FROM named)
+        CASE WHEN n_chars % 4 < 3 THEN {S.altered('name', 'n_chars')} END AS named_payee FROM named),
+    r AS (SELECT page, CASE WHEN length(named_payee) >= 5 AND len({S.words('named_payee', 2)}) >= 2 THEN named_payee END AS payee FROM q)
     SELECT count(*) AS pages, count(*) FILTER (WHERE length(trim(page)) > 50) AS pages_with_text,
         count(*) FILTER (WHERE payee IS NULL) AS pages_without_payee, count(payee) AS payees_total,
         count(DISTINCT payee) AS payees_distinct FROM r"""
@@ -308,7 +309,8 @@ def page_statistics(spark, sf):
 
 @query(
     f"""WITH {S.NAMED}, r AS (SELECT DISTINCT {S.altered('name', 'n_chars')} AS payee FROM named WHERE n_chars % 4 < 3)
-    SELECT payee, row_number() OVER (ORDER BY payee) AS position FROM r"""
+    SELECT payee, row_number() OVER (ORDER BY payee) AS position FROM r
+    WHERE length(payee) >= 5 AND len({S.words('payee', 2)}) >= 2"""
 )
 def numbered_payees(spark, sf):
     """L-6."""
