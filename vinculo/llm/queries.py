@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculo.llm.common import held_out, table
 from vinculo.llm.line_rules import line_verdicts
+from vinculo.llm.shingle_join import near_duplicates
+from vinculo.llm.token_transducer import count_tokens
+from vinculo.llm.trie_bpe import encode_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -30,3 +34,21 @@ def query(check: str | None = None):
 def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line rules and base counts of all documents."""
     return line_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and near-duplicate components of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as digests."""
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest_only=True)
