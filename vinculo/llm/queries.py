@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vinculo.llm.common import held_out, table
+from vinculo.llm.factor_machine import fit_factor_machine, score_documents
+from vinculo.llm.language import fit_language_model, predict_languages
 from vinculo.llm.line_rules import line_verdicts
+from vinculo.llm.packing import pack_documents
 from vinculo.llm.shingle_join import near_duplicates
 from vinculo.llm.token_transducer import count_tokens
 from vinculo.llm.trie_bpe import encode_documents
@@ -52,3 +55,25 @@ def op2_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest_only=True)
+
+
+@query()
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(docs.filter(~held_out()))
+    return predict_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op9_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_factor_machine(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -57,7 +57,7 @@ class JoinRules:
     singles: int = 8
     pairs: int = 64
     #: Rounds with one hub per list before the rest is compared member by member.
-    hub_rounds: int = 4
+    hub_rounds: int = 2
     #: Bytes of text behind one group of packed shingles.
     group_bytes: int = 4 << 20
     #: Pairs per task for lists that need all of them.
@@ -353,8 +353,9 @@ def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
             meeting = cell_join(inside.filter("comp != major").drop("major"), others, ["sig"], rules.cell_pairs)
             meeting = meeting.filter((F.col("comp") != F.col("hub_comp")) & _close("n", "m", rules.percent))
         found = _verified(_ordered(meeting), sets, rules)
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        if comps is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comps = components(links)
         if step < rules.hub_rounds and lists.isEmpty():
             break
     return comps
