@@ -57,12 +57,12 @@ class Words(NamedTuple):
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and n + 1 offsets of a string column; nulls are empty."""
+    """Bytes and n + 1 offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, at, data = column.buffers()

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from vinculo.llm.common import held_out, table
 from vinculo.llm.factor_machine import fit_factor_machine, score_documents
+from vinculo.llm.host_paths import extract_pages
 from vinculo.llm.language import fit_language_model, predict_languages
 from vinculo.llm.line_rules import line_verdicts
 from vinculo.llm.packing import pack_documents
 from vinculo.llm.shingle_join import near_duplicates
 from vinculo.llm.token_transducer import count_tokens
 from vinculo.llm.trie_bpe import encode_documents
+from vinculo.llm.warc import derivatives, record_bytes, responses_of_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -77,3 +79,15 @@ def op9_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_factor_machine(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages' responses, with their serialised form."""
+    return record_bytes(derivatives(responses_of_pages(table(spark, sf_dir, "pages"))))
+
+
+@query()
+def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages by their hosts' winning paths."""
+    return extract_pages(table(spark, sf_dir, "pages"))
