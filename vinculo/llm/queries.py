@@ -13,6 +13,7 @@ from vinculo.llm.factor_machine import fit_factor_machine, score_documents
 from vinculo.llm.host_paths import extract_pages
 from vinculo.llm.language import fit_language_model, predict_languages
 from vinculo.llm.line_rules import line_verdicts
+from vinculo.llm.mtree import top_k
 from vinculo.llm.packing import pack_documents
 from vinculo.llm.shingle_join import near_duplicates
 from vinculo.llm.token_transducer import count_tokens
@@ -91,3 +92,25 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main texts of all pages by their hosts' winning paths."""
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+    """
+)
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products for every vector whose id is divisible by 20."""
+    return top_k(table(spark, sf_dir, "embeddings"))
