@@ -15,6 +15,7 @@ Chunk maps compose associatively, and a scan composes those of a text.
 
 from __future__ import annotations
 
+import functools
 import re
 from typing import NamedTuple
 
@@ -178,6 +179,12 @@ class TokenCounter(dict):
         return self.tokens(" " + whole.head) + whole.count + (self.tokens(whole.tail) if whole.tail else 0)
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> TokenCounter:
+    """One counter per Python worker, so that its words and states serve the worker's later tasks as well."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``n_bytes``, ``n_tokens`` and ``over_limit`` of every text.
 
@@ -187,7 +194,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, doc_id: str
     """
 
     def make():
-        counter = TokenCounter(tokenizer)
+        counter = counter_of(tokenizer)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             texts = column(part, text)

@@ -13,6 +13,7 @@ merges that built them; see ``MergeTable.may_meet``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from array import array
@@ -26,7 +27,7 @@ from vinculo.llm.common import column, map_slices
 
 _NEVER = 1 << 60
 #: Words and pairs remembered per task; only speed depends on them.
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 _SHORT = 16
 
 
@@ -211,6 +212,12 @@ class TrieCodec:
         return b"".join([of.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def codec_of(path: str) -> TrieCodec:
+    """One codec per Python worker, so that its words serve the worker's later tasks as well."""
+    return TrieCodec(path)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", digest_only: bool = False) -> DataFrame:
     """Ids of every text (``ids`` array<int>), and the text decoded from them.
 
@@ -221,7 +228,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
     """
 
     def make():
-        codec = TrieCodec(tokenizer)
+        codec = codec_of(tokenizer)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             encoded = codec.encode_all(column(part, text).to_pylist())
