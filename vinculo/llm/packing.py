@@ -12,6 +12,7 @@ packed again together, in rounds, so that the loss doesn't grow with the groups.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from vinculo.llm.common import column, map_slices, materialize
 
 #: Words remembered per task; only speed depends on it.
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -84,13 +85,19 @@ class WordIds:
         return [b"".join(map(get, ws)) if ws is not None else self._ids(x).tobytes() if x else b"" for x, ws in zip(texts, words, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def words_of(path: str) -> WordIds:
+    """One encoder per Python worker, so that its words serve the worker's later tasks as well."""
+    return WordIds(path)
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, rules: PackRules, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of every document."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     width, end = rules.capacity * 4, np.array([rules.end], np.uint32).tobytes()
 
     def make():
-        words = WordIds(tokenizer)
+        words = words_of(tokenizer)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             rows: list[list] = [[] for _ in range(5)]
