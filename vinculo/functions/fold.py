@@ -32,6 +32,41 @@ MARKS = "".join(chr(c) for c in range(0x300, 0x370))
 SPACE_CLASS = r"[ \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def js_trim(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+
+
+def spaced(pattern: str) -> str:
+    r"""A pattern whose ``\s`` is every kind of white space; the engine's own is ASCII only."""
+    return pattern.replace(r"\s", SPACE_CLASS)
+
+
+def number_text(c: Column) -> Column:
+    """A double as spreadsheets' scripts write it: shortest digits, plain from 1e-6 to below 1e21, no ``.0``."""
+    text = F.abs(c).cast("string")
+    whole, rest = F.regexp_extract(text, r"^(\d+)\.(\d+)", 1), F.regexp_extract(text, r"^(\d+)\.(\d+)", 2)
+    power = F.coalesce(F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+
+    def write(x: Column) -> Column:
+        digits, point = x["digits"], x["point"]
+        size = F.length(digits)
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+            .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substring(digits, point + 1, size)))
+        )
+        decimals = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit(""))
+        scientific = F.concat(F.left(digits, F.lit(1)), decimals, F.when(point > 1, F.lit("e+")).otherwise(F.lit("e")), (point - 1).cast("string"))
+        return F.when((F.abs(c) >= 1e-6) & (F.abs(c) < 1e21), plain).otherwise(scientific)
+
+    raw = F.concat(whole, F.when(rest == "0", F.lit("")).otherwise(rest))
+    lead = F.length(raw) - F.length(F.ltrim(raw, F.lit("0")))
+    parts = F.struct(F.ltrim(raw, F.lit("0")).alias("digits"), (F.length(whole) + power - lead).alias("point"))
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.isnan(c), F.lit("NaN")).when(text == "Infinity", F.concat(sign, text)).when(c == 0, F.lit("0")).otherwise(F.concat(sign, let(parts, write)))
+
+
 @lru_cache(maxsize=None)
 def accent_pairs() -> tuple[str, str]:
     """Characters whose decomposition without marks is one other character, and that character."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .fold import SPACE_CLASS, fold_name, let
+from .fold import SPACE_CLASS, fold_name, js_trim, let, spaced
 
 MONEY = "decimal(18,2)"
 
@@ -48,7 +48,7 @@ def locale_number(value: Column, num: Column | None = None) -> Column:
 
 def positive_number(value: Column, num: Column | None = None) -> Column:
     """S-22. A plain number above 0, else NULL."""
-    text = F.trim(F.coalesce(value, F.lit("")))
+    text = js_trim(F.coalesce(value, F.lit("")))
     parsed = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
     n = parsed if num is None else F.coalesce(num, parsed)
     return F.when(n > 0, n)
@@ -56,18 +56,18 @@ def positive_number(value: Column, num: Column | None = None) -> Column:
 
 def looks_like_city(c: Column) -> Column:
     """P-12."""
-    return c.rlike(r"(?iu)\s*-\s*(?:" + "|".join(C.CITY_LINE_SUFFIXES) + ")")
+    return c.rlike(spaced(r"(?iu)\s*-\s*(?:" + "|".join(C.CITY_LINE_SUFFIXES) + ")"))
 
 
 def looks_like_company(c: Column) -> Column:
     """P-13."""
-    up = F.upper(F.trim(c))
+    up = F.upper(js_trim(c))
     return _any_of(up, C.COMPANY_PREFIXES, _starts) | _any_of(up, C.COMPANY_KEYWORDS, _contains)
 
 
 def without_code(c: Column) -> Column:
     """S-23. Drop a leading ``12 - ``."""
-    return F.trim(F.regexp_replace(c, r"^\d+\s*-\s*", ""))
+    return js_trim(F.regexp_replace(c, spaced(r"^\d+\s*-\s*"), ""))
 
 
 def denotes_municipality(c: Column) -> Column:
@@ -88,9 +88,9 @@ def denotes_municipality(c: Column) -> Column:
 
 def city_of_line(c: Column) -> Column:
     """S-19. ``A - B``: B after an institution, else A."""
-    parts = F.split(c, r"\s*-\s*")
-    first = F.trim(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
-    second = F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+    parts = F.split(c, spaced(r"\s*-\s*"))
+    first = js_trim(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
+    second = js_trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
     institution = let(fold_name(first), lambda n: _any_of(n, C.INSTITUTION_PREFIXES, _starts))
     return F.when((F.size(parts) >= 2) & institution, second).otherwise(first)
 
@@ -99,32 +99,32 @@ def city_of_service(c: Column) -> Column:
     """S-20. '' unless the service line denotes a municipality."""
     bare = without_code(c)
     forms = [
-        F.trim(F.regexp_extract(bare, p, 1))
+        js_trim(F.regexp_extract(bare, p, 1))
         for p in (
-            r"(?iu)^MUNIC[IÍ]PIO\s+DE\s+(.+)", r"(?iu)^PREFEITURA\s+MUNICIPAL\s+DE\s+(.+)",
-            r"(?iu)^C[AÂ]MARA\s+MUNICIPAL\s+DE\s+(.+)",
+            spaced(r"(?iu)^MUNIC[IÍ]PIO\s+DE\s+(.+)"), spaced(r"(?iu)^PREFEITURA\s+MUNICIPAL\s+DE\s+(.+)"),
+            spaced(r"(?iu)^C[AÂ]MARA\s+MUNICIPAL\s+DE\s+(.+)"),
         )
     ]
     city = F.coalesce(*[F.nullif(f, F.lit("")) for f in forms], bare)
-    label_only = F.trim(c).rlike(r"(?iu)^Servi[çc]o\s*:?\s*$")
+    label_only = js_trim(c).rlike(spaced(r"(?iu)^Servi[çc]o\s*:?\s*$"))
     return F.when((F.coalesce(c, F.lit("")) != "") & ~label_only & denotes_municipality(c), city).otherwise("")
 
 
 def clean_employee(c: Column) -> Column:
     """S-18. Employee cell without a PIX note or phone number."""
-    text = F.trim(c)
-    text = F.trim(F.regexp_replace(text, r"(?iu)\s*-\s*PIX.*$", ""))
-    text = F.trim(F.regexp_replace(text, r"(?iu)\s*PIX.*$", ""))
-    text = F.trim(F.regexp_replace(text, r"\s*\(\d{2}\)\s*\d{4,5}-?\d{4}.*$", ""))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = js_trim(c)
+    text = js_trim(F.regexp_replace(text, spaced(r"(?iu)\s*-\s*PIX.*$"), ""))
+    text = js_trim(F.regexp_replace(text, spaced(r"(?iu)\s*PIX.*$"), ""))
+    text = js_trim(F.regexp_replace(text, spaced(r"\s*\(\d{2}\)\s*\d{4,5}-?\d{4}.*$"), ""))
+    return js_trim(F.regexp_replace(text, spaced(r"\s+"), " "))
 
 
 def bank_of_contract(c: Column) -> Column:
     """S-23. Last part of ``… - bank``, NULL when there is only one part."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"\s*-\s*")
-    return F.when(F.size(parts) > 1, F.nullif(F.trim(F.element_at(parts, -1)), F.lit("")))
+    parts = F.split(F.coalesce(c, F.lit("")), spaced(r"\s*-\s*"))
+    return F.when(F.size(parts) > 1, F.nullif(js_trim(F.element_at(parts, -1)), F.lit("")))
 
 
 def compare_fold(c: Column) -> Column:
     """S-24. Blank as NULL, trimmed, upper case."""
-    return F.upper(F.nullif(F.trim(c), F.lit("")))
+    return F.upper(F.nullif(js_trim(c), F.lit("")))

@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.fold import fold_constant, fold_name, let
+from ..functions.fold import fold_constant, fold_name, js_trim, let, spaced
 from ..functions.roster import (
     MONEY, city_of_line, city_of_service, clean_employee, locale_number, looks_like_city, looks_like_company,
     positive_number, without_code,
 )
-from ..sources.grids import SHEET, cell_at, fill_merges, grid_rows
+from ..sources.grids import SHEET, cell_at, fill_merges, grid_rows, number_at
 from ..sources.schemas import EMPLOYEE_RECORDS, struct
 from .scale import carry_forward, materialize
 
-SERVICE = r"(?iu)Servi[çc]o\s*:\s*"
+SERVICE = spaced(r"(?iu)Servi[çc]o\s*:\s*")
 LAYOUTS = ("payroll", "todos", "city_sheets")
 SECTION_BLOCK = 1 << 16
 
@@ -86,8 +86,8 @@ def choose_sheet(headers: DataFrame) -> DataFrame:
 def payroll_company(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """P-6. Company of a payroll sheet from the rows above its header."""
     above = rows.join(headers.select(*SHEET, "header_r"), SHEET).filter("r < least(header_r, 10)")
-    cells = above.select(*SHEET, "r", F.posexplode("cells").alias("c", "raw")).withColumn("v", F.trim("raw"))
-    coded = F.col("v").rlike(r"^\d+\s*-\s*.+")
+    cells = above.select(*SHEET, "r", F.posexplode("cells").alias("c", "raw")).withColumn("v", js_trim(F.col("raw")))
+    coded = F.col("v").rlike(spaced(r"^\d+\s*-\s*.+"))
     named = (F.length("v") > 5) & ~F.col("v").rlike(r"(?iu)^(RELAC|Servi|Codigo|Nome|Salari|INSS|IRRF|FGTS|Liquid)")
     at = F.struct("r", "c", "v")
     found = cells.groupBy(*SHEET).agg(F.min(F.when(coded, at)).alias("a"), F.min(F.when(named, at)).alias("b"))
@@ -98,21 +98,21 @@ def payroll_company(rows: DataFrame, headers: DataFrame) -> DataFrame:
 
 def _service_of_row(cells: Column) -> Column:
     """W-6. Service text of a row; NULL when the row has no service label, '' when the label has no value."""
-    label = r"(?iu)Servi[çc]o\s*:\s*(.*)"
+    label = spaced(r"(?iu)Servi[çc]o\s*:\s*(.*)")
 
     def value(at: Column) -> Column:
-        own = F.trim(F.regexp_extract(F.element_at(cells, at), label, 1))
+        own = js_trim(F.regexp_extract(F.element_at(cells, at), label, 1))
         right = F.filter(
-            F.transform(F.slice(cells, at + 1, F.size(cells)), lambda c: F.trim(c)),
-            lambda c: (c != "") & ~c.rlike(r"(?iu)^Servi[çc]o\s*:?\s*$"),
+            F.transform(F.slice(cells, at + 1, F.size(cells)), lambda c: js_trim(c)),
+            lambda c: (c != "") & ~c.rlike(spaced(r"(?iu)^Servi[çc]o\s*:?\s*$")),
         )
         return F.when(own != "", own).otherwise(F.coalesce(F.get(right, F.lit(0)), F.lit("")))
 
     def in_row(joined: Column) -> Column:
-        rest = F.regexp_extract(joined, r"(?iu)Servi[çc]o\s*:\s*(.+)", 1)
-        return F.when(rest != "", F.trim(F.regexp_replace(rest, r"(?iu)Servi[çc]o\s*:?\s*", "")))
+        rest = F.regexp_extract(joined, spaced(r"(?iu)Servi[çc]o\s*:\s*(.+)"), 1)
+        return F.when(rest != "", js_trim(F.regexp_replace(rest, spaced(r"(?iu)Servi[çc]o\s*:?\s*"), "")))
 
-    position = F.array_position(F.transform(cells, lambda c: F.trim(c).rlike(SERVICE)), F.lit(True)).cast("int")
+    position = F.array_position(F.transform(cells, lambda c: js_trim(c).rlike(SERVICE)), F.lit(True)).cast("int")
     return let(
         position,
         lambda p: F.when(p > 0, value(F.when(p > 0, p).otherwise(1))).otherwise(let(F.array_join(cells, " "), in_row)),
@@ -121,8 +121,8 @@ def _service_of_row(cells: Column) -> Column:
 
 def _unlabelled_service(cells: Column) -> Column:
     hits = F.filter(
-        F.transform(cells, lambda c: F.trim(c)),
-        lambda c: c.rlike(r"^\d+\s*-\s*.{5,}") & c.rlike(r"(?iu)MUNIC|PREFEIT|CAMARA"),
+        F.transform(cells, lambda c: js_trim(c)),
+        lambda c: c.rlike(spaced(r"^\d+\s*-\s*.{5,}")) & c.rlike(r"(?iu)MUNIC|PREFEIT|CAMARA"),
     )
     return F.get(hits, F.lit(0))
 
@@ -131,7 +131,7 @@ def _section_type(first: Column, name: Column) -> Column:
     """W-7."""
     out = F.lit(None).cast("string")
     for pattern, tipo in reversed(C.SECTION_TYPES):
-        out = F.when(first.rlike(pattern) | name.rlike(pattern), F.lit(tipo)).otherwise(out)
+        out = F.when(first.rlike(spaced(pattern)) | name.rlike(spaced(pattern)), F.lit(tipo)).otherwise(out)
     return out
 
 
@@ -154,7 +154,7 @@ def payroll_rows(rows: DataFrame, headers: DataFrame, block: int = SECTION_BLOCK
         "bare_service",
         F.when(F.col("service").isNull() & F.col("section").isNull(), _unlabelled_service(F.col("cells"))),
     )
-    raw_code = F.regexp_replace(F.regexp_replace(cell_at(F.col("cells"), F.col("at.codigo")), r"\.0$", ""), r"\s", "")
+    raw_code = F.regexp_replace(F.regexp_replace(cell_at(F.col("cells"), F.col("at.codigo")), r"\.0$", ""), spaced(r"\s"), "")
     said = F.nullif(F.col("service"), F.lit(""))
     body = body.withColumns(
         {
@@ -168,7 +168,9 @@ def payroll_rows(rows: DataFrame, headers: DataFrame, block: int = SECTION_BLOCK
         }
     )
     body = carry_forward(body, SHEET, "r", ["contrato", "cidade", "tipo"], block)
-    n_words = F.size(F.filter(F.split("nome", r"\s+"), lambda w: F.length(w) >= 2))
+    n_words = F.size(F.filter(F.split("nome", spaced(r"\s+")), lambda w: F.length(w) >= 2))
+    # Without a code column only blanks part words.
+    n_blank_words = F.size(F.filter(F.split("nome", " "), lambda w: F.length(w) >= 2))
     skip = (
         F.when(F.col("service").isNotNull(), "service")
         .when(F.col("section").isNotNull(), "section")
@@ -176,7 +178,7 @@ def payroll_rows(rows: DataFrame, headers: DataFrame, block: int = SECTION_BLOCK
         .when(F.length("nome") < 3, "empty_name")
         .when(fold_name(F.col("nome")).rlike(C.PAYROLL_SKIP_PATTERN), "skip_pattern")
         .when((F.col("codigo") != "") & ~F.col("codigo").rlike(r"^\d+$"), "non_numeric_code")
-        .when(n_words < 2, "few_words")
+        .when((n_words < 2) | ((F.col("at.codigo") < 0) & (n_blank_words < 2)), "few_words")
     )
     return body.withColumn("skip_reason", skip)
 
@@ -186,7 +188,10 @@ def payroll_records(rows: DataFrame, headers: DataFrame, block: int = SECTION_BL
     chosen = choose_sheet(headers)
     kept = payroll_rows(rows, chosen, block).filter("skip_reason is null")
     named = kept.join(payroll_company(rows, chosen), SHEET, "left")
-    money = {f: locale_number(cell_at(F.col("cells"), F.col(f"at.{f}"))).cast(MONEY) for f in C.PAYROLL_MONEY_FIELDS}
+    money = {
+        f: locale_number(cell_at(F.col("cells"), F.col(f"at.{f}")), number_at(F.col("nums"), F.col(f"at.{f}"))).cast(MONEY)
+        for f in C.PAYROLL_MONEY_FIELDS
+    }
     out = named.select(
         "file", F.col("r").cast("long").alias("row_ord"), F.coalesce("empresa", F.lit("")).alias("empresa"),
         F.coalesce("cidade", F.lit("")).alias("cidade"), F.coalesce("contrato", F.lit("")).alias("contrato"),
@@ -254,19 +259,22 @@ def todos_records(rows: DataFrame, sheets: DataFrame) -> DataFrame:
     def text(f: str) -> Column:
         return cell_at(F.col("cells"), F.col(f"at.{f}"))
 
+    def number(f: str) -> Column:
+        return number_at(F.col("nums"), F.col(f"at.{f}"))
+
     out = body.select(
         "file", F.col("r").cast("long").alias("row_ord"),
         *[text(f).alias(f) for f in ("empresa", "cidade", "contrato", "colaborador", "banco", "tipo")],
-        positive_or_negative(text("total_funcionarios")).cast("int").alias("total_funcionarios"),
+        nonzero(text("total_funcionarios"), number("total_funcionarios")).cast("int").alias("total_funcionarios"),
         F.nullif(text("observacoes"), F.lit("")).alias("observacoes"),
-        positive_number(text("salario")).cast(MONEY).alias("salario"),
+        positive_number(text("salario"), number("salario")).cast(MONEY).alias("salario"),
     ).filter("colaborador <> ''")
     return _as_records(out)
 
 
-def positive_or_negative(c: Column) -> Column:
+def nonzero(c: Column, num: Column) -> Column:
     """A number other than 0, else NULL."""
-    return F.nullif(c.try_cast("double"), F.lit(0.0))
+    return F.nullif(F.coalesce(num, c.try_cast("double")), F.lit(0.0))
 
 
 # ---------------------------------------------------------------------------
@@ -323,7 +331,7 @@ def city_sheet_rows(rows: DataFrame) -> DataFrame:
         F.when(F.col("raw") == "", "empty_name")
         .when(F.col("norm").isin(*C.CITY_SHEET_SKIP_VALUES), "skip_value")
         .when(F.col("norm").rlike("^(TOTAL|SUBTOTAL|SOMA|COLUNA)"), "skip_pattern")
-        .when(F.col("raw").rlike(r"(?iu)^R\$\s*[\d.,]"), "money")
+        .when(F.col("raw").rlike(spaced(r"(?iu)^R\$\s*[\d.,]")), "money")
         .when(looks_like_city(F.col("raw")), "city")
         .when(looks_like_company(F.col("raw")), "company")
         .when(F.length("colaborador") < 3, "short_name")
@@ -338,7 +346,8 @@ def city_sheet_records(rows: DataFrame) -> DataFrame:
     out = kept.select(
         "file", (F.shiftleft(F.col("sheet_ord").cast("long"), 32) + F.col("r")).alias("row_ord"), "empresa", "cidade",
         F.col("sheet").alias("contrato"), "colaborador",
-        positive_number(cell_at(F.col("cells"), F.col("salary_at"))).cast(MONEY).alias("salario"),
+        positive_number(cell_at(F.col("cells"), F.col("salary_at")), number_at(F.col("nums"), F.col("salary_at")))
+        .cast(MONEY).alias("salario"),
     )
     return _as_records(out)
 

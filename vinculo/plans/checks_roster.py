@@ -8,16 +8,21 @@ from ..operators.scale import carry_forward, materialize
 from ..sources import grids
 from . import sqltext as S
 from .registered import big, query
-from .roster_import import sync_records
+from .roster_import import import_workbooks
 from .tables import table, workbook_cells
 
 # ---------------------------------------------------------------------------
 # Workbooks built from customers and nations
 # ---------------------------------------------------------------------------
 
+_GAP = "CASE WHEN c_custkey % 3 = 0 THEN chr(160) ELSE ' ' END"
 _CUST = f"""cust AS (SELECT *, n_nationkey % 3 AS kind, 'wb-' || n_nationkey AS file, {S.initcap('n_name')} AS nat,
-        {S.initcap('c_mktsegment')} AS seg, {S.initcap('c_mktsegment')} || ' ' || {S.initcap('n_name')} || ' da Silva' AS person
+        {S.initcap('c_mktsegment')} AS seg, {S.initcap('c_mktsegment')} || {_GAP} || {S.initcap('n_name')} || ' da Silva' AS person,
+        c_custkey % 4 = 1 AS numeric_pay, replace(replace(replace(format('{{:,.2f}}', c_acctbal), ',', '_'), '.', ','), '_', '.') AS money
     FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+#: Text of a whole number that came as a numeric cell; zero is blank.
+_WHOLE = "coalesce(nullif(CAST(CAST({0} AS BIGINT) AS VARCHAR), '0'), '')"
+_PAY = "CASE WHEN numeric_pay THEN " + _WHOLE.format("round(c_acctbal * 2000)") + " ELSE {0} END"
 
 
 def _rows(spark, sf):
@@ -29,17 +34,24 @@ def _of_layout(rows, kind):
 
 
 @query(
-    f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS r, CASE kind
-        WHEN 0 THEN CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE 5 END WHEN 1 THEN 4 ELSE 2 END AS filled_to,
-        CASE kind WHEN 0 THEN CASE WHEN c_custkey % 7 = 0 THEN 'Serviço:' ELSE CAST(c_custkey AS VARCHAR) END
-            WHEN 1 THEN seg ELSE person || ' - PIX 123' END AS first_cell
-    FROM cust WHERE NOT (kind = 1)
-    UNION ALL SELECT file, CAST(c_custkey + 10 AS BIGINT), 4, seg FROM cust WHERE kind = 1"""
+    f"""WITH {_CUST}, heads AS (SELECT 'wb-' || n_nationkey AS file, n_nationkey AS k, n_nationkey % 3 AS kind, {S.initcap('n_name')} AS nat FROM nation),
+    cells AS (SELECT file, c_custkey + 10 AS r, CASE
+        WHEN kind = 0 AND c_custkey % 7 = 0 THEN ['Serviço:', '', '6 - Município de ' || seg]
+        WHEN kind = 0 THEN [CAST(CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 12000000 ELSE c_custkey END AS VARCHAR), person,
+            {_PAY.format('money')}, 'R$ ' || money, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '-' END]
+        WHEN kind = 1 THEN [seg, nat, CASE WHEN c_custkey % 2 = 0 THEN {_WHOLE.format('c_custkey % 3')} ELSE 'Limpeza - Itaú' END, person, '',
+            'Mensal', CASE WHEN c_custkey % 2 = 1 THEN {_WHOLE.format('c_custkey % 4')} ELSE '12' END]
+        ELSE [person || ' - PIX 123', {_PAY.format('CAST(c_acctbal AS VARCHAR)')}] END AS cells FROM cust
+    UNION ALL SELECT file, 0, [CASE kind WHEN 0 THEN k || ' - Empresa ' || nat ELSE 'Empresa ' || nat END] FROM heads WHERE kind <> 1
+    UNION ALL SELECT file, 3, ['Código', 'Nome do Empregado', 'Salário', 'Líquido', 'FGTS'] FROM heads WHERE kind = 0
+    UNION ALL SELECT file, 2, ['Empresa', 'Cidade', 'Contrato', 'Colaborador', 'Banco', 'Tipo', 'Total Funcionarios', 'Obs'] FROM heads WHERE kind = 1
+    UNION ALL SELECT file, 1, [nat || ' - Sicredi'] FROM heads WHERE kind = 2
+    UNION ALL SELECT file, 2, CASE WHEN k % 2 = 1 THEN ['Funcionário', 'Salário'] ELSE ['Funcionário'] END FROM heads WHERE kind = 2)
+    SELECT file, CAST(r AS BIGINT) AS r, CAST(len(cells) AS INTEGER) AS filled_to, array_to_string(cells, '|') AS cells FROM cells"""
 )
 def grid_rows(spark, sf):
-    """IO-7."""
-    r = _rows(spark, sf).filter("r >= 10")
-    return r.select("file", big("r").alias("r"), F.size("cells").alias("filled_to"), F.get("cells", F.lit(0)).alias("first_cell"))
+    """IO-7: every row with all its cells, headers included."""
+    return _rows(spark, sf).select("file", big("r").alias("r"), F.size("cells").alias("filled_to"), F.array_join("cells", "|").alias("cells"))
 
 
 @query(
@@ -80,15 +92,11 @@ def populated_files(spark, sf):
 
 
 @query(
-    """SELECT 'wb-' || n_nationkey AS file, ['payroll', 'todos', 'city_sheets'][n_nationkey % 3 + 1] AS layout FROM nation
-    WHERE n_nationkey IN (SELECT c_nationkey FROM customer) AND n_nationkey % 3 <> 2
-    UNION ALL SELECT 'wb-' || n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'payroll' ELSE 'payroll' END
-    FROM nation WHERE n_nationkey % 3 = 2
-    UNION ALL SELECT 'wb-' || n_nationkey, ['payroll', 'todos'][n_nationkey % 3 + 1] FROM nation
-    WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer) AND n_nationkey % 3 <> 2"""
+    """SELECT 'wb-' || n_nationkey AS file, CASE n_nationkey % 6 WHEN 1 THEN 'todos' WHEN 4 THEN 'todos' WHEN 2 THEN 'city_sheets'
+        ELSE 'payroll' END AS layout FROM nation"""
 )
 def route_layouts(spark, sf):
-    """P-1, P-4, P-7. City sheets with a name and salary header fit the payroll rule, which comes first."""
+    """P-1, P-4, P-7. City sheets with a name and a salary header fit the payroll rule, which comes first."""
     rows = _rows(spark, sf)
     sheets = rows.groupBy("file", "sheet_ord").agg(F.max("sheet").alias("sheet"))
     return layouts.route_layouts(layouts.payroll_headers(rows), layouts.validate_todos(rows, sheets))
@@ -98,21 +106,25 @@ _PAYROLL = f"""{_CUST}, pay AS (SELECT *, c_custkey % 7 = 0 AS service FROM cust
     st AS (SELECT *, last_value(CASE WHEN service THEN seg END IGNORE NULLS) OVER w AS cidade,
         last_value(CASE WHEN service THEN '6 - Município de ' || seg END IGNORE NULLS) OVER w AS contrato
         FROM pay WINDOW w AS (PARTITION BY file ORDER BY c_custkey ROWS UNBOUNDED PRECEDING))"""
+_MONEY = [f for f in C.PAYROLL_MONEY_FIELDS if f not in ("salario", "liquido", "fgts")]
+_NO_MONEY = ", ".join(f"CAST(NULL AS DOUBLE) AS {f}" for f in _MONEY)
+_PAID = "CASE WHEN numeric_pay THEN round(c_acctbal * 2000) ELSE round(c_acctbal, 2) END"
 
 
 @query(
     f"""WITH {_PAYROLL} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, 'Empresa ' || nat AS empresa,
-        coalesce(cidade, '') AS cidade, coalesce(contrato, '') AS contrato, person AS colaborador,
-        CAST(c_custkey AS VARCHAR) AS codigo, round(c_acctbal, 2) AS salario, round(c_acctbal, 2) AS liquido
+        coalesce(cidade, '') AS cidade, coalesce(contrato, '') AS contrato, person AS colaborador, CAST(NULL AS VARCHAR) AS tipo,
+        CAST(CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 12000000 ELSE c_custkey END AS VARCHAR) AS codigo,
+        {_PAID} AS salario, round(c_acctbal, 2) AS liquido, CASE WHEN c_custkey % 5 = 0 THEN CAST(0 AS DOUBLE) END AS fgts, {_NO_MONEY}
     FROM st WHERE NOT service"""
 )
 def payroll_records(spark, sf):
-    """P-4 to P-6, P-10, P-11, W-5, W-6, S-20, S-21."""
+    """P-4 to P-6, P-10, P-11, W-5, W-6, S-20, S-21: all fields of the payroll workbooks."""
     rows = _of_layout(_rows(spark, sf), 0)
     r = layouts.payroll_records(rows, layouts.payroll_headers(rows), block=64)
     return r.select(
-        "file", "row_ord", "empresa", "cidade", "contrato", "colaborador", "codigo",
-        F.col("salario").cast("double").alias("salario"), F.col("liquido").cast("double").alias("liquido"),
+        "file", "row_ord", "empresa", "cidade", "contrato", "colaborador", "tipo", "codigo",
+        *[F.col(f).cast("double").alias(f) for f in C.PAYROLL_MONEY_FIELDS],
     )
 
 
@@ -125,41 +137,68 @@ def payroll_skip_reasons(spark, sf):
 
 
 @query(
-    f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, seg AS empresa, nat AS cidade, 'Limpeza - Itaú' AS contrato,
-        person AS colaborador FROM cust WHERE kind = 1"""
+    f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, seg AS empresa, nat AS cidade,
+        CASE WHEN c_custkey % 2 = 0 THEN {_WHOLE.format('c_custkey % 3')} ELSE 'Limpeza - Itaú' END AS contrato, person AS colaborador,
+        '' AS banco, 'Mensal' AS tipo, CAST(CASE WHEN c_custkey % 2 = 1 THEN nullif(c_custkey % 4, 0) ELSE 12 END AS INTEGER) AS total_funcionarios,
+        CAST(NULL AS VARCHAR) AS observacoes, CAST(NULL AS DOUBLE) AS salario FROM cust WHERE kind = 1"""
 )
 def todos_records(spark, sf):
-    """P-2, P-8, S-22."""
+    """P-2, P-8, S-22: all fields of the TODOS workbooks."""
     rows = _of_layout(_rows(spark, sf), 1)
     sheets = rows.groupBy("file", "sheet_ord").agg(F.max("sheet").alias("sheet"))
-    return layouts.todos_records(rows, sheets).select("file", "row_ord", "empresa", "cidade", "contrato", "colaborador")
+    return layouts.todos_records(rows, sheets).select(
+        "file", "row_ord", "empresa", "cidade", "contrato", "colaborador", "banco", "tipo", "total_funcionarios", "observacoes",
+        F.col("salario").cast("double").alias("salario"),
+    )
 
 
-@query(
-    f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, 'Empresa ' || nat AS empresa, nat AS cidade,
-        nat AS contrato, person AS colaborador, CASE WHEN c_acctbal > 0 THEN round(c_acctbal, 2) END AS salario FROM cust WHERE kind = 2"""
-)
+_CITY_SHEETS = f"""SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, 'Empresa ' || nat AS empresa, nat AS cidade,
+        nat AS contrato, replace(person, chr(160), ' ') AS colaborador,
+        CASE WHEN n_nationkey % 2 = 1 AND c_acctbal > 0 THEN {_PAID} END AS salario FROM cust WHERE kind = 2"""
+
+
+@query(f"WITH {_CUST} {_CITY_SHEETS}")
 def city_sheet_records(spark, sf):
     """P-9, P-11, S-18, S-19, S-22."""
     r = layouts.city_sheet_records(_of_layout(_rows(spark, sf), 2))
     return r.select("file", "row_ord", "empresa", "cidade", "contrato", "colaborador", F.col("salario").cast("double").alias("salario"))
 
 
-@query()
+_RECORDS = f"""{_PAYROLL}, rec AS (
+        SELECT c_custkey AS ord, 'Empresa ' || nat AS empresa, cidade, contrato, person AS nome,
+            CAST(CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 12000000 ELSE c_custkey END AS VARCHAR) AS codigo, {_PAID} AS salario
+        FROM st WHERE NOT service AND cidade IS NOT NULL
+        UNION ALL SELECT c_custkey, seg, nat, CASE WHEN c_custkey % 2 = 0 THEN {_WHOLE.format('c_custkey % 3')} ELSE 'Limpeza - Itaú' END,
+            person, NULL, NULL FROM cust WHERE kind = 1
+        UNION ALL SELECT c_custkey, 'Empresa ' || nat, nat, nat, replace(person, chr(160), ' '), NULL, NULL FROM cust
+        WHERE kind = 2 AND n_nationkey % 2 = 0)"""
+
+
+@query(
+    f"""WITH {_RECORDS}, k AS (SELECT {S.fold('empresa')} AS empresa, {S.fold('cidade')} AS cidade, {S.fold('nome')} AS nome_normalizado,
+        min_by(nome, ord) AS nome, min_by(contrato, ord) AS contrato, min_by(coalesce(codigo, ''), ord) AS codigo, count(*) AS copies,
+        max_by(salario, ord) FILTER (WHERE salario IS NOT NULL) AS salario FROM rec GROUP BY ALL)
+    SELECT empresa, cidade, nome_normalizado, nome, contrato, nullif(codigo, '') AS codigo, copies, true AS ativo, 'insert' AS action, salario,
+        CASE WHEN contains(contrato, ' - ') THEN string_split(contrato, ' - ')[-1] END AS banco FROM k"""
+)
 def workbook_import(spark, sf):
-    """P-7 with all layouts, then J-14 to J-16 and A-4 against an empty registry."""
-    records, _, _ = layouts.parse_workbooks(workbook_cells(spark, sf))
+    """P-7 with all layouts, then J-14 to J-16 into an empty registry: its employees with company, city and salary.
+
+    City workbooks with a salary header are read as payroll; they name no city, so their records stay out.
+    """
     from ..sources.schemas import REGISTRY
 
     empty = lambda t: spark.createDataFrame([], REGISTRY[t])
-    out = sync_records(
-        records, empty("empresas"), empty("municipios"), empty("funcionarios"), empty("funcionarios_salario"),
+    out, _ = import_workbooks(
+        workbook_cells(spark, sf), None, empty("empresas"), empty("municipios"), empty("funcionarios"), empty("funcionarios_salario"),
         F.lit("2026-01-01").cast("timestamp"),
     )
-    return out.stats
-
-
-_ALIASES = "['codigo', 'matricula', 'nome']"
+    company = out.companies.select(F.col("id").alias("empresa_id"), F.col("nome_normalizado").alias("empresa"))
+    city = out.cities.select(F.col("id").alias("municipio_id"), F.col("nome_normalizado").alias("cidade"))
+    paid = out.salaries.select(F.col("funcionario_id").alias("id"), F.col("salario").cast("double").alias("salario"))
+    return out.employees.join(company, "empresa_id").join(city, "municipio_id").join(paid, "id", "left").select(
+        "empresa", "cidade", "nome_normalizado", "nome", "contrato", "codigo", "copies", "ativo", "action", "salario", "banco"
+    )
 
 
 @query(

@@ -112,18 +112,36 @@ def benchmark_employees(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def workbook_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers of a nation as one workbook: payroll, TODOS or city-sheet layout by nation key modulo 3."""
+    """Customers of a nation as one workbook: payroll, TODOS or city sheets by nation key modulo 3.
+
+    Every third person's name holds a no-break space, codes, contracts and money
+    are numeric cells for some rows (eight digits and more, and zero) and text
+    for the others. City sheets of even nations have no salary column.
+    """
     n = table(spark, folder, "nation").select(
         F.concat(F.lit("wb-"), F.col("n_nationkey").cast("string")).alias("file"), F.col("n_nationkey"), "n_name"
     )
     c = table(spark, folder, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     money = F.translate(F.format_number("c_acctbal", 2), ",.", ".,")
-    person = F.concat_ws(" ", F.initcap("c_mktsegment"), F.initcap("n_name"), F.lit("da Silva"))
-    r = F.col("c_custkey").cast("int") + 10
+    key = F.col("c_custkey")
+    gap = F.when(key % 3 == 0, F.lit("\u00a0")).otherwise(F.lit(" "))
+    person = F.concat(F.initcap("c_mktsegment"), gap, F.initcap("n_name"), F.lit(" da Silva"))
+    r = key.cast("int") + 10
+
+    def text(v: Column) -> Column:
+        return F.struct(v.cast("string").alias("value"), F.lit(None).cast("double").alias("num"))
+
+    def number_if(test: Column, num: Column, other: Column) -> Column:
+        return F.struct(F.when(~test, other.cast("string")).alias("value"), F.when(test, num.cast("double")).alias("num"))
 
     def cells(df: DataFrame, sheet: Column, row: Column, values: list[Column]) -> DataFrame:
-        at = F.posexplode(F.array(*[v.cast("string") for v in values]))
-        return df.select("file", F.lit(0).alias("sheet_ord"), sheet.alias("sheet"), row.cast("int").alias("r"), at.alias("c", "value"))
+        at = F.posexplode(F.array(*values)).alias("c", "v")
+        return df.select("file", F.lit(0).alias("sheet_ord"), sheet.alias("sheet"), row.cast("int").alias("r"), at).select(
+            "file", "sheet_ord", "sheet", "r", "c", "v.value", "v.num"
+        )
+
+    def line(*values: str) -> list[Column]:
+        return [text(F.lit(v)) for v in values]
 
     kind = F.col("n_nationkey") % 3
     lit = F.lit
@@ -131,20 +149,30 @@ def workbook_cells(spark: SparkSession, folder: str) -> DataFrame:
     p, t, s = c.filter(kind == 0), c.filter(kind == 1), c.filter(kind == 2)
     sheet_p, sheet_t, sheet_s = lit("Folha"), lit("Todos"), F.initcap("n_name")
     # In payroll files a customer whose key is a multiple of seven stands for a service line.
-    service = F.col("c_custkey") % 7 == 0
+    service = key % 7 == 0
+    pay = number_if(key % 4 == 1, F.round(F.col("c_acctbal") * 2000), money)
     parts = [
-        cells(payroll, sheet_p, lit(0), [F.concat(F.col("n_nationkey").cast("string"), lit(" - Empresa "), F.initcap("n_name"))]),
-        cells(payroll, sheet_p, lit(3), [lit("Código"), lit("Nome do Empregado"), lit("Salário"), lit("Líquido"), lit("FGTS")]),
-        cells(p.filter(service), sheet_p, r, [lit("Serviço:"), lit(""), F.concat(lit("6 - Município de "), F.initcap("c_mktsegment"))]),
-        cells(p.filter(~service), sheet_p, r, [F.col("c_custkey"), person, money, F.concat(lit("R$ "), money), lit("-")]),
-        cells(todos, sheet_t, lit(2), [lit("Empresa"), lit("Cidade"), lit("Contrato"), lit("Colaborador"), lit("Banco")]),
-        cells(t, sheet_t, r, [F.initcap("c_mktsegment"), F.initcap("n_name"), lit("Limpeza - Itaú"), person, lit("")]),
-        cells(city, sheet_s, lit(0), [F.concat(lit("Empresa "), F.initcap("n_name"))]),
-        cells(city, sheet_s, lit(1), [F.concat(F.initcap("n_name"), lit(" - Sicredi"))]),
-        cells(city, sheet_s, lit(2), [lit("Funcionário"), lit("Salário")]),
-        cells(s, sheet_s, r, [F.concat(person, lit(" - PIX 123")), F.col("c_acctbal")]),
+        cells(payroll, sheet_p, lit(0), [text(F.concat(F.col("n_nationkey").cast("string"), lit(" - Empresa "), F.initcap("n_name")))]),
+        cells(payroll, sheet_p, lit(3), line("Código", "Nome do Empregado", "Salário", "Líquido", "FGTS")),
+        cells(p.filter(service), sheet_p, r, [*line("Serviço:", ""), text(F.concat(lit("6 - Município de "), F.initcap("c_mktsegment")))]),
+        cells(
+            p.filter(~service), sheet_p, r,
+            [number_if(key % 2 == 0, key + 12_000_000, key), text(person), pay, text(F.concat(lit("R$ "), money)),
+             number_if(key % 5 == 0, lit(0), lit("-"))],
+        ),
+        cells(todos, sheet_t, lit(2), line("Empresa", "Cidade", "Contrato", "Colaborador", "Banco", "Tipo", "Total Funcionarios", "Obs")),
+        cells(
+            t, sheet_t, r,
+            [text(F.initcap("c_mktsegment")), text(F.initcap("n_name")), number_if(key % 2 == 0, key % 3, lit("Limpeza - Itaú")), text(person),
+             text(lit("")), text(lit("Mensal")), number_if(key % 2 == 1, key % 4, lit("12")), text(lit(""))],
+        ),
+        cells(city, sheet_s, lit(0), [text(F.concat(lit("Empresa "), F.initcap("n_name")))]),
+        cells(city, sheet_s, lit(1), [text(F.concat(F.initcap("n_name"), lit(" - Sicredi")))]),
+        cells(city.filter("n_nationkey % 2 = 1"), sheet_s, lit(2), line("Funcionário", "Salário")),
+        cells(city.filter("n_nationkey % 2 = 0"), sheet_s, lit(2), line("Funcionário")),
+        cells(s, sheet_s, r, [text(F.concat(person, lit(" - PIX 123"))), number_if(key % 4 == 1, F.round(F.col("c_acctbal") * 2000), F.col("c_acctbal"))]),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("num", lit(None).cast("double")).filter("value <> ''")
+    return out.filter("value <> '' or num is not null")

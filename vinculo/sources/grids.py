@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fold import js_trim, number_text
+
 SHEET = ["file", "sheet_ord"]
 
 
@@ -25,15 +27,24 @@ def fill_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def grid_rows(cells: DataFrame) -> DataFrame:
-    """IO-7. One row per grid row: ``cells`` from column 0 to its last filled one, blanks as ''."""
-    text = F.coalesce(F.col("value"), F.col("num").cast("string"), F.lit(""))
+    """IO-7. One row per grid row: ``cells`` from column 0 to its last filled one, blanks as ''.
+
+    ``nums`` holds the numbers of numeric cells at the same places, whose text
+    is the number's, or '' for zero.
+    """
+    number = F.when(F.col("value").isNull(), F.col("num"))
+    text = F.coalesce(F.col("value"), F.when(F.col("num") != 0, number_text(F.col("num"))), F.lit(""))
     rows = cells.groupBy(*SHEET, "r").agg(
         F.max("sheet").alias("sheet"),
         F.max("c").alias("_last"),
-        F.map_from_entries(F.collect_list(F.struct("c", text.alias("v")))).alias("_m"),
+        F.map_from_entries(F.collect_list(F.struct("c", F.struct(text.alias("v"), number.alias("n"))))).alias("_m"),
+    )
+    filled = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda c: F.try_element_at("_m", c))
+    rows = rows.select(*SHEET, "sheet", "r", filled.alias("_cells"))
+    return rows.select(
+        *SHEET, "sheet", "r", F.transform("_cells", lambda x: F.coalesce(x["v"], F.lit(""))).alias("cells"),
+        F.transform("_cells", lambda x: x["n"]).alias("nums"),
     )
-    filled = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda c: F.coalesce(F.try_element_at("_m", c), F.lit("")))
-    return rows.select(*SHEET, "sheet", "r", filled.alias("cells"))
 
 
 def split_populated(cells: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,4 +56,9 @@ def split_populated(cells: DataFrame, files: DataFrame) -> tuple[DataFrame, Data
 
 def cell_at(cells: Column, position: Column) -> Column:
     """Trimmed cell text, '' outside the row or at a missing column (position NULL or below 0)."""
-    return F.trim(F.coalesce(F.when(position >= 0, F.get(cells, position)), F.lit("")))
+    return js_trim(F.coalesce(F.when(position >= 0, F.get(cells, position)), F.lit("")))
+
+
+def number_at(nums: Column, position: Column) -> Column:
+    """The number of a numeric cell, NULL for text and outside the row."""
+    return F.when(position >= 0, F.get(nums, position))

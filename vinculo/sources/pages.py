@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import TEXT, TextConfig
-from ..functions.fold import SPACE_CLASS
+from ..functions.fold import js_trim
 from ..operators.scale import running_offset
 from .schemas import PAGES, struct
 
@@ -37,10 +37,6 @@ def one_page(pages: DataFrame, number: int = 1) -> DataFrame:
     return pages.filter(F.col("page_no") == number)
 
 
-def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-
-
 def trimmed_length(c: Column) -> Column:
     return F.length(js_trim(F.coalesce(c, F.lit(""))))
 
