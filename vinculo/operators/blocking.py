@@ -54,7 +54,7 @@ def similarity_keys_same_initial(c: Column, threshold: float, own_first: bool) -
 
     def level(p: int) -> Column:
         s = 3 * (threshold - 0.1 * p) / (1 - 0.1 * p) - 1
-        rest = F.translate(F.substring(c, p + 1, 1 << 20), LETTER_ORDER, SORT_LETTERS)
+        rest = F.translate(F.substring(c, F.lit(p + 1), n), LETTER_ORDER, SORT_LETTERS)
         ranked = F.array_sort(F.filter(F.split(rest, ""), lambda x: x != ""))
 
         def keys(letters: Column) -> Column:

@@ -10,10 +10,11 @@ from ..sources.registry import top_runs
 
 
 def dashboard(employees: DataFrame, companies: DataFrame, cities: DataFrame, runs: DataFrame, last_runs: int = 100) -> DataFrame:
-    """A-6. One row: active employees, companies, cities, documents, last run and success rate of the latest runs."""
-    latest = top_runs(runs.withColumn("_m", miss_count(F.col("unprocessed_data"))).groupBy("id").agg(
-        F.max("created_at").alias("created_at"), F.sum("pdf_count").alias("pdf_count"), F.sum("_m").alias("_m")
-    ), last_runs).agg(
+    """A-6. One row: active employees, companies, cities, documents, last run and success rate of the latest runs.
+
+    A run counts its misses in ``misses``; rows from elsewhere may hold them as JSON only.
+    """
+    latest = top_runs(runs.withColumn("_m", F.coalesce("misses", miss_count(F.col("unprocessed_data")))), last_runs).agg(
         F.coalesce(F.sum("pdf_count"), F.lit(0)).alias("documents"), F.max("created_at").alias("last_run"),
         F.coalesce(F.sum("_m"), F.lit(0)).alias("misses"),
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import extract, fold, present, roster, similarity
 from . import sqltext as S
-from .registered import big, query
+from .register import big, query
 from .tables import name_pairs, named_documents, receipt_pages, slip_pages, table
 
 DIGITS = "translate(text, 'oOiIsS', '001155')"

@@ -11,7 +11,7 @@ from ..sources import sinks
 from . import sqltext as S
 from .checks_functions import _PART, _RECEIPTS, _SCORE_CTES, _SLIPS, _employee_sql
 from .link_run import LinkRun, run_links
-from .registered import big, query
+from .register import big, query
 from .tables import (
     benchmark_employees, document_pages, named_documents, receipt_pages, slip_pages, table,
 )
@@ -503,13 +503,16 @@ def miss_export_search(spark, sf):
 
 
 @query(
-    f"""WITH {_REPORT} SELECT CAST((idx - 1) // 1000 AS BIGINT) AS part, count(*) AS n FROM rep GROUP BY 1"""
+    f"""WITH {_REPORT} SELECT sha256('u|2026-03-01 00:00:00') AS run_id, idx AS index, '{{"name":"User ' || user_id || '","reason":"' ||
+        CASE WHEN as_payee THEN '{C.REASON_AS_PAYEE}' WHEN in_text THEN '{C.REASON_IN_TEXT}' WHEN candidate IS NOT NULL
+            THEN 'SCORE BAIXO (0.10) (candidato: ' || candidate || ')' ELSE '{C.REASON_NONE}' END ||
+        '","closestCandidate":"' || coalesce(candidate, '{C.NO_CANDIDATE}') || '","foundInFullText":' || in_text || ',"foundAsFavorecido":' ||
+        as_payee || '}}' AS json FROM rep"""
 )
-def miss_history_parts(spark, sf):
-    """IO-12: the miss list of a run in JSON parts."""
-    from ..functions.present import miss_count
-
-    return sinks.misses_json(_report(spark, sf)).select(big("part").alias("part"), big(miss_count(F.col("unprocessed_data"))).alias("n"))
+def run_miss_rows(spark, sf):
+    """IO-12: the miss table of a run, each miss as it is exported."""
+    at = F.lit("2026-03-01").cast("timestamp")
+    return sinks.misses_json(sinks.run_miss_rows(_report(spark, sf), at, F.lit("u")))
 
 
 @query(

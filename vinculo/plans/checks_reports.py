@@ -2,15 +2,18 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import enrich, kpi, policy
 from ..operators.scale import shared_folder
 from ..sources import registry, sinks
+from ..sources.schemas import EMPLOYEE_RECORDS, struct
 from ..streaming import incremental
 from . import sqltext as S
 from .checks_functions import _employee_sql
-from .registered import big, query
+from .checks_roster import _CUST
+from .register import big, query
 from .tables import table
 
 # ---------------------------------------------------------------------------
@@ -171,12 +174,12 @@ def _runs(spark, sf):
     )
     return e.select(
         F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("user_id").alias("pdf_count"),
-        data.alias("unprocessed_data"),
+        F.lit(None).cast("int").alias("misses"), data.alias("unprocessed_data"),
     )
 
 
 @query(
-    f"""WITH {_RUNS}, top AS (SELECT * FROM runs ORDER BY created_at DESC LIMIT 100),
+    f"""WITH {_RUNS}, top AS (SELECT * FROM runs ORDER BY created_at DESC, id LIMIT 100),
     s AS (SELECT CAST(sum(pdf_count) AS BIGINT) AS documents, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_run,
         CAST(sum(CASE WHEN left(unprocessed_data, 1) = '[' THEN 2 ELSE 0 END) AS BIGINT) AS misses FROM top)
     SELECT (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS employees, (SELECT count(*) FROM nation) AS companies,
@@ -190,10 +193,10 @@ def dashboard_kpis(spark, sf):
     return d.withColumn("last_run", F.date_format("last_run", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT event_id, value FROM events ORDER BY ts DESC LIMIT 100")
+@query("SELECT event_id, value FROM events ORDER BY ts DESC, event_id LIMIT 100")
 def top_runs(spark, sf):
     """L-3, L-2."""
-    e = table(spark, sf, "events").withColumn("created_at", F.col("ts"))
+    e = table(spark, sf, "events").withColumns({"created_at": F.col("ts"), "id": F.col("event_id")})
     return registry.top_runs(e).select("event_id", "value")
 
 
@@ -339,13 +342,23 @@ def stream_extraction(spark, sf):
     return spark.read.schema(incremental.extract_slips(pages).schema).parquet(f"{folder}/out").drop("started_at")
 
 
+def _dropped_files(df, folder, part):
+    """A stream of ``df`` in several files, one per value of ``part``, later values first."""
+    for value in sorted((r[0] for r in df.select(part).distinct().collect()), reverse=True):
+        df.filter(F.col(part) == value).drop(part).coalesce(1).write.parquet(f"{folder}/in/{part}={value}")
+    return df.sparkSession.readStream.schema(df.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
 @query("SELECT upper(p_name) AS norm, min(p_partkey) AS entry_ord FROM part GROUP BY 1")
 def stream_first_seen(spark, sf):
-    """T-2."""
-    entries = _stream(spark, sf, "part").select(F.upper("p_name").alias("norm"), F.col("p_partkey").alias("entry_ord"))
+    """T-2: entries arrive in four files, those with smaller numbers last."""
+    entries = table(spark, sf, "part").select(
+        F.upper("p_name").alias("norm"), F.col("p_partkey").alias("entry_ord"), F.ntile(4).over(Window.orderBy("p_partkey")).alias("file")
+    )
     folder = _folder(spark)
-    _finish(incremental.first_seen_stream(entries, f"{folder}/out", f"{folder}/checkpoint"))
-    return spark.read.schema(entries.schema).parquet(f"{folder}/out").drop("batch")
+    stream = _dropped_files(entries, folder, "file")
+    _finish(incremental.first_seen_stream(stream, f"{folder}/out", f"{folder}/checkpoint"))
+    return incremental.current_rows(spark, f"{folder}/out", stream.schema)
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
@@ -356,27 +369,49 @@ def stale_states(spark, sf):
     return incremental.drop_stale(e, F.lit(now)).select("event_id")
 
 
+_UPLOADS = f"""{_CUST}, up AS (SELECT *, c_custkey % 3 AS k, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS upload FROM cust WHERE n_nationkey % 5 <> 0),
+    g AS (SELECT upload, {S.fold('seg')} AS empresa, {S.fold('nat')} AS cidade, {S.fold('person')} || CASE k WHEN 2 THEN ' NETO' ELSE '' END AS nome,
+        min_by(c_custkey, c_custkey) AS first_key, max_by(c_custkey, c_custkey) AS last_key, max(c_custkey) FILTER (WHERE c_custkey % 4 <> 0) AS paid_key
+        FROM up WHERE upload = 0 OR n_nationkey % 2 = 0 GROUP BY ALL),
+    j AS (SELECT coalesce(a.empresa, b.empresa) AS empresa, coalesce(a.cidade, b.cidade) AS cidade, coalesce(a.nome, b.nome) AS nome,
+        a.first_key AS a_key, b.first_key AS b_first, b.last_key AS b_last, coalesce(b.paid_key, a.paid_key) AS paid_key
+        FROM (SELECT * FROM g WHERE upload = 0) a FULL JOIN (SELECT * FROM g WHERE upload = 1) b USING (empresa, cidade, nome))"""
+
+
 @query(
-    """SELECT coalesce(c.c_custkey, s.s_suppkey) AS id, coalesce(s.s_acctbal, c.c_acctbal) AS balance FROM customer c
-    FULL JOIN supplier s ON c.c_custkey = s.s_suppkey"""
+    f"""WITH {_UPLOADS} SELECT empresa, cidade, nome AS nome_normalizado,
+        'K' || CASE WHEN b_last IS NULL THEN a_key % 2 WHEN a_key IS NULL THEN b_first % 2 ELSE b_last % 2 END AS contrato,
+        b_last IS NOT NULL OR cidade NOT IN (SELECT cidade FROM g WHERE upload = 1) AS ativo, CAST(paid_key AS DOUBLE) AS salario FROM j"""
 )
 def stream_merge(spark, sf):
-    """T-4: supplier balances arrive as uploads and are merged into the snapshot of customer balances."""
-    uploads = _stream(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("fresh"))
-
-    def base(s):
-        return table(s, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
-
-    def merge(current, batch):
-        return current.join(batch, "id", "full").select("id", F.coalesce("fresh", "balance").alias("balance"))
-
+    """T-4: two uploads in two files, each merged by J-14 to J-16; the second one covers cities of even nations only."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).filter("n_nationkey % 5 <> 0")
+    key = F.col("c_custkey")
+    given = {
+        "file": F.lit("u"), "row_ord": key, "empresa": F.initcap("c_mktsegment"), "cidade": F.initcap("n_name"),
+        "colaborador": F.concat_ws(" ", F.initcap("c_mktsegment"), F.initcap("n_name"), F.lit("da Silva"), F.when(key % 3 == 2, "Neto")),
+        "contrato": F.concat(F.lit("K"), (key % 2).cast("string")), "salario": F.when(key % 4 != 0, key),
+    }
+    # The folder with the higher number arrives first.
+    part = F.when(key % 3 == 0, F.lit(0)).otherwise(F.lit(1))
+    records = c.filter((key % 3 != 0) | (F.col("n_nationkey") % 2 == 0)).select(
+        *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(EMPLOYEE_RECORDS)], part.alias("upload")
+    )
     folder = _folder(spark)
-    _finish(incremental.merge_uploads(uploads, base, merge, f"{folder}/snapshots", f"{folder}/checkpoint"))
-    return incremental.latest_snapshot(spark, f"{folder}/snapshots")
+    stream = _dropped_files(records, folder, "upload")
+    _finish(incremental.merge_uploads(stream, f"{folder}/registry", f"{folder}/checkpoint", F.lit("2026-01-01").cast("timestamp")))
+    t = incremental.registry_tables(spark, f"{folder}/registry")
+    company = t["empresas"].select(F.col("id").alias("empresa_id"), F.col("nome_normalizado").alias("empresa"))
+    city = t["municipios"].select(F.col("id").alias("municipio_id"), F.col("nome_normalizado").alias("cidade"))
+    paid = t["funcionarios_salario"].select(F.col("funcionario_id").alias("id"), F.col("salario").cast("double").alias("salario"))
+    return t["funcionarios"].join(company, "empresa_id").join(city, "municipio_id").join(paid, "id", "left").select(
+        "empresa", "cidade", "nome_normalizado", "contrato", "ativo", "salario"
+    )
 
 
 @query(
-    """SELECT sha256('u|' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')) AS id, CAST(count(*) AS BIGINT) AS total FROM orders"""
+    """SELECT sha256('u|' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S')) AS id, CAST(count(*) AS BIGINT) AS total, 'u' AS file_name,
+        0 AS total_empresas, 0 AS total_municipios, 0 AS funcionarios_novos, 0 AS funcionarios_atualizados, 0 AS funcionarios_removidos FROM orders"""
 )
 def upload_history(spark, sf):
     """IO-11."""
@@ -385,18 +420,20 @@ def upload_history(spark, sf):
         *[F.lit(0).alias(c) for c in ("empresas", "municipios", "novos", "atualizados", "removidos")],
     )
     row = sinks.upload_history_row(stats, F.lit("u"), F.col("at"))
-    return row.select("id", big("total_funcionarios").alias("total"))
+    return row.select("id", big("total_funcionarios").alias("total"), "file_name", *[
+        c for c in row.columns if c.startswith(("total_e", "total_m", "funcionarios_"))
+    ])
 
 
 @query(
-    """SELECT CAST(part AS BIGINT) AS part, 'u' AS user_id, CASE WHEN part = 0 THEN 10 ELSE 0 END AS pdf_count,
-        CASE WHEN part = 0 THEN 12 ELSE 0 END AS duration_seconds, 3 AS month, 2026 AS year, 'Março' AS month_name
-    FROM range(0, (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) FROM events)) t(part)"""
+    """SELECT sha256('u|2026-03-01 00:00:00') AS id, 'u' AS user_id, 10 AS pdf_count, 12 AS duration_seconds, 3 AS month, 2026 AS year,
+        'Março' AS month_name, CAST(count(*) AS INTEGER) AS misses FROM events"""
 )
 def run_history(spark, sf):
-    """IO-12: the history rows of a run whose misses are the events."""
+    """IO-12: the history row of a run whose misses are the events, written and read back."""
     from .checks_linkage import _report
 
-    return sinks.run_history_rows(_report(spark, sf), 10, 12345, F.lit("2026-03-01").cast("timestamp"), F.lit("u")).select(
-        big("part").alias("part"), "user_id", "pdf_count", "duration_seconds", "month", "year", "month_name"
-    )
+    folder = f"{_folder(spark)}/processing_history"
+    sinks.append(sinks.run_history_row(_report(spark, sf), 10, 12345, F.lit("2026-03-01").cast("timestamp"), F.lit("u")), folder)
+    back = registry.read_registry(spark, folder.rpartition("/")[0], "processing_history")
+    return back.select("id", "user_id", "pdf_count", "duration_seconds", "month", "year", "month_name", "misses")

@@ -7,7 +7,7 @@ from ..operators import layouts, merge
 from ..operators.scale import carry_forward, materialize
 from ..sources import grids
 from . import sqltext as S
-from .registered import big, query
+from .register import big, query
 from .roster_import import import_workbooks
 from .tables import table, workbook_cells
 

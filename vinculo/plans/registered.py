@@ -1,34 +1,6 @@
-"""The queries registered with the driver, with their check SQL.
+"""All registered queries and their check SQL."""
 
-Every query reads whole driver tables (or rows Spark derives from them) and
-runs one operator of the library on them.
-"""
+from . import checks_functions, checks_linkage, checks_reports, checks_roster  # noqa: F401
+from .register import CHECKS, QUERIES
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
-
-
-def query(check: str | None = None):
-    """Register a query under its function name, with its check SQL if it has one."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if check is not None:
-            CHECKS[fn.__name__] = check
-        return fn
-
-    return add
-
-
-def big(c) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
-
-
-from . import checks_functions, checks_linkage, checks_roster, checks_reports  # noqa: E402,F401
+__all__ = ["CHECKS", "QUERIES"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fold import fold_weak
+from ..operators.scale import number_rows
 from .schemas import REGISTRY, struct
 
 
@@ -44,23 +45,27 @@ def by_name(df: DataFrame, column: str = "nome") -> DataFrame:
 
 
 def newest_first(df: DataFrame, column: str = "created_at") -> DataFrame:
-    """L-2."""
-    return df.orderBy(F.desc(column))
+    """L-2. Rows of one time in order of their id."""
+    return df.orderBy(F.desc(column), "id")
 
 
 def top_runs(runs: DataFrame, n: int = 100) -> DataFrame:
     """L-3."""
-    return runs.orderBy(F.desc("created_at")).limit(n)
+    return newest_first(runs).limit(n)
 
 
 def page_slice(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """L-4. One page of a sorted list; a page behind the end shows the last page."""
+    """L-4. One page of a sorted list; a page behind the end shows the last page.
+
+    Rows are numbered by a range sort over all tasks, so a late page costs no
+    more than an early one and no task holds the rows before it.
+    """
+    numbered = number_rows(df, *order, name="_place")
     total = df.count()
     last = max(1, -(-total // size))
     shown = min(page, last)
-    return df.orderBy(*order).offset((shown - 1) * size).limit(size).withColumns(
-        {"page": F.lit(shown), "pages": F.lit(last), "total": F.lit(total)}
-    )
+    rows = numbered.filter(F.col("_place").between((shown - 1) * size + 1, shown * size)).drop("_place")
+    return rows.withColumns({"page": F.lit(shown), "pages": F.lit(last), "total": F.lit(total)})
 
 
 def preview(records: DataFrame, n: int = 20) -> tuple[DataFrame, Column]:

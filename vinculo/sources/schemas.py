@@ -36,7 +36,7 @@ REGISTRY = {
     ),
     "processing_history": (
         "id string, user_id string, created_at timestamp, pdf_count int, duration_seconds int, month int, year int, "
-        "month_name string, part int, unprocessed_data string"
+        "month_name string, misses int, unprocessed_data string"
     ),
     "user_roles": "user_id string, role string",
     "profiles": "user_id string, full_name string, created_at timestamp",

@@ -27,48 +27,36 @@ def upload_history_row(stats: DataFrame, file_name: Column, uploaded_at: Column)
     )
 
 
-def misses_json(misses: DataFrame, per_part: int = 1000) -> DataFrame:
-    """(part, unprocessed_data, n): the five history fields of the misses as JSON arrays.
-
-    A run may have any number of misses, so the array is cut into parts of
-    ``per_part`` misses in report order; together the parts hold all of them.
-    """
-    item = F.struct(
-        "index", "name", "reason", F.col("closest_candidate").alias("closestCandidate"),
-        F.col("found_in_full_text").alias("foundInFullText"), F.col("found_as_payee").alias("foundAsFavorecido"),
-    )
-    parts = misses.groupBy(F.floor((F.col("index") - 1) / per_part).cast("int").alias("part")).agg(
-        F.array_sort(F.collect_list(item)).alias("items")
-    )
-    bare = F.transform("items", lambda i: i.dropFields("index"))
-    return parts.select("part", F.to_json(bare).alias("unprocessed_data"), F.size("items").alias("n"))
-
-
-def run_history_rows(
-    misses: DataFrame, pdf_count: int, duration_ms: int, finished_at: Column, user_id: Column
-) -> DataFrame:
-    """IO-12. The history row of a run; ``unprocessed_data`` is NULL without misses.
-
-    Long miss lists continue in further rows of the same ``id`` with ``part`` above
-    0 and no counts, so sums over the table stay right.
-    """
-    spark = misses.sparkSession
-    parts = misses_json(misses).drop("n")
-    first = spark.range(1).select(F.lit(0).alias("part"))
-    rows = first.join(parts, "part", "full")
-    head = F.col("part") == 0
+def run_id(user_id: Column, finished_at: Column) -> Column:
+    return F.sha2(F.concat_ws("|", user_id, finished_at.cast("string")), 256)
+
+
+def run_history_row(misses: DataFrame, pdf_count: int, duration_ms: int, finished_at: Column, user_id: Column) -> DataFrame:
+    """IO-12. The one history row of a run, whatever the number of its misses."""
     month = F.month(finished_at)
-    return rows.select(
-        F.sha2(F.concat_ws("|", user_id, finished_at.cast("string")), 256).alias("id"),
-        user_id.alias("user_id"), finished_at.alias("created_at"),
-        F.when(head, F.lit(pdf_count)).otherwise(0).alias("pdf_count"),
-        F.when(head, F.round(F.lit(duration_ms) / 1000).cast("int")).otherwise(0).alias("duration_seconds"),
+    return misses.agg(F.count(F.lit(1)).cast("int").alias("misses")).select(
+        run_id(user_id, finished_at).alias("id"), user_id.alias("user_id"), finished_at.alias("created_at"),
+        F.lit(pdf_count).alias("pdf_count"), F.round(F.lit(duration_ms) / 1000).cast("int").alias("duration_seconds"),
         month.alias("month"), F.year(finished_at).alias("year"),
         F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), month).alias("month_name"),
-        "part", "unprocessed_data",
+        "misses", F.lit(None).cast("string").alias("unprocessed_data"),
     )
 
 
+def run_miss_rows(misses: DataFrame, finished_at: Column, user_id: Column) -> DataFrame:
+    """IO-12. The misses of a run as rows of the miss table, in report order by ``index``."""
+    return misses.select(
+        run_id(user_id, finished_at).alias("run_id"), "index", "name", "reason", F.col("closest_candidate").alias("closestCandidate"),
+        F.col("found_in_full_text").alias("foundInFullText"), F.col("found_as_payee").alias("foundAsFavorecido"),
+    )
+
+
+def misses_json(rows: DataFrame) -> DataFrame:
+    """(run_id, index, json): one JSON object per miss row, for export as JSON lines."""
+    fields = [c for c in rows.columns if c not in ("run_id", "index")]
+    return rows.select("run_id", "index", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def misses_for_export(misses: DataFrame) -> DataFrame:
     """IO-13 columns: fixed header, booleans as SIM / NÃO."""
     yes = lambda c: F.when(F.col(c), "SIM").otherwise("NÃO")

@@ -6,26 +6,52 @@ failure replaces its own output and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.extract import employee_name
 from ..functions.fold import fold_name_ocr
+from ..operators import merge
 from ..operators.linkage import first_seen
+from ..operators.scale import materialize
+from ..sources.schemas import REGISTRY, struct
+
+EMPLOYEES, SALARIES = struct(REGISTRY["funcionarios"]), struct(REGISTRY["funcionarios_salario"])
+
+BUCKETS = 64
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
 
+def _versions(spark: SparkSession, path: str, schema: StructType, before: int | None) -> DataFrame:
+    """Rows of the newest version of every bucket, of batches below ``before`` if given.
 
-def _read_before(spark: SparkSession, path: str, batch: int, schema) -> DataFrame | None:
-    """What earlier batches wrote."""
-    if batch == 0:
-        return None
-    return spark.read.schema(schema.add("batch", "long")).parquet(path).filter(F.col("batch") < batch).drop("batch")
+    A batch writes the buckets it touches as ``batch=n/bucket=b``; which versions
+    there are is known from folder names alone.
+    """
+    stored = StructType([*schema.fields, StructField("batch", LongType()), StructField("bucket", IntegerType())])
+    try:
+        rows = spark.read.schema(stored).parquet(path)
+    except AnalysisException:  # nothing written yet
+        return spark.createDataFrame([], stored).drop("batch")
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("batch")
+
+
+def _write_buckets(rows: DataFrame, path: str, batch: int) -> None:
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
 
 
-def _write_batch(df: DataFrame, path: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def current_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A bucketed table as the last batch left it."""
+    return _versions(spark, path, schema, None).select(*schema.fieldNames())
 
 
 def extract_slips(pages: DataFrame) -> DataFrame:
@@ -43,19 +69,20 @@ def resume_extraction(pages: DataFrame, out: str, checkpoint: str) -> StreamingQ
 
 
 def first_seen_stream(entries: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """T-2. Keep the first entry of every name over the whole run, without unbounded state.
+    """T-2. Keep the first entry of every name over the whole run, in whatever order files arrive.
 
-    A batch keeps its first entry per name and drops names that earlier batches
-    wrote. ``entries(norm, entry_ord, …)``.
+    ``entries(norm, entry_ord, …)``. Names are kept in buckets by hash; a batch
+    reads and rewrites the buckets of its names only. ``current_rows`` reads the result.
     """
     schema = entries.schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_seen(batch, "norm", "entry_ord").select(*schema.fieldNames())
-        earlier = _read_before(batch.sparkSession, out, batch_id, type(schema)(list(schema.fields)))
-        if earlier is not None:
-            fresh = fresh.join(earlier.select("norm"), "norm", "left_anti").select(*schema.fieldNames())
-        _write_batch(fresh, out, batch_id)
+        fresh = first_seen(batch, "norm", "entry_ord").select(*schema.fieldNames()).withColumn("bucket", bucket_of("norm"))
+        fresh = materialize(fresh, "first-seen")
+        held = _versions(batch.sparkSession, out, schema, batch_id)
+        held = held.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi")
+        both = first_seen(fresh.unionByName(held), "norm", "entry_ord")
+        _write_buckets(both.select(*schema.fieldNames(), "bucket"), out, batch_id)
 
     return (
         entries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -68,27 +95,47 @@ def drop_stale(states: DataFrame, now, hours: int = 24) -> DataFrame:
     return states.filter(F.unix_micros("started_at") >= F.unix_micros(now) - F.lit(hours * 3600 * 1_000_000))
 
 
-def stale_watermark(states: DataFrame, hours: int = 24) -> DataFrame:
-    """T-3 on a stream: state rows fall out once they are older than the limit."""
-    return states.withWatermark("started_at", f"{hours} hours").dropDuplicatesWithinWatermark(["id"])
+def merge_uploads(uploads: DataFrame, folder: str, checkpoint: str, now: Column) -> StreamingQuery:
+    """T-4. Merge arriving rosters (employee records) into the registry in ``folder``, one batch after the other.
 
-
-def merge_uploads(
-    uploads: DataFrame,
-    base: Callable[[SparkSession], DataFrame],
-    merge: Callable[[DataFrame, DataFrame], DataFrame],
-    snapshots: str,
-    checkpoint: str,
-) -> StreamingQuery:
-    """T-4. Merge arriving rosters one batch after the other; batch n reads snapshot n-1 and writes snapshot n.
-
-    Limit the source with ``maxFilesPerTrigger`` to merge file by file.
+    A batch is one upload (limit the source with ``maxFilesPerTrigger``) and runs
+    J-14 to J-16. Employees and salaries are bucketed by city, and only the
+    buckets of the upload's cities are read and written; companies and cities
+    grow by the rows a batch adds. A batch that is repeated after a failure
+    reads what was there before it and replaces its own output.
     """
 
+    def known(spark: SparkSession, name: str, before: int) -> DataFrame:
+        schema = StructType([*struct(REGISTRY[name]).fields, StructField("batch", LongType())])
+        try:
+            rows = spark.read.schema(schema).parquet(f"{folder}/{name}")
+        except AnalysisException:  # nothing written yet
+            rows = spark.createDataFrame([], schema)
+        return rows.filter(F.col("batch") < before).drop("batch")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = base(spark) if batch_id == 0 else spark.read.parquet(f"{snapshots}/batch={batch_id - 1}")
-        _write_batch(merge(current, batch), snapshots, batch_id)
+        records = materialize(batch, "upload")
+        if records.isEmpty():
+            return
+        dimensions = {}
+        for name, column in (("empresas", "empresa"), ("municipios", "cidade")):
+            held = materialize(known(spark, name, batch_id), name)
+            table, ids = merge.upsert_dimension(held, records.select(F.col(column).alias("nome"), "row_ord"), now)
+            dimensions[name] = materialize(ids, f"{name}-ids")
+            added = table.join(held.select("id"), "id", "left_anti")
+            columns = [F.col(f.name) if f.name in added.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in struct(REGISTRY[name])]
+            added.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        keyed = materialize(merge.keyed_records(records, dimensions["empresas"], dimensions["municipios"]), "keyed-records")
+        touched = F.broadcast(dimensions["municipios"].select(bucket_of("id").alias("bucket")).distinct())
+        employees = _versions(spark, f"{folder}/funcionarios", EMPLOYEES, batch_id).join(touched, "bucket", "left_semi").drop("bucket")
+        salaries = _versions(spark, f"{folder}/funcionarios_salario", SALARIES, batch_id).join(touched, "bucket", "left_semi").drop("bucket")
+        merged = materialize(merge.merge_employees(employees, keyed, dimensions["municipios"], now), "merged")
+        paid = merge.upsert_salaries(salaries, keyed, merged).join(
+            merged.select(F.col("id").alias("funcionario_id"), bucket_of("municipio_id").alias("bucket")), "funcionario_id"
+        )
+        _write_buckets(merged.select(*EMPLOYEES.fieldNames(), bucket_of("municipio_id").alias("bucket")), f"{folder}/funcionarios", batch_id)
+        _write_buckets(paid.select(*SALARIES.fieldNames(), "bucket"), f"{folder}/funcionarios_salario", batch_id)
 
     return (
         uploads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -96,8 +143,11 @@ def merge_uploads(
     )
 
 
-def latest_snapshot(spark: SparkSession, snapshots: str) -> DataFrame:
-    """The last snapshot written by ``merge_uploads``."""
-    table = spark.read.parquet(snapshots)
-    last = table.agg(F.max("batch")).first()[0]
-    return table.filter(F.col("batch") == last).drop("batch")
+def registry_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The registry as the last batch of ``merge_uploads`` left it."""
+    dimension = lambda name: spark.read.schema(struct(REGISTRY[name])).parquet(f"{folder}/{name}")
+    return {
+        "empresas": dimension("empresas"), "municipios": dimension("municipios"),
+        "funcionarios": current_rows(spark, f"{folder}/funcionarios", EMPLOYEES),
+        "funcionarios_salario": current_rows(spark, f"{folder}/funcionarios_salario", SALARIES),
+    }
