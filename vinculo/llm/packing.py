@@ -17,6 +17,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,10 @@ class WordIds:
     """Ids of whole texts from the tokenizers library, which sees every distinct stretch between blanks once.
 
     The vocabulary's normaliser and word pattern never join characters over a
-    blank or a line feed, so stretches can be encoded on their own. They are
-    handed over in one text, parted by a special token.
+    blank or a line feed, so stretches can be encoded on their own. Words of
+    letters, without a full stop or comma behind them, are handed over many at a
+    time with blanks between, and end where a token ends a word; other stretches
+    are parted by a special token.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,14 +59,40 @@ class WordIds:
         special = [(x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special]
         self.mark, self.mark_id = special[0]
         self.specials = [x for x, _ in special]
-        self.held: dict[str, bytes] = {}
+        self.held: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {c: self._ids(c).tobytes() for c in ".,"}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, fresh: list[str]) -> None:
-        for k in range(0, len(fresh), 5_000):
-            some = fresh[k : k + 5_000]
+    def _learn(self, fresh: set[str]) -> None:
+        plain: list[tuple[str, str, bytes]] = []
+        others: list[str] = []
+        for word in fresh:
+            core, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in ".," else (word, b"")
+            if core.isascii():
+                core = core.lower()
+            # A capital whose small letter is more than letters would give more than one word.
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                plain.append((word, core, mark))
+            else:
+                others.append(word)
+        cores = list({core for _, core, _ in plain} - self.cores.keys())
+        for k in range(0, len(cores), 5_000):
+            some = cores[k : k + 5_000]
+            ids = self._ids(" ".join(some))
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            self.cores.update((word, raw[a:b]) for word, a, b in zip(some, [0, *ends], ends, strict=False))
+            if len(ends) != len(some):
+                raise ValueError("words and their ends in the vocabulary don't agree")
+        self.held.update((word, self.cores[core] + mark) for word, core, mark in plain)
+        for k in range(0, len(others), 5_000):
+            some = others[k : k + 5_000]
             ids = self._ids(self.mark.join(some))
             marks = np.flatnonzero(ids == self.mark_id)
             raw = ids.tobytes()
@@ -73,14 +102,13 @@ class WordIds:
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null is empty."""
         # A text with a special token's string goes to the library as it is.
-        plain = [x is not None and not any(s in x for s in self.specials) for x in texts]
+        plain = [x is not None and not ("<" in x and any(s in x for s in self.specials)) for x in texts]
         words = [x.replace("\n", " ").split(" ") if ok else None for x, ok in zip(texts, plain, strict=True)]
-        fresh = {w for ws in words if ws for w in ws}
-        missing = fresh - self.held.keys()
-        if len(self.held) + len(missing) > _REMEMBERED:
-            self.held, missing = {"": b""}, fresh - {""}
-        self.held[""] = b""
-        self._learn(list(missing - {""}))
+        fresh = set().union(*(ws for ws in words if ws))
+        if len(self.held) > _REMEMBERED:
+            # What came first is what is most frequent.
+            self.held, self.cores = ({k: d[k] for k in islice(d, _REMEMBERED // 2)} for d in (self.held, self.cores))
+        self._learn(fresh - self.held.keys())
         get = self.held.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self._ids(x).tobytes() if x else b"" for x, ws in zip(texts, words, strict=True)]
 
