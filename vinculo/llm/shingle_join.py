@@ -21,8 +21,8 @@ shingles that the other lacks, which all steps below build on:
 4. **Verification.** In every list of documents with one signature, one hub is
    compared with the members outside its component and then leaves the list;
    lists within one component are finished. What is left after a few rounds is
-   compared member by member, in cells of bounded size. Comparisons are exact,
-   on the shingle sets.
+   compared member by member, in cells of bounded size, if the pair has as many
+   signatures in common as a link implies. Comparisons are exact, on the sets.
 
 No list, group or component is collected; the only driver values are counts.
 """
@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 
 from vinculo.llm import bytewords
 from vinculo.llm.common import MOST_SENT_IDS, column, int64s, map_slices, materialize
-from vinculo.operators.scale import cell_join
 
 _SEED_1, _SEED_2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -57,11 +56,12 @@ class JoinRules:
     singles: int = 8
     pairs: int = 64
     #: Rounds with one hub per list before the rest is compared member by member.
-    hub_rounds: int = 2
+    hub_rounds: int = 3
     #: Bytes of text behind one group of packed shingles.
     group_bytes: int = 4 << 20
-    #: Pairs per task for lists that need all of them.
-    cell_pairs: int = 100_000
+    #: Most documents and signatures on a side of a cell of the lists that need all their pairs.
+    cell_ids: int = 1500
+    cell_postings: int = 200_000
 
 
 def tau(n: int, percent: int = 80) -> int:
@@ -245,18 +245,19 @@ def _signed(sets: DataFrame, rules: JoinRules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
+            rows: tuple[list, list, list, list] = ([], [], [], [])
             lists = column(batch, "shared")
             frequency, token = (lists.flatten().field(k).to_pylist() for k in (0, 1))
             at = 0
             for doc, n, m in zip(column(batch, "id").to_pylist(), column(batch, "n").to_pylist(), pa.compute.list_value_length(lists).to_pylist(), strict=True):
-                own = signatures(n, list(set(zip(frequency[at : at + m], token[at : at + m], strict=True))), rules)
+                known = set(zip(frequency[at : at + m], token[at : at + m], strict=True))
+                own = signatures(n, list(known), rules)
                 at += m
-                for values, value in zip(rows, (own, [doc] * len(own), [n] * len(own)), strict=True):
+                for values, value in zip(rows, (own, [doc] * len(own), [n] * len(own), [len(known)] * len(own)), strict=True):
                     values.extend(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["sig", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["sig", "id", "n", "m"])
 
-    return materialize(shared.mapInArrow(run, "sig long, id long, n long"), "shingle-signatures")
+    return materialize(shared.mapInArrow(run, "sig long, id long, n long, m long"), "shingle-signatures")
 
 
 # --- 4. verification -------------------------------------------------------------------------------------------------
@@ -314,49 +315,126 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _close(one: str, other: str, percent: int) -> Column:
-    return F.lit(100) * F.least(one, other) >= F.lit(percent) * F.greatest(one, other)
+def _possible(percent: int) -> Column:
+    """Whether two sets of n and other_n shingles can overlap enough, given that m and other_m of them occur elsewhere at all."""
+    return F.lit(100 + percent) * F.least("m", "other_m") >= F.lit(percent) * (F.col("n") + F.col("other_n"))
 
 
 def _ordered(frame: DataFrame) -> DataFrame:
-    """Pairs (id, n, other, m) as distinct (a, b, na, nb) with a < b."""
+    """Pairs (id, n, other, other_n) as distinct (a, b, na, nb) with a < b."""
     first = F.col("id") < F.col("other")
     return frame.select(
         F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"),
-        F.when(first, F.col("n")).otherwise(F.col("m")).alias("na"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("nb"),
+        F.when(first, F.col("n")).otherwise(F.col("other_n")).alias("na"), F.when(first, F.col("other_n")).otherwise(F.col("n")).alias("nb"),
     ).distinct()
 
 
+def least_common(n: int, other_n: int, percent: int = 80) -> int:
+    """Signatures that a linked pair has in common at least.
+
+    With an overlap of o, the prefix that ends first lacks at most n - o of its
+    shingles in the other set, and tau + 1 removals are needed to destroy it.
+    """
+    overlap = -(-percent * (n + other_n) // (100 + percent))
+    return max(1, overlap + 1 - max(n - tau(n, percent), other_n - tau(other_n, percent)))
+
+
+def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
+    """Pairs across components of what the hubs left, each once: (id, n, other, other_n).
+
+    Lists are bundled by their largest component. Its outsiders meet all members
+    in cells of bounded size, where common signatures are counted, and pairs
+    with fewer than a linked pair has are left out, as are pairs one of which was
+    a hub of a common list; the counts of all other pairs are complete.
+    """
+    each = rest.groupBy("major", "id", "comp").agg(F.count(F.lit(1)).alias("sigs"))
+    outside = F.col("comp") != F.col("major")
+    parts = lambda ids, sigs: F.greatest(F.ceil(ids / rules.cell_ids), F.ceil(sigs / rules.cell_postings)).cast("int")
+    sizes = each.groupBy("major").agg(
+        parts(F.count_if(outside), F.sum(F.when(outside, F.col("sigs")).otherwise(0))).alias("rows"), parts(F.count(F.lit(1)), F.sum("sigs")).alias("cols")
+    )
+    bundles = max(1, math.ceil(rest.count() / rules.cell_postings))
+    split = (F.col("rows") > 1) | (F.col("cols") > 1)
+    keyed = rest.join(sizes.withColumns({"split": split, "bundle": F.when(split, F.col("major")).otherwise(F.pmod(F.xxhash64("major"), F.lit(bundles)))}), "major")
+    chunk = lambda of: F.pmod(F.xxhash64("id"), F.greatest(of, F.lit(1))).cast("int")
+    copies = lambda of: F.explode(F.sequence(F.lit(0), F.greatest(of, F.lit(1)) - 1))
+    names = ["split", "bundle", "row", "col"]
+    left = keyed.filter(outside).withColumns({"row": chunk(F.col("rows")), "col": copies(F.col("cols"))}).drop("rows", "cols")
+    right = keyed.withColumns({"col": chunk(F.col("cols")), "row": copies(F.col("rows"))}).drop("rows", "cols")
+    right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
+    percent = rules.percent
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int, int]] = []
+        lists: dict[int, dict[int, tuple[list, list, list, list]]] = {}
+        facts: dict[int, tuple[int, int, int]] = {}
+        for side, table, tail in ((0, a, ""), (1, b, "_")):
+            rows = zip(*(table.column(c + tail).to_pylist() for c in ("major", "sig", "id", "n", "m", "comp", "done")), strict=True)
+            for major, sig, doc, n, m, comp, done in rows:
+                lists.setdefault(major, {}).setdefault(sig, ([], [], [], []))[side + 2 * done].append(doc)
+                facts[doc] = (n, m, comp)
+        for own in lists.values():
+            rows_of, cols_of = ({doc: k for k, doc in enumerate(sorted({d for four in own.values() for d in four[side] + four[side + 2]}))} for side in (0, 1))
+            if not rows_of or not cols_of:
+                continue
+            counts, settled = np.zeros((len(rows_of), len(cols_of)), np.int32), np.zeros((len(rows_of), len(cols_of)), bool)
+            for x, y, hub_x, hub_y in own.values():
+                x, y, hub_x, hub_y = [rows_of[d] for d in x], [cols_of[d] for d in y], [rows_of[d] for d in hub_x], [cols_of[d] for d in hub_y]
+                if x and y:
+                    counts[np.ix_(x, y)] += 1
+                if hub_x:
+                    settled[np.ix_(hub_x, y + hub_y)] = True
+                if hub_y:
+                    settled[np.ix_(x + hub_x, hub_y)] = True
+            rows, cols = list(rows_of), list(cols_of)
+            (n, m, comp), (other_n, other_m, other_comp) = (np.array([facts[d] for d in ids], np.int64).T for ids in (rows, cols))
+            both = n[:, None] + other_n[None, :]
+            overlap = -(-percent * both // (100 + percent))
+            least = np.maximum(1, overlap + 1 - np.maximum.outer((percent * n + 99) // 100, (percent * other_n + 99) // 100))
+            keep = ~settled & (counts >= least) & (np.minimum.outer(m, other_m) >= overlap) & (comp[:, None] != other_comp[None, :])
+            found += [(rows[i], int(n[i]), cols[j], int(other_n[j])) for i, j in zip(*np.nonzero(keep), strict=True)]
+        columns = list(zip(*found, strict=True)) if found else [()] * 4
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "other", "other_n"])
+
+    cells = left.groupBy(*names).cogroup(right.groupBy(*[f"{c}_" for c in names]))
+    return cells.applyInArrow(meet, "id long, n long, other long, other_n long")
+
+
 def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
     """(id, comp) of the classes that are not the smallest of their component."""
     lists = _signed(sets, rules)
     comps = links = None
     for step in range(rules.hub_rounds + 1):
         if comps is None:
-            members = lists.withColumns({"comp": F.col("id"), "weight": F.lit(1)})
+            members = lists.withColumns({"comp": F.col("id"), "weight": F.lit(1), "done": F.lit(False)})
         else:
             weights = comps.groupBy("comp").agg((F.count(F.lit(1)) + 1).alias("weight"))
             labels = comps.unionByName(comps.select(F.col("comp").alias("id"), "comp").distinct()).join(weights, "comp")
             members = lists.join(labels, "id", "left").withColumns({"comp": F.coalesce("comp", "id"), "weight": F.coalesce("weight", F.lit(1))})
         # The hub comes from the smallest component, so that single outsiders of a large group leave first.
-        hub = F.min(F.struct("weight", F.xxhash64("id", F.lit(step)).alias("rank"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("hub_comp")))
-        mixed = members.groupBy("sig").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("weight", "comp")).alias("major"), hub.alias("hub")
-        ).filter("low < high")
+        as_other = [F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("comp").alias("hub_comp")]
+        hub = F.struct("weight", F.xxhash64("id", "sig").alias("rank"), *as_other)
+        waiting = lambda c: F.when(~F.col("done"), c)
+        state = members.groupBy("sig").agg(
+            (F.min(waiting(F.col("comp"))) < F.max(waiting(F.col("comp")))).alias("mixed"), F.max("done").alias("told"),
+            F.max(F.struct("weight", "comp")).alias("major"), F.min(waiting(hub)).alias("hub"),
+        ).withColumn("mixed", F.coalesce("mixed", F.lit(False))).filter("mixed or told")
+        columns = ["sig", "id", "n", "m", "comp", "done", "mixed"]
         if step < rules.hub_rounds:
-            lists = materialize(members.join(mixed.select("sig", "hub"), "sig").select("sig", "id", "n", "comp", "hub.other", "hub.m", "hub.hub_comp"), "shingle-lists")
-            meeting = lists.filter((F.col("comp") != F.col("hub_comp")) & _close("n", "m", rules.percent))
-            lists = lists.filter("id != other").select("sig", "id", "n")
+            lists = members.join(state.drop("major", "told"), "sig").select(*columns, "hub.other", "hub.other_n", "hub.other_m", "hub.hub_comp")
+            lists = materialize(lists, "shingle-lists")
+            meeting = lists.filter(F.col("mixed") & ~F.col("done") & (F.col("comp") != F.col("hub_comp")) & _possible(rules.percent))
+            finished = lists.filter("mixed").isEmpty()
+            # A hub that was compared stays in its list to tell which pairs are settled.
+            lists = lists.select("sig", "id", "n", "m", (F.col("done") | F.col("mixed") & (F.col("id") == F.col("other"))).alias("done"))
         else:
-            inside = materialize(members.join(mixed.select("sig", "major"), "sig").select("sig", "id", "n", "comp", F.col("major.comp").alias("major")), "shingle-rest")
-            others = inside.select("sig", F.col("id").alias("other"), F.col("n").alias("m"), F.col("comp").alias("hub_comp"))
-            meeting = cell_join(inside.filter("comp != major").drop("major"), others, ["sig"], rules.cell_pairs)
-            meeting = meeting.filter((F.col("comp") != F.col("hub_comp")) & _close("n", "m", rules.percent))
+            rest = members.join(state.drop("hub", "told"), "sig").select(*columns, F.col("major.comp").alias("major"))
+            meeting, finished = _rest_pairs(materialize(rest, "shingle-rest"), rules), False
         found = _verified(_ordered(meeting), sets, rules)
         if comps is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comps = components(links)
-        if step < rules.hub_rounds and lists.isEmpty():
+        if finished:
             break
     return comps
 
