@@ -3,11 +3,11 @@
 Documents become ids (with an end id), and only documents longer than a
 sequence are cut. Full pieces are sequences of their own. The others are dealt
 into groups of a bounded number of rows, whatever their ids, and each group is
-packed best fit first, longest first. A local search then takes documents out
-of the emptiest sequence: it moves one, exchanges one for a shorter one, or two
-for a shorter one, always so that the sum of squared fills rises, until the
-sequence is empty or no exchange is left. What stays open in all groups is
-packed again together, in rounds, so that the loss doesn't grow with the groups.
+packed best fit first, longest first. If fewer sequences might do, a local
+search goes on between underfull sequences: it moves a document, exchanges one
+for a shorter one, or two for a shorter one, always so that the sum of squared
+fills rises and sequences run empty. What stays open in all groups is packed
+again together, in rounds, so that the loss doesn't grow with the groups.
 """
 
 from __future__ import annotations
@@ -171,66 +171,52 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def swap_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
-    A step takes one or two items out of the emptiest bin and gives at most one
-    shorter item of another bin back; the steps end when the bin is empty, when
-    no exchange helps, or when the other bins' room can't take the bin.
+    A step takes one item out of an underfull bin into another one's room, or
+    exchanges one or two items for one shorter item of the other bin. Bins are
+    tried emptiest first, as long as a step helps them. The search ends when no
+    step helps any bin, or when no fewer bins could hold the items.
     """
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    while True:
-        open_ = [b for b, f in enumerate(fills) if 0 < f < capacity]
-        if len(open_) < 2:
-            break
-        source = min(open_, key=lambda b: (fills[b], b))
-        others = [b for b in open_ if b != source]
-        if sum(capacity - fills[b] for b in others) < fills[source]:
-            break
-        # Items that can be given back, among them none (length 0) for each bin.
-        give = np.array([(0, b, -1) for b in others] + [(lengths[i], b, i) for b in others for i in bins[b]], np.int64)
-        taken = list(bins[source])
-        if not _empty(taken, source, lengths, bins, fills, give, capacity):
-            break
-    return [b for b in bins if b]
-
-
-def _empty(items: list[int], source: int, lengths: list[int], bins: list[list[int]], fills: list[int], give: np.ndarray, capacity: int) -> bool:
-    """Run steps on one bin; undone and False if it can't be emptied."""
-    saved = {}
-    room = np.array([capacity - f for f in fills], np.int64)
-    while bins[source]:
-        best = (0, None)
+    least = -(-sum(lengths) // capacity)
+    bins = [list(b) for b in bins]
+    fills = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    open_ = np.flatnonzero(fills < capacity)
+    items = [i for b in open_ for i in bins[b]]
+    # What a bin can give back: one of its items, or nothing (the rows of length 0).
+    size = np.array([*(lengths[i] for i in items), *[0] * len(open_)], np.int64)
+    owner = np.array([*(b for b in open_ for _ in bins[b]), *open_], np.int64)
+    item = np.array([*items, *[-1] * len(open_)], np.int64)
+    row_of = {i: k for k, i in enumerate(items)}
+
+    def best_step(source: int) -> tuple[tuple[int, ...], int] | None:
+        best, step = 0, None
         own = bins[source]
-        singles = [(i,) for i in own]
-        pairs = [(i, j) for k, i in enumerate(own) for j in own[k + 1 :]]
-        for out in singles + pairs:
-            size = sum(lengths[i] for i in out)
-            net = size - give[:, 0]
-            ok = (net > 0) & (net <= room[give[:, 1]])
-            if len(out) == 2:
-                ok &= give[:, 2] >= 0
-            if ok.any():
-                fill = capacity - room[give[:, 1]]
-                gain = np.where(ok, 2 * net * (fill - fills[source] + net), 0)
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (int(gain[k]), (out, k))
-        if best[1] is None:
-            for b, old in saved.items():
-                bins[b] = old
-                fills[b] = sum(lengths[i] for i in old)
-            return False
-        out, k = best[1]
-        back, target, item = (int(x) for x in give[k])
-        for b in (source, target):
-            saved.setdefault(b, list(bins[b]))
-        bins[source] = [i for i in own if i not in out] + ([item] if item >= 0 else [])
-        bins[target] = [i for i in bins[target] if i != item] + list(out)
-        net = sum(lengths[i] for i in out) - back
-        fills[source] -= net
-        fills[target] += net
-        room[target] -= net
-        rows = [row for row in give.tolist() if row[2] != item or row[2] < 0] + [(lengths[i], target, i) for i in out]
-        give = np.array(rows, np.int64)
-    return True
+        room = np.where(owner == source, 0, capacity - fills[owner])
+        rise = fills[owner] - fills[source]
+        for out in [(i,) for i in own] + [(i, j) for k, i in enumerate(own) for j in own[k + 1 :]]:
+            net = sum(lengths[i] for i in out) - size
+            gain = np.where((net > 0) & (net <= room) & ((item >= 0) | (len(out) == 1)), net * (rise + net), 0)
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, step = int(gain[k]), (out, k)
+        return step
+
+    helped = True
+    while helped:
+        helped = False
+        for source in open_[np.argsort(fills[open_], kind="stable")].tolist():
+            while bins[source] and np.count_nonzero(fills) > least and (step := best_step(source)):
+                out, k = step
+                target, back = int(owner[k]), int(item[k])
+                bins[source] = [i for i in bins[source] if i not in out] + ([back] if back >= 0 else [])
+                bins[target] = [i for i in bins[target] if i != back] + list(out)
+                net = sum(lengths[i] for i in out) - int(size[k])
+                fills[source] -= net
+                fills[target] += net
+                owner[[row_of[i] for i in out]] = target
+                if back >= 0:
+                    owner[k] = source
+                helped = True
+    return [b for b in bins if b]
 
 
 def _pack_rows(pieces: DataFrame, groups: int, step: int, rules: PackRules) -> DataFrame:
