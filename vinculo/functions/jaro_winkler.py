@@ -11,6 +11,9 @@ from pyspark import cloudpickle
 # Ship these few functions with the job, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Characters of one side that are compared at a time.
+MATRIX_CELLS = 1 << 20
+
 
 def _char_matrix(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(v) for v in values], dtype=np.int64)
@@ -80,7 +83,13 @@ def jaro_winkler_series(left: pd.Series, right: pd.Series) -> pd.Series:
     a, b = left.to_numpy()[idx].tolist(), right.to_numpy()[idx].tolist()
     # Sub-batches of similar width keep the matrices small when one string is very long.
     order = sorted(range(len(a)), key=lambda i: max(len(a[i]), len(b[i])))
-    for lo in range(0, len(order), 2048):
-        part = order[lo : lo + 2048]
+    lo = 0
+    while lo < len(order):
+        hi = min(lo + 2048, len(order))
+        # Rows times width stays below a bound; a pair of very long strings goes alone.
+        while hi > lo + 1 and (hi - lo) * max(len(a[order[hi - 1]]), len(b[order[hi - 1]])) > MATRIX_CELLS:
+            hi = lo + (hi - lo) // 2
+        part = order[lo:hi]
         out[idx[part]] = jaro_winkler_batch([a[i] for i in part], [b[i] for i in part])
+        lo = hi
     return pd.Series(out).where(known, None)

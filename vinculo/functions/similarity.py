@@ -25,12 +25,6 @@ def within_edits(a: Column, b: Column, most: int) -> Column:
     return F.levenshtein(a, b, most) >= 0
 
 
-def close_first_names_by_edits(a: Column, b: Column, cfg: MatchConfig = MATCH) -> Column:
-    """The part of S-12 that needs no Jaro-Winkler."""
-    comparable = (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.least(F.length(a), F.length(b)) > 3)
-    return (a == b) | ((a != "") & (b != "") & comparable & within_edits(a, b, cfg.first_name_edits))
-
-
 def first_names_pass(a: Column, b: Column, jw: Column, cfg: MatchConfig = MATCH) -> Column:
     """S-12, given the Jaro-Winkler score of the two first names."""
     comparable = (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.least(F.length(a), F.length(b)) > 3)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import extract, fold, present, roster, similarity
+from ..operators.linkage import employees_from_slips
 from . import sqltext as S
 from .register import big, query
 from .tables import name_pairs, named_documents, receipt_pages, slip_pages, table
@@ -265,8 +266,7 @@ _VALID = (
 
 def _employee_sql(source: str, key: str) -> str:
     firsts = ", ".join(
-        _VALID.format(p=_re2(p), bad=_sql_list(C.NON_NAME_WORDS), starts=_sql_list(C.LEADING_PREPOSITIONS))
-        if False else _VALID.replace("{p}", _re2(p)).replace("{bad}", _sql_list(C.NON_NAME_WORDS)).replace(
+        _VALID.replace("{p}", _re2(p)).replace("{bad}", _sql_list(C.NON_NAME_WORDS)).replace(
             "{starts}", _sql_list(C.LEADING_PREPOSITIONS))
         for p, _ in C.SLIP_NAME_PATTERNS
     )
@@ -291,6 +291,26 @@ def employee_extract_slips(spark, sf):
     return s.select(F.col("page_no").cast("bigint").alias("doc_id"), extract.employee_name(F.col("text")).alias("name"))
 
 
+@query(
+    f"""WITH n AS ({_employee_sql(f"({_SLIPS})", "doc_id")}), o AS (SELECT {S.fold('n.name', repair=True)} AS norm, n.name,
+        CAST(substr(source, 4) AS BIGINT) * 8589934592 + doc_id % 2 * 4294967296 + doc_id AS emp_ord FROM n JOIN documents USING (doc_id)
+        WHERE n.name IS NOT NULL)
+    SELECT norm, min(emp_ord) AS emp_ord, min_by(name, emp_ord) AS name, min(emp_ord) % 4294967296 AS slip_page FROM o GROUP BY norm"""
+)
+def phased_slips(spark, sf):
+    """U-1, W-1: pages with native text (even numbers) come before those read by OCR in the first-seen order."""
+    found = employees_from_slips(slip_pages(spark, sf), F.col("page_no") % 2)
+    return found.select("norm", "emp_ord", "name", big("slip_page").alias("slip_page"))
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) || ' DA SILVA' AS names FROM customer")
+def payee_fallback(spark, sf):
+    """X-2, word by word: no anchor follows the label's name, which ends at a stop word, a sign or a digit."""
+    end = F.element_at(F.array(F.lit(" Sicredi 12 a"), F.lit(" ** lote 7"), F.lit(" x9 lote 7")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("Comprovante\u00a0Favorecido: "), F.initcap("c_mktsegment"), F.lit(" da Silva"), end)
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(extract.payee_names(text), "|").alias("names"))
+
+
 def _payee_sql(source: str, key: str) -> str:
     """Label pattern only: no page of the checked sources reaches the word-by-word fallback with two words."""
     pattern = extract._payee_pattern(C.PAYEE_LABELS, C.PAYEE_ANCHORS)
@@ -342,7 +362,7 @@ def substring_positions(spark, sf):
 
 @query(
     """SELECT o_orderkey, round(o_totalprice, 2) AS parsed, CAST(NULL AS DOUBLE) AS dash, CAST(0 AS DOUBLE) AS letters,
-        round(o_totalprice, 2) AS comma_only FROM orders"""
+        round(o_totalprice, 2) AS comma_only, o_totalprice * 100 AS number, round(o_totalprice, 2) AS odd_spaces FROM orders"""
 )
 def locale_number(spark, sf):
     o = table(spark, sf, "orders")
@@ -350,10 +370,10 @@ def locale_number(spark, sf):
     comma = F.replace(F.format_string("%.2f", "o_totalprice"), F.lit("."), F.lit(","))
     return o.select(
         "o_orderkey", roster.locale_number(brl).alias("parsed"),
-        roster.locale_number(F.substring("o_orderpriority", 2, 1)).alias("dash_or_blank"),
         roster.locale_number(F.lit("-")).alias("dash"), roster.locale_number(F.col("o_orderstatus")).alias("letters"),
-        roster.locale_number(comma).alias("comma_only"),
-    ).drop("dash_or_blank")
+        roster.locale_number(comma).alias("comma_only"), roster.locale_number(F.lit("7"), F.col("o_totalprice") * 100).alias("number"),
+        roster.locale_number(F.concat(F.lit("\u00a0R$\u00a0"), comma, F.lit("\u2003"))).alias("odd_spaces"),
+    )
 
 
 @query(

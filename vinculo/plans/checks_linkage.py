@@ -1,11 +1,13 @@
 """Registered queries: linkage, misses, page scans and statistics."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import extract
 from ..operators import linkage, misses
-from ..operators.scale import materialize
+from ..operators.scale import materialize, shared_folder
 from ..sources import pages as P
 from ..sources import sinks
 from . import sqltext as S
@@ -321,6 +323,14 @@ def numbered_payees(spark, sf):
 # Page scans
 # ---------------------------------------------------------------------------
 
+@query(f"SELECT 'slip-' || source AS file_id, doc_id AS page_no, s.text FROM ({_SLIPS}) s JOIN documents USING (doc_id)")
+def stored_pages(spark, sf):
+    """IO-1: pages written to the shared folder and scanned again."""
+    folder = f"{shared_folder(spark)}/vinculo/pages-{uuid.uuid4().hex}"
+    sinks.append(slip_pages(spark, sf), folder)
+    return P.read_pages(spark, folder).select("file_id", big("page_no").alias("page_no"), "text")
+
+
 @query(
     """SELECT doc_id, CAST(i AS BIGINT) AS page_no, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)"""
@@ -498,8 +508,11 @@ def miss_categories(spark, sf):
     SELECT * FROM t WHERE contains(lower("Nome"), 'user 1') OR contains(lower("Motivo"), 'user 1')"""
 )
 def miss_export_search(spark, sf):
-    """IO-13 columns of the misses a search finds (P-17)."""
-    return sinks.misses_for_export(misses.search_misses(_report(spark, sf), "User 1"))
+    """IO-13: the misses a search finds (P-17), as CSV written and read back."""
+    folder = f"{shared_folder(spark)}/vinculo/misses-{uuid.uuid4().hex}"
+    sinks.export_misses(misses.search_misses(_report(spark, sf), "User 1"), folder)
+    back = spark.read.option("header", True).option("escape", '"').csv(folder)
+    return back.withColumn("Página", F.col("Página").cast("int"))
 
 
 @query(

@@ -106,12 +106,15 @@ _OUT = (
 
 
 @query(
-    f"""WITH {_FILLED} SELECT {_OUT} AS out_file, max(link_ord) AS link_ord, count(*) - 1 AS collisions FROM fl GROUP BY 1"""
+    f"""WITH {_FILLED} SELECT {_OUT} AS out_file, max(link_ord) AS link_ord, count(*) - 1 AS collisions, 2026 AS year, 3 AS month,
+        'Março' AS month_name FROM fl GROUP BY 1"""
 )
 def output_manifest(spark, sf):
-    """IO-14, S-5, S-25, W-10."""
+    """IO-14, S-5, S-25, W-10: the manifest as written and read back."""
     filled = enrich.registry_fallback(_links(spark, sf), _active(spark, sf))
-    return enrich.manifest(filled, F.lit("2026-03-01").cast("timestamp")).select("out_file", "link_ord", "collisions")
+    folder = f"{_folder(spark)}/manifest"
+    sinks.write_manifest(enrich.manifest(filled, F.lit("2026-03-01").cast("timestamp")), folder)
+    return spark.read.parquet(folder).select("out_file", "link_ord", "collisions", "year", "month", "month_name")
 
 
 @query(
