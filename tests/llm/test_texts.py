@@ -263,8 +263,10 @@ def test_linked_sets_always_share_a_signature():
 
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 150)] + [(200, 200), (300, 301), (300, 301)]
-    found = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 150)} | {301: 300}
+    for together in (1000, 0):
+        found = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long"), together).collect()}
+        assert found == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 150)} | {301: 300}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 # --- learning --------------------------------------------------------------------------------------------------------

@@ -56,7 +56,7 @@ class JoinRules:
     singles: int = 8
     pairs: int = 64
     #: Rounds with one hub per list before the rest is compared member by member.
-    hub_rounds: int = 3
+    hub_rounds: int = 2
     #: Bytes of text behind one group of packed shingles.
     group_bytes: int = 4 << 20
     #: Most documents and signatures on a side of a cell of the lists that need all their pairs.
@@ -145,7 +145,7 @@ def _packed(docs: DataFrame, rules: JoinRules, buckets: int) -> DataFrame:
 
         return one
 
-    return map_slices(docs, make, _PACKED)
+    return map_slices(docs, make, _PACKED, most=1 << 21)
 
 
 def _count_group(group: pa.Table) -> pa.Table:
@@ -198,7 +198,7 @@ def _class_sets(docs: DataFrame, classes: DataFrame, rules: JoinRules) -> DataFr
 
         return one
 
-    return materialize(map_slices(docs.join(named, "doc_id"), make, "id long, n long, tokens array<long>"), "shingle-sets")
+    return materialize(map_slices(docs.join(named, "doc_id"), make, "id long, n long, tokens array<long>", most=1 << 21), "shingle-sets")
 
 
 # --- 3. signatures ---------------------------------------------------------------------------------------------------
@@ -291,12 +291,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
     return materialize(linked, "shingle-links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a bounded set of links, by union-find with the smaller id on top."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            if low != high:
+                parent[high] = low
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names=["id", "comp"])
+
+
+def components(links: DataFrame, together: int = 1 << 20) -> DataFrame:
     """(id, comp) of every id in ``links`` (a, b) but the smallest of each component, which is ``comp``.
 
-    Alternates two steps that hang neighbours under the smallest one seen, until
+    Up to ``together`` links (16 MB, counted first) are joined in one task. More
+    are joined by steps that hang neighbours under the smallest one seen, until
     nothing changes; every step is an aggregate and a join on edges.
     """
+    if links.count() <= together:
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(_joined, "id long, comp long"), "shingle-stars")
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     before = None
     while True:
