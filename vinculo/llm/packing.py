@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from vinculo.llm.common import column, map_slices, materialize
 
 #: Words remembered per task; only speed depends on it.
-_REMEMBERED = 500_000
+_REMEMBERED = 700_000
+#: Signs that may follow a word; their run is a word of its own for the vocabulary.
+_SIGNS = ".,!?;:#$%&*"
 
 
 @dataclass(frozen=True)
@@ -47,9 +49,9 @@ class WordIds:
 
     The vocabulary's normaliser and word pattern never join characters over a
     blank or a line feed, so stretches can be encoded on their own. Words of
-    letters, without a full stop or comma behind them, are handed over many at a
-    time with blanks between, and end where a token ends a word; other stretches
-    are parted by a special token.
+    letters, without the signs behind them, are handed over many at a time with
+    blanks between, and end where a token ends a word; other stretches are parted
+    by a special token.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,7 +66,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {c: self._ids(c).tobytes() for c in ".,"}
+        self.signs: dict[str, bytes] = {"": b""}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -73,12 +75,15 @@ class WordIds:
         plain: list[tuple[str, str, bytes]] = []
         others: list[str] = []
         for word in fresh:
-            core, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in ".," else (word, b"")
+            core = word.rstrip(_SIGNS)
+            signs = word[len(core) :]
             if core.isascii():
                 core = core.lower()
             # A capital whose small letter is more than letters would give more than one word.
             if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-                plain.append((word, core, mark))
+                if signs not in self.signs:
+                    self.signs[signs] = self._ids(signs).tobytes()
+                plain.append((word, core, self.signs[signs]))
             else:
                 others.append(word)
         cores = list({core for _, core, _ in plain} - self.cores.keys())
@@ -90,7 +95,7 @@ class WordIds:
             self.cores.update((word, raw[a:b]) for word, a, b in zip(some, [0, *ends], ends, strict=False))
             if len(ends) != len(some):
                 raise ValueError("words and their ends in the vocabulary don't agree")
-        self.held.update((word, self.cores[core] + mark) for word, core, mark in plain)
+        self.held.update((word, self.cores[core] + signs) for word, core, signs in plain)
         for k in range(0, len(others), 5_000):
             some = others[k : k + 5_000]
             ids = self._ids(self.mark.join(some))
@@ -107,7 +112,7 @@ class WordIds:
         fresh = set().union(*(ws for ws in words if ws))
         if len(self.held) > _REMEMBERED:
             # What came first is what is most frequent.
-            self.held, self.cores = ({k: d[k] for k in islice(d, _REMEMBERED // 2)} for d in (self.held, self.cores))
+            self.held, self.cores, self.signs = ({k: d[k] for k in islice(d, _REMEMBERED // 2)} for d in (self.held, self.cores, self.signs))
         self._learn(fresh - self.held.keys())
         get = self.held.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self._ids(x).tobytes() if x else b"" for x, ws in zip(texts, words, strict=True)]
