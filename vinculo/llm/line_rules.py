@@ -55,6 +55,7 @@ class LineRules:
 
 
 _SEPARATORS = frozenset({"|", "||", "»", "›", ">", ">>", "•", "·", "/", "::"})
+_SYMBOLS = re.compile(r"[#*$%&<>|=~^!?]{2}")
 _SYMBOL_WORD = re.compile(r"[#*$%&<>|=~^]{2,}|[!?]{2,}$")
 _SENTENCE_END = re.compile(r"[.!?…:;。！？]")
 #: Phrases of page furniture in the languages of the corpus, lower case.
@@ -73,8 +74,7 @@ def line_fails(line: str, rules: LineRules) -> str | None:
     n = len(words)
     if not n:
         return None
-    symbols = _SYMBOL_WORD.search(line)
-    if symbols and sum(_SYMBOL_WORD.search(w) is not None for w in words) > rules.most_symbol_words * n:
+    if _SYMBOLS.search(line) and sum(_SYMBOL_WORD.search(w) is not None for w in words) > rules.most_symbol_words * n:
         return "symbols"
     if n >= 3:
         menu = sum(w in _SEPARATORS for w in words)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vinculo.llm import checks
 from vinculo.llm.common import held_out, table
 from vinculo.llm.factor_machine import fit_factor_machine, score_documents
 from vinculo.llm.host_paths import extract_pages
@@ -36,13 +37,13 @@ def query(check: str | None = None):
     return add
 
 
-@query()
+@query(checks.LINES)
 def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line rules and base counts of all documents."""
     return line_verdicts(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(checks.COMPONENTS)
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle counts and near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -88,7 +89,7 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_bytes(derivatives(responses_of_pages(table(spark, sf_dir, "pages"))))
 
 
-@query()
+@query(checks.ARTICLES)
 def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main texts of all pages by their hosts' winning paths."""
     return extract_pages(table(spark, sf_dir, "pages"))
