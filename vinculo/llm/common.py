@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,6 +18,23 @@ from vinculo.operators.scale import materialize
 MOST_SENT_IDS = 1 << 20
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that see this folder import the package from it; other clusters get it by ``--py-files``."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, *paths]))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with functions of this package."""
+    importable(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,7 +59,7 @@ def map_slices(
                 if (out := one(part)) is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def only_ids(df: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
@@ -71,4 +89,4 @@ def int64s(values: pa.Array) -> np.ndarray:
     return values.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-__all__ = ["MOST_SENT_IDS", "column", "crc_fold", "held_out", "int64s", "map_slices", "materialize", "only_ids", "table"]
+__all__ = ["MOST_SENT_IDS", "column", "crc_fold", "held_out", "importable", "int64s", "map_batches", "map_slices", "materialize", "only_ids", "table"]

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vinculo.llm.common import column, int64s, materialize
+from vinculo.llm.common import column, int64s, map_batches, materialize
 
 
 @dataclass(frozen=True)
@@ -153,7 +153,7 @@ def build_index(rows: DataFrame, rules: TreeRules = TreeRules()) -> MTree | None
                 nearest = _distances(lifted, routes).argmin(axis=1).astype(np.int32)
                 yield batch.append_column("route", pa.array(nearest))
 
-    routed = materialize(rows.select("vec_id", "x", "norm").mapInArrow(assign, "vec_id long, x array<long>, norm long, route int"), "vectors")
+    routed = materialize(map_batches(rows.select("vec_id", "x", "norm"), assign, "vec_id long, x array<long>, norm long, route int"), "vectors")
     # At most as many counts as there are routing objects.
     counts = sorted((r["route"], math.ceil(r["count"] / rules.shard)) for r in routed.groupBy("route").count().collect())
     first = np.concatenate([[0], np.cumsum([c for _, c in counts])]).tolist()
@@ -274,7 +274,7 @@ def search_index(tree: MTree, queries: DataFrame, k: int, rules: TreeRules = Tre
             least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(ids), -np.inf)
             yield batch.append_column("least", pa.array(least.astype(float)))
 
-    bounded = materialize(queries.select("query_id", "x").mapInArrow(bound, "query_id long, x array<long>, least double"), "tree-queries")
+    bounded = materialize(map_batches(queries.select("query_id", "x"), bound, "query_id long, x array<long>, least double"), "tree-queries")
     blocks = max(1, math.ceil(bounded.count() / rules.block))
     # Each block of queries meets each shard: the stated queries against all rows, in cells of bounded size.
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculo.llm.common import column, map_slices, materialize
+from vinculo.llm.common import column, map_batches, map_slices, materialize
 
 #: Words remembered per task; only speed depends on it.
 _REMEMBERED = 700_000
@@ -246,7 +246,7 @@ def _pack_rows(pieces: DataFrame, groups: int, step: int, rules: PackRules) -> D
         yield from rows.to_batches()
 
     plain = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return pieces.repartition(groups).mapInArrow(run, f"{plain}, sequence_id long, offset long, fill long")
+    return map_batches(pieces.repartition(groups), run, f"{plain}, sequence_id long, offset long, fill long")
 
 
 def pack_pieces(pieces: DataFrame, rules: PackRules = PackRules()) -> DataFrame:

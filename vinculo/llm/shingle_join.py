@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vinculo.llm import bytewords
-from vinculo.llm.common import MOST_SENT_IDS, column, int64s, map_slices, materialize
+from vinculo.llm.common import MOST_SENT_IDS, column, int64s, map_batches, map_slices, materialize
 
 _SEED_1, _SEED_2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -257,7 +257,7 @@ def _signed(sets: DataFrame, rules: JoinRules) -> DataFrame:
                     values.extend(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["sig", "id", "n", "m"])
 
-    return materialize(shared.mapInArrow(run, "sig long, id long, n long, m long"), "shingle-signatures")
+    return materialize(map_batches(shared, run, "sig long, id long, n long, m long"), "shingle-signatures")
 
 
 # --- 4. verification -------------------------------------------------------------------------------------------------
@@ -318,7 +318,7 @@ def components(links: DataFrame, together: int = 1 << 20) -> DataFrame:
     nothing changes; every step is an aggregate and a join on edges.
     """
     if links.count() <= together:
-        return materialize(links.select("a", "b").coalesce(1).mapInArrow(_joined, "id long, comp long"), "shingle-stars")
+        return materialize(map_batches(links.select("a", "b").coalesce(1), _joined, "id long, comp long"), "shingle-stars")
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     before = None
     while True:
