@@ -64,11 +64,14 @@ def payroll_headers(rows: DataFrame) -> DataFrame:
     """P-4. Per sheet its payroll header row and column positions.
 
     Code and name, or name and a salary or net column. Only sheets of three
-    rows or more count. Rows are tested for the deciding fields first; the full
+    rows or more count. Each row is folded once and searched for a name header;
+    only rows that may have one are tested for the deciding fields, and the full
     column map is only made for the header row found.
     """
     need = {f: C.PAYROLL_ALIASES[f] for f in ("codigo", "nome", "salario", "liquido")}
-    keyed = rows.withColumn("folded", folded_headers(F.col("cells"))).withColumn("k", _column_struct(F.col("folded"), need))
+    whole = fold_name(F.array_join("cells", " "))
+    named = let(whole, lambda t: reduce(Column.__or__, [t.contains(fold_constant(a)) for a in C.PAYROLL_ALIASES["nome"]]))
+    keyed = rows.filter(named).withColumn("folded", folded_headers(F.col("cells"))).withColumn("k", _column_struct(F.col("folded"), need))
     hit = (F.col("k.nome") >= 0) & ((F.col("k.codigo") >= 0) | (F.col("k.salario") >= 0) | (F.col("k.liquido") >= 0))
     long_enough = rows.groupBy(*SHEET).agg(F.max("r").alias("last_r")).filter("last_r >= 2").select(*SHEET)
     first = _first_row_with(keyed, hit, F.col("folded"), "folded")

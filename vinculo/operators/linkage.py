@@ -133,10 +133,13 @@ def payee_pairs(
     base = targets.select("norm", "f1", "s1", "bound", F.size("s1").alias("n1"))
 
     # (a) names without surnames: few distinct ones per first name.
-    bare_t = base.filter("n1 = 0").join(first, "f1").join(payees.select("f2", "payee", "first_ord"), "f2")
-    bare_p = (
-        payees.filter("size(s2) = 0").select("f2", "payee", "first_ord").join(first, "f2")
-        .join(base.filter("n1 > 0"), "f1")
+    bare_t = cell_join(
+        base.filter("n1 = 0").select("norm", "bound", "f1").join(first, "f1"), payees.select("f2", "payee", "first_ord"),
+        ["f2"], cfg.pairs_per_cell,
+    )
+    bare_p = cell_join(
+        payees.filter("size(s2) = 0").select("f2", "payee", "first_ord").join(first, "f2"),
+        base.filter("n1 > 0").select("norm", "bound", "f1"), ["f1"], cfg.pairs_per_cell,
     )
     out = [d.select("norm", "bound", "payee", "first_ord") for d in (bare_t, bare_p)]
 

@@ -360,7 +360,7 @@ def stream_first_seen(spark, sf):
     )
     folder = _folder(spark)
     stream = _dropped_files(entries, folder, "file")
-    _finish(incremental.first_seen_stream(stream, f"{folder}/out", f"{folder}/checkpoint"))
+    _finish(incremental.first_seen_stream(stream, f"{folder}/out", f"{folder}/checkpoint", buckets=8))
     return incremental.current_rows(spark, f"{folder}/out", stream.schema)
 
 
@@ -402,7 +402,7 @@ def stream_merge(spark, sf):
     )
     folder = _folder(spark)
     stream = _dropped_files(records, folder, "upload")
-    _finish(incremental.merge_uploads(stream, f"{folder}/registry", f"{folder}/checkpoint", F.lit("2026-01-01").cast("timestamp")))
+    _finish(incremental.merge_uploads(stream, f"{folder}/registry", f"{folder}/checkpoint", F.lit("2026-01-01").cast("timestamp"), buckets=8))
     t = incremental.registry_tables(spark, f"{folder}/registry")
     company = t["empresas"].select(F.col("id").alias("empresa_id"), F.col("nome_normalizado").alias("empresa"))
     city = t["municipios"].select(F.col("id").alias("municipio_id"), F.col("nome_normalizado").alias("cidade"))

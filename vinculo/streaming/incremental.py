@@ -24,8 +24,8 @@ EMPLOYEES, SALARIES = struct(REGISTRY["funcionarios"]), struct(REGISTRY["funcion
 BUCKETS = 64
 
 
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def _versions(spark: SparkSession, path: str, schema: StructType, before: int | None) -> DataFrame:
@@ -68,7 +68,7 @@ def resume_extraction(pages: DataFrame, out: str, checkpoint: str) -> StreamingQ
     )
 
 
-def first_seen_stream(entries: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def first_seen_stream(entries: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """T-2. Keep the first entry of every name over the whole run, in whatever order files arrive.
 
     ``entries(norm, entry_ord, …)``. Names are kept in buckets by hash; a batch
@@ -77,7 +77,7 @@ def first_seen_stream(entries: DataFrame, out: str, checkpoint: str) -> Streamin
     schema = entries.schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = first_seen(batch, "norm", "entry_ord").select(*schema.fieldNames()).withColumn("bucket", bucket_of("norm"))
+        fresh = first_seen(batch, "norm", "entry_ord").select(*schema.fieldNames()).withColumn("bucket", bucket_of("norm", buckets))
         fresh = materialize(fresh, "first-seen")
         held = _versions(batch.sparkSession, out, schema, batch_id)
         held = held.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi")
@@ -95,7 +95,7 @@ def drop_stale(states: DataFrame, now, hours: int = 24) -> DataFrame:
     return states.filter(F.unix_micros("started_at") >= F.unix_micros(now) - F.lit(hours * 3600 * 1_000_000))
 
 
-def merge_uploads(uploads: DataFrame, folder: str, checkpoint: str, now: Column) -> StreamingQuery:
+def merge_uploads(uploads: DataFrame, folder: str, checkpoint: str, now: Column, buckets: int = BUCKETS) -> StreamingQuery:
     """T-4. Merge arriving rosters (employee records) into the registry in ``folder``, one batch after the other.
 
     A batch is one upload (limit the source with ``maxFilesPerTrigger``) and runs
@@ -127,14 +127,14 @@ def merge_uploads(uploads: DataFrame, folder: str, checkpoint: str, now: Column)
             columns = [F.col(f.name) if f.name in added.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in struct(REGISTRY[name])]
             added.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
         keyed = materialize(merge.keyed_records(records, dimensions["empresas"], dimensions["municipios"]), "keyed-records")
-        touched = F.broadcast(dimensions["municipios"].select(bucket_of("id").alias("bucket")).distinct())
+        touched = F.broadcast(dimensions["municipios"].select(bucket_of("id", buckets).alias("bucket")).distinct())
         employees = _versions(spark, f"{folder}/funcionarios", EMPLOYEES, batch_id).join(touched, "bucket", "left_semi").drop("bucket")
         salaries = _versions(spark, f"{folder}/funcionarios_salario", SALARIES, batch_id).join(touched, "bucket", "left_semi").drop("bucket")
         merged = materialize(merge.merge_employees(employees, keyed, dimensions["municipios"], now), "merged")
         paid = merge.upsert_salaries(salaries, keyed, merged).join(
-            merged.select(F.col("id").alias("funcionario_id"), bucket_of("municipio_id").alias("bucket")), "funcionario_id"
+            merged.select(F.col("id").alias("funcionario_id"), bucket_of("municipio_id", buckets).alias("bucket")), "funcionario_id"
         )
-        _write_buckets(merged.select(*EMPLOYEES.fieldNames(), bucket_of("municipio_id").alias("bucket")), f"{folder}/funcionarios", batch_id)
+        _write_buckets(merged.select(*EMPLOYEES.fieldNames(), bucket_of("municipio_id", buckets).alias("bucket")), f"{folder}/funcionarios", batch_id)
         _write_buckets(paid.select(*SALARIES.fieldNames(), "bucket"), f"{folder}/funcionarios_salario", batch_id)
 
     return (
