@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,18 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+_in_worker: dict[Hashable, Any] = {}
+
+
+def held_in_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps for its later tasks; it keeps the last one only, so stages don't add up."""
+    if key not in _in_worker:
+        _in_worker.clear()
+        gc.collect()
+        _in_worker[key] = make()
+    return _in_worker[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +72,7 @@ def map_slices(
             for part in slices(batch, text, most):
                 if (out := one(part)) is not None and out.num_rows:
                     yield out
+        pa.default_memory_pool().release_unused()
 
     return map_batches(df, run, schema)
 
@@ -89,4 +104,4 @@ def int64s(values: pa.Array) -> np.ndarray:
     return values.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-__all__ = ["MOST_SENT_IDS", "column", "crc_fold", "held_out", "importable", "int64s", "map_batches", "map_slices", "materialize", "only_ids", "table"]
+__all__ = ["MOST_SENT_IDS", "column", "crc_fold", "held_in_worker", "held_out", "importable", "int64s", "map_batches", "map_slices", "materialize", "only_ids", "table"]

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculo.llm.bytewords import slices
-from vinculo.llm.common import column, map_batches, map_slices, materialize
+from vinculo.llm.common import column, held_in_worker, map_batches, map_slices, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words held per task before their counts are passed on, and word scores remembered per task.
-_FLUSH, _REMEMBERED = 400_000, 400_000
+_FLUSH, _REMEMBERED = 150_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -185,14 +185,9 @@ class _Scores(dict):
         self.rows = self.rows[: len(self)]
 
 
-_last: list[_Scores] = []
-
-
 def scores_of(model: LanguageModel) -> _Scores:
     """The scores of a model in this Python worker, which later tasks go on with."""
-    if not _last or _last[0].model.name != model.name:
-        _last[:] = [_Scores(model)]
-    return _last[0]
+    return held_in_worker(("language", model.name), lambda: _Scores(model))
 
 
 def predict_texts(texts: list[str | None], scores: _Scores, rules: LanguageRules) -> tuple[list[str], np.ndarray]:

@@ -12,7 +12,6 @@ again together, in rounds, so that the loss doesn't grow with the groups.
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -25,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vinculo.llm.common import column, map_batches, map_slices, materialize
+from vinculo.llm.common import column, held_in_worker, map_batches, map_slices, materialize
 
 #: Words remembered per task; only speed depends on it.
-_REMEMBERED = 700_000
+_REMEMBERED = 450_000
 #: Signs that may follow a word; their run is a word of its own for the vocabulary.
 _SIGNS = ".,!?;:#$%&*"
 
@@ -118,10 +117,9 @@ class WordIds:
         return [b"".join(map(get, ws)) if ws is not None else self._ids(x).tobytes() if x else b"" for x, ws in zip(texts, words, strict=True)]
 
 
-@functools.lru_cache(maxsize=1)
 def words_of(path: str) -> WordIds:
     """One encoder per Python worker, so that its words serve the worker's later tasks as well."""
-    return WordIds(path)
+    return held_in_worker(("packing", path), lambda: WordIds(path))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, rules: PackRules, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

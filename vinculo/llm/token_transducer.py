@@ -15,7 +15,6 @@ Chunk maps compose associatively, and a scan composes those of a text.
 
 from __future__ import annotations
 
-import functools
 import re
 from typing import NamedTuple
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from vinculo.llm.common import column, map_slices
+from vinculo.llm.common import column, held_in_worker, map_slices
 
 SPACE = "▁"
 #: Sizes at which remembered words, pairs and states are dropped and met anew; only speed depends on them.
@@ -179,10 +178,9 @@ class TokenCounter(dict):
         return self.tokens(" " + whole.head) + whole.count + (self.tokens(whole.tail) if whole.tail else 0)
 
 
-@functools.lru_cache(maxsize=1)
 def counter_of(path: str) -> TokenCounter:
     """One counter per Python worker, so that its words and states serve the worker's later tasks as well."""
-    return TokenCounter(path)
+    return held_in_worker(("transducer", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:

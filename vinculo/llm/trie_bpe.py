@@ -13,7 +13,6 @@ merges that built them; see ``MergeTable.may_meet``.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from array import array
@@ -23,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from vinculo.llm.common import column, map_slices
+from vinculo.llm.common import column, held_in_worker, map_slices
 
 _NEVER = 1 << 60
 #: Words and pairs remembered per task; only speed depends on them.
-_REMEMBERED = 500_000
+_REMEMBERED = 400_000
 _SHORT = 16
 
 
@@ -212,10 +211,9 @@ class TrieCodec:
         return b"".join([of.get(i, b"") for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=1)
 def codec_of(path: str) -> TrieCodec:
     """One codec per Python worker, so that its words serve the worker's later tasks as well."""
-    return TrieCodec(path)
+    return held_in_worker(("trie", path), lambda: TrieCodec(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", digest_only: bool = False) -> DataFrame:
