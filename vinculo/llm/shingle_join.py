@@ -61,7 +61,7 @@ class JoinRules:
     group_bytes: int = 4 << 20
     #: Most documents and signatures on a side of a cell of the lists that need all their pairs.
     cell_ids: int = 1500
-    cell_postings: int = 200_000
+    cell_postings: int = 100_000
 
 
 def tau(n: int, percent: int = 80) -> int:
@@ -244,7 +244,8 @@ def _signed(sets: DataFrame, rules: JoinRules) -> DataFrame:
     shared = each.join(often, "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Few rows at a time: their lists become Python numbers.
+        for batch in (whole.slice(k, 200) for whole in batches for k in range(0, whole.num_rows, 200)):
             rows: tuple[list, list, list, list] = ([], [], [], [])
             lists = column(batch, "shared")
             frequency, token = (lists.flatten().field(k).to_pylist() for k in (0, 1))

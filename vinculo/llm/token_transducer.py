@@ -26,7 +26,7 @@ from vinculo.llm.common import column, held_in_worker, map_slices
 
 SPACE = "▁"
 #: Sizes at which remembered words, pairs and states are dropped and met anew; only speed depends on them.
-_WORDS, _PAIRS, _STATES = 400_000, 1_000_000, 300_000
+_WORDS, _PAIRS, _STATES = 400_000, 500_000, 300_000
 CHUNK = 1 << 16
 
 
