@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from vinculo.llm import bytewords
 from vinculo.llm.common import MOST_SENT_IDS, column, int64s, map_batches, map_slices, materialize
 
+_SALTS = 64
 _SEED_1, _SEED_2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -378,7 +379,10 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
     )
     bundles = max(1, math.ceil(rest.count() / rules.cell_postings))
     split = (F.col("rows") > 1) | (F.col("cols") > 1)
-    keyed = rest.join(sizes.withColumns({"split": split, "bundle": F.when(split, F.col("major")).otherwise(F.pmod(F.xxhash64("major"), F.lit(bundles)))}), "major")
+    sizes = sizes.withColumns({"split": split, "bundle": F.when(split, F.col("major")).otherwise(F.pmod(F.xxhash64("major"), F.lit(bundles)))})
+    # A component may hold most rows: its one row of sizes is copied to several keys.
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    keyed = rest.withColumn("salt", F.pmod(F.xxhash64("id", "sig"), F.lit(_SALTS)).cast("int")).join(salted, ["major", "salt"]).drop("salt")
     chunk = lambda of: F.pmod(F.xxhash64("id"), F.greatest(of, F.lit(1))).cast("int")
     copies = lambda of: F.explode(F.sequence(F.lit(0), F.greatest(of, F.lit(1)) - 1))
     names = ["split", "bundle", "row", "col"]
