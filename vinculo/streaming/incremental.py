@@ -19,7 +19,10 @@ from ..operators.linkage import first_seen
 from ..operators.scale import materialize
 from ..sources.schemas import REGISTRY, struct
 
-EMPLOYEES, SALARIES = struct(REGISTRY["funcionarios"]), struct(REGISTRY["funcionarios_salario"])
+
+def _schema(table: str) -> StructType:
+    return struct(REGISTRY[table])
+
 
 BUCKETS = 64
 
@@ -128,14 +131,14 @@ def merge_uploads(uploads: DataFrame, folder: str, checkpoint: str, now: Column,
             added.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
         keyed = materialize(merge.keyed_records(records, dimensions["empresas"], dimensions["municipios"]), "keyed-records")
         touched = F.broadcast(dimensions["municipios"].select(bucket_of("id", buckets).alias("bucket")).distinct())
-        employees = _versions(spark, f"{folder}/funcionarios", EMPLOYEES, batch_id).join(touched, "bucket", "left_semi").drop("bucket")
-        salaries = _versions(spark, f"{folder}/funcionarios_salario", SALARIES, batch_id).join(touched, "bucket", "left_semi").drop("bucket")
+        employees = _versions(spark, f"{folder}/funcionarios", _schema("funcionarios"), batch_id).join(touched, "bucket", "left_semi").drop("bucket")
+        salaries = _versions(spark, f"{folder}/funcionarios_salario", _schema("funcionarios_salario"), batch_id).join(touched, "bucket", "left_semi").drop("bucket")
         merged = materialize(merge.merge_employees(employees, keyed, dimensions["municipios"], now), "merged")
         paid = merge.upsert_salaries(salaries, keyed, merged).join(
             merged.select(F.col("id").alias("funcionario_id"), bucket_of("municipio_id", buckets).alias("bucket")), "funcionario_id"
         )
-        _write_buckets(merged.select(*EMPLOYEES.fieldNames(), bucket_of("municipio_id", buckets).alias("bucket")), f"{folder}/funcionarios", batch_id)
-        _write_buckets(paid.select(*SALARIES.fieldNames(), "bucket"), f"{folder}/funcionarios_salario", batch_id)
+        _write_buckets(merged.select(*_schema("funcionarios").fieldNames(), bucket_of("municipio_id", buckets).alias("bucket")), f"{folder}/funcionarios", batch_id)
+        _write_buckets(paid.select(*_schema("funcionarios_salario").fieldNames(), "bucket"), f"{folder}/funcionarios_salario", batch_id)
 
     return (
         uploads.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
@@ -148,6 +151,6 @@ def registry_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     dimension = lambda name: spark.read.schema(struct(REGISTRY[name])).parquet(f"{folder}/{name}")
     return {
         "empresas": dimension("empresas"), "municipios": dimension("municipios"),
-        "funcionarios": current_rows(spark, f"{folder}/funcionarios", EMPLOYEES),
-        "funcionarios_salario": current_rows(spark, f"{folder}/funcionarios_salario", SALARIES),
+        "funcionarios": current_rows(spark, f"{folder}/funcionarios", _schema("funcionarios")),
+        "funcionarios_salario": current_rows(spark, f"{folder}/funcionarios_salario", _schema("funcionarios_salario")),
     }
