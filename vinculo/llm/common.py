@@ -20,15 +20,19 @@ from vinculo.operators.scale import materialize
 MOST_SENT_IDS = 1 << 20
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers that see this folder import the package from it; other clusters get it by ``--py-files``."""
+    """Let Python workers that see this folder import the package from it (other clusters get it by ``--py-files``), in small batches."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, *paths]))
+    # Rows here are whole texts: the default of 10,000 a batch is tens of megabytes on each side of every task.
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -27,7 +27,7 @@ from vinculo.llm.common import column, held_in_worker, map_batches, map_slices,
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words held per task before their counts are passed on, and word scores remembered per task.
-_FLUSH, _REMEMBERED = 150_000, 200_000
+_FLUSH, _REMEMBERED = 150_000, 150_000
 
 
 @dataclass(frozen=True)

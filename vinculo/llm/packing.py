@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vinculo.llm.common import column, held_in_worker, map_batches, map_slices, materialize
 
 #: Words remembered per task; only speed depends on it.
-_REMEMBERED = 450_000
+_REMEMBERED = 300_000
 #: Signs that may follow a word; their run is a word of its own for the vocabulary.
 _SIGNS = ".,!?;:#$%&*"
 
@@ -61,7 +61,6 @@ class WordIds:
         self.mark, self.mark_id = special[0]
         self.specials = [x for x, _ in special]
         self.held: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -85,16 +84,17 @@ class WordIds:
                 plain.append((word, core, self.signs[signs]))
             else:
                 others.append(word)
-        cores = list({core for _, core, _ in plain} - self.cores.keys())
+        ids_of = {core: self.held[core] for _, core, _ in plain if core in self.held}
+        cores = list({core for _, core, _ in plain} - ids_of.keys())
         for k in range(0, len(cores), 5_000):
             some = cores[k : k + 5_000]
             ids = self._ids(" ".join(some))
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
-            self.cores.update((word, raw[a:b]) for word, a, b in zip(some, [0, *ends], ends, strict=False))
+            ids_of.update((word, raw[a:b]) for word, a, b in zip(some, [0, *ends], ends, strict=False))
             if len(ends) != len(some):
                 raise ValueError("words and their ends in the vocabulary don't agree")
-        self.held.update((word, self.cores[core] + signs) for word, core, signs in plain)
+        self.held.update((word, ids_of[core] + signs) for word, core, signs in plain)
         for k in range(0, len(others), 5_000):
             some = others[k : k + 5_000]
             ids = self._ids(self.mark.join(some))
@@ -111,7 +111,7 @@ class WordIds:
         fresh = set().union(*(ws for ws in words if ws))
         if len(self.held) > _REMEMBERED:
             # What came first is what is most frequent.
-            self.held, self.cores, self.signs = ({k: d[k] for k in islice(d, _REMEMBERED // 2)} for d in (self.held, self.cores, self.signs))
+            self.held, self.signs = ({k: d[k] for k in islice(d, _REMEMBERED // 2)} for d in (self.held, self.signs))
         self._learn(fresh - self.held.keys())
         get = self.held.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self._ids(x).tobytes() if x else b"" for x, ws in zip(texts, words, strict=True)]
