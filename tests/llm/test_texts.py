@@ -238,6 +238,38 @@ def test_components_equal_all_pairs(docs, nothing):
     assert near_duplicates(nothing).collect() == []
 
 
+def overlapping_lists(seed):
+    """Sets of words: linked pairs whose two rarest common words each stand in five other sets, which link with nothing."""
+    rng = random.Random(seed)
+    rows = []
+    for block in range(4):
+        core, filler = [f"w{block}x{k}" for k in range(9)], [f"f{block}y{k}" for k in range(90)]
+        sets = [[*core, f"x{block}"], [*core, f"y{block}"]]
+        sets += [[core[k % 2], *filler[9 * k : 9 * k + 9]] for k in range(10)]
+        # All other words are in more sets than the two rare ones.
+        sets += [[*core[2:], f"g{block}z{j}"] for j in range(8)]
+        sets += [[filler[k], filler[(k + d) % 90]] for k in range(90) for d in (10, 20, 30, 40)]
+        rows += [(1000 * block + i, " ".join(x)) for i, x in zip(rng.sample(range(1000), len(sets)), sets, strict=True)]
+    return rows
+
+
+def test_common_signatures_are_counted_over_all_lists(spark):
+    for seed, hubs in ((0, 0), (1, 0), (0, 1)):
+        rows = overlapping_lists(seed)
+        sets = {doc: frozenset(text.split()) for doc, text in rows}
+        want, ids = {d: d for d in sets}, sorted(sets)
+        for k, b in enumerate(ids):
+            for a in ids[:k]:
+                shared = len(sets[a] & sets[b])
+                if shared and overlaps(len(sets[a]), len(sets[b]), shared):
+                    x, y = sorted((want[a], want[b]))
+                    want = {d: x if c == y else c for d, c in want.items()}
+        assert sum(d != c for d, c in want.items()) == 4
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id: r.component_id for r in near_duplicates(docs, JoinRules(words=1, hub_rounds=hubs, share=1.0)).collect()}
+        assert found == want, (seed, hubs)
+
+
 def test_linked_sets_always_share_a_signature():
     rng = random.Random(2)
     for _ in range(1500):

@@ -367,9 +367,11 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
     """Pairs across components of what the hubs left, each once: (id, n, other, other_n).
 
     Lists are bundled by their largest component. Its outsiders meet all members
-    in cells of bounded size, where common signatures are counted, and pairs
-    with fewer than a linked pair has are left out, as are pairs one of which was
-    a hub of a common list; the counts of all other pairs are complete.
+    in cells of bounded size, where common signatures are counted. The common
+    lists of a pair may lie in several bundles, so counts are added up over the
+    cells before pairs with fewer than a linked pair has are left out; a cell
+    keeps back a count that the signatures of both in other bundles can't make
+    enough. Pairs one of which was a hub of a common list are settled there.
     """
     each = rest.groupBy("major", "id", "comp").agg(F.count(F.lit(1)).alias("sigs"))
     outside = F.col("comp") != F.col("major")
@@ -382,6 +384,9 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
     sizes = sizes.withColumns({"split": split, "bundle": F.when(split, F.col("major")).otherwise(F.pmod(F.xxhash64("major"), F.lit(bundles)))})
     # A component may hold most rows: its one row of sizes is copied to several keys.
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    # Waiting signatures of the ids that have them in several bundles.
+    spread = rest.filter(~F.col("done")).groupBy("id").agg(F.count(F.lit(1)).alias("waiting"), F.count_distinct("major").alias("majors"))
+    rest = rest.join(spread.filter("majors > 1").select("id", "waiting"), "id", "left")
     keyed = rest.withColumn("salt", F.pmod(F.xxhash64("id", "sig"), F.lit(_SALTS)).cast("int")).join(salted, ["major", "salt"]).drop("salt")
     chunk = lambda of: F.pmod(F.xxhash64("id"), F.greatest(of, F.lit(1))).cast("int")
     copies = lambda of: F.explode(F.sequence(F.lit(0), F.greatest(of, F.lit(1)) - 1))
@@ -392,21 +397,24 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
     percent = rules.percent
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int, int]] = []
+        found: list[tuple[int, ...]] = []
         lists: dict[int, dict[int, tuple[list, list, list, list]]] = {}
-        facts: dict[int, tuple[int, int, int]] = {}
+        facts: dict[int, tuple[int, int, int, int]] = {}
         for side, table, tail in ((0, a, ""), (1, b, "_")):
-            rows = zip(*(table.column(c + tail).to_pylist() for c in ("major", "sig", "id", "n", "m", "comp", "done")), strict=True)
-            for major, sig, doc, n, m, comp, done in rows:
+            rows = zip(*(table.column(c + tail).to_pylist() for c in ("major", "sig", "id", "n", "m", "comp", "done", "waiting")), strict=True)
+            for major, sig, doc, n, m, comp, done, waiting in rows:
                 lists.setdefault(major, {}).setdefault(sig, ([], [], [], []))[side + 2 * done].append(doc)
-                facts[doc] = (n, m, comp)
-        for own in lists.values():
+                facts[doc] = (n, m, comp, waiting or 0)
+        for major, own in lists.items():
             rows_of, cols_of = ({doc: k for k, doc in enumerate(sorted({d for four in own.values() for d in four[side] + four[side + 2]}))} for side in (0, 1))
             if not rows_of or not cols_of:
                 continue
             counts, settled = np.zeros((len(rows_of), len(cols_of)), np.int32), np.zeros((len(rows_of), len(cols_of)), bool)
+            here_x, here_y = np.zeros(len(rows_of), np.int64), np.zeros(len(cols_of), np.int64)
             for x, y, hub_x, hub_y in own.values():
                 x, y, hub_x, hub_y = [rows_of[d] for d in x], [cols_of[d] for d in y], [rows_of[d] for d in hub_x], [cols_of[d] for d in hub_y]
+                here_x[x] += 1
+                here_y[y] += 1
                 if x and y:
                     counts[np.ix_(x, y)] += 1
                 if hub_x:
@@ -414,17 +422,24 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
                 if hub_y:
                     settled[np.ix_(x + hub_x, hub_y)] = True
             rows, cols = list(rows_of), list(cols_of)
-            (n, m, comp), (other_n, other_m, other_comp) = (np.array([facts[d] for d in ids], np.int64).T for ids in (rows, cols))
+            (n, m, comp, waiting), (other_n, other_m, other_comp, other_waiting) = (np.array([facts[d] for d in ids], np.int64).T for ids in (rows, cols))
             both = n[:, None] + other_n[None, :]
             overlap = -(-percent * both // (100 + percent))
             least = np.maximum(1, overlap + 1 - np.maximum.outer((percent * n + 99) // 100, (percent * other_n + 99) // 100))
-            keep = ~settled & (counts >= least) & (np.minimum.outer(m, other_m) >= overlap) & (comp[:, None] != other_comp[None, :])
-            found += [(rows[i], int(n[i]), cols[j], int(other_n[j])) for i, j in zip(*np.nonzero(keep), strict=True)]
-        columns = list(zip(*found, strict=True)) if found else [()] * 4
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "other", "other_n"])
+            elsewhere = np.minimum.outer(np.maximum(waiting - here_x, 0), np.maximum(other_waiting - here_y, 0))
+            keep = ~settled & (counts > 0) & (counts + elsewhere >= least) & (np.minimum.outer(m, other_m) >= overlap) & (comp[:, None] != other_comp[None, :])
+            # Two outsiders meet twice, once in each order.
+            keep &= (other_comp == major)[None, :] | np.less.outer(np.array(rows), np.array(cols))
+            for i, j in zip(*np.nonzero(keep), strict=True):
+                (a, na), (b, nb) = sorted(((rows[i], int(n[i])), (cols[j], int(other_n[j]))))
+                found.append((a, na, b, nb, int(counts[i, j]), int(least[i, j])))
+        columns = list(zip(*found, strict=True)) if found else [()] * 6
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "other", "other_n", "common", "least"])
 
     cells = left.groupBy(*names).cogroup(right.groupBy(*[f"{c}_" for c in names]))
-    return cells.applyInArrow(meet, "id long, n long, other long, other_n long")
+    met = cells.applyInArrow(meet, "id long, n long, other long, other_n long, common long, least long")
+    whole = met.groupBy("id", "n", "other", "other_n").agg(F.sum("common").alias("common"), F.max("least").alias("least"))
+    return whole.filter("common >= least").select("id", "n", "other", "other_n")
 
 
 def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
