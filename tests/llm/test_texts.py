@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from vinculo.llm.factor_machine import FactorMachine, FactorRules, Features, fit_factor_machine, score_documents
 from vinculo.llm.language import fit_language_model, keep_languages, predict_languages
 from vinculo.llm.line_rules import LineRules, clean_documents, line_fails, line_verdicts
-from vinculo.llm.packing import PackRules, best_fit, pack_documents, swap_search
+from vinculo.llm.packing import PackRules, WordIds, best_fit, pack_documents, swap_search
 from vinculo.llm.shingle_join import JoinRules, components, least_common, near_duplicates, overlaps, signatures, tau
 from vinculo.llm.token_transducer import TokenCounter, count_tokens
 from vinculo.llm.trie_bpe import TrieCodec, encode_documents
@@ -186,6 +187,20 @@ def test_packing_is_whole_and_within_capacity(docs, nothing):
     assert pack_documents(nothing, WORDS, rules).collect() == []
 
 
+def test_letters_that_composition_takes_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    letters = [chr(c) for c in range(0x80, 0x20000) if chr(c).isalpha() and len(unicodedata.normalize("NFC", chr(c))) > 1]
+    assert {"\u0958", "\u09dc", "\u0a33", "\ufb1d"} <= set(letters)
+    texts = [f"plain {x}lam and a{x} {x}, here {x}{x}" for x in letters]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts]
+    assert WordIds(WORDS).encode_all(texts) == want
+    # Words that are taken for letters although the library parts them.
+    monkeypatch.setattr("vinculo.llm.packing._letters", lambda word: True)
+    assert WordIds(WORDS).encode_all(texts) == want
+
+
 def test_swaps_empty_bins_that_best_fit_leaves():
     lengths, bins = [6, 3, 5, 4, 2], [[0, 1], [2, 3], [4]]
     better = swap_search(lengths, [list(b) for b in bins], 10)
