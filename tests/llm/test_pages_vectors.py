@@ -86,6 +86,17 @@ def test_derivatives_are_linked_and_read_back(spark):
     assert warc.derivatives(odd.limit(0)).collect() == []
 
 
+def test_a_head_without_its_end_tag_ends_where_the_page_starts():
+    head = '<!DOCTYPE html><html><head lang=en><meta charset=utf-8><title>T</title><link rel=x href=y><!-- c --><style>p{}</style><script>var a="<p>";</script>'
+    for start in ("", "</head>", "</head><body>", "<body class=x>", "</HEAD ><header>h</header>"):
+        assert warc.plain_text(f"{head}\n{start}<p>One<p>two</html>").split("\n")[-2:] == ["One", "two"]
+        assert warc.plain_text(f"{head}\n{start}<p>One").removeprefix("h\n") == "One"
+    assert warc.plain_text(head + "bare text") == "bare text"
+    assert warc.plain_text("<head><title>T<body><p>One") == warc.plain_text("<head><script>x</head><p>One") == "One"
+    assert warc.plain_text("<header>h</header><p>One") == "h\nOne"
+    assert warc.plain_text("<head>" + "<title>x" * 2000) == ""
+
+
 def plain_top(vectors, k):
     x = {i: np.floor(64 * np.array(v, float)).astype(int) for i, v in vectors.items()}
     out = {}

@@ -36,7 +36,12 @@ RECORD = (
     "block_digest string, payload_digest string, headers map<string,string>, block string"
 )
 
-_DROPPED = re.compile(r"<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.IGNORECASE | re.DOTALL)
+#: The head with what may stand in it; its end tag may be left out, then it ends before anything else.
+_HEAD = (
+    r"<head(?:\s[^>]*|/)?>(?:\s+|<!--.*?(?:-->|\Z)|<![^>]*>|</?(?:meta|link|base|basefont|bgsound)\b[^>]*>"
+    r"|<(?P<inner>title|script|style|noscript|template)\b(?:.*?</(?P=inner)\s*>|.*?(?=</head\b|<body\b)|.*))*(?:</head\s*>)?"
+)
+_DROPPED = re.compile(rf"{_HEAD}|<(?P<outer>script|style|noscript|template)\b.*?(?:</(?P=outer)\s*>|\Z)|<!--.*?(?:-->|\Z)", re.IGNORECASE | re.DOTALL)
 _BREAK = re.compile(r"<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|main|nav|header|footer|aside|form|blockquote|pre|dd|dt)\b[^>]*|br\b[^>]*)>", re.IGNORECASE)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
@@ -83,7 +88,7 @@ def decode_payload(fields: dict[str, str], payload: bytes) -> str:
 
 
 def plain_text(page: str) -> str:
-    """The text of all of a page but scripts and styles, one line per block."""
+    """The text of all of a page but its head, scripts and styles, one line per block."""
     page = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub("\n", page)))
     return "\n".join(line for x in html.unescape(page).split("\n") if (line := one_line(x)))
 
