@@ -24,6 +24,26 @@ def test_furniture_goes_and_blocks_are_joined():
     assert text_of(read_page(source), None) == "Title First & para one. Second para. one two"
 
 
+def test_nested_articles_stay_whole(spark):
+    long = "A sentence of the story. " * 80
+    parts = {
+        "<h1>T</h1><div><p>%s</p></div>": "T %s", "<section class=intro>In short.</section><section class=story><p>%s</p></section>": "In short. %s",
+        "<div><div><h2>T</h2></div><div><div class=text-body>%s</div></div></div><p>End.</p>": "T %s End.",
+        "<figure><img src=x><figcaption>A caption.</figcaption></figure><p>%s<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds.": "A caption. %s So a=1 holds.",
+    }
+    rows, want = [], {}
+    for inner, text in parts.items():
+        for outer in ("<article>%s</article>", "<div id=page><main>%s</main><div class=box>Offer.</div></div>", "<div class=wrap>%s</div>"):
+            source = f"<html><body><nav>menu</nav>{outer % (inner % long)}<footer>f</footer></body></html>"
+            assert text_of(read_page(source), None) == text % long.strip()
+            k = len(rows)
+            rows.append((k, f"https://h{k}.example/", source, "h", "p", 0.0))
+            want[k] = text % long.strip()
+    assert {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, PAGE)).collect()} == want
+    many = "<article>" + "<section><div><p>Some short part.</p></div></section>" * 30 + "</article>"
+    assert text_of(read_page(f"<body>{many}<div class=box>{'filler text ' * 9}</div></body>"), None) == " ".join(["Some short part."] * 30)
+
+
 def test_unclosed_and_bare_pages():
     assert text_of(read_page("plain <b>text"), None) == "plain text"
     assert text_of(read_page(""), None) == ""

@@ -1,7 +1,8 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
-Every page's containers are scored by the text they hold outside links and page
-furniture, and the best one votes for its generalised path (tags with their
+Every page's outer containers (article or main, else those right inside the
+body) are scored by all the text they hold outside links and page furniture,
+however deep, and the best one votes for its generalised path (tags with their
 classes, numbers removed). Spark counts the votes of each host; each page is
 then extracted again from the containers on its host's winning path, or from its
 own best container where the page has none on it.
@@ -25,9 +26,9 @@ from vinculo.llm.common import MOST_SENT_IDS, column, map_slices, materialize
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 #: Elements whose content is not text of the page.
-_RAW = frozenset({"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "xmp"})
-_DROPPED = frozenset({"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "figcaption", "head"})
-_STRUCTURE = frozenset({"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "th", "ul", "ol", "dl", "center", "details", "figure", "blockquote"}) | _DROPPED
+_RAW = frozenset({"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "xmp"})
+_DROPPED = frozenset({"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "head"})
+_STRUCTURE = frozenset({"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "th", "ul", "ol", "dl", "center", "details", "figure", "figcaption", "blockquote"}) | _DROPPED
 _CONTAINERS = frozenset({"body", "div", "section", "article", "main", "td", "center"})
 _BLOCKS = _STRUCTURE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "br", "hr", "address", "summary", "caption", "option", "img"}
 _VOID = frozenset({"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"})
@@ -67,6 +68,8 @@ class Page:
     paths: list[str] = field(default_factory=list)
     scores: list[float] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
+    #: The outer container that each one counts to.
+    tops: list[int] = field(default_factory=list)
     #: (container number, text) in page order.
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
@@ -104,11 +107,20 @@ def read_page(source: str) -> Page:
     in_link = 0
     heading = False
 
-    def container(tag: str, path: str, names: str) -> int:
+    def kind_of(k: int) -> str:
+        return page.paths[k].rpartition(">")[2].partition(".")[0] if k >= 0 else ""
+
+    def container(tag: str, path: str) -> int:
         page.paths.append(path)
         page.scores.append(0.0)
-        page.parents.append(next((x.number for x in reversed(stack) if x.number >= 0), -1))
-        return len(page.paths) - 1
+        up = next((x.number for x in reversed(stack) if x.number >= 0), -1)
+        page.parents.append(up)
+        own = len(page.paths) - 1
+        outer = page.tops[up] if up >= 0 else -1
+        over = kind_of(outer)
+        first = outer < 0 or over == "body" or tag in ("article", "main") and over not in ("article", "main")
+        page.tops.append(own if first else outer)
+        return own
 
     def end_block() -> None:
         nonlocal text, length, link
@@ -119,9 +131,10 @@ def read_page(source: str) -> Page:
                 page.blocks.append((own, words))
                 if own >= 0 and length > link:
                     worth = (length - link) * (1.0 - link / max(length, 1))
-                    page.scores[own] += worth
-                    if (parent := page.parents[own]) >= 0:
-                        page.scores[parent] += 0.5 * worth
+                    top = page.tops[own]
+                    page.scores[top] += worth
+                    if (parent := page.parents[top]) >= 0:
+                        page.scores[page.tops[parent]] += 0.5 * worth
             text = []
         length = link = 0
 
@@ -195,7 +208,7 @@ def read_page(source: str) -> Page:
             own.comments = bool(up and up.comments) or bool(names) and _COMMENTS.search(names) is not None
             own.headings = bool(up and up.headings) or tag == "header" and not (up and up.dropped) and any(_is_main(x) for x in stack)
             if tag in _CONTAINERS and not own.dropped:
-                own.number = container(tag, path, names)
+                own.number = container(tag, path)
             stack.append(own)
     add(source[at:])
     end_block()
