@@ -106,6 +106,13 @@ def test_derivatives_are_linked_and_read_back(spark):
     assert warc.derivatives(odd.limit(0)).collect() == []
 
 
+def test_repeated_header_fields_are_all_kept():
+    block = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nVia: x\r\nset-cookie: b=2; Path=/\r\nVia: y\r\nContent-Type: text/html\r\n\r\n<p>One"
+    for record in warc.derive("<r>", "u", "d", {}, block):
+        headers = dict(record["headers"])
+        assert headers["Source-HTTP-set-cookie"] == "a=1, b=2; Path=/" and headers["Source-HTTP-via"] == "x, y" and headers["Source-HTTP-content-type"] == "text/html"
+
+
 def test_a_head_without_its_end_tag_ends_where_the_page_starts():
     head = '<!DOCTYPE html><html><head lang=en><meta charset=utf-8><title>T</title><link rel=x href=y><!-- c --><style>p{}</style><script>var a="<p>";</script>'
     for start in ("", "</head>", "</head><body>", "<body class=x>", "</HEAD ><header>h</header>"):

@@ -64,7 +64,10 @@ def one_line(value: str) -> str:
 
 
 def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, lower-case header fields and payload of an HTTP response; a block without a header is all payload."""
+    """Status line, lower-case header fields and payload of an HTTP response; a block without a header is all payload.
+
+    The values of a repeated field are joined by commas, in their order.
+    """
     if not block.startswith(b"HTTP/"):
         return "", {}, block
     head, found, payload = block.partition(b"\r\n\r\n")
@@ -75,7 +78,8 @@ def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     for line in lines:
         name, colon, value = line.partition(":")
         if colon:
-            fields[name.strip().lower()] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            fields[name] = f"{fields[name]}, {value}" if name in fields else value
     return status, fields, payload
 
 
