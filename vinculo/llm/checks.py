@@ -93,3 +93,68 @@ LINES = f"""
         NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_removed <= 0.5 * n_words AS kept
     FROM out
 """
+
+#: op12: shares of every kept term in every group, and all pairs of groups of a language.
+DIVERGENCE = """
+    WITH d AS (
+        SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+    ), t AS (
+        SELECT id, lang, source, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM d
+    ), kept AS (
+        SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+    ), sizes AS (
+        SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+    ), g AS (
+        SELECT DISTINCT lang, source FROM d
+    ), c AS (
+        SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+    ), own AS (
+        SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source
+    ), p AS (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+            CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(own.total, 0) + s.v) AS BIGINT) AS p,
+            CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (s.total + s.v) AS BIGINT) AS q
+        FROM g JOIN kept k ON g.lang = k.lang JOIN sizes s ON g.lang = s.lang
+            LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+            LEFT JOIN own ON own.lang = g.lang AND own.source = g.source
+    ), sums AS (
+        SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+        GROUP BY a.lang, a.source, b.source
+    ), every AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+    )
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+    FROM every
+    QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""
+
+#: op13: every anchor against all rows.
+NEGATIVES = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ), pairs AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+            CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+        WHERE a.vec_id % 100 = 0
+    ), positive AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positive JOIN pairs USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+"""

@@ -15,11 +15,14 @@ from vinculo.llm.host_paths import extract_pages
 from vinculo.llm.language import fit_language_model, predict_languages
 from vinculo.llm.line_rules import line_verdicts
 from vinculo.llm.mtree import top_k
+from vinculo.llm.multi_index import mine_negatives
 from vinculo.llm.packing import pack_documents
 from vinculo.llm.shingle_join import near_duplicates
+from vinculo.llm.source_audit import source_divergence
 from vinculo.llm.token_transducer import count_tokens
 from vinculo.llm.trie_bpe import encode_documents
 from vinculo.llm.warc import derivatives, record_bytes, responses_of_pages
+from vinculo.llm.window_cuts import window_pieces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -115,3 +118,22 @@ def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products for every vector whose id is divisible by 20."""
     return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op11_window_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in their order, cut into windows of at most 4096 tokens."""
+    return window_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(checks.DIVERGENCE)
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of a language, and the leading terms of each source."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query(checks.NEGATIVES)
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor's positives; every seventh row's label is shifted first."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
