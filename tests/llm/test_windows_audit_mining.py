@@ -51,7 +51,7 @@ def test_cuts_cost_what_the_plain_recurrence_says():
                 least[i] + costs[j] + window + (0 if (d := places[j] - places[i]) & (d - 1) == 0 else capacity - d)
                 for i in range(j) if places[j] - places[i] <= capacity
             )
-        assert plain_cost(places, costs, best_cuts(places, costs, capacity, window), capacity, window) == least[-1]
+        assert plain_cost(places, costs, best_cuts(np.array(places), costs, capacity, window), capacity, window) == least[-1]
 
 
 def stream_rows():

@@ -59,9 +59,10 @@ class WordIds:
     ends a word; other stretches are parted by a special token.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = _REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         special = [(x.content, i) for i, x in self.tokenizer.get_added_tokens_decoder().items() if x.special]
         self.mark, self.mark_id = special[0]
@@ -119,9 +120,9 @@ class WordIds:
         plain = [x is not None and not ("<" in x and any(s in x for s in self.specials)) for x in texts]
         words = [x.replace("\n", " ").split(" ") if ok else None for x, ok in zip(texts, plain, strict=True)]
         fresh = set().union(*(ws for ws in words if ws))
-        if len(self.held) > _REMEMBERED:
+        if len(self.held) > self.remembered:
             # What came first is what is most frequent.
-            self.held, self.signs = ({k: d[k] for k in islice(d, _REMEMBERED // 2)} for d in (self.held, self.signs))
+            self.held, self.signs = ({k: d[k] for k in islice(d, self.remembered // 2)} for d in (self.held, self.signs))
         self._learn(fresh - self.held.keys())
         get = self.held.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self._ids(x).tobytes() if x else b"" for x, ws in zip(texts, words, strict=True)]

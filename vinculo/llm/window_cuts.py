@@ -35,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vinculo.llm.bytewords import slices
-from vinculo.llm.common import column, map_batches
-from vinculo.llm.packing import WordIds, words_of
+from vinculo.llm.common import column, held_in_worker, map_batches
+from vinculo.llm.packing import WordIds
 
+#: Words remembered per worker (some 200 MB at most); only speed depends on it.
+_REMEMBERED = 1 << 20
 _SENTENCE_ENDS = ".!?…。！？"
 _CLOSERS = "\"')]}»”’"
 
@@ -51,6 +53,8 @@ class CutRules:
     sentence_cut: int = 8
     hard_cut: int = 24
     window: int = 4
+    #: Of sentences that end within this many tokens one gives a place.
+    apart: int = 32
     #: A longer run without a boundary gets a place at every ``grid`` tokens.
     stretch: int = 256
     grid: int = 32
@@ -58,22 +62,24 @@ class CutRules:
     open_windows: int = 4
 
 
-def best_cuts(places: list[int], costs: list[int], capacity: int, window: int) -> list[int]:
+def best_cuts(places: np.ndarray, costs: list[int], capacity: int, window: int) -> list[int]:
     """Numbers of the places at which the cheapest windows end; ``places`` starts with 0 and has no gap over the capacity."""
     n = len(places)
-    at = np.array(places, np.int64)
+    known = np.zeros(int(places[-1]) + 1, bool)
+    known[places] = True
     # Pairs of places whose distance is a power of two.
     found: list[list[int] | None] = [None] * n
     step = 1
     while step < capacity:
-        k = np.searchsorted(at, at - step)
-        same = np.flatnonzero((at >= step) & (at[np.minimum(k, n - 1)] == at - step))
-        for j, i in zip(same.tolist(), k[same].tolist(), strict=True):
+        first = int(np.searchsorted(places, step))
+        same = np.flatnonzero(known[places[first:] - step]) + first
+        for j, i in zip(same.tolist(), np.searchsorted(places, places[same] - step).tolist(), strict=True):
             if found[j] is None:
                 found[j] = [i]
             else:
                 found[j].append(i)
         step *= 2
+    places = places.tolist()
     # f(i) + P[i] of the queue's places rises from its head to its tail.
     best, before, queue, keyed = [0] * n, [0] * n, deque([0]), deque([0])
     for j in range(1, n):
@@ -125,17 +131,20 @@ class SentenceEnds:
         return np.flatnonzero(ends) + 1
 
 
-def _places(ends: np.ndarray, sentences: np.ndarray, rules: CutRules) -> tuple[list[int], list[int]]:
+def _places(ends: np.ndarray, sentences: np.ndarray, rules: CutRules) -> tuple[np.ndarray, list[int]]:
     """Places of a stretch and their costs: 0, document ends, sentence ends, and grid places in long runs."""
-    known = np.union1d(np.concatenate([[0], ends]), sentences)
-    gaps = np.diff(known)
-    wide = np.flatnonzero(gaps > rules.stretch)
-    grids = [np.arange(known[k] + rules.grid, known[k + 1], rules.grid) for k in wide.tolist()]
-    at = np.union1d(known, np.concatenate(grids)) if grids else known
-    cost = np.full(len(at), rules.hard_cut)
-    cost[np.searchsorted(at, sentences)] = rules.sentence_cut
-    cost[np.searchsorted(at, ends)] = 0
-    return at.tolist(), cost.tolist()
+    # Of sentences that end close together the first is enough of a choice.
+    cell = sentences // rules.apart
+    sentences = sentences[np.flatnonzero(np.diff(cell, prepend=-1))]
+    kind = np.zeros(int(ends[-1]) + 1, np.int8)
+    kind[sentences] = 2
+    kind[ends] = 3
+    kind[0] = 3
+    known = np.flatnonzero(kind)
+    for k in np.flatnonzero(np.diff(known) > rules.stretch).tolist():
+        kind[known[k] + rules.grid : known[k + 1] : rules.grid] = 1
+    at = np.flatnonzero(kind)
+    return at, np.array([0, rules.hard_cut, rules.sentence_cut, 0])[kind[at]].tolist()
 
 
 class Stream:
@@ -161,7 +170,7 @@ class Stream:
         ids = np.frombuffer(raw, np.uint32)
         ends = np.cumsum([len(x) // 4 for x in self.raw])
         places, costs = _places(ends, self.sentence_ends.after(ids), self.rules)
-        cuts = [places[k] for k in best_cuts(places, costs, self.rules.capacity, self.rules.window)]
+        cuts = places[best_cuts(places, costs, self.rules.capacity, self.rules.window)].tolist()
         if not last:
             cuts = cuts[: -self.rules.open_windows]
         view, doc, at = memoryview(raw), 0, 0
@@ -208,7 +217,7 @@ def window_pieces(
     end = np.array([rules.end], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(tokenizer)
+        words = held_in_worker(("windows", tokenizer), lambda: WordIds(tokenizer, _REMEMBERED))
         stream = Stream(rules, SentenceEnds(words))
         base, id_kind = TaskContext.get().partitionId() << 32, kind
 
