@@ -14,7 +14,10 @@ from ..config import MATCH, MatchConfig
 from ..functions.extract import employee_name, payee_names
 from ..functions.fold import first_name, fold_name_ocr, prepared_target, surnames
 from ..functions.similarity import with_match_score
-from .blocking import first_name_pairs, surname_pairs, words_inside_tokens
+from .blocking import first_name_pairs, surname_pairs
+from .postings import (
+    at_distance, first_place, in_order, phrase_starts, place, positional_index, stands_whole, vocabulary_of, word_offsets, word_postings,
+)
 from .scale import cell_join, materialize
 
 METHODS = ("favorecido", "substring", "word-overlap", "proximity")
@@ -257,108 +260,119 @@ def payee_hits(targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig, las
 # Text methods
 # ---------------------------------------------------------------------------
 
-def page_tokens(pages: DataFrame) -> DataFrame:
-    tokens = F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != ""))
-    return pages.select("page_ord", F.explode(tokens).alias("token"))
+def rarest_tokens(names: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(norm, token): the token of each name that is on the fewest pages, of which a page with the whole name must hold one.
 
-
-def text_anchors(targets: DataFrame, vocabulary: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """(norm, token): page tokens of which a page must hold one to match the target by text.
-
-    Two or more words: first and last word must both lie inside tokens, so the
-    word whose tokens are on fewer pages is enough. One word: the whole
-    name must be there, so its rarest token is enough.
+    A token no page has wins, and then nothing is found.
     """
-    two = targets.filter("last <> ''").select("norm", "first", "last")
-    ends = two.select(F.col("first").alias("word")).unionByName(two.select(F.col("last").alias("word"))).distinct()
-    inside = materialize(words_inside_tokens(ends, vocabulary), "inside")
-    load = inside.groupBy("word").agg(F.sum("df").alias("load"))
-    first_load = load.select(F.col("word").alias("first"), F.col("load").alias("fl"))
-    last_load = load.select(F.col("word").alias("last"), F.col("load").alias("ll"))
-    chosen = two.join(first_load, "first").join(last_load, "last").select(
-        "norm", F.when(F.col("fl") <= F.col("ll"), F.col("first")).otherwise(F.col("last")).alias("word")
-    )
-    by_word = chosen.join(inside, "word").select("norm", "token")
-    one = targets.filter((F.col("last") == "") & (F.length("norm") >= cfg.substring_min_chars))
-    by_token = (
-        one.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("token"))
-        .join(vocabulary, "token", "left")
-        .groupBy("norm").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
-    )
-    return by_word.unionByName(by_token)
-
+    each = names.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("token")).join(vocabulary, "token", "left")
+    return each.groupBy("norm").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
 
-def text_method(page: Column, norm: Column, words: Column, first: Column, last: Column, required: Column,
-                cfg: MatchConfig = MATCH) -> Column:
-    """J-3, J-4, J-5 as the rank (2, 3, 4) of the first method that hits, else NULL.
 
-    Only the first occurrence of the whole name is tested for word bounds, and
-    positions are those of plain substrings.
-    """
+def whole_name(page: Column, norm: Column, cfg: MatchConfig = MATCH) -> Column:
+    """J-3. Only the first occurrence of the whole name is tested for word bounds."""
     at = F.instr(page, norm)
     before = F.substring(page, at - 1, F.lit(1))
     after = F.substring(page, at + F.length(norm), F.lit(1))
-    substring = (
-        (F.length(norm) >= cfg.substring_min_chars)
-        & (at > 0)
-        & ((at == 1) | (before == " "))
-        & ((after == "") | (after == " "))
-    )
-    padded = F.concat(F.lit(" "), page, F.lit(" "))
+    return (F.length(norm) >= cfg.substring_min_chars) & (at > 0) & ((at == 1) | (before == " ")) & ((after == "") | (after == " "))
 
-    def whole(w: Column) -> Column:
-        return F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))
 
-    in_order = F.aggregate(
-        words,
-        F.lit(1),
-        lambda pos, w: F.when(pos <= 0, pos).otherwise(
-            F.when(F.call_function("locate", w, page, pos) > 0, F.call_function("locate", w, page, pos) + F.length(w))
-            .otherwise(F.lit(0))
-        ),
-    )
-    overlap = (
-        (F.size(words) >= 2) & whole(first) & whole(last)
-        & (F.size(F.filter(words, whole)) >= required)
-        & (in_order > 0)
-    )
-    i, j = F.instr(page, first), F.instr(page, last)
-    gap = F.abs(i - j)
-    proximity = (first != "") & (last != "") & (i > 0) & (j > 0) & (gap > 0) & (gap < cfg.proximity_chars)
-    return F.when(substring, 2).when(overlap, 3).when(proximity, 4)
+def _reach(last_era: int) -> Column:
+    """Age classes of files up to ``last_ord``. A bound that ends in front of a file may be -1: then no page is left and the list is empty."""
+    some = F.coalesce(F.col("last_ord"), F.lit(0)) >= 0
+    return F.when(some, _until(F.shiftright("last_ord", 32), F.lit(last_era))).otherwise(F.array().cast("array<int>"))
 
 
 def text_hits(targets: DataFrame, pages: DataFrame, cfg: MatchConfig, last_era: int) -> DataFrame:
     """(norm, page_ord, rank). ``targets`` carry ``last_ord``: pages after it cannot win for the target."""
-    index = materialize(page_tokens(pages), "page-tokens")
-    vocabulary = materialize(index.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "vocabulary")
-    anchors = text_anchors(targets, vocabulary, cfg)
-    # A bound that ends in front of a file may be -1: then no page is left and the age list is empty.
-    reach = F.when(
-        F.coalesce(F.col("last_ord"), F.lit(0)) >= 0, _until(F.shiftright("last_ord", 32), F.lit(last_era))
-    ).otherwise(F.array().cast("array<int>"))
-    keys = anchors.join(targets.select("norm", "last_ord"), "norm").select(
-        "norm", "last_ord", "token", F.explode(reach).alias("era")
+    index = positional_index(pages)
+    vocabulary = vocabulary_of(index)
+    hits = _hits_of_two_words(targets.filter("last <> ''"), pages, index, vocabulary, cfg, last_era)
+    one = targets.filter((F.col("last") == "") & (F.length("norm") >= cfg.substring_min_chars))
+    if not one.isEmpty():
+        hits = hits.unionByName(_hits_of_one_word(one, pages, index, vocabulary, cfg, last_era))
+    return hits
+
+
+def _hits_of_two_words(two: DataFrame, pages: DataFrame, index: DataFrame, vocabulary: DataFrame, cfg: MatchConfig, last_era: int) -> DataFrame:
+    """Names with a first and a last word, decided on the places of their words.
+
+    Both ends must be on a page. Pages come from the postings of the end that is
+    on fewer pages; the other end's places are joined to them, and the places of
+    the words between to what can still be a hit in order. Page texts are only
+    read where a name with words under three letters stands at the right
+    distances.
+    """
+    postings = word_postings(two.select(F.explode("words").alias("word")).distinct(), index, vocabulary)
+    rows = postings.rows
+    ends = two.join(postings.load.select(F.col("word").alias("first"), F.col("load").alias("fl")), "first").join(
+        postings.load.select(F.col("word").alias("last"), F.col("load").alias("ll")), "last"
+    )
+    rare = F.col("fl") <= F.col("ll")
+    keys = ends.select(
+        "norm", "last_ord", "first", "last", rare.alias("by_first"), F.when(rare, F.col("first")).otherwise(F.col("last")).alias("word"),
+        F.explode(_reach(last_era)).alias("era"),
     )
     keys = materialize(keys, "text-keys")
-    wanted = index.join(keys.select("token").distinct(), "token", "left_semi").withColumn(
+    # The repeated word of a name like ANA ... ANA is one set of places on both ends.
+    wanted = rows.join(keys.select("word").distinct(), "word", "left_semi").withColumn("era", _era(F.shiftright("page_ord", 32)))
+    near = cell_join(keys, wanted, ["word", "era"], cfg.pairs_per_cell).filter("last_ord is null or page_ord <= last_ord")
+    near = near.select("norm", "page_ord", "by_first", F.col("at").alias("own"), F.when(F.col("by_first"), F.col("last")).otherwise(F.col("first")).alias("word"))
+    both = near.join(rows.select("word", "page_ord", F.col("at").alias("other")), ["word", "page_ord"]).select(
+        "norm", "page_ord", F.when(F.col("by_first"), F.col("own")).otherwise(F.col("other")).alias("first_at"),
+        F.when(F.col("by_first"), F.col("other")).otherwise(F.col("own")).alias("last_at"),
+    )
+    names = two.select("norm", "words", "required", word_offsets(F.col("norm")).alias("offsets"), (F.size(F.split("norm", " ")) == F.size("words")).alias("plain"))
+    both = both.join(names, "norm")
+    gap = F.abs(first_place(F.col("first_at")) - first_place(F.col("last_at")))
+    distance = F.element_at("offsets", -1) - F.get("offsets", F.lit(0))
+    phrase = (F.length("norm") >= cfg.substring_min_chars) & at_distance(F.col("first_at"), F.col("last_at"), distance)
+    ordered = stands_whole(F.col("first_at")) & stands_whole(F.col("last_at"))
+    both = both.withColumns({"close": (gap > 0) & (gap < cfg.proximity_chars), "open": phrase | ordered, "phrase": phrase})
+    both = materialize(both.filter("close or open"), "text-places")
+
+    # The words between the ends, for pages where they matter.
+    middle = F.when(F.size("words") > 2, F.slice(F.transform("words", lambda w, i: F.struct(i.alias("k"), w.alias("word"))), F.lit(2), F.size("words") - 2))
+    between = both.filter(F.col("open") & (F.size("words") > 2)).select("norm", "page_ord", F.explode(middle).alias("m")).select("norm", "page_ord", "m.k", "m.word")
+    between = between.join(rows, ["word", "page_ord"]).groupBy("norm", "page_ord").agg(F.map_from_entries(F.collect_list(F.struct("k", "at"))).alias("found"))
+    open_ = both.filter("open").join(between, ["norm", "page_ord"], "left")
+    nothing = F.array().cast("array<int>")
+    inner = lambda k: F.coalesce(F.try_element_at("found", k), nothing)
+    last = F.size("words") - 1
+    ats = F.transform("words", lambda _, k: F.when(k == 0, F.col("first_at")).when(k == last, F.col("last_at")).otherwise(inner(k)))
+    open_ = open_.withColumn("ats", ats)
+    overlap = (
+        stands_whole(F.col("first_at")) & stands_whole(F.col("last_at"))
+        & (F.size(F.filter("ats", stands_whole)) >= F.col("required")) & in_order(F.col("ats"), F.col("words"))
+    )
+    # Only the first occurrence of the whole name is tested for word bounds.
+    start = F.get(phrase_starts(F.col("ats"), F.col("offsets")), F.lit(0))
+    end = F.filter("last_at", lambda q: place(q) == place(start) + distance)
+    bounded = start.isNotNull() & (start.bitwiseAND(F.lit(2)) == 2) & F.exists(end, lambda q: q.bitwiseAND(F.lit(1)) == 1)
+    rank = F.when(F.col("phrase") & F.col("plain") & bounded, 2).when(overlap, 3).when(F.col("close"), 4)
+    # With short words in the name the places say only where to look.
+    unsure = F.col("phrase") & ~F.col("plain") & F.forall("ats", lambda at: F.size(at) > 0)
+    open_ = open_.select("norm", "page_ord", rank.alias("rank"), F.coalesce(unsure, F.lit(False)).alias("unsure"))
+    open_ = materialize(open_.filter("rank is not null or unsure"), "text-ranks")
+    read = open_.filter("unsure").join(pages.select("page_ord", F.col("norm").alias("page")), "page_ord")
+    read = read.withColumn("rank", F.when(whole_name(F.col("page"), F.col("norm"), cfg), 2).otherwise(F.col("rank")))
+    out = [open_.filter("not unsure"), read.filter("rank is not null"), both.filter("not open").withColumn("rank", F.lit(4))]
+    return out[0].select("norm", "page_ord", "rank").unionByName(out[1].select("norm", "page_ord", "rank")).unionByName(out[2].select("norm", "page_ord", "rank"))
+
+
+def _hits_of_one_word(one: DataFrame, pages: DataFrame, index: DataFrame, vocabulary: DataFrame, cfg: MatchConfig, last_era: int) -> DataFrame:
+    """Names of one word: only the whole name counts, and pages that hold its rarest token are read."""
+    anchors = rarest_tokens(one, vocabulary).join(one.select("norm", "last_ord"), "norm")
+    keys = materialize(anchors.select("norm", "last_ord", "token", F.explode(_reach(last_era)).alias("era")), "text-keys")
+    wanted = index.select("token", "page_ord").join(keys.select("token").distinct(), "token", "left_semi").withColumn(
         "era", _era(F.shiftright("page_ord", 32))
     )
     pairs = (
         cell_join(keys, wanted, ["token", "era"], cfg.pairs_per_cell)
-        .filter("last_ord is null or page_ord <= last_ord")
-        .select("norm", "page_ord")
-        .distinct()
-    )
-    rank = text_method(
-        F.col("page"), F.col("norm"), F.col("words"), F.col("first"), F.col("last"), F.col("required"), cfg
-    )
-    return (
-        pairs.join(targets.select("norm", "words", "first", "last", "required"), "norm")
-        .join(pages.select("page_ord", F.col("norm").alias("page")), "page_ord")
-        .select("norm", "page_ord", rank.alias("rank"))
-        .filter("rank is not null")
+        .filter("last_ord is null or page_ord <= last_ord").select("norm", "page_ord").distinct()
     )
+    read = pairs.join(pages.select("page_ord", F.col("norm").alias("page")), "page_ord")
+    return read.filter(whole_name(F.col("page"), F.col("norm"), cfg)).select("norm", "page_ord", F.lit(2).alias("rank"))
 
 
 # ---------------------------------------------------------------------------

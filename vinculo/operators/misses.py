@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import MATCH, MatchConfig
 from ..functions.fold import words
-from ..functions.similarity import with_match_score
-from .linkage import first_copies, name_dictionaries, payee_dictionary, payee_occurrences, payee_pairs, prepare_targets, text_anchors, page_tokens
+from .linkage import first_copies, payee_occurrences, prepare_targets
+from .nearest import nearest_payee
+from .postings import at_distance, first_place, positional_index, vocabulary_of, word_offsets, word_postings
 from .scale import cell_join, materialize, number_rows
 
 
@@ -22,28 +23,45 @@ def found_in_text(targets: DataFrame, pages: DataFrame, cfg: MatchConfig = MATCH
     """S-30: norms whose whole name is in some page, or whose first and last word start within the distance.
 
     Unlike the link methods there is no lower limit on the name length, no word
-    bound and no lower limit on the distance. A hit of either kind needs the
-    first and last word inside tokens of the page; names of one long word are
-    searched like a word, and shorter ones by their tokens.
+    bound and no lower limit on the distance. Distances come from the postings
+    of each distinct (first, last), the one on fewer pages leading. Pages are
+    read only for names that no distance has found, where both ends stand as
+    far apart as in the name.
     """
-    index = materialize(page_tokens(pages), "miss-tokens")
-    vocabulary = materialize(index.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "miss-vocabulary")
-    n = F.size("words")
-    # Without a last word only the whole name counts; any of its words of three letters may then anchor it.
-    anchored = targets.withColumn("last", F.when(n == 1, F.col("first")).otherwise(F.col("last"))).filter(n >= 1)
-    keys = text_anchors(anchored.select("norm", "first", "last"), vocabulary, cfg)
-    pairs = cell_join(keys, index, ["token"], cfg.pairs_per_cell).select("norm", "page_ord").distinct()
-    hits = (
-        pairs.join(targets.select("norm", "first", "last"), "norm")
-        .join(pages.select("page_ord", F.col("norm").alias("page")), "page_ord")
+    index = positional_index(pages)
+    vocabulary = vocabulary_of(index)
+    named = targets.select("norm", "words", "first", "last")
+    two, one = named.filter(F.size("words") >= 2), named.filter(F.size("words") == 1)
+    ends = two.select(F.explode(F.array("first", "last")).alias("word")).unionByName(one.select(F.col("first").alias("word"))).distinct()
+    postings = word_postings(ends, index, vocabulary)
+    load = lambda end, name: postings.load.select(F.col("word").alias(end), F.col("load").alias(name))
+    pairs = two.select("first", "last").distinct().join(load("first", "fl"), "first").join(load("last", "ll"), "last")
+    rare = F.col("fl") <= F.col("ll")
+    keys = pairs.select("first", "last", rare.alias("by_first"), F.when(rare, F.col("first")).otherwise(F.col("last")).alias("word"))
+    near = cell_join(keys, postings.rows, ["word"], cfg.pairs_per_cell).select(
+        "first", "last", "by_first", "page_ord", F.col("at").alias("own"), F.when(F.col("by_first"), F.col("last")).otherwise(F.col("first")).alias("word")
     )
-    i, j = F.instr(F.col("page"), F.col("first")), F.instr(F.col("page"), F.col("last"))
-    near = (F.col("first") != "") & (F.col("last") != "") & (i > 0) & (j > 0) & (F.abs(i - j) < cfg.proximity_chars)
-    long_names = hits.filter(F.contains("page", "norm") | near).select("norm")
-    found = long_names
-    short = targets.filter((n == 0) & (F.col("norm") != "")).select("norm", F.split("norm", " ").alias("t"))
+    near = near.join(postings.rows.select("word", "page_ord", F.col("at").alias("other")), ["word", "page_ord"]).select(
+        "first", "last", "page_ord", F.when(F.col("by_first"), F.col("own")).otherwise(F.col("other")).alias("first_at"),
+        F.when(F.col("by_first"), F.col("other")).otherwise(F.col("own")).alias("last_at"),
+    )
+    close = F.abs(first_place(F.col("first_at")) - first_place(F.col("last_at"))) < cfg.proximity_chars
+    offsets = word_offsets(F.col("norm"))
+    names = two.select("norm", "first", "last", (F.element_at(offsets, -1) - F.get(offsets, F.lit(0))).alias("distance"))
+    # One row says that a name is found by distance; the other rows are pages to read if it isn't.
+    places = near.withColumn("close", close).join(names, ["first", "last"])
+    places = places.filter(F.col("close") | at_distance(F.col("first_at"), F.col("last_at"), F.col("distance")))
+    places = materialize(places.select("norm", F.when(~F.col("close"), F.col("page_ord")).alias("page_ord")).distinct(), "miss-places")
+    found = places.filter("page_ord is null").select("norm")
+    read = places.filter("page_ord is not null").join(found, "norm", "left_anti")
+    # A name that is one word is found by its word; with short words beside it, pages with the word are read.
+    alone = one.filter("norm = first").join(postings.load.select(F.col("word").alias("first")), "first").select("norm")
+    beside = cell_join(one.filter("norm <> first").select("norm", F.col("first").alias("word")), postings.rows.select("word", "page_ord"), ["word"], cfg.pairs_per_cell)
+    read = read.unionByName(beside.select("norm", "page_ord")).join(pages.select("page_ord", F.col("norm").alias("page")), "page_ord")
+    found = found.unionByName(alone).unionByName(read.filter(F.contains("page", "norm")).select("norm"))
+    short = targets.filter((F.size("words") == 0) & (F.col("norm") != "")).select("norm", F.split("norm", " ").alias("t"))
     if not short.isEmpty():
-        found = found.unionByName(_short_names_in_text(short, index, pages))
+        found = found.unionByName(_short_names_in_text(short, index.select("page_ord", "token"), pages))
     # An empty name is part of every text.
     blank = targets.filter("norm = ''").select("norm").join(pages.select("page_ord").limit(1), how="cross").select("norm")
     return found.unionByName(blank).distinct()
@@ -81,45 +99,6 @@ def _short_names_in_text(short: DataFrame, index: DataFrame, pages: DataFrame) -
     )
 
 
-def nearest_payee(targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
-    """J-18: (norm, candidate, score, reason): the payee with the highest score above 0, the first seen on ties.
-
-    Pairs with an agreeing surname are scored. All other pairs of allowed first
-    names score the same low value, so their first-seen payee per first name is
-    all that is needed.
-    """
-    seen = F.min(F.struct("page_ord", "pos"))
-    order = occurrences.groupBy("payee").agg(seen.alias("seen"))
-    payees = materialize(payee_dictionary(occurrences, cfg).join(order, "payee"), "miss-payees")
-    bounded = targets.withColumn("bound", F.lit(None).cast("long"))
-    dictionaries = name_dictionaries(targets, payees, cfg)
-    pairs = payee_pairs(bounded, payees, dictionaries, cfg, nearest=True).select("norm", "payee")
-    same = targets.select("norm").join(payees.select(F.col("payee").alias("norm")), "norm").select(
-        "norm", F.col("norm").alias("payee")
-    )
-    pairs = materialize(pairs.unionByName(same).distinct(), "miss-pairs")
-    scored = with_match_score(pairs, "norm", "payee", cfg).join(
-        payees.select("payee", "seen"), "payee"
-    )
-    first = dictionaries[0]
-    surnamed = payees.filter("size(s2) > 0").groupBy("f2").agg(F.min(F.struct("seen", "payee")).alias("p"))
-    low = (
-        targets.filter("size(s1) > 0").select("norm", "f1").join(first, "f1").join(surnamed, "f2")
-        .groupBy("norm").agg(F.min("p").alias("p"))
-        .select(
-            "norm", F.col("p.payee").alias("payee"), F.col("p.seen").alias("seen"),
-            F.lit(cfg.no_shared_surname).alias("score"), F.lit("SEM SOBRENOME EM COMUM").alias("reason"),
-        )
-    )
-    # A first-seen payee that does share a surname is among the scored pairs with its own, higher score.
-    columns = ["norm", "payee", "seen", "score", "reason"]
-    every = scored.select(*columns).unionByName(low.select(*columns)).filter("score > 0")
-    best = every.groupBy("norm").agg(
-        F.min(F.struct((-F.col("score")).alias("cost"), F.col("seen"), F.col("payee"), F.col("reason"))).alias("b")
-    )
-    return best.select("norm", F.col("b.payee").alias("candidate"), (-F.col("b.cost")).alias("score"), F.col("b.reason").alias("reason"))
-
-
 def miss_reason(as_payee: Column, in_text: Column, candidate: Column, score_reason: Column) -> Column:
     """S-29 text; the first rule that holds wins."""
     return (

@@ -212,19 +212,18 @@ _SCORE_CTES = f"""{_TOKENS}, {_OVERLAP}, {_jw_ctes('p', 'f1', 'f2', 'f')}, {_jw_
 _SCORED = f"{S.PAIRS}, {_SCORE_CTES}"
 
 
-@query(
-    f"""WITH {_SCORED} SELECT doc_id, round(score, 9) AS score, score >= 0.85 AS accepted,
-        CASE WHEN target = candidate THEN 'EXATO' WHEN f1 = '' OR f2 = '' THEN 'NOME VAZIO'
+_SCORE_REASON = f"""CASE WHEN target = candidate THEN 'EXATO' WHEN f1 = '' OR f2 = '' THEN 'NOME VAZIO'
         WHEN NOT {_FIRST_OK} THEN 'PRIMEIRO NOME DIFERENTE: ' || f1 || ' ≠ ' || f2
         WHEN n = 0 AND len(s1) > 0 AND len(s2) > 0 THEN 'SEM SOBRENOME EM COMUM'
-        WHEN score >= 0.85 THEN 'SCORE ALTO' WHEN score >= 0.70 THEN 'CANDIDATO PARCIAL' ELSE 'SCORE BAIXO' END AS reason
-    FROM v4"""
-)
+        WHEN score >= 0.85 THEN 'SCORE ALTO (' || printf('%.2f', score) || ')'
+        WHEN score >= 0.70 THEN 'CANDIDATO PARCIAL (' || printf('%.2f', score) || ')' ELSE 'SCORE BAIXO (' || printf('%.2f', score) || ')' END"""
+
+
+@query(f"WITH {_SCORED} SELECT doc_id, round(score, 9) AS score, score >= 0.85 AS accepted, {_SCORE_REASON} AS reason FROM v4")
 def match_score(spark, sf):
     d = similarity.with_match_score(name_pairs(spark, sf), "target", "candidate")
     return d.select(
-        "doc_id", F.round("score", 9).alias("score"), (F.col("score") >= C.MATCH.accept).alias("accepted"),
-        F.regexp_replace("reason", r" \(\d\.\d\d\)$", "").alias("reason"),
+        "doc_id", F.round("score", 9).alias("score"), (F.col("score") >= C.MATCH.accept).alias("accepted"), "reason"
     )
 
 

@@ -11,7 +11,7 @@ from ..operators.scale import materialize, shared_folder
 from ..sources import pages as P
 from ..sources import sinks
 from . import sqltext as S
-from .checks_functions import _PART, _RECEIPTS, _SCORE_CTES, _SLIPS, _employee_sql
+from .checks_functions import _PART, _RECEIPTS, _SCORE_CTES, _SCORE_REASON, _SLIPS, _employee_sql
 from .link_run import LinkRun, run_links
 from .register import big, query
 from .tables import (
@@ -50,7 +50,7 @@ _RUN_SQL = f"""nm AS ({_employee_sql(f'({_SLIPS})', 'doc_id')}),
     pairs AS (SELECT row_number() OVER () AS doc_id, target, candidate FROM names, payees
         WHERE target = candidate OR left({_first('target')}, 1) = left({_first('candidate')}, 1)),
     {_SCORE_CTES},
-    sc AS (SELECT target AS norm, candidate AS payee, score FROM v4),
+    sc AS (SELECT target AS norm, candidate AS payee, score, {_SCORE_REASON} AS why FROM v4),
     ph AS (SELECT norm, page_ord, 1 AS rank, CASE WHEN score >= 0.85 THEN 1.0 ELSE score END AS score FROM sc JOIN pg USING (payee) WHERE score >= 0.78),
     tp AS (SELECT norm, page_ord, w, page, ' ' || page || ' ' AS padded, instr(page, norm) AS hit_at, instr(page, w[1]) AS i,
         CASE WHEN len(w) >= 2 THEN instr(page, w[len(w)]) ELSE 0 END AS j FROM t, pg),
@@ -72,11 +72,14 @@ _MISS_SQL = f"""{_RUN_SQL},
     miss AS (SELECT t.* FROM t WHERE emp_ord NOT IN (SELECT emp_ord FROM links WHERE accepted)),
     mt AS (SELECT norm, bool_or(hit_at > 0 OR (i > 0 AND j > 0 AND abs(i - j) < 100)) AS in_text FROM tp GROUP BY norm),
     fo AS (SELECT payee, min(page_ord) AS seen FROM pg WHERE payee IS NOT NULL GROUP BY payee),
-    nr AS (SELECT norm, payee AS candidate FROM sc JOIN fo USING (payee) WHERE score > 0
+    nr AS (SELECT norm, payee AS candidate, why FROM sc JOIN fo USING (payee) WHERE score > 0
         QUALIFY row_number() OVER (PARTITION BY norm ORDER BY score DESC, seen) = 1),
     rep AS (SELECT emp_ord, row_number() OVER (ORDER BY emp_ord) AS "index", name, miss.norm AS normalized, w[1] AS first_name,
         CASE WHEN len(w) >= 2 THEN w[len(w)] ELSE '' END AS last_name, slip_file AS source_file, doc_id AS source_page, in_text AS found_in_full_text,
-        miss.norm IN (SELECT payee FROM fo) AS found_as_payee, coalesce(candidate, '(nenhum)') AS closest_candidate
+        miss.norm IN (SELECT payee FROM fo) AS found_as_payee, coalesce(candidate, '(nenhum)') AS closest_candidate,
+        CAST(coalesce(len(list_filter(w, lambda x: list_contains({S.words('candidate', 3)}, x))), 0) AS INTEGER) AS shared_words,
+        CASE WHEN miss.norm IN (SELECT payee FROM fo) THEN '{C.REASON_AS_PAYEE}' WHEN in_text THEN '{C.REASON_IN_TEXT}'
+            WHEN candidate IS NOT NULL THEN why || ' (candidato: ' || candidate || ')' ELSE '{C.REASON_NONE}' END AS reason
         FROM miss LEFT JOIN mt USING (norm) LEFT JOIN nr USING (norm))"""
 
 
@@ -127,13 +130,13 @@ def contested_pages(spark, sf):
 
 @query(
     f"""WITH {_MISS_SQL} SELECT "index", name, normalized, first_name, last_name, source_file, CAST(source_page AS INTEGER) AS source_page,
-        found_in_full_text, found_as_payee, closest_candidate FROM rep"""
+        found_in_full_text, found_as_payee, closest_candidate, shared_words, reason FROM rep"""
 )
 def misses_report(spark, sf):
     """U-5, W-8, J-18, S-30: the employees without an accepted link."""
     return _run(spark, sf).misses().select(
         "index", "name", "normalized", "first_name", "last_name", "source_file", "source_page", "found_in_full_text",
-        "found_as_payee", "closest_candidate",
+        "found_as_payee", "closest_candidate", "shared_words", "reason",
     )
 
 
