@@ -22,7 +22,9 @@ shingles that the other lacks, which all steps below build on:
    compared with the members outside its component and then leaves the list;
    lists within one component are finished. What is left after a few rounds is
    compared member by member, in cells of bounded size, if the pair has as many
-   signatures in common as a link implies. Comparisons are exact, on the sets.
+   signatures in common as a link implies: partners with the most of them first,
+   in growing rounds, until no pair across components is left. Comparisons are
+   exact, on the sets.
 
 No list, group or component is collected; the only driver values are counts.
 """
@@ -32,6 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,8 @@ class JoinRules:
     pairs: int = 64
     #: Rounds with one hub per list before the rest is compared member by member.
     hub_rounds: int = 2
+    #: Partners that a member of the rest meets in its first round; eight times as many in each further one.
+    partners: int = 8
     #: Bytes of text behind one group of packed shingles.
     group_bytes: int = 4 << 20
     #: Most documents and signatures on a side of a cell of the lists that need all their pairs.
@@ -107,7 +112,9 @@ def _slice_sets(part: pa.RecordBatch, text: str, words: int) -> tuple[np.ndarray
 
 
 _PACKED = "bucket int, tokens binary, owners binary, shared binary, ids binary, sizes binary, counted binary, known binary, high binary, low binary"
-_COUNTED = "doc_id long, n long, counted long, shared long, high long, low long"
+_COUNTED = "doc_id long, n long, counted long, shared long, high long, low long, deck int, docs binary, counts binary"
+#: Documents whose counts from all groups are added up together.
+_DECK_DOCS = 1 << 16
 
 
 def _packed(docs: DataFrame, rules: JoinRules, buckets: int) -> DataFrame:
@@ -149,8 +156,8 @@ def _packed(docs: DataFrame, rules: JoinRules, buckets: int) -> DataFrame:
     return map_slices(docs, make, _PACKED, most=1 << 21)
 
 
-def _count_group(group: pa.Table) -> pa.Table:
-    """For each document the number of its shingles in this group that another document has, and the documents' own facts."""
+def _count_group(group: pa.Table, decks: int) -> pa.Table:
+    """Documents' own facts as rows, and packed by decks of documents the number of their shingles here that another document has."""
     get = lambda name, kind=np.int64: _unpack(group.column(name).to_pylist(), kind)
     tokens, owners, shared = get("tokens", np.uint64), get("owners"), np.sort(get("shared", np.uint64))
     order = np.argsort(tokens)
@@ -161,19 +168,34 @@ def _count_group(group: pa.Table) -> pa.Table:
     if len(shared):
         again |= shared[np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)] == tokens
     docs, counts = np.unique(owners[again], return_counts=True)
-    ids, none = get("ids"), pa.nulls(len(docs), pa.int64())
-    whole = pa.table([ids, get("sizes"), get("counted"), get("known"), get("high"), get("low")], names=["doc_id", "n", "counted", "shared", "high", "low"])
-    part = pa.table([pa.array(docs), none, none, pa.array(counts.astype(np.int64)), none, none], names=whole.column_names)
+    deck = (bytewords.mix(docs.view(np.uint64)) % np.uint64(decks)).astype(np.int32)
+    order = np.argsort(deck, kind="stable")
+    docs, counts, deck = docs[order], counts[order].astype(np.int64), deck[order]
+    own, begin = np.unique(deck, return_index=True)
+    bounds = [*begin.tolist(), len(docs)]
+    ids = get("ids")
+    names = [x.split()[0] for x in _COUNTED.split(", ")]
+    none = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.binary(), pa.binary())]
+    whole = pa.table([ids, get("sizes"), get("counted"), get("known"), get("high"), get("low"), *none], names=names)
+    packed = [pa.array([_pack(x[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (docs, counts)]
+    part = pa.table([*[pa.nulls(len(own), pa.int64())] * 6, pa.array(own, pa.int32()), *packed], names=names)
     return pa.concat_tables([whole, part])
 
 
+def _sum_deck(group: pa.Table) -> pa.Table:
+    """Counts of a deck's documents over all groups."""
+    docs, counts = (_unpack(group.column(c).to_pylist(), np.int64) for c in ("docs", "counts"))
+    ids, at = np.unique(docs, return_inverse=True)
+    return pa.table({"doc_id": pa.array(ids), "more": pa.array(np.bincount(at, counts, len(ids)).astype(np.int64))})
+
+
 def _facts(docs: DataFrame, rules: JoinRules) -> tuple[DataFrame, DataFrame]:
     """Size and fingerprint of every document's set, and which documents may still link."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, math.ceil(size / rules.group_bytes))
-    counted = materialize(_packed(docs, rules, buckets).groupBy("bucket").applyInArrow(_count_group, _COUNTED), "shingle-counts")
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    buckets, decks = max(8, math.ceil((size or 0) / rules.group_bytes)), max(8, math.ceil(rows / _DECK_DOCS))
+    counted = materialize(_packed(docs, rules, buckets).groupBy("bucket").applyInArrow(lambda t: _count_group(t, decks), _COUNTED), "shingle-counts")
     whole = counted.filter(F.col("n").isNotNull())
-    more = counted.filter(F.col("n").isNull()).groupBy("doc_id").agg(F.sum("shared").alias("more"))
+    more = counted.filter(F.col("deck").isNotNull()).groupBy("deck").applyInArrow(_sum_deck, "doc_id long, more long")
     alone = F.col("counted") - F.col("shared") - F.coalesce(F.col("more"), F.lit(0))
     still = whole.filter("n > 0").join(more, "doc_id", "left").filter(alone <= _tau("n", rules.percent))
     return whole.select("doc_id", "n", "high", "low"), still.select("doc_id", "n", "high", "low")
@@ -272,7 +294,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
     if not values:
         return pairs.select("a", "b")
     groups = max(16, math.ceil(values / (1 << 20)))
-    pairs = pairs.withColumn("group", F.pmod(F.xxhash64("a", F.pmod(F.col("b"), F.lit(8))), F.lit(groups)).cast("int"))
+    # A set of very many pairs takes them to as many groups as its partners' sets fill.
+    large = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / (1 << 20)).alias("parts")).filter("parts > 1")
+    pairs = pairs.join(large, "a", "left")
+    pairs = pairs.withColumn("group", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))), F.lit(groups)).cast("int")).drop("parts")
     wanted = pairs.select(F.col("group").alias("cell"), F.explode(F.array("a", "b")).alias("id")).distinct()
     held = wanted.join(sets.select("id", "tokens"), "id")
     percent = rules.percent
@@ -363,8 +388,12 @@ def least_common(n: int, other_n: int, percent: int = 80) -> int:
     return max(1, overlap + 1 - max(n - tau(n, percent), other_n - tau(other_n, percent)))
 
 
-def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
-    """Pairs across components of what the hubs left, each once: (id, n, other, other_n).
+def _rest_pairs(rest: DataFrame, rules: JoinRules, most: int) -> tuple[DataFrame, bool]:
+    """Pairs across components of what the hubs left, each once: (id, n, other, other_n), and whether there are more.
+
+    A member's ``most`` partners with the most common signatures come first; the
+    others wait for the next round, where those that have become members of one
+    component by then need no comparison.
 
     Lists are bundled by their largest component. Its outsiders meet all members
     in cells of bounded size, where common signatures are counted. The common
@@ -430,32 +459,43 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules) -> DataFrame:
             keep = ~settled & (counts > 0) & (counts + elsewhere >= least) & (np.minimum.outer(m, other_m) >= overlap) & (comp[:, None] != other_comp[None, :])
             # Two outsiders meet twice, once in each order.
             keep &= (other_comp == major)[None, :] | np.less.outer(np.array(rows), np.array(cols))
-            for i, j in zip(*np.nonzero(keep), strict=True):
+            at_row, at_col = np.nonzero(keep)
+            order = np.lexsort((at_col, -counts[at_row, at_col], at_row))
+            at_row, at_col = at_row[order], at_col[order]
+            place = np.arange(len(at_row)) - np.searchsorted(at_row, at_row)
+            if len(place) and place.max() >= most:
+                found.append((None,) * 6)
+            for i, j in zip(at_row[place < most].tolist(), at_col[place < most].tolist(), strict=True):
                 (a, na), (b, nb) = sorted(((rows[i], int(n[i])), (cols[j], int(other_n[j]))))
                 found.append((a, na, b, nb, int(counts[i, j]), int(least[i, j])))
         columns = list(zip(*found, strict=True)) if found else [()] * 6
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "other", "other_n", "common", "least"])
 
     cells = left.groupBy(*names).cogroup(right.groupBy(*[f"{c}_" for c in names]))
-    met = cells.applyInArrow(meet, "id long, n long, other long, other_n long, common long, least long")
-    whole = met.groupBy("id", "n", "other", "other_n").agg(F.sum("common").alias("common"), F.max("least").alias("least"))
-    return whole.filter("common >= least").select("id", "n", "other", "other_n")
+    met = materialize(cells.applyInArrow(meet, "id long, n long, other long, other_n long, common long, least long"), "shingle-met")
+    whole = met.filter(F.col("id").isNotNull()).groupBy("id", "n", "other", "other_n").agg(F.sum("common").alias("common"), F.max("least").alias("least"))
+    # A pair of which one cell still waits may be short of signatures here; it comes again when none of its cells does.
+    return whole.filter("common >= least").select("id", "n", "other", "other_n"), not met.filter(F.col("id").isNull()).isEmpty()
 
 
 def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
     """(id, comp) of the classes that are not the smallest of their component."""
     lists = _signed(sets, rules)
     comps = links = None
-    for step in range(rules.hub_rounds + 1):
+    most = rules.partners
+    for step in count():
         if comps is None:
             members = lists.withColumns({"comp": F.col("id"), "weight": F.lit(1), "done": F.lit(False)})
         else:
-            weights = comps.groupBy("comp").agg((F.count(F.lit(1)) + 1).alias("weight"))
-            labels = comps.unionByName(comps.select(F.col("comp").alias("id"), "comp").distinct()).join(weights, "comp")
+            # A component may hold most classes: its one weight is copied to several keys.
+            weights = comps.groupBy("comp").agg((F.count(F.lit(1)) + 1).alias("weight")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+            labels = comps.unionByName(comps.select(F.col("comp").alias("id"), "comp").distinct()).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
+            labels = labels.join(weights, ["comp", "salt"]).drop("salt")
             members = lists.join(labels, "id", "left").withColumns({"comp": F.coalesce("comp", "id"), "weight": F.coalesce("weight", F.lit(1))})
         # The hub comes from the smallest component, so that single outsiders of a large group leave first.
         as_other = [F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("m").alias("other_m"), F.col("comp").alias("hub_comp")]
-        hub = F.struct("weight", F.xxhash64("id", "sig").alias("rank"), *as_other)
+        # The rank is that of the document alone: documents that share many lists have one hub in all of them.
+        hub = F.struct("weight", F.xxhash64("id").alias("rank"), *as_other)
         waiting = lambda c: F.when(~F.col("done"), c)
         state = members.groupBy("sig").agg(
             (F.min(waiting(F.col("comp"))) < F.max(waiting(F.col("comp")))).alias("mixed"), F.max("done").alias("told"),
@@ -471,7 +511,8 @@ def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
             lists = lists.select("sig", "id", "n", "m", (F.col("done") | F.col("mixed") & (F.col("id") == F.col("other"))).alias("done"))
         else:
             rest = members.join(state.drop("hub", "told"), "sig").select(*columns, F.col("major.comp").alias("major"))
-            meeting, finished = _rest_pairs(materialize(rest, "shingle-rest"), rules), False
+            meeting, more = _rest_pairs(materialize(rest, "shingle-rest"), rules, most)
+            finished, most = not more, most * 8
         found = _verified(_ordered(meeting), sets, rules)
         if comps is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
