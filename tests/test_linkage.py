@@ -70,7 +70,8 @@ def test_links_and_misses_equal_nested_loop(spark, seed):
     targets, pages = make_case(seed)
     emp, pg = frames(spark, targets, pages)
     cfg = MatchConfig(pairs_per_cell=9)  # so small that many keys are split
-    links = materialize(linkage.link(emp, pg, cfg), "test-links")
+    run = linkage.prepare_run(emp, pg, cfg)
+    links = materialize(linkage.link_prepared(run, cfg), "test-links")
     got = sorted(
         (r.emp_ord, r.file_ord, r.receipt_page, linkage.METHODS.index(r.method) + 1, round(r.score, 9), r.accepted)
         for r in links.collect()
@@ -79,7 +80,7 @@ def test_links_and_misses_equal_nested_loop(spark, seed):
     assert got == want
     assert {g[3] for g in got} >= {1, 2}
 
-    report = misses.explain_misses(emp, links, pg, cfg).collect()
+    report = misses.explain_misses(run, links, cfg).collect()
     linked = {w[0] for w in want if w[5]}
     missing = [(e, n) for e, n in targets if e not in linked]
     assert [r["index"] for r in sorted(report, key=lambda r: r.emp_ord)] == list(range(1, len(missing) + 1))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vinculo.operators import enrich, layouts, merge, policy
-from vinculo.operators.scale import carry_forward, cell_join, number_rows, running_offset
+from vinculo.operators.scale import carry_forward, cell_join, number_rows, rank_slice, running_offset
 from vinculo.plans.roster_import import sync_records
 from vinculo.sources import pages as P
 from vinculo.sources.schemas import CELLS, MERGES, REGISTRY
@@ -33,7 +33,7 @@ def test_layouts(spark):
         + sheet("city", 0, "Canoas", CITY_A) + sheet("city", 1, "Ivoti", CITY_B) + [("empty", 0, "Plan1", 0, 0, None, None)]
         + sheet("none", 0, "Plan1", {0: ["a"], 1: ["b"], 2: ["c"], 3: ["d"]})
     )
-    records, chosen, rejects = layouts.parse_workbooks(spark.createDataFrame(cells, CELLS), block=2)
+    records, chosen, rejects = layouts.parse_workbooks(spark.createDataFrame(cells, CELLS))
     assert {r.file: r.layout for r in chosen.collect()} == {"todos": "todos", "pay": "payroll", "city": "city_sheets", "none": "city_sheets"}
     assert {r.file: r.reason for r in rejects.collect()} == {"empty": "empty workbook", "none": "no employee found"}
     got = sorted((r.file, r.empresa, r.cidade, r.contrato, r.colaborador, r.codigo, r.tipo, r.salario and float(r.salario)) for r in records.collect())
@@ -106,13 +106,13 @@ def test_ip_and_allow_list(spark):
 def test_blocked_windows_equal_plain_windows(spark):
     rows = [(g, o, o % 7 == 0 and o or None, o % 5) for g in ("a", "b", None) for o in range(0, 400, 3)]
     df = spark.createDataFrame(rows, "g string, o int, v int, n int")
-    got = sorted((str(r.g), r.o, r.v) for r in carry_forward(df, ["g"], "o", ["v"], block=16).collect())
+    got = sorted((str(r.g), r.o, r.v) for r in carry_forward(df, ["g"], "o", ["v"], blocks=7).collect())
     want, last = [], {}
     for g, o, v, _ in rows:
         last[g] = v if v is not None else last.get(g)
         want.append((str(g), o, last[g]))
     assert got == sorted(want)
-    got = sorted((str(r.g), r.o, r.s) for r in running_offset(df, ["g"], "o", "n", "s", block=16).collect())
+    got = sorted((str(r.g), r.o, r.s) for r in running_offset(df, ["g"], "o", "n", "s", blocks=7).collect())
     want, total = [], {}
     for g, o, _, n in rows:
         want.append((str(g), o, total.get(g, 0)))
@@ -120,6 +120,30 @@ def test_blocked_windows_equal_plain_windows(spark):
     assert got == sorted(want)
 
 
+def test_blocks_are_cut_by_rows(spark):
+    # Order values lie 2^20 apart: blocks of values would hold one row each.
+    df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") * (1 << 20)).alias("o"), F.when(F.col("id") % 1000 == 7, F.col("id")).alias("v"))
+    done = carry_forward(df, ["g"], "o", ["v"], blocks=8)
+    sizes = [r["count"] for r in done.withColumn("k", F.floor(F.col("o") / (1 << 20) / 2500)).groupBy("k").count().collect()]
+    assert sum(sizes) == 20_000
+    want = F.when(F.col("o") >= 7 << 20, F.floor((F.col("o") / (1 << 20) - 7) / 1000) * 1000 + 7)
+    assert done.filter(~F.col("v").eqNullSafe(want.cast("long"))).isEmpty()
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    # What is read back is one row per block for the window over the group.
+    assert "carried" in plan and plan.count("Window ") <= 2
+
+
+def test_pages_by_rank(spark):
+    df = spark.createDataFrame([((k * 7919) % 3001 if k % 50 else None, k % 3, str(k)) for k in range(3001)], "a int, b int, c string").repartition(5)
+    rows = sorted(df.collect(), key=lambda r: (r.a is not None, r.a or 0, r.b, r.c))
+    for first, size in ((0, 10), (55, 20), (1490, 33), (2995, 50), (4000, 5)):
+        got = rank_slice(df, ["a", "b", "c"], first, size, rows=100, ranges=8).collect()
+        assert got == rows[first : first + size]
+    same = spark.range(500).select(F.lit(1).alias("a"), "id")
+    assert rank_slice(same, ["a"], 120, 30, rows=50, ranges=4).count() == 30
+    assert rank_slice(df.limit(0), ["a"], 0, 5).count() == 0
+
+
 def test_cell_join_and_numbering(spark):
     a = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
     b = spark.range(200).select((F.col("id") % 2).alias("k"), F.col("id").alias("b"))

@@ -83,9 +83,9 @@ def similarity_keys_same_initial(c: Column, threshold: float, own_first: bool) -
 
 
 def first_name_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
-    """(f1, f2) of two dictionaries of distinct first names that pass S-12."""
+    """(f1, f2, fj) of two dictionaries of distinct first names that pass S-12, with their similarity."""
     a, b = F.col("f1"), F.col("f2")
-    equal = left.join(right, a == b).select("f1", "f2")
+    equal = left.join(right, a == b).select("f1", "f2", F.lit(1.0).alias("fj"))
     longer = F.length
     la = left.filter(longer(a) > 3)
     rb = right.filter(longer(b) > 3)
@@ -105,9 +105,9 @@ def first_name_pairs(left: DataFrame, right: DataFrame, cfg: MatchConfig = MATCH
     )
     near = (
         edits.unionByName(similar).filter(a != b).distinct()
-        .withColumn("jw", jaro_winkler(a, b))
-        .filter(first_names_pass(a, b, F.col("jw"), cfg))
-        .select("f1", "f2")
+        .withColumn("fj", jaro_winkler(a, b))
+        .filter(first_names_pass(a, b, F.col("fj"), cfg))
+        .select("f1", "f2", "fj")
     )
     return equal.unionByName(near)
 

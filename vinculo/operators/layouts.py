@@ -19,7 +19,6 @@ from .scale import carry_forward, materialize
 
 SERVICE = spaced(r"(?iu)Servi[çc]o\s*:\s*")
 LAYOUTS = ("payroll", "todos", "city_sheets")
-SECTION_BLOCK = 1 << 16
 
 
 def find_column(folded: Column, aliases: tuple[str, ...]) -> Column:
@@ -138,7 +137,7 @@ def _section_type(first: Column, name: Column) -> Column:
     return out
 
 
-def payroll_rows(rows: DataFrame, headers: DataFrame, block: int = SECTION_BLOCK) -> DataFrame:
+def payroll_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """P-10, P-11, W-5 to W-7: every row below the header with its section state and ``skip_reason``.
 
     A labelled service line always sets the contract and sets the city when it
@@ -170,7 +169,7 @@ def payroll_rows(rows: DataFrame, headers: DataFrame, block: int = SECTION_BLOCK
             "codigo": F.when(F.col("at.codigo") >= 0, raw_code).otherwise(""),
         }
     )
-    body = carry_forward(body, SHEET, "r", ["contrato", "cidade", "tipo"], block)
+    body = carry_forward(body, SHEET, "r", ["contrato", "cidade", "tipo"])
     n_words = F.size(F.filter(F.split("nome", spaced(r"\s+")), lambda w: F.length(w) >= 2))
     # Without a code column only blanks part words.
     n_blank_words = F.size(F.filter(F.split("nome", " "), lambda w: F.length(w) >= 2))
@@ -186,10 +185,10 @@ def payroll_rows(rows: DataFrame, headers: DataFrame, block: int = SECTION_BLOCK
     return body.withColumn("skip_reason", skip)
 
 
-def payroll_records(rows: DataFrame, headers: DataFrame, block: int = SECTION_BLOCK) -> DataFrame:
+def payroll_records(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """P-10. Records of the chosen payroll sheet of each file."""
     chosen = choose_sheet(headers)
-    kept = payroll_rows(rows, chosen, block).filter("skip_reason is null")
+    kept = payroll_rows(rows, chosen).filter("skip_reason is null")
     named = kept.join(payroll_company(rows, chosen), SHEET, "left")
     money = {
         f: locale_number(cell_at(F.col("cells"), F.col(f"at.{f}")), number_at(F.col("nums"), F.col(f"at.{f}"))).cast(MONEY)
@@ -373,7 +372,7 @@ def route_layouts(headers: DataFrame, validation: DataFrame) -> DataFrame:
 
 
 def parse_workbooks(
-    cells: DataFrame, merges: DataFrame | None = None, layout: str | None = None, block: int = SECTION_BLOCK
+    cells: DataFrame, merges: DataFrame | None = None, layout: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """P-7: (records, layouts, rejects) of all workbooks of a cell table."""
     if merges is not None:
@@ -389,7 +388,7 @@ def parse_workbooks(
     def of(name: str) -> DataFrame:
         return rows.join(layouts.filter(F.col("layout") == name), "file", "left_semi")
 
-    parts = [payroll_records(of(LAYOUTS[0]), headers, block), todos_records(of(LAYOUTS[1]), sheets), city_sheet_records(of(LAYOUTS[2]))]
+    parts = [payroll_records(of(LAYOUTS[0]), headers), todos_records(of(LAYOUTS[1]), sheets), city_sheet_records(of(LAYOUTS[2]))]
     records = materialize(reduce(DataFrame.unionByName, parts), "records")
     empty = layouts.join(records.select("file").distinct(), "file", "left_anti").select(
         "file", F.lit("no employee found").alias("reason")

@@ -7,6 +7,8 @@ receipt pages over all files, ``emp_ord`` orders employees.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,14 +221,12 @@ def payee_dictionary(occurrences: DataFrame, cfg: MatchConfig) -> DataFrame:
     )
 
 
-def payee_hits(targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig, last_era: int) -> DataFrame:
+def payee_hits(targets: DataFrame, payees: DataFrame, dictionaries: tuple[DataFrame, DataFrame], occurrences: DataFrame, cfg: MatchConfig, last_era: int) -> DataFrame:
     """J-2 as (norm, page_ord, score, sure): the only pages a payee hit can make the best page of a target.
 
     A sure hit scores 1.0 on every page of its payee, so its first page stands
     for all. Weaker hits keep all pages of the first file that has any.
     """
-    payees = materialize(payee_dictionary(occurrences, cfg), "payees")
-    dictionaries = name_dictionaries(targets, payees, cfg)
     bounds = materialize(class_bounds(targets, payees, dictionaries[1], cfg), "bounds")
     bounded = targets.join(bounds, "norm", "left")
     pairs = materialize(payee_pairs(bounded, payees, dictionaries, cfg, last_era=last_era), "payee-pairs")
@@ -283,10 +283,8 @@ def _reach(last_era: int) -> Column:
     return F.when(some, _until(F.shiftright("last_ord", 32), F.lit(last_era))).otherwise(F.array().cast("array<int>"))
 
 
-def text_hits(targets: DataFrame, pages: DataFrame, cfg: MatchConfig, last_era: int) -> DataFrame:
+def text_hits(targets: DataFrame, pages: DataFrame, index: DataFrame, vocabulary: DataFrame, cfg: MatchConfig, last_era: int) -> DataFrame:
     """(norm, page_ord, rank). ``targets`` carry ``last_ord``: pages after it cannot win for the target."""
-    index = positional_index(pages)
-    vocabulary = vocabulary_of(index)
     hits = _hits_of_two_words(targets.filter("last <> ''"), pages, index, vocabulary, cfg, last_era)
     one = targets.filter((F.col("last") == "") & (F.length("norm") >= cfg.substring_min_chars))
     if not one.isEmpty():
@@ -383,18 +381,41 @@ def method_name(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in METHODS]), rank)
 
 
-def link_candidates(targets: DataFrame, pages: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
+@dataclass
+class Prepared:
+    """What a run and the explanation of its misses have in common, all of it stored."""
+
+    targets: DataFrame
+    #: First copies of pages, their tokens with places, and the tokens' page counts.
+    pages: DataFrame
+    index: DataFrame
+    vocabulary: DataFrame
+    #: Distinct payees, and related first names and surnames of targets and payees.
+    payees: DataFrame
+    dictionaries: tuple[DataFrame, DataFrame]
+
+
+def prepare_run(employees: DataFrame, prepared_pages: DataFrame, cfg: MatchConfig = MATCH) -> Prepared:
+    """``prepared_pages`` is a stored table from ``prepare_pages``."""
+    targets = materialize(prepare_targets(employees, cfg), "targets")
+    pages = materialize(first_copies(prepared_pages), "pages")
+    index = positional_index(pages)
+    payees = materialize(payee_dictionary(payee_occurrences(pages), cfg), "payees")
+    return Prepared(targets, pages, index, vocabulary_of(index), payees, name_dictionaries(targets, payees, cfg))
+
+
+def link_candidates(run: Prepared, cfg: MatchConfig = MATCH) -> DataFrame:
     """(norm, page_ord, rank, score): per target every page that can still be its best page (J-1)."""
+    targets, pages = run.targets, run.pages
     last_file = pages.agg(F.max("file_ord")).first()[0] or 0
     last_era = int(last_file + 1).bit_length() - 1
-    occurrences = payee_occurrences(pages)
-    hits = materialize(payee_hits(targets, occurrences, cfg, last_era), "payee-hits")
+    hits = materialize(payee_hits(targets, run.payees, run.dictionaries, payee_occurrences(pages), cfg, last_era), "payee-hits")
     # A sure hit ends the search in front of its file's page; a weak one at the end of its file.
     file_start = F.shiftleft(F.shiftright("page_ord", 32), 32)
     limit = hits.groupBy("norm").agg(
         F.min(F.when(F.col("sure"), file_start - 1).otherwise(file_start + F.lit((1 << 32) - 1))).alias("last_ord")
     )
-    text = text_hits(targets.join(limit, "norm", "left"), pages, cfg, last_era)
+    text = text_hits(targets.join(limit, "norm", "left"), pages, run.index, run.vocabulary, cfg, last_era)
     scores = F.element_at(
         F.array(F.lit(1.0), F.lit(cfg.substring_score), F.lit(cfg.overlap_score), F.lit(cfg.proximity_score)), F.col("rank")
     )
@@ -427,15 +448,14 @@ def resolve_conflicts(links: DataFrame) -> DataFrame:
 
 
 def link(employees: DataFrame, prepared_pages: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
-    """J-1 with W-2, W-3, W-4: every chosen link, losers of page conflicts included with ``accepted = false``.
+    """J-1 with W-2, W-3, W-4: every chosen link, losers of page conflicts included with ``accepted = false``."""
+    return link_prepared(prepare_run(employees, prepared_pages, cfg), cfg)
 
-    ``prepared_pages`` is a stored table from ``prepare_pages``.
-    """
-    targets = materialize(prepare_targets(employees, cfg), "targets")
-    pages = first_copies(prepared_pages)
-    pages = materialize(pages, "pages")
-    best = best_page(link_candidates(targets, pages, cfg))
-    receipts = pages.select(
+
+def link_prepared(run: Prepared, cfg: MatchConfig = MATCH) -> DataFrame:
+    best = best_page(link_candidates(run, cfg))
+    targets = run.targets
+    receipts = run.pages.select(
         "page_ord", F.col("file_name").alias("receipt_file"), "file_ord", F.col("page_no").alias("receipt_page")
     )
     links = (
@@ -464,7 +484,8 @@ def first_page_with_name(pages: DataFrame, names: DataFrame, cfg: MatchConfig =
     pairs = payee_pairs(bounded, payees, dictionaries, cfg, nearest=True).select("norm", "payee")
     scored = with_match_score(pairs.unionByName(same).distinct(), "norm", "payee", cfg)
     by_payee = scored.filter(F.col("score") >= cfg.relaxed).join(occurrences, "payee").select("norm", "page_ord")
-    by_text = text_hits(bounded.withColumn("last_ord", F.lit(None).cast("long")), prepared, cfg, last_era)
+    index = positional_index(prepared)
+    by_text = text_hits(bounded.withColumn("last_ord", F.lit(None).cast("long")), prepared, index, vocabulary_of(index), cfg, last_era)
     hits = by_payee.unionByName(by_text.select("norm", "page_ord"))
     files = prepared.select("file_ord", "file_name").distinct()
     first = hits.groupBy("norm", F.shiftright("page_ord", 32).cast("int").alias("file_ord")).agg(F.min("page_ord").alias("page_ord"))

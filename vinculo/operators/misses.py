@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import MATCH, MatchConfig
 from ..functions.fold import words
-from .linkage import first_copies, payee_occurrences, prepare_targets
+from .linkage import Prepared, payee_occurrences
 from .nearest import nearest_payee
-from .postings import at_distance, first_place, positional_index, vocabulary_of, word_offsets, word_postings
+from .postings import at_distance, first_place, word_offsets, word_postings
 from .scale import cell_join, materialize, number_rows
 
 
@@ -19,7 +19,7 @@ def unlinked(employees: DataFrame, links: DataFrame) -> DataFrame:
     return employees.join(links.filter("accepted").select("emp_ord"), "emp_ord", "left_anti")
 
 
-def found_in_text(targets: DataFrame, pages: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
+def found_in_text(targets: DataFrame, pages: DataFrame, index: DataFrame, vocabulary: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
     """S-30: norms whose whole name is in some page, or whose first and last word start within the distance.
 
     Unlike the link methods there is no lower limit on the name length, no word
@@ -28,8 +28,6 @@ def found_in_text(targets: DataFrame, pages: DataFrame, cfg: MatchConfig = MATCH
     read only for names that no distance has found, where both ends stand as
     far apart as in the name.
     """
-    index = positional_index(pages)
-    vocabulary = vocabulary_of(index)
     named = targets.select("norm", "words", "first", "last")
     two, one = named.filter(F.size("words") >= 2), named.filter(F.size("words") == 1)
     ends = two.select(F.explode(F.array("first", "last")).alias("word")).unionByName(one.select(F.col("first").alias("word"))).distinct()
@@ -129,17 +127,13 @@ def shared_words(a: Column, b: Column) -> Column:
     return F.size(F.filter(words(a, 3), lambda w: F.array_contains(other, w)))
 
 
-def explain_misses(
-    employees: DataFrame, links: DataFrame, prepared_pages: DataFrame, cfg: MatchConfig = MATCH
-) -> DataFrame:
+def explain_misses(run: Prepared, links: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
     """The miss report: one row per employee without an accepted link, numbered in employee order (W-8)."""
-    missing = unlinked(employees, links)
-    targets = materialize(prepare_targets(missing, cfg), "misses")
-    pages = materialize(first_copies(prepared_pages), "miss-pages")
-    occurrences = payee_occurrences(pages)
-    in_text = found_in_text(targets, pages, cfg).withColumn("found_in_full_text", F.lit(True))
+    targets = materialize(unlinked(run.targets, links), "misses")
+    occurrences = payee_occurrences(run.pages)
+    in_text = found_in_text(targets, run.pages, run.index, run.vocabulary, cfg).withColumn("found_in_full_text", F.lit(True))
     as_payee = occurrences.select(F.col("payee").alias("norm")).distinct().withColumn("found_as_payee", F.lit(True))
-    near = nearest_payee(targets, occurrences, cfg)
+    near = nearest_payee(targets, occurrences, cfg, run.dictionaries)
     report = (
         targets.join(in_text, "norm", "left")
         .join(as_payee, "norm", "left")

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MATCH, MatchConfig
-from ..functions.fold import first_name, surnames, without_particles
-from ..functions.similarity import jaro_winkler, with_match_score
+from ..functions.fold import first_name, let, surnames, without_particles
+from ..functions.similarity import with_match_score
 from .blocking import SORT_LETTERS
 from .linkage import name_dictionaries
 from .scale import cell_join, materialize
@@ -37,8 +37,7 @@ _SLACK = 1e-9
 def _letters(c: Column) -> Column:
     """How often each counted character occurs, and how many others there are."""
     counts = F.transform(F.array(*[F.lit(x) for x in _COUNTED]), lambda x: F.length(c) - F.length(F.replace(c, x)))
-    others = F.length(c) - F.aggregate(counts, F.lit(0), lambda a, n: a + n)
-    return F.concat(counts, F.array(others))
+    return let(counts, lambda k: F.concat(k, F.array(F.length(c) - F.aggregate(k, F.lit(0), lambda a, n: a + n))))
 
 
 def _shape(norm: Column, first: Column, cfg: MatchConfig) -> dict[str, Column]:
@@ -63,9 +62,12 @@ def _common_start(a: Column, b: Column) -> Column:
 def similarity_bound(letters: Column, n: Column, other_letters: Column, other_n: Column, start: Column, exact_length: bool) -> Column:
     """No Jaro-Winkler similarity of the two sides is higher; ``other_n`` is the shortest other name unless all have that length."""
     common = F.aggregate(F.zip_with(letters, other_letters, lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    m = F.least(common, n, other_n) if exact_length else F.least(common, n)
-    jaro = (m / n + F.least(m, other_n) / other_n + 1) / 3
-    return jaro + start * F.lit(0.1) * (1 - jaro)
+    # Every term holds its bound once, so that expressions don't multiply.
+    if exact_length:
+        parts = F.least(common, n, other_n) * (1 / n + 1 / other_n)
+    else:
+        parts = let(common, lambda m: F.least(m, n) / n + F.least(m, other_n) / other_n)
+    return (parts + 1) / 3 * (1 - start * F.lit(0.1)) + start * F.lit(0.1)
 
 
 def score_bound(similarity: Column, cfg: MatchConfig) -> Column:
@@ -73,17 +75,17 @@ def score_bound(similarity: Column, cfg: MatchConfig) -> Column:
 
     Distinctive pairs have a key that is ``rare``; pairs whose last surnames agree have a key that says so (``last``).
     """
-    base = F.when(F.col("rare"), F.least(F.lit(1.0), similarity + cfg.distinctive_bonus)).otherwise(similarity)
+    base = F.least(F.lit(1.0), similarity + F.when(F.col("rare"), F.lit(cfg.distinctive_bonus)).otherwise(F.lit(0.0)))
     common = ~F.col("rare") & F.col("several") & ~F.col("last") & ~F.col("y").isin(ANY, NONE)
-    capped = F.when(common, F.least(base, F.lit(cfg.common_only_cap))).otherwise(base)
-    floored = F.when(F.col("last") & (F.col("fj") >= cfg.first_name_similarity), F.greatest(capped, F.lit(cfg.ends_match_floor))).otherwise(capped)
-    return F.when(F.col("fj") < 1, floored * F.col("fj")).otherwise(floored) + _SLACK
+    capped = F.least(base, F.when(common, F.lit(cfg.common_only_cap)).otherwise(F.lit(1.0)))
+    ends = F.col("last") & (F.col("fj") >= cfg.first_name_similarity)
+    return F.greatest(capped, F.when(ends, F.lit(cfg.ends_match_floor)).otherwise(F.lit(0.0))) * F.least(F.col("fj"), F.lit(1.0)) + _SLACK
 
 
 def _can_win(bound: Column, seen: Column) -> Column:
     """Better than the lower bound, or as good and seen earlier."""
-    least = F.coalesce("least", F.lit(0.0))
-    return (bound > least + 2 * _SLACK) | ((bound >= least) & (F.col("least").isNull() | (seen <= F.col("least_seen"))))
+    as_good = F.col("least").isNull() | (seen <= F.col("least_seen"))
+    return bound >= F.coalesce("least", F.lit(0.0)) + F.when(as_good, F.lit(0.0)).otherwise(F.lit(2 * _SLACK))
 
 
 def _lower(scored: DataFrame) -> DataFrame:
@@ -114,7 +116,6 @@ def _keys_of_targets(targets: DataFrame, classes: DataFrame, first: DataFrame, s
 def nearest_pairs(targets: DataFrame, payees: DataFrame, dictionaries: tuple[DataFrame, DataFrame], cfg: MatchConfig) -> DataFrame:
     """(norm, payee, seen, score, reason), stored: scored pairs, among them every name's best pair of those that share a surname or lack one."""
     first, sur = dictionaries
-    first = materialize(first.withColumn("fj", F.when(F.col("f1") == F.col("f2"), F.lit(1.0)).otherwise(jaro_winkler(F.col("f1"), F.col("f2")))), "near-first")
     shaped = materialize(
         payees.select("payee", "f2", "s2", "seen", F.coalesce(F.try_element_at("s2", F.lit(-1)), F.lit("")).alias("l2"), *[v.alias(k) for k, v in _shape(F.col("payee"), F.col("f2"), cfg).items()]),
         "near-payees",
@@ -169,16 +170,20 @@ def nearest_pairs(targets: DataFrame, payees: DataFrame, dictionaries: tuple[Dat
     return materialize(seen_so_far.unionByName(rest.select(*seen_so_far.columns)), "miss-pairs")
 
 
-def nearest_payee(targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig = MATCH) -> DataFrame:
+def nearest_payee(
+    targets: DataFrame, occurrences: DataFrame, cfg: MatchConfig = MATCH, dictionaries: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """J-18: (norm, candidate, score, reason): the payee with the highest score above 0, the first seen on ties.
 
     All pairs of allowed first names and no agreeing surname score the same low
     value, so their first-seen payee per first name is all that is needed.
+    ``dictionaries`` of a run that holds these names and payees are used again.
     """
     norm = F.col("payee")
     seen = occurrences.groupBy("payee").agg(F.min(F.struct("page_ord", "pos")).alias("seen"))
     payees = materialize(seen.withColumns({"f2": first_name(norm, cfg.particles), "s2": surnames(norm, cfg.particles)}), "miss-payees")
-    dictionaries = name_dictionaries(targets, payees, cfg)
+    if dictionaries is None:
+        dictionaries = name_dictionaries(targets, payees, cfg)
     scored = nearest_pairs(targets, payees, dictionaries, cfg)
     surnamed = payees.filter("size(s2) > 0").groupBy("f2").agg(F.min(F.struct("seen", "payee")).alias("p"))
     low = (

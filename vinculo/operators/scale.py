@@ -68,45 +68,83 @@ def number_rows(df: DataFrame, *order: Column, name: str = "index") -> DataFrame
     )
 
 
-def _blocks(df: DataFrame, order: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("long"))
+def _row_blocks(df: DataFrame, part: list[str], order: str, blocks: int | None) -> DataFrame:
+    """Cut the rows of all groups into ranges of about equal row counts; ``_block`` rises along a group's order.
+
+    The ranges are cut from a sample of (part, order), so a group with sparse
+    order values gets as many blocks as it has rows for, and rows of one order
+    value share a block. Without a number of blocks there are as many as shuffle
+    partitions, fewer for little data.
+    """
+    by = [*([] if blocks is None else [blocks]), *[F.col(c) for c in (*part, order)]]
+    return df.repartitionByRange(*by).withColumn("_block", F.spark_partition_id())
 
 
-def carry_forward(df: DataFrame, part: list[str], order: str, values: list[str], block: int = 1 << 16) -> DataFrame:
-    """Last non-NULL value so far, per ``part`` in ``order`` (an integer), for every column of ``values``.
+def carry_forward(df: DataFrame, part: list[str], order: str, values: list[str], blocks: int | None = None) -> DataFrame:
+    """Last non-NULL value so far, per ``part`` in ``order``, for every column of ``values``.
 
-    One group may hold most of the data, so it is cut into blocks of
-    consecutive order values: the window runs inside a block, and the value a
-    block starts with comes from a second window over one row per block.
+    One group may hold most of the data, so its rows are cut into blocks: the
+    window runs inside a block, and the value a block starts with comes from a
+    second window over one row per block. Blocks are cut by rows, and stored
+    with what is known inside them, since another run may cut elsewhere.
     """
-    df = _blocks(df, order, block)
     inside = Window.partitionBy(*part, "_block").orderBy(order)
-    ends = df.groupBy(*part, "_block").agg(
-        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_end_{v}") for v in values]
-    )
+    within = materialize(_row_blocks(df, part, order, blocks).withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in values}), "carried")
+    ends = within.groupBy(*part, "_block").agg(*[F.max_by(v, order).alias(f"_end_{v}") for v in values])
     earlier = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select(
         *part, "_block", *[F.last(f"_end_{v}", ignorenulls=True).over(earlier).alias(f"_start_{v}") for v in values]
     )
-    within = df.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in values})
     joined = _null_safe_join(within, starts, [*part, "_block"])
     return joined.withColumns({v: F.coalesce(F.col(v), F.col(f"_start_{v}")) for v in values}).drop(
         "_block", *[f"_start_{v}" for v in values]
     )
 
 
-def running_offset(df: DataFrame, part: list[str], order: str, size: str, name: str, block: int = 1 << 16) -> DataFrame:
-    """Sum of ``size`` over all earlier rows of ``part``; blocked like ``carry_forward``."""
-    df = _blocks(df, order, block)
+def running_offset(df: DataFrame, part: list[str], order: str, size: str, name: str, blocks: int | None = None) -> DataFrame:
+    """Sum of ``size`` over all earlier rows of ``part``; in blocks like ``carry_forward``."""
     inside = Window.partitionBy(*part, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*part, "_block").agg(F.sum(size).alias("_total"))
+    within = materialize(_row_blocks(df, part, order, blocks).withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0))), "offsets")
+    totals = within.groupBy(*part, "_block").agg(F.sum(size).alias("_total"))
     earlier = Window.partitionBy(*part).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*part, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
-    within = df.withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0)))
     joined = _null_safe_join(within, bases, [*part, "_block"])
     return joined.withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")
 
 
+def rank_slice(df: DataFrame, order: list[str], first: int, size: int, rows: int = 1 << 16, ranges: int = 64) -> DataFrame:
+    """Rows ``first`` to ``first + size - 1`` (from 0) in the ascending order of columns, without sorting the others.
+
+    Keys of a sample bound ranges whose rows are counted exactly; only the
+    ranges that hold the wanted ranks go on, until few rows are left to sort.
+    Each round reads the table twice and keeps nothing. Rows that all have one
+    key can't be told apart by ranges; they are numbered instead.
+    """
+    key = F.struct(*order)
+    open_ = df
+    while (n := open_.count()) > rows:
+        spaced = open_.select(key.alias("k")).sample(min(1.0, 32 * ranges / n), seed=n).orderBy("k").collect()
+        bounds = list(dict.fromkeys(r.k for r in spaced[:: max(1, len(spaced) // ranges)]))
+        at = F.lit(0)
+        for bound in bounds:
+            literal = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, bound, strict=True)])
+            at = at + (key > literal).cast("int")
+        counts = dict(open_.groupBy(at.alias("at")).count().collect())
+        begin, chosen, skipped = 0, [], 0
+        for k in sorted(counts):
+            if begin + counts[k] > first and begin < first + size:
+                chosen.append(k)
+            elif begin + counts[k] <= first:
+                skipped += counts[k]
+            begin += counts[k]
+        if not chosen or sum(counts[k] for k in chosen) == n:
+            numbered = number_rows(open_, *[F.col(c) for c in order], name="_place")
+            return numbered.filter(F.col("_place").between(first + 1, first + size)).drop("_place")
+        open_ = open_.filter(at.between(chosen[0], chosen[-1]))
+        first -= skipped
+    return open_.orderBy(*order).offset(max(first, 0)).limit(size)
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     right = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
     cond = None

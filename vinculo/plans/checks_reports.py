@@ -225,7 +225,7 @@ def pending_links(spark, sf):
 def page_slice(spark, sf):
     """L-4, L-1: a page number behind the end shows the last page."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    out = registry.page_slice(c, [F.col("c_name"), F.col("c_custkey")], 1_000_000_000, 50)
+    out = registry.page_slice(c, ["c_name", "c_custkey"], 1_000_000_000, 50, rows=400)
     return out.withColumn("total", big("total"))
 
 

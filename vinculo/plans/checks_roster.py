@@ -121,7 +121,7 @@ _PAID = "CASE WHEN numeric_pay THEN round(c_acctbal * 2000) ELSE round(c_acctbal
 def payroll_records(spark, sf):
     """P-4 to P-6, P-10, P-11, W-5, W-6, S-20, S-21: all fields of the payroll workbooks."""
     rows = _of_layout(_rows(spark, sf), 0)
-    r = layouts.payroll_records(rows, layouts.payroll_headers(rows), block=64)
+    r = layouts.payroll_records(rows, layouts.payroll_headers(rows))
     return r.select(
         "file", "row_ord", "empresa", "cidade", "contrato", "colaborador", "tipo", "codigo",
         *[F.col(f).cast("double").alias(f) for f in C.PAYROLL_MONEY_FIELDS],
@@ -236,7 +236,7 @@ def section_carry_forward(spark, sf):
     c = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.when(F.col("role") == "user", big(F.length("text"))).alias("section")
     )
-    return carry_forward(c, ["conv_id"], "turn", ["section"], block=2).select("conv_id", big("turn").alias("turn"), "section")
+    return carry_forward(c, ["conv_id"], "turn", ["section"], blocks=5).select("conv_id", big("turn").alias("turn"), "section")
 
 
 @query(
@@ -248,7 +248,7 @@ def section_carry_forward_large(spark, sf):
     o = table(spark, sf, "orders").select(
         "o_orderstatus", "o_orderkey", F.when(F.col("o_totalprice") > 150000, F.col("o_custkey")).alias("section")
     )
-    return carry_forward(o, ["o_orderstatus"], "o_orderkey", ["section"], block=1 << 10).select("o_orderkey", "section")
+    return carry_forward(o, ["o_orderstatus"], "o_orderkey", ["section"], blocks=16).select("o_orderkey", "section")
 
 
 @query(

@@ -16,15 +16,17 @@ class LinkRun:
     employees: DataFrame
     pages: DataFrame
     links: DataFrame      # every chosen link; losers of page conflicts have accepted = false
+    prepared: linkage.Prepared
     cfg: MatchConfig
 
     def misses(self) -> DataFrame:
-        return misses.explain_misses(self.employees, self.links, self.pages, self.cfg)
+        return misses.explain_misses(self.prepared, self.links, self.cfg)
 
 
 def run_links(slips: DataFrame, receipts: DataFrame, cfg: MatchConfig = MATCH, phase=None) -> LinkRun:
     """``slips`` and ``receipts`` are page tables. Extracted names and prepared pages are stored once."""
     employees = materialize(linkage.employees_from_slips(slips, phase), "employees")
     pages = materialize(linkage.prepare_pages(receipts), "prepared-pages")
-    links = materialize(linkage.link(employees, pages, cfg), "links")
-    return LinkRun(employees, pages, links, cfg)
+    prepared = linkage.prepare_run(employees, pages, cfg)
+    links = materialize(linkage.link_prepared(prepared, cfg), "links")
+    return LinkRun(employees, pages, links, prepared, cfg)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fold import fold_weak
-from ..operators.scale import number_rows
+from ..operators.scale import rank_slice
 from .schemas import REGISTRY, struct
 
 
@@ -54,18 +54,17 @@ def top_runs(runs: DataFrame, n: int = 100) -> DataFrame:
     return newest_first(runs).limit(n)
 
 
-def page_slice(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """L-4. One page of a sorted list; a page behind the end shows the last page.
+def page_slice(df: DataFrame, order: list[str], page: int, size: int, rows: int = 1 << 16) -> DataFrame:
+    """L-4. One page of a list in the ascending order of columns; a page behind the end shows the last page.
 
-    Rows are numbered by a range sort over all tasks, so a late page costs no
-    more than an early one and no task holds the rows before it.
+    The page is found by counting, so a late page costs no more than an early
+    one, and only about ``rows`` rows around it are sorted.
     """
-    numbered = number_rows(df, *order, name="_place")
     total = df.count()
     last = max(1, -(-total // size))
     shown = min(page, last)
-    rows = numbered.filter(F.col("_place").between((shown - 1) * size + 1, shown * size)).drop("_place")
-    return rows.withColumns({"page": F.lit(shown), "pages": F.lit(last), "total": F.lit(total)})
+    found = rank_slice(df, order, (shown - 1) * size, size, rows)
+    return found.withColumns({"page": F.lit(shown), "pages": F.lit(last), "total": F.lit(total)})
 
 
 def preview(records: DataFrame, n: int = 20) -> tuple[DataFrame, Column]:
