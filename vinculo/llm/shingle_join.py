@@ -23,8 +23,7 @@ shingles that the other lacks, which all steps below build on:
    lists within one component are finished. What is left after a few rounds is
    compared member by member, in cells of bounded size, if the pair has as many
    signatures in common as a link implies: partners with the most of them first,
-   in growing rounds, until no pair across components is left. Comparisons are
-   exact, on the sets.
+   until no pair across components is left. Comparisons are exact, on the sets.
 
 No list, group or component is collected; the only driver values are counts.
 """
@@ -34,7 +33,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +59,12 @@ class JoinRules:
     pairs: int = 64
     #: Rounds with one hub per list before the rest is compared member by member.
     hub_rounds: int = 2
-    #: Partners that a member of the rest meets in its first round; eight times as many in each further one.
-    partners: int = 8
     #: Bytes of text behind one group of packed shingles.
     group_bytes: int = 4 << 20
-    #: Most documents and signatures on a side of a cell of the lists that need all their pairs.
+    #: Most documents, signatures and shingles on a side of a cell of the lists that need all their pairs.
     cell_ids: int = 1500
     cell_postings: int = 100_000
+    cell_values: int = 1 << 21
 
 
 def tau(n: int, percent: int = 80) -> int:
@@ -318,23 +315,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
     return materialize(linked, "shingle-links")
 
 
+def _local_sets(held: pa.Table) -> tuple[dict[int, np.ndarray], int]:
+    """Sets as numbers of a group's own shingles, and how many of those there are."""
+    lists = held.column("tokens_").combine_chunks()
+    found, flat = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists))])
+    return {doc: flat[i:j] for doc, i, j in zip(held.column("id_").to_pylist(), at[:-1], at[1:], strict=True)}, len(found)
+
+
+def _top(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = up
+    return x
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Components of a bounded set of links, by union-find with the smaller id on top."""
     parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
     for batch in batches:
         for a, b in zip(column(batch, "a").to_pylist(), column(batch, "b").to_pylist(), strict=True):
-            low, high = sorted((top(a), top(b)))
+            low, high = sorted((_top(parent, a), _top(parent, b)))
             if low != high:
                 parent[high] = low
     ids = list(parent)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names=["id", "comp"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_top(parent, x) for x in ids], pa.int64())], names=["id", "comp"])
 
 
 def components(links: DataFrame, together: int = 1 << 20) -> DataFrame:
@@ -388,27 +393,25 @@ def least_common(n: int, other_n: int, percent: int = 80) -> int:
     return max(1, overlap + 1 - max(n - tau(n, percent), other_n - tau(other_n, percent)))
 
 
-def _rest_pairs(rest: DataFrame, rules: JoinRules, most: int) -> tuple[DataFrame, bool]:
-    """Pairs across components of what the hubs left, each once: (id, n, other, other_n), and whether there are more.
-
-    A member's ``most`` partners with the most common signatures come first; the
-    others wait for the next round, where those that have become members of one
-    component by then need no comparison.
+def _rest_links(rest: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame:
+    """Links (a, b) across components of what the hubs left, enough of them to join what belongs together.
 
     Lists are bundled by their largest component. Its outsiders meet all members
-    in cells of bounded size, where common signatures are counted. The common
-    lists of a pair may lie in several bundles, so counts are added up over the
-    cells before pairs with fewer than a linked pair has are left out; a cell
-    keeps back a count that the signatures of both in other bundles can't make
-    enough. Pairs one of which was a hub of a common list are settled there.
+    in cells of bounded size, which hold the sets of their members once. A pair
+    is compared there if its common signatures, with those that both may share
+    in other bundles, can be as many as a linked pair has, and if no hub of a
+    common list settled it. Partners with the most common signatures come first,
+    and pairs that links of the cell have joined meanwhile are left out.
     """
-    each = rest.groupBy("major", "id", "comp").agg(F.count(F.lit(1)).alias("sigs"))
+    each = rest.groupBy("major", "id", "comp", "n").agg(F.count(F.lit(1)).alias("sigs"))
     outside = F.col("comp") != F.col("major")
-    parts = lambda ids, sigs: F.greatest(F.ceil(ids / rules.cell_ids), F.ceil(sigs / rules.cell_postings)).cast("int")
+    out = lambda c: F.sum(F.when(outside, F.col(c)).otherwise(0))
+    parts = lambda ids, sigs, values: F.greatest(F.ceil(ids / rules.cell_ids), F.ceil(sigs / rules.cell_postings), F.ceil(values / rules.cell_values)).cast("int")
     sizes = each.groupBy("major").agg(
-        parts(F.count_if(outside), F.sum(F.when(outside, F.col("sigs")).otherwise(0))).alias("rows"), parts(F.count(F.lit(1)), F.sum("sigs")).alias("cols")
+        parts(F.count_if(outside), out("sigs"), out("n")).alias("rows"), parts(F.count(F.lit(1)), F.sum("sigs"), F.sum("n")).alias("cols")
     )
-    bundles = max(1, math.ceil(rest.count() / rules.cell_postings))
+    postings, values = each.agg(F.sum("sigs"), F.sum("n")).first()
+    bundles = max(1, math.ceil((postings or 0) / rules.cell_postings), math.ceil((values or 0) / rules.cell_values))
     split = (F.col("rows") > 1) | (F.col("cols") > 1)
     sizes = sizes.withColumns({"split": split, "bundle": F.when(split, F.col("major")).otherwise(F.pmod(F.xxhash64("major"), F.lit(bundles)))})
     # A component may hold most rows: its one row of sizes is copied to several keys.
@@ -423,10 +426,18 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules, most: int) -> tuple[DataFrame
     left = keyed.filter(outside).withColumns({"row": chunk(F.col("rows")), "col": copies(F.col("cols"))}).drop("rows", "cols")
     right = keyed.withColumns({"col": chunk(F.col("cols")), "row": copies(F.col("rows"))}).drop("rows", "cols")
     right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
+    # The sets of a cell's members, each once, as further rows of its second side.
+    inside = left.select(*names, "id").unionByName(right.select(*[F.col(f"{c}_").alias(c) for c in (*names, "id")])).distinct()
+    held = inside.join(sets.select("id", "tokens"), "id").select(*[F.col(c).alias(f"{c}_") for c in (*names, "id", "tokens")])
+    right = right.unionByName(held, allowMissingColumns=True)
     percent = rules.percent
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: list[tuple[int, ...]] = []
+        found: list[tuple[int, int]] = []
+        is_set = b.column("tokens_").is_valid()
+        of, terms = _local_sets(b.filter(is_set))
+        b = b.filter(pa.compute.invert(is_set))
+        mark = np.zeros(terms, bool)
         lists: dict[int, dict[int, tuple[list, list, list, list]]] = {}
         facts: dict[int, tuple[int, int, int, int]] = {}
         for side, table, tail in ((0, a, ""), (1, b, "_")):
@@ -459,31 +470,38 @@ def _rest_pairs(rest: DataFrame, rules: JoinRules, most: int) -> tuple[DataFrame
             keep = ~settled & (counts > 0) & (counts + elsewhere >= least) & (np.minimum.outer(m, other_m) >= overlap) & (comp[:, None] != other_comp[None, :])
             # Two outsiders meet twice, once in each order.
             keep &= (other_comp == major)[None, :] | np.less.outer(np.array(rows), np.array(cols))
-            at_row, at_col = np.nonzero(keep)
-            order = np.lexsort((at_col, -counts[at_row, at_col], at_row))
-            at_row, at_col = at_row[order], at_col[order]
-            place = np.arange(len(at_row)) - np.searchsorted(at_row, at_row)
-            if len(place) and place.max() >= most:
-                found.append((None,) * 6)
-            for i, j in zip(at_row[place < most].tolist(), at_col[place < most].tolist(), strict=True):
-                (a, na), (b, nb) = sorted(((rows[i], int(n[i])), (cols[j], int(other_n[j]))))
-                found.append((a, na, b, nb, int(counts[i, j]), int(least[i, j])))
-        columns = list(zip(*found, strict=True)) if found else [()] * 6
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "n", "other", "other_n", "common", "least"])
+            above: dict[int, int] = {}
+            for i in np.flatnonzero(keep.any(axis=1)).tolist():
+                near = np.flatnonzero(keep[i])
+                near = near[np.argsort(-counts[i, near], kind="stable")]
+                mine = of[rows[i]]
+                mark[mine] = True
+                done, width = 0, 8
+                while done < len(near):
+                    some = [j for j in near[done : done + width].tolist() if _top(above, int(other_comp[j])) != _top(above, int(comp[i]))]
+                    done, width = done + width, width * 8
+                    if some:
+                        theirs = [of[cols[j]] for j in some]
+                        sizes = np.array([len(x) for x in theirs])
+                        shared = np.add.reduceat(mark[np.concatenate(theirs)].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                        for k in np.flatnonzero(100 * shared >= percent * (len(mine) + sizes - shared)).tolist():
+                            low, high = sorted((_top(above, int(comp[i])), _top(above, int(other_comp[some[k]]))))
+                            if low != high:
+                                above[high] = low
+                                found.append((rows[i], cols[some[k]]))
+                mark[mine] = False
+        ends = list(zip(*found, strict=True)) if found else [(), ()]
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("a", "b"), ends, strict=True)})
 
     cells = left.groupBy(*names).cogroup(right.groupBy(*[f"{c}_" for c in names]))
-    met = materialize(cells.applyInArrow(meet, "id long, n long, other long, other_n long, common long, least long"), "shingle-met")
-    whole = met.filter(F.col("id").isNotNull()).groupBy("id", "n", "other", "other_n").agg(F.sum("common").alias("common"), F.max("least").alias("least"))
-    # A pair of which one cell still waits may be short of signatures here; it comes again when none of its cells does.
-    return whole.filter("common >= least").select("id", "n", "other", "other_n"), not met.filter(F.col("id").isNull()).isEmpty()
+    return materialize(cells.applyInArrow(meet, "a long, b long"), "shingle-links")
 
 
 def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
     """(id, comp) of the classes that are not the smallest of their component."""
     lists = _signed(sets, rules)
     comps = links = None
-    most = rules.partners
-    for step in count():
+    for step in range(rules.hub_rounds + 1):
         if comps is None:
             members = lists.withColumns({"comp": F.col("id"), "weight": F.lit(1), "done": F.lit(False)})
         else:
@@ -511,9 +529,8 @@ def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
             lists = lists.select("sig", "id", "n", "m", (F.col("done") | F.col("mixed") & (F.col("id") == F.col("other"))).alias("done"))
         else:
             rest = members.join(state.drop("hub", "told"), "sig").select(*columns, F.col("major.comp").alias("major"))
-            meeting, more = _rest_pairs(materialize(rest, "shingle-rest"), rules, most)
-            finished, most = not more, most * 8
-        found = _verified(_ordered(meeting), sets, rules)
+            meeting, finished = None, True
+        found = _rest_links(materialize(rest, "shingle-rest"), sets, rules) if meeting is None else _verified(_ordered(meeting), sets, rules)
         if comps is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comps = components(links)
