@@ -410,7 +410,7 @@ def annotated_pages(spark, sf):
     return out.select(F.col("file_id").alias("conv_id"), big("page_no").alias("turn"), "text")
 
 
-def _versions(spark, sf):
+def text_versions(spark, sf):
     c = table(spark, sf, "conversations")
     n = F.length("text")
     key = [F.col("conv_id").cast("string").alias("file_id"), F.col("turn").cast("int").alias("page_no")]
@@ -442,7 +442,7 @@ _VERSIONS = f"""v AS (SELECT CAST(conv_id AS VARCHAR) AS file_id, CAST(turn AS B
 )
 def best_text_version(spark, sf):
     """IO-6 for receipts."""
-    return P.best_versions(_versions(spark, sf)).select("file_id", big("page_no").alias("page_no"), "text")
+    return P.best_versions(text_versions(spark, sf)).select("file_id", big("page_no").alias("page_no"), "text")
 
 
 @query(
@@ -455,7 +455,7 @@ def best_text_version(spark, sf):
 )
 def best_slip_version(spark, sf):
     """IO-6 for slips."""
-    out = P.best_slip_versions(_versions(spark, sf), extract.employee_name)
+    out = P.best_slip_versions(text_versions(spark, sf), extract.employee_name)
     return out.select("file_id", big("page_no").alias("page_no"), "text", big("phase").alias("phase"))
 
 
@@ -467,7 +467,7 @@ def best_slip_version(spark, sf):
 )
 def text_metrics(spark, sf):
     """A-5."""
-    return P.text_metrics(_versions(spark, sf))
+    return P.text_metrics(text_versions(spark, sf))
 
 
 # ---------------------------------------------------------------------------

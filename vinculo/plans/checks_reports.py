@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import enrich, kpi, policy
@@ -12,6 +11,7 @@ from ..sources.schemas import EMPLOYEE_RECORDS, struct
 from ..streaming import incremental
 from . import sqltext as S
 from .checks_functions import _employee_sql
+from .checks_linkage import _VERSIONS, text_versions
 from .checks_roster import _CUST
 from .register import big, query
 from .tables import table
@@ -319,6 +319,11 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}.parquet*")
 
 
+def _splits(spark, sf, name):
+    """Splits of a table's plain scan."""
+    return max(1, spark.read.parquet(f"{sf}/{name}.parquet").rdd.getNumPartitions())
+
+
 def _folder(spark):
     return f"{shared_folder(spark)}/vinculo/stream-{uuid.uuid4().hex}"
 
@@ -345,25 +350,68 @@ def stream_extraction(spark, sf):
     return spark.read.schema(incremental.extract_slips(pages).schema).parquet(f"{folder}/out").drop("started_at")
 
 
-def _dropped_files(df, folder, part):
-    """A stream of ``df`` in several files, one per value of ``part``, later values first."""
-    for value in sorted((r[0] for r in df.select(part).distinct().collect()), reverse=True):
-        df.filter(F.col(part) == value).drop(part).coalesce(1).write.parquet(f"{folder}/in/{part}={value}")
-    return df.sparkSession.readStream.schema(df.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+def _dropped_files(parts, folder, files):
+    """A stream of tables that arrive one after the other, each in a number of files that make one batch."""
+    for k, part in enumerate(parts):
+        part.repartition(files).write.parquet(f"{folder}/in/drop={k}")
+    return parts[0].sparkSession.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
 
 
 @query("SELECT upper(p_name) AS norm, min(p_partkey) AS entry_ord FROM part GROUP BY 1")
 def stream_first_seen(spark, sf):
-    """T-2: entries arrive in four files, those with smaller numbers last."""
-    entries = table(spark, sf, "part").select(
-        F.upper("p_name").alias("norm"), F.col("p_partkey").alias("entry_ord"), F.ntile(4).over(Window.orderBy("p_partkey")).alias("file")
-    )
+    """T-2: entries arrive in four drops, those with smaller numbers last."""
+    entries = table(spark, sf, "part").select(F.upper("p_name").alias("norm"), F.col("p_partkey").alias("entry_ord"))
+    most = entries.agg(F.max("entry_ord")).first()[0] or 0
+    quarter = F.floor(F.col("entry_ord") * 4 / (most + 1))
     folder = _folder(spark)
-    stream = _dropped_files(entries, folder, "file")
+    stream = _dropped_files([entries.filter(quarter == k) for k in (3, 2, 1, 0)], folder, _splits(spark, sf, "part"))
     _finish(incremental.first_seen_stream(stream, f"{folder}/out", f"{folder}/checkpoint", buckets=8))
     return incremental.current_rows(spark, f"{folder}/out", stream.schema)
 
 
+@query(
+    """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+    s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT user_id AS run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at,
+        count(*) AS saves, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS closed_at
+    FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+)
+def stream_closed_runs(spark, sf):
+    """T-3 as a stream: runs of a user are closed six hours after their last saved state; those still open at the end aren't told."""
+    states = _stream(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at"))
+    closed = incremental.close_idle_runs(states, hours=6)
+    folder = _folder(spark)
+    _finish(incremental.append_stream(closed, f"{folder}/out", f"{folder}/checkpoint"))
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("first_at", "last_at", "closed_at")}
+    return spark.read.schema(closed.schema).parquet(f"{folder}/out").withColumns(shown)
+
+
+_ARRIVALS = "TIMESTAMP '2026-03-01 00:00:00' + INTERVAL 1 MINUTE * conv_id"
+
+
+@query(
+    f"""WITH {_VERSIONS}, t AS (SELECT *, CAST(file_id AS BIGINT) AS conv_id FROM y),
+    w AS (SELECT *, {_ARRIVALS} + INTERVAL 1 MINUTE * CASE WHEN retry IS NOT NULL THEN 12 WHEN ocr IS NOT NULL THEN 5 ELSE 0 END AS last_at FROM t)
+    SELECT file_id, page_no, CASE WHEN nl >= 100 THEN native WHEN retried AND rl > ol THEN retry
+        ELSE coalesce(ocr, '[Empty page ' || page_no || ']') END AS text
+    FROM w WHERE last_at + INTERVAL 30 MINUTE <= (SELECT max(last_at) FROM w) - INTERVAL 10 MINUTE"""
+)
+def stream_text_versions(spark, sf):
+    """IO-6 and U-1 as a stream: native text, OCR and retries arrive by and by, some never; pages still waiting at the end aren't told."""
+    delay = F.when(F.col("stage") == "retry", 12).when(F.col("stage") == "ocr", 5).otherwise(0)
+    minutes = F.col("file_id").cast("long") + delay
+    seconds = F.unix_timestamp(F.lit("2026-03-01").cast("timestamp")) + 60 * minutes
+    # Every second page arrives eight minutes after its time, which the watermark's ten allow for.
+    versions = text_versions(spark, sf).withColumns({"at": F.timestamp_seconds(seconds), "arrival": minutes + 8 * (F.col("page_no") % 2)})
+    most = versions.agg(F.max("arrival")).first()[0] or 0
+    quarter = F.floor(F.col("arrival") * 4 / (most + 1))
+    folder = _folder(spark)
+    stream = _dropped_files([versions.filter(quarter == k).drop("arrival") for k in range(4)], folder, _splits(spark, sf, "conversations"))
+    settled = incremental.arriving_versions(stream)
+    _finish(incremental.append_stream(settled, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(settled.schema).parquet(f"{folder}/out").select("file_id", big("page_no").alias("page_no"), "text")
+
+
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def stale_states(spark, sf):
     """T-3."""
@@ -401,7 +449,7 @@ def stream_merge(spark, sf):
         *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(EMPLOYEE_RECORDS)], part.alias("upload")
     )
     folder = _folder(spark)
-    stream = _dropped_files(records, folder, "upload")
+    stream = _dropped_files([records.filter(F.col("upload") == k).drop("upload") for k in (1, 0)], folder, _splits(spark, sf, "customer"))
     _finish(incremental.merge_uploads(stream, f"{folder}/registry", f"{folder}/checkpoint", F.lit("2026-01-01").cast("timestamp"), buckets=8))
     t = incremental.registry_tables(spark, f"{folder}/registry")
     company = t["empresas"].select(F.col("id").alias("empresa_id"), F.col("nome_normalizado").alias("empresa"))

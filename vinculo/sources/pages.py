@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +83,11 @@ def with_annotations(pages: DataFrame, annotations: DataFrame) -> DataFrame:
     )
 
 
-def _stages(versions: DataFrame) -> DataFrame:
+def _stages(versions: DataFrame, by: Sequence[Column] = ()) -> DataFrame:
     def of(stage: str, column: str) -> Column:
         return F.max(F.when(F.col("stage") == stage, F.col(column)))
 
-    return versions.groupBy("file_id", "page_no").agg(
+    return versions.groupBy("file_id", "page_no", *by).agg(
         of("native", "text").alias("native"), of("ocr", "text").alias("ocr"), of("retry", "text").alias("retry"),
         F.coalesce(of("ocr", "timed_out"), F.lit(False)).alias("ocr_timed_out"),
         F.coalesce(of("retry", "timed_out"), F.lit(False)).alias("retry_timed_out"),
@@ -96,14 +98,17 @@ def _retried(cfg: TextConfig) -> Column:
     return (trimmed_length(F.col("ocr")) < cfg.short_chars) & ~F.col("ocr_timed_out") & F.col("retry").isNotNull()
 
 
-def best_versions(versions: DataFrame, cfg: TextConfig = TEXT) -> DataFrame:
-    """IO-6 for receipts. Native text of enough length, else OCR text, else a longer retry of a short OCR text."""
+def best_versions(versions: DataFrame, cfg: TextConfig = TEXT, by: Sequence[Column] = ()) -> DataFrame:
+    """IO-6 for receipts. Native text of enough length, else OCR text, else a longer retry of a short OCR text.
+
+    ``by`` adds a time window to the grouping of a stream.
+    """
     ocr = F.when(
         _retried(cfg) & (trimmed_length(F.col("retry")) > trimmed_length(F.col("ocr"))), F.col("retry")
     ).otherwise(F.col("ocr"))
     empty = F.concat(F.lit("[Empty page "), F.col("page_no").cast("string"), F.lit("]"))
     enough = trimmed_length(F.col("native")) >= cfg.native_min_chars
-    return _stages(versions).select(
+    return _stages(versions, by).select(
         "file_id", "page_no", F.when(enough, F.col("native")).otherwise(F.coalesce(ocr, empty)).alias("text")
     )
 
