@@ -10,6 +10,7 @@ from ..operators import linkage, misses
 from ..operators.scale import materialize, shared_folder
 from ..sources import pages as P
 from ..sources import sinks
+from . import report
 from . import sqltext as S
 from .checks_functions import _PART, _RECEIPTS, _SCORE_CTES, _SCORE_REASON, _SLIPS, _employee_sql
 from .link_run import LinkRun, run_links
@@ -150,6 +151,45 @@ def miss_reasons(spark, sf):
     return misses.reason_counts(_run(spark, sf).misses())
 
 
+# The roster knows every third document's person, the registry every second one's.
+_PEOPLE = "SELECT doc_id, name, 'Empresa ' || coalesce(lang, 'x') AS empresa, named.source AS cidade, 'K ' || CAST(doc_id % 7 AS VARCHAR) AS contrato FROM named JOIN documents USING (doc_id) WHERE name <> ''"
+_OUTPUT_SQL = f"""{_RUN_SQL}, people AS ({_PEOPLE}),
+    rost AS (SELECT *, {S.words('name', 2)} AS rw FROM people WHERE doc_id % 3 = 0),
+    ex AS (SELECT name AS norm_, min_by(struct_pack(empresa, cidade, contrato), doc_id) AS x FROM rost GROUP BY name),
+    en AS (SELECT rw[1] AS a, rw[-1] AS b, min_by(struct_pack(empresa, cidade, contrato), doc_id) AS y FROM rost WHERE len(rw) >= 2 GROUP BY 1, 2 HAVING count(*) = 1),
+    reg AS (SELECT name AS reg_name, min(empresa) AS e, min(cidade) AS m, min(contrato) AS c FROM people WHERE doc_id % 2 = 1 GROUP BY name HAVING count(*) = 1),
+    won AS (SELECT *, {S.fold('name')} AS fold, {S.words(S.fold('name'), 2)} AS fw FROM links WHERE accepted),
+    found AS (SELECT won.*, CASE WHEN fw[1] IS NOT NULL THEN coalesce(x, y) END AS r FROM won LEFT JOIN ex ON fold = norm_ LEFT JOIN en ON fw[1] = a AND fw[-1] = b),
+    fl AS (SELECT found.file_ord, emp_ord, name, coalesce(nullif(r.empresa, ''), e) AS empresa, coalesce(nullif(r.cidade, ''), m) AS cidade,
+        coalesce(nullif(r.contrato, ''), c) AS contrato FROM found LEFT JOIN reg ON norm = reg_name),
+    files AS (SELECT *, {S.file_part("coalesce(empresa, 'EMPRESA')")} || '_' || {S.file_part("coalesce(cidade, 'CIDADE')")} || '_' ||
+        {S.file_part("coalesce(contrato, 'CONTRATO')")} || '_' || {S.file_part('name')} || '.pdf' AS out_file FROM fl),
+    company AS (SELECT empresa FROM fl WHERE empresa <> '' GROUP BY empresa ORDER BY count(*) DESC, min(struct_pack(file_ord, emp_ord)) LIMIT 1)"""
+
+
+@query(
+    f"""WITH {_OUTPUT_SQL} SELECT out_file, max_by(emp_ord, struct_pack(file_ord, emp_ord)) AS emp_ord, count(*) - 1 AS collisions, 'Março' AS month_name,
+        (SELECT {S.file_part('empresa')} || '_Marco_2026_PDFs.zip' FROM company) AS run_name, (SELECT count(DISTINCT out_file) FROM files) AS pdf_count,
+        (SELECT count(*) FROM emp) - (SELECT count(*) FROM won) AS misses
+    FROM files GROUP BY out_file"""
+)
+def link_outputs(spark, sf):
+    """J-7, J-9, W-10, A-11, IO-12, IO-14: links enriched from roster and registry, and what the run writes, read back."""
+    people = named_documents(spark, sf).filter("name <> ''").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select(
+        "doc_id", "name", F.concat(F.lit("Empresa "), F.coalesce("lang", F.lit("x"))).alias("empresa"), F.col("source").alias("cidade"),
+        F.concat(F.lit("K "), (F.col("doc_id") % 7).cast("string")).alias("contrato"),
+    )
+    people = materialize(people, "people")
+    records = people.filter("doc_id % 3 = 0").withColumns({"row_ord": F.col("doc_id"), "colaborador": F.initcap("name")})
+    active = people.filter("doc_id % 2 = 1").withColumnRenamed("name", "nome_normalizado")
+    at = F.lit("2026-03-01").cast("timestamp")
+    folder = f"{shared_folder(spark)}/vinculo/outputs-{uuid.uuid4().hex}"
+    done = report.publish(_run(spark, sf), records, active, at, F.lit("u"), 12345, folder)
+    history = spark.read.parquet(done.history).select(big("pdf_count").alias("pdf_count"), big("misses").alias("misses"))
+    written = spark.read.parquet(done.manifest).select("out_file", F.col("link_ord.emp_ord").alias("emp_ord"), "collisions", "month_name")
+    return written.withColumn("run_name", F.lit(done.run_name)).join(F.broadcast(history))  # one row
+
+
 # ---------------------------------------------------------------------------
 # Text methods: benchmark names in whole documents
 # ---------------------------------------------------------------------------
