@@ -9,7 +9,7 @@ from ..sources import grids
 from . import sqltext as S
 from .register import big, query
 from .roster_import import import_workbooks
-from .tables import table, workbook_cells
+from .tables import section_workbook_cells, table, todos_heading_cells, workbook_cells
 
 # ---------------------------------------------------------------------------
 # Workbooks built from customers and nations
@@ -136,6 +136,51 @@ def payroll_skip_reasons(spark, sf):
     return layouts.skip_reasons(layouts.payroll_rows(rows, headers))
 
 
+_SECTIONS = f"""sup AS (SELECT s_suppkey AS k, s_suppkey % 8 AS kind, 'ws-' || n_nationkey AS file, {S.initcap('n_name')} AS nat
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    held AS (SELECT *, last_value(CASE WHEN kind = 0 THEN ['Empregados', 'Estagiários', 'Contribuintes'][k // 8 % 3 + 1] END IGNORE NULLS) OVER w AS tipo,
+        last_value(CASE WHEN kind = 1 THEN nat END IGNORE NULLS) OVER w AS cidade FROM sup WINDOW w AS (PARTITION BY file ORDER BY k ROWS UNBOUNDED PRECEDING))"""
+
+
+def _section_rows(spark, sf):
+    rows = materialize(grids.grid_rows(section_workbook_cells(spark, sf)), "grid-rows")
+    return rows, layouts.payroll_headers(rows)
+
+
+@query(
+    f"""WITH {_SECTIONS} SELECT file, CAST(k + 10 AS BIGINT) AS row_ord, 'Empresa ' || nat AS empresa, coalesce(cidade, '') AS cidade,
+        coalesce('6 - Município de ' || cidade, '') AS contrato, 'Pessoa ' || nat || ' da Silva' AS colaborador, tipo, CAST(k AS VARCHAR) AS codigo,
+        CAST(1234.5 AS DOUBLE) AS salario FROM held WHERE kind >= 6"""
+)
+def payroll_sections(spark, sf):
+    """W-7, P-5: section headings carried to the persons below them, on the second sheet of a workbook."""
+    records = layouts.payroll_records(*_section_rows(spark, sf))
+    return records.select("file", "row_ord", "empresa", "cidade", "contrato", "colaborador", "tipo", "codigo", F.col("salario").cast("double").alias("salario"))
+
+
+@query(
+    f"""WITH {_SECTIONS} SELECT ['section', 'service', 'empty_name', 'skip_pattern', 'non_numeric_code', 'few_words'][kind + 1] AS skip_reason,
+        count(*) AS rows FROM sup WHERE kind < 6 GROUP BY kind"""
+)
+def payroll_every_skip_reason(spark, sf):
+    """A-14 with every reason."""
+    rows, headers = _section_rows(spark, sf)
+    return layouts.skip_reasons(layouts.payroll_rows(rows, layouts.choose_sheet(headers)))
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey AS k, ['EMPRESA', 'CIDADE', 'CONTRATO', 'COLABORADOR', 'BANCO'] AS req FROM nation),
+    d AS (SELECT *, list_filter(range(0, 5), lambda i: i = k % 5 OR (k % 2 = 1 AND i = k // 5 % 5) OR (k % 3 = 0 AND i = (k + 2) % 5)) AS gone FROM n),
+    m AS (SELECT k, CASE WHEN len(gone) <= 2 THEN list_transform(gone, lambda i: req[i + 1]) WHEN k % 7 = 0 THEN [] ELSE req END AS missing FROM d)
+    SELECT 'wt-' || k AS file, len(missing) = 0 AS valid, array_to_string(missing, '|') AS missing FROM m"""
+)
+def todos_missing_headers(spark, sf):
+    """U-3, P-1: which required headers a TODOS sheet lacks."""
+    rows = materialize(grids.grid_rows(todos_heading_cells(spark, sf, C.REQUIRED_HEADERS)), "grid-rows")
+    found = layouts.validate_todos(rows, rows.groupBy("file", "sheet_ord").agg(F.max("sheet").alias("sheet")))
+    return found.select("file", "valid", F.array_join("missing_columns", "|").alias("missing"))
+
+
 @query(
     f"""WITH {_CUST} SELECT file, CAST(c_custkey + 10 AS BIGINT) AS row_ord, seg AS empresa, nat AS cidade,
         CASE WHEN c_custkey % 2 = 0 THEN {_WHOLE.format('c_custkey % 3')} ELSE 'Limpeza - Itaú' END AS contrato, person AS colaborador,

@@ -176,3 +176,53 @@ def workbook_cells(spark: SparkSession, folder: str) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.filter("value <> '' or num is not null")
+
+
+def _sheet_cells(df: DataFrame, sheet_ord: int, sheet: str, row: Column, values: Column) -> DataFrame:
+    """Cells of one row per row of ``df(file)`` from an array of texts; blank ones are left out."""
+    at = df.select("file", row.cast("int").alias("r"), F.posexplode(values).alias("c", "value")).filter("value <> ''")
+    return at.select("file", F.lit(sheet_ord).alias("sheet_ord"), F.lit(sheet).alias("sheet"), "r", "c", "value", F.lit(None).cast("double").alias("num"))
+
+
+def section_workbook_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers of a nation as a payroll workbook with a cover sheet, and with every kind of row by key modulo 8.
+
+    Section headings, service lines, names that are too short, totals, codes
+    that aren't numbers, names of one word, and persons.
+    """
+    n = table(spark, folder, "nation").select(F.concat(F.lit("ws-"), F.col("n_nationkey").cast("string")).alias("file"), "n_nationkey", F.initcap("n_name").alias("nat"))
+    s = table(spark, folder, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    key, kind = F.col("s_suppkey"), F.col("s_suppkey") % 8
+    row = lambda *values: F.array(*[F.lit(v) if isinstance(v, str) else v for v in values])
+    code = key.cast("string")
+    heading = F.element_at(row("EMPREGADOS", "Estagiarios", "CONTRIBUINTE"), (F.floor(key / 8) % 3 + 1).cast("int"))
+    values = (
+        F.when(kind == 0, row(heading))
+        .when(kind == 1, row("Serviço:", "", F.concat(F.lit("6 - Município de "), F.col("nat"))))
+        .when(kind == 2, row(code, "Li"))
+        .when(kind == 3, row("", "Total geral do mes"))
+        .when(kind == 4, row("X9", "Joao Souza"))
+        .when(kind == 5, row(code, "Umapalavra"))
+        .otherwise(row(code, F.concat(F.lit("Pessoa "), F.col("nat"), F.lit(" da Silva")), "1.234,50"))
+    )
+    cover = [_sheet_cells(n, 0, "Capa", F.lit(k), row(v)) for k, v in enumerate(("Relatorio", "Folha do mes", "x"))]
+    parts = [
+        *cover, _sheet_cells(n, 1, "Folha", F.lit(0), row(F.concat(F.lit("7 - Empresa "), F.col("nat")))),
+        _sheet_cells(n, 1, "Folha", F.lit(2), row("Código", "Nome", "Salário")), _sheet_cells(s, 1, "Folha", key + 10, values),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def todos_heading_cells(spark: SparkSession, folder: str, headers: tuple[str, ...]) -> DataFrame:
+    """One TODOS sheet per nation whose first heading row lacks one to three headers by the nation's key; every seventh has a full row further down."""
+    n = table(spark, folder, "nation").select(F.concat(F.lit("wt-"), F.col("n_nationkey").cast("string")).alias("file"), F.col("n_nationkey").alias("k"))
+    k = F.col("k")
+    dropped = F.array(k % 5, F.when(k % 2 == 1, F.floor(k / 5) % 5), F.when(k % 3 == 0, (k + 2) % 5))
+    some = F.array(*[F.when(F.coalesce(F.array_contains(F.array_compact(dropped), F.lit(i).cast("long")), F.lit(False)), "Obs").otherwise(F.initcap(F.lit(h))) for i, h in enumerate(headers)])
+    full = F.array(*[F.lit(h) for h in headers])
+    return _sheet_cells(n, 0, "Todos", F.lit(1), some).unionByName(_sheet_cells(n.filter(k % 7 == 0), 0, "Todos", F.lit(4), full)).unionByName(
+        _sheet_cells(n, 0, "Todos", F.lit(6), F.array(F.lit("Acme")))
+    )
