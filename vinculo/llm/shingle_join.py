@@ -403,23 +403,22 @@ def _rest_links(rest: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame
     common list settled it. Partners with the most common signatures come first,
     and pairs that links of the cell have joined meanwhile are left out.
     """
-    each = rest.groupBy("major", "id", "comp", "n").agg(F.count(F.lit(1)).alias("sigs"))
     outside = F.col("comp") != F.col("major")
     out = lambda c: F.sum(F.when(outside, F.col(c)).otherwise(0))
     parts = lambda ids, sigs, values: F.greatest(F.ceil(ids / rules.cell_ids), F.ceil(sigs / rules.cell_postings), F.ceil(values / rules.cell_values)).cast("int")
-    sizes = each.groupBy("major").agg(
+    sizes = rest.groupBy("major").agg(
         parts(F.count_if(outside), out("sigs"), out("n")).alias("rows"), parts(F.count(F.lit(1)), F.sum("sigs"), F.sum("n")).alias("cols")
     )
-    postings, values = each.agg(F.sum("sigs"), F.sum("n")).first()
+    postings, values = rest.agg(F.sum("sigs"), F.sum("n")).first()
     bundles = max(1, math.ceil((postings or 0) / rules.cell_postings), math.ceil((values or 0) / rules.cell_values))
     split = (F.col("rows") > 1) | (F.col("cols") > 1)
     sizes = sizes.withColumns({"split": split, "bundle": F.when(split, F.col("major")).otherwise(F.pmod(F.xxhash64("major"), F.lit(bundles)))})
     # A component may hold most rows: its one row of sizes is copied to several keys.
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     # Waiting signatures of the ids that have them in several bundles.
-    spread = rest.filter(~F.col("done")).groupBy("id").agg(F.count(F.lit(1)).alias("waiting"), F.count_distinct("major").alias("majors"))
+    spread = rest.groupBy("id").agg(F.sum("waits").alias("waiting"), F.count_if(F.col("waits") > 0).alias("majors"))
     rest = rest.join(spread.filter("majors > 1").select("id", "waiting"), "id", "left")
-    keyed = rest.withColumn("salt", F.pmod(F.xxhash64("id", "sig"), F.lit(_SALTS)).cast("int")).join(salted, ["major", "salt"]).drop("salt")
+    keyed = rest.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(salted, ["major", "salt"]).drop("salt")
     chunk = lambda of: F.pmod(F.xxhash64("id"), F.greatest(of, F.lit(1))).cast("int")
     copies = lambda of: F.explode(F.sequence(F.lit(0), F.greatest(of, F.lit(1)) - 1))
     names = ["split", "bundle", "row", "col"]
@@ -441,9 +440,11 @@ def _rest_links(rest: DataFrame, sets: DataFrame, rules: JoinRules) -> DataFrame
         lists: dict[int, dict[int, tuple[list, list, list, list]]] = {}
         facts: dict[int, tuple[int, int, int, int]] = {}
         for side, table, tail in ((0, a, ""), (1, b, "_")):
-            rows = zip(*(table.column(c + tail).to_pylist() for c in ("major", "sig", "id", "n", "m", "comp", "done", "waiting")), strict=True)
-            for major, sig, doc, n, m, comp, done, waiting in rows:
-                lists.setdefault(major, {}).setdefault(sig, ([], [], [], []))[side + 2 * done].append(doc)
+            rows = zip(*(table.column(c + tail).to_pylist() for c in ("major", "id", "n", "m", "comp", "waiting", "marks", "dones")), strict=True)
+            for major, doc, n, m, comp, waiting, marks, dones in rows:
+                own = lists.setdefault(major, {})
+                for sig, done in zip(marks, dones, strict=True):
+                    own.setdefault(sig, ([], [], [], []))[side + 2 * done].append(doc)
                 facts[doc] = (n, m, comp, waiting or 0)
         for major, own in lists.items():
             rows_of, cols_of = ({doc: k for k, doc in enumerate(sorted({d for four in own.values() for d in four[side] + four[side + 2]}))} for side in (0, 1))
@@ -528,7 +529,12 @@ def _linked_classes(sets: DataFrame, rules: JoinRules) -> DataFrame:
             # A hub that was compared stays in its list to tell which pairs are settled.
             lists = lists.select("sig", "id", "n", "m", (F.col("done") | F.col("mixed") & (F.col("id") == F.col("other"))).alias("done"))
         else:
-            rest = members.join(state.drop("hub", "told"), "sig").select(*columns, F.col("major.comp").alias("major"))
+            # Across components, pairs that no hub settled share mixed lists only.
+            rest = members.join(state.filter("mixed").drop("hub", "told"), "sig").withColumn("major", F.col("major.comp"))
+            # One row per document and largest component, with its signatures there.
+            rest = rest.groupBy("major", "id", "comp", "n", "m").agg(F.collect_list(F.struct("sig", "done")).alias("own"))
+            waits = F.size(F.filter("own", lambda x: ~x["done"]))
+            rest = rest.select("major", "id", "comp", "n", "m", F.col("own.sig").alias("marks"), F.col("own.done").alias("dones"), F.size("own").alias("sigs"), waits.alias("waits"))
             meeting, finished = None, True
         found = _rest_links(materialize(rest, "shingle-rest"), sets, rules) if meeting is None else _verified(_ordered(meeting), sets, rules)
         if comps is None or not found.isEmpty():
