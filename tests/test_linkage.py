@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import brute
 from vinculo.config import MatchConfig
-from vinculo.operators import linkage, misses
+from vinculo.operators import linkage, misses, nearest
 from vinculo.operators.scale import materialize
 
 FIRST = ["MARIA", "MARTA", "MARINA", "MARIANA", "JOAO", "JOANA", "JOSE", "ANA", "DIANA", "KELLY", "KELLI", "SIMONE", "GISELE", "GISELA", "LU"]
@@ -98,3 +98,62 @@ def test_order_of_input_partitions_does_not_matter(spark):
     one = linkage.link(emp.coalesce(1), pg.coalesce(1)).collect()
     two = linkage.link(emp.repartition(7, F.rand(3)), pg.repartition(9, F.rand(5))).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
+def test_nearest_candidate_scores_few_pairs_of_a_large_class(spark):
+    rng = random.Random(8)
+    # Most payees share first and last name; letters in between tell them apart.
+    inner = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randint(4, 9)))
+    payees = [f"MARIA {inner()} {inner()} SILVA" for _ in range(400)] + [f"MARIA {inner()}" for _ in range(20)] + ["MARIA", "MARIANA SILVA COSTA", "JOSE SILVA"]
+    targets = [p[:-3] + "VO" if k % 2 else p.replace("SILVA", "SILVEIRA") for k, p in enumerate(rng.sample(payees[:400], 40))]
+    targets += [f"MARIA {inner()} SILVA" for _ in range(20)] + ["MARIA", "MARIO SILVA", "ZOE", "MARIA DE SILVA", payees[7]]
+    occurrences = spark.createDataFrame([(k, 0, 0, p) for k, p in enumerate(payees)], "page_ord long, file_ord int, pos int, payee string")
+    emp = spark.createDataFrame([(k, t, t, "s", 1) for k, t in enumerate(dict.fromkeys(targets))], "emp_ord long, name string, norm string, slip_file string, slip_page int")
+    cfg = MatchConfig(pairs_per_cell=50)
+    prepared = materialize(linkage.prepare_targets(emp, cfg), "test-targets")
+    got = {r.norm: (r.candidate, round(r.score, 9)) for r in nearest.nearest_payee(prepared, occurrences, cfg).collect()}
+    for t in dict.fromkeys(targets):
+        best = max((brute.score(t, p), -k) for k, p in enumerate(payees))
+        assert got.get(t) == ((payees[-best[1]], round(best[0], 9)) if best[0] > 0 else None), t
+    known = linkage.payee_dictionary(occurrences, cfg).join(occurrences.groupBy("payee").agg(F.min(F.struct("page_ord", "pos")).alias("seen")), "payee")
+    known = materialize(known, "test-payees")
+    pairs = nearest.nearest_pairs(prepared, known, linkage.name_dictionaries(prepared, known, cfg), cfg).count()
+    assert pairs < 0.15 * len(got) * len(payees)
+
+
+def test_text_methods_on_awkward_texts(spark):
+    names = ["ANA DE LIMA", "ANA MARIA ANA", "LIMA E SA", "MARIA ROSA", "ROSA ROSA", "FERNANDES", "DE FERNANDES", "JO DA SA", "ANA CLARA DOS SANTOS LIMA"]
+    texts = ["PAGO A ANA DE LIMA EM", "XANA DE LIMA E ANA DE LIMA", "ANA LIMA DE", "DIANA DE LIMAO", "ANA MARIA ANA", "ANAMARIA ANA MARIA", "ROSA", "ROSA MARIA ROSA", "MARIAROSA",
+             "MARIA XROSA MARIA ROSA", "A FERNANDES B", "OFERNANDES FERNANDES", "JO DA SA", "XJO DA SAX", "ANA CLARA DOS SANTOS LIMA", "ANA SANTOS CLARA LIMA", "LIMA SANTOS CLARA DOS ANA",
+             "ANA " + "Z " * 60 + "LIMA", "LIMA E SA", "SA LIMA E", "ROSA ROSA", "CLARA ANA SANTOS LIMA", ""]
+    targets, pages = list(enumerate(names)), [(k, 1, t, []) for k, t in enumerate(texts)]
+    emp, pg = frames(spark, targets, pages)
+    run = linkage.prepare_run(emp, pg)
+    prepared = run.targets.withColumn("last_ord", F.lit(None).cast("long"))
+    hits = linkage.text_hits(prepared, run.pages, run.index, run.vocabulary, MatchConfig(pairs_per_cell=4), 5)
+    got = {(r.norm, r.page_ord >> 32): r["rank"] for r in hits.collect()}
+    want = {}
+    for n in names:
+        for k, t in enumerate(texts):
+            if hit := brute.page_hit(n, t, []):
+                want[n, k] = hit[0]
+    assert got == want
+
+
+def test_first_page_per_file_equals_nested_loop(spark):
+    rng = random.Random(21)
+    pages = []
+    for f in range(4):
+        for p in range(1, 10):
+            payee = fuzz(rng, name(rng))
+            text = f"COMPROVANTE FAVORECIDO: {payee} CPF 123.456.789-00" if rng.random() < 0.7 else f"PAGO A {name(rng)} EM CONTA"
+            pages.append((f"f{f}", f"f{f}", f, p, text))
+    raw = spark.createDataFrame(pages, "file_id string, file_name string, file_ord int, page_no int, text string")
+    names = sorted({name(rng) for _ in range(50)})
+    got = {(r.name, r.file_ord): r.page_no for r in linkage.first_page_with_name(raw, spark.createDataFrame([(n,) for n in names], "name string"), MatchConfig(pairs_per_cell=9)).collect()}
+    want = {}
+    for r in sorted(linkage.prepare_pages(raw).collect(), key=lambda r: r.page_ord):
+        for n in names:
+            if (n, r.file_ord) not in want and brute.page_hit(n, r.norm, r.payees):
+                want[n, r.file_ord] = r.page_no
+    assert got == want and len(want) > 20

@@ -481,9 +481,19 @@ def first_page_with_name(pages: DataFrame, names: DataFrame, cfg: MatchConfig =
     same = bounded.join(payees.withColumnRenamed("payee", "norm"), "norm").select("norm", F.col("norm").alias("payee"))
     payees = materialize(payees, "search-payees")
     dictionaries = name_dictionaries(bounded, payees, cfg)
-    pairs = payee_pairs(bounded, payees, dictionaries, cfg, nearest=True).select("norm", "payee")
+    # Of a payee only its first page in each file counts.
+    pages_of = materialize(occurrences.groupBy("payee", "file_ord").agg(F.min("page_ord").alias("page_ord")), "payee-files")
+    # Equal first names with agreeing last surnames are a hit whatever lies between: one page per class and file is enough.
+    sure = cfg.ends_match_floor >= cfg.relaxed
+    pairs = payee_pairs(bounded, payees, dictionaries, cfg, nearest=not sure, last_era=last_era).select("norm", "payee")
     scored = with_match_score(pairs.unionByName(same).distinct(), "norm", "payee", cfg)
-    by_payee = scored.filter(F.col("score") >= cfg.relaxed).join(occurrences, "payee").select("norm", "page_ord")
+    by_payee = scored.filter(F.col("score") >= cfg.relaxed).join(pages_of, "payee").select("norm", "page_ord")
+    if sure:
+        ends = payees.filter("size(s2) > 0").select("payee", F.col("f2").alias("f1"), F.element_at("s2", -1).alias("y"))
+        classes = pages_of.join(ends, "payee").groupBy("f1", "y", "file_ord").agg(F.min("page_ord").alias("page_ord"))
+        last = bounded.filter("size(s1) > 0").select("norm", "f1", F.element_at("s1", -1).alias("x"))
+        agreeing = dictionaries[1].filter("agree and last_ok").select("x", "y")
+        by_payee = by_payee.unionByName(last.join(agreeing, "x").join(classes, ["f1", "y"]).select("norm", "page_ord"))
     index = positional_index(prepared)
     by_text = text_hits(bounded.withColumn("last_ord", F.lit(None).cast("long")), prepared, index, vocabulary_of(index), cfg, last_era)
     hits = by_payee.unionByName(by_text.select("norm", "page_ord"))
