@@ -7,16 +7,19 @@ piece, its distance, the last token before it and the token count there,
 relative to now. States are numbered as they are met and transitions compiled
 on first use, so the machine is deterministic and as large as the data need.
 
-Texts are cut into chunks. Before a space that follows another character every
-state becomes the same one, so a chunk acts on states as ``ChunkMap`` says: the
-text up to its first such border, a count, and the text after its last one.
-Chunk maps compose associatively, and a scan composes those of a text.
+Texts are cut into chunks, and a chunk becomes a map of states: entry state ->
+(exit state, tokens). Before a space that follows another character all states
+become the first one, so behind its first such border a chunk is read once for
+all entry states; a chunk without one is read from each. The map of a chunk is
+made for the states that the text before it leads to from some of its places,
+which is nearly always all that is met: the machine forgets what lies further
+back than its pieces reach. Maps compose associatively, a prefix scan composes
+those of a text, and a state that a map doesn't hold yet is read when it is met.
 """
 
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute
@@ -30,6 +33,13 @@ _WORDS, _PAIRS, _STATES = 400_000, 500_000, 300_000
 CHUNK = 1 << 16
 
 
+#: The text since the furthest start that is open, and (distance, last token, relative count) of each such start.
+State = tuple[str, tuple[tuple[int, str, int], ...]]
+FIRST: State = ("", ((0, "", 0),))
+#: How far before a chunk the reading starts that finds its entry states.
+_BEFORE = (64, 48, 32, 24)
+
+
 class PieceTransducer:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -49,8 +59,7 @@ class PieceTransducer:
         self._reset()
 
     def _reset(self) -> None:
-        #: (distance, last token, relative count) of each open start, and the characters since the furthest.
-        self.states: list[tuple[str, tuple[tuple[int, str, int], ...]]] = [("", ((0, "", 0),))]
+        self.states: list[State] = [FIRST]
         self.number = {self.states[0]: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
@@ -100,26 +109,67 @@ class PieceTransducer:
         self.moves[state][c] = made = (number, delta)
         return made
 
-    def count(self, word: str) -> int:
-        """Tokens of a stretch of characters, with spaces written as ``SPACE``."""
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The state after ``text``, with spaces written as ``SPACE``, and the tokens that its transitions emit."""
         if len(self.states) > _STATES:
             self._reset()
-        total, state, moves = 0, 0, self.moves
-        for c in word:
-            state, delta = moves[state].get(c) or self._move(state, c)
+        number = self.number.get(state)
+        if number is None:
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        total, moves = 0, self.moves
+        for c in text:
+            number, delta = moves[number].get(c) or self._move(number, c)
             total += delta
-        return total
+        return self.states[number], total
+
+    def count(self, word: str) -> int:
+        """Tokens of a stretch of characters that starts in the first state."""
+        return self.run(FIRST, word)[1]
+
+
+class ChunkMap:
+    """What a chunk does to states: ``held`` maps an entry state to its exit state and the tokens between."""
+
+    def __init__(self, counter: TokenCounter, chunk: str) -> None:
+        self.counter = counter
+        self.held: dict[State, tuple[State, int]] = {}
+        self.head, self.middle, tail = counter.at_borders(chunk)
+        #: State and tokens behind the first border, the same for all entry states; None without a border.
+        self.behind = None if tail is None else counter.machine.run(FIRST, tail)
+
+    def __call__(self, entry: State) -> tuple[State, int]:
+        made = self.held.get(entry)
+        if made is None:
+            state, n = self.counter.machine.run(entry, self.head)
+            if self.behind is not None:
+                state, n = self.behind[0], n + self.middle + self.behind[1]
+            made = self.held[entry] = state, n
+        return made
+
 
+class ComposedMap:
+    """One map after another, for the entry states that the first one holds."""
 
-class ChunkMap(NamedTuple):
-    """What a chunk does to any state: ``head`` is read in it; with a border, ``count`` tokens follow and ``tail`` stays open."""
+    def __init__(self, first: ChunkMap | ComposedMap, second: ChunkMap | ComposedMap) -> None:
+        self.first, self.second = first, second
+        self.held: dict[State, tuple[State, int]] = {}
+        for entry in list(first.held):
+            self(entry)
 
-    head: str
-    count: int
-    tail: str | None
+    def __call__(self, entry: State) -> tuple[State, int]:
+        made = self.held.get(entry)
+        if made is None:
+            between, a = self.first(entry)
+            after, b = self.second(between)
+            made = self.held[entry] = after, a + b
+        return made
 
 
 _UNIT = re.compile(r" *[^ ]+| +")
+#: What follows the last border of a text.
+_TAIL = re.compile(r"(?<=[^ ]) +[^ ]*\Z")
 
 
 class TokenCounter(dict):
@@ -135,47 +185,46 @@ class TokenCounter(dict):
         made = self[word] = self.machine.count(SPACE + word.replace(" ", SPACE))
         return made
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
+    def at_borders(self, chunk: str) -> tuple[str, int, str | None]:
+        """What is read in the entry state, tokens between the first and the last border, and what follows that."""
         words = chunk.split(" ")
         if "" not in words:
             if len(words) == 1:
-                return ChunkMap(chunk, 0, None)
-            return ChunkMap(words[0], sum(map(self.__getitem__, words[1:-1])), " " + words[-1])
+                return chunk, 0, None
+            return words[0], sum(map(self.__getitem__, words[1:-1])), SPACE + words[-1]
+        # A unit is spaces and what follows them.
         units = _UNIT.findall(chunk)
+        head = units[0].replace(" ", SPACE)
         if len(units) == 1:
-            return ChunkMap(chunk, 0, None)
-        # A unit is spaces and what follows them; spaces at the end stay open.
-        return ChunkMap(units[0], sum(self.tokens(u) for u in units[1:-1]), units[-1])
-
-    def tokens(self, unit: str) -> int:
-        return self[unit[1:]] if unit[:1] == " " else self.machine.count(unit.replace(" ", SPACE))
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.tail is None:
-            if a.head.endswith(" ") or not b.head.startswith(" ") or not a.head:
-                return ChunkMap(a.head + b.head, b.count, b.tail)
-            return self.compose(ChunkMap(a.head, 0, ""), b)
-        if a.tail and not a.tail.endswith(" ") and b.head.startswith(" "):
-            a = ChunkMap(a.head, a.count + self.tokens(a.tail), "")
-        if b.tail is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        middle = a.tail + b.head
-        return ChunkMap(a.head, a.count + b.count + (self.tokens(middle) if middle else 0), b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
+            return head, 0, None
+        return head, sum(self[u[1:]] for u in units[1:-1]), units[-1].replace(" ", SPACE)
+
+    def entry_states(self, before: str) -> set[State]:
+        """States in which a text may end that ends with ``before``."""
+        tail = _TAIL.search(before)
+        starts = {tail.start()} if tail else {max(len(before) - k, 0) for k in _BEFORE}
+        return {self.machine.run(FIRST, before[k:].replace(" ", SPACE))[0] for k in starts}
+
+    def chunk_maps(self, text: str, chunk: int) -> list[ChunkMap]:
+        made = []
+        for k in range(0, len(text), chunk):
+            one = ChunkMap(self, text[k : k + chunk])
+            for entry in self.entry_states(text[max(0, k - max(_BEFORE)) : k]) if k else [FIRST]:
+                one(entry)
+            made.append(one)
+        return made
+
+    def scan(self, maps: list[ChunkMap | ComposedMap]) -> ChunkMap | ComposedMap:
         """Compose neighbours in rounds, as a parallel scan does."""
         while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+            maps = [ComposedMap(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
         return maps[0]
 
     def count_text(self, text: str | None, chunk: int = CHUNK) -> int:
         if not text:
             return 0
-        # The library reads its own sign for a space as a space.
-        text = text.replace(SPACE, " ")
-        whole = self.scan([self.chunk_map(text[k : k + chunk]) for k in range(0, len(text), chunk)])
-        # The library puts one space before a text.
-        return self.tokens(" " + whole.head) + whole.count + (self.tokens(whole.tail) if whole.tail else 0)
+        # The library reads its own sign for a space as a space, and puts one space before a text.
+        return self.scan(self.chunk_maps(" " + text.replace(SPACE, " "), chunk))(FIRST)[1]
 
 
 def counter_of(path: str) -> TokenCounter:
