@@ -2,8 +2,9 @@
 
 Every page's outer containers (article or main, else those right inside the
 body) are scored by all the text they hold outside links and page furniture,
-however deep, and the best one votes for its generalised path (tags with their
-classes, numbers removed). Spark counts the votes of each host; each page is
+however deep, and the best one, with those beside it that hold a paragraph of
+their own, votes for its generalised path (tags with their classes, numbers
+removed). Spark counts the votes of each host; each page is
 then extracted again from the containers on its host's winning path, or from its
 own best container where the page has none on it.
 
@@ -13,8 +14,10 @@ only, so unclosed inline and paragraph elements do no harm.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from vinculo.llm.common import MOST_SENT_IDS, column, map_slices, materialize
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: Whole attributes one after another, so that no name is found inside the value of another attribute.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Elements whose content is not text of the page.
 _RAW = frozenset({"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "xmp"})
 _DROPPED = frozenset({"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "head"})
@@ -33,6 +37,9 @@ _CONTAINERS = frozenset({"body", "div", "section", "article", "main", "td", "cen
 _BLOCKS = _STRUCTURE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "br", "hr", "address", "summary", "caption", "option", "img"}
 _VOID = frozenset({"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"})
 _HEADINGS = frozenset({"h1", "h2", "h3"})
+_ANY_HEADING = _HEADINGS | {"h4", "h5", "h6"}
+#: Elements of running text: of the words below only those of adverts, notices and comments count on them.
+_TEXT = frozenset({"p", "li", "dt", "dd", "pre", "blockquote", "span", "a", "b", "i", "em", "strong", "small"})
 #: Words of classes and ids that mark page furniture.
 _FURNITURE = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|sidebars?|side"
@@ -40,6 +47,14 @@ _FURNITURE = re.compile(
     r"|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|login|popup|modal|overlay|widgets?|pagination|pager|skip|search)(?:$|[-_\s\d])",
     re.IGNORECASE,
 )
+_TEXT_FURNITURE = re.compile(
+    r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|sidebars?"
+    r"|navs?|navbar|navigation|menus?|breadcrumbs?|footers?|comments?|disqus|replies|respond|discussion)(?:$|[-_\s\d])",
+    re.IGNORECASE,
+)
+_HEADER = re.compile(r"(?:^|[-_\s])headers?(?:$|[-_\s\d])", re.IGNORECASE)
+#: Characters outside links that make a block a paragraph of the article.
+_PARAGRAPH = 80
 _MAIN_NAMES = re.compile(r"article|content|post|entry|story|main|text|body", re.IGNORECASE)
 _COMMENTS = re.compile(r"comment|disqus|replies|respond|discussion", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
@@ -51,21 +66,37 @@ class _Open:
     """An open structural element."""
 
     tag: str
-    path: str
     dropped: bool
+    #: The element in ``Page.steps``, and the digest of its path.
+    node: int = -1
+    digest: bytes = b""
     comments: bool = False
+    aside: bool = False
+    #: An article, a main or an element named like one, or inside one.
+    main: bool = False
     #: Header of a container: only its headings count.
     headings: bool = False
-    score: float = 0.0
-    #: Pieces of text inside, with block borders; kept only where text is wanted.
-    number: int = -1
+    #: The nearest container at or above, and the place in the stack of the outermost dropped element.
+    holder: int = -1
+    first_dropped: int = -1
 
 
 @dataclass
 class Page:
-    """Text blocks of a page with the containers they are in, and the containers' scores."""
+    """Text blocks of a page with the containers they are in, and the containers' scores.
+
+    Paths are kept as steps and parents, with a digest of fixed size for
+    comparing, and written out for the container that votes only.
+    """
 
-    paths: list[str] = field(default_factory=list)
+    steps: list[str] = field(default_factory=list)
+    above: list[int] = field(default_factory=list)
+    nodes: list[int] = field(default_factory=list)
+    digests: list[bytes] = field(default_factory=list)
+    #: The longest paragraph that counts to a container.
+    longest: list[int] = field(default_factory=list)
+    #: Numbers of the blocks that are headings of the first rank.
+    titles: set[int] = field(default_factory=set)
     scores: list[float] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     #: The outer container that each one counts to.
@@ -73,6 +104,27 @@ class Page:
     #: (container number, text) in page order.
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
+    def path(self, k: int) -> str:
+        steps, node = [], self.nodes[k]
+        while node >= 0:
+            steps.append(self.steps[node])
+            node = self.above[node]
+        return ">".join(reversed(steps))
+
+    def tag(self, k: int) -> str:
+        return self.steps[self.nodes[k]].partition(".")[0] if k >= 0 else ""
+
+
+def _digest(above: bytes, step: str) -> bytes:
+    return hashlib.blake2b(above + step.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def path_digest(path: str) -> bytes:
+    made = b""
+    for step in path.split(">"):
+        made = _digest(made, step)
+    return made
+
 
 def _attributes(raw: str) -> tuple[str, bool]:
     """Class and id, and whether the element is hidden."""
@@ -89,15 +141,20 @@ def _attributes(raw: str) -> tuple[str, bool]:
 
 
 def _step(tag: str, names: str) -> str:
-    classes = sorted({_NUMBER.sub("", x) for x in names.split()} - {""})
+    classes = sorted({_NUMBER.sub("", x) for x in names.replace(">", "").split()} - {""})
     return ".".join([tag, *classes])
 
 
-def _is_main(x: _Open) -> bool:
-    tag, _, names = x.path.rpartition(">")[2].partition(".")
+def _is_main(step: str) -> bool:
+    tag, _, names = step.partition(".")
     return tag in ("article", "main") or tag not in ("html", "body") and _MAIN_NAMES.search(names) is not None
 
 
+def _only_header(names: str) -> bool:
+    """Whether the class and id say header and nothing else of the page furniture."""
+    return _HEADER.search(names) is not None and _FURNITURE.search(_HEADER.sub(" ", names)) is None
+
+
 def read_page(source: str) -> Page:
     """One pass over the tags of a page; work and memory grow with its length."""
     page = Page()
@@ -107,17 +164,18 @@ def read_page(source: str) -> Page:
     in_link = 0
     heading = False
 
-    def kind_of(k: int) -> str:
-        return page.paths[k].rpartition(">")[2].partition(".")[0] if k >= 0 else ""
+    title = False
+    open_tags: Counter[str] = Counter()
 
-    def container(tag: str, path: str) -> int:
-        page.paths.append(path)
+    def container(tag: str, node: int, digest: bytes, up: int) -> int:
+        own = len(page.nodes)
+        page.nodes.append(node)
+        page.digests.append(digest)
         page.scores.append(0.0)
-        up = next((x.number for x in reversed(stack) if x.number >= 0), -1)
+        page.longest.append(0)
         page.parents.append(up)
-        own = len(page.paths) - 1
         outer = page.tops[up] if up >= 0 else -1
-        over = kind_of(outer)
+        over = page.tag(outer)
         first = outer < 0 or over == "body" or tag in ("article", "main") and over not in ("article", "main")
         page.tops.append(own if first else outer)
         return own
@@ -127,12 +185,15 @@ def read_page(source: str) -> Page:
         if text:
             words = _SPACES.sub(" ", "".join(text)).strip()
             if words:
-                own = next((x.number for x in reversed(stack) if x.number >= 0), -1)
+                own = stack[-1].holder if stack else -1
+                if title:
+                    page.titles.add(len(page.blocks))
                 page.blocks.append((own, words))
                 if own >= 0 and length > link:
                     worth = (length - link) * (1.0 - link / max(length, 1))
                     top = page.tops[own]
                     page.scores[top] += worth
+                    page.longest[top] = max(page.longest[top], length - link)
                     if (parent := page.parents[top]) >= 0:
                         page.scores[page.tops[parent]] += 0.5 * worth
             text = []
@@ -140,6 +201,8 @@ def read_page(source: str) -> Page:
 
     def close(upto: int) -> None:
         end_block()
+        for x in stack[upto:]:
+            open_tags[x.tag] -= 1
         del stack[upto:]
 
     def add(piece: str) -> None:
@@ -167,8 +230,8 @@ def read_page(source: str) -> Page:
                 in_link = max(0, in_link - 1)
             if tag in _HEADINGS:
                 end_block()
-                heading = False
-            for k in range(len(stack) - 1, -1, -1):
+                heading = title = False
+            for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -182,18 +245,17 @@ def read_page(source: str) -> Page:
             at = end_raw.end() if end_raw else len(source)
             continue
         names, hidden = _attributes(m[3]) if m[3] else ("", False)
-        furniture = bool(names) and _FURNITURE.search(names) is not None
+        furniture = bool(names) and tag not in _ANY_HEADING and (_TEXT_FURNITURE if tag in _TEXT else _FURNITURE).search(names) is not None
         if tag in ("article", "main") and stack and stack[-1].dropped and not furniture:
             # An unclosed menu or advert before the article ends where the article starts.
-            first = next(k for k, x in enumerate(stack) if x.dropped)
-            if not any(x.comments or x.tag == "aside" for x in stack[first:]):
-                close(first)
+            if not (stack[-1].comments or stack[-1].aside):
+                close(stack[-1].first_dropped)
         if tag in _BLOCKS:
             end_block()
             while stack and stack[-1].tag == "p":
                 close(len(stack) - 1)
         if tag in _HEADINGS:
-            heading = True
+            heading, title = True, tag == "h1"
         if tag == "a":
             in_link += 1
         if tag in _VOID or m[3].endswith("/") and tag not in _STRUCTURE:
@@ -203,17 +265,25 @@ def read_page(source: str) -> Page:
         if tag in _STRUCTURE or drop:
             if tag == "article" and furniture and not _COMMENTS.search(names) and not hidden:
                 drop = False
-            path = f"{up.path}>{_step(tag, names)}" if up else _step(tag, names)
-            own = _Open(tag, path, bool(drop or up and up.dropped))
+            step = _step(tag, names)
+            own = _Open(tag, bool(drop or up and up.dropped), len(page.steps), _digest(up.digest if up else b"", step))
+            page.steps.append(step)
+            page.above.append(up.node if up else -1)
             own.comments = bool(up and up.comments) or bool(names) and _COMMENTS.search(names) is not None
-            own.headings = bool(up and up.headings) or tag == "header" and not (up and up.dropped) and any(_is_main(x) for x in stack)
+            own.aside = bool(up and up.aside) or tag == "aside"
+            own.main = bool(up and up.main) or _is_main(step) and not own.dropped
+            header = tag == "header" or drop and not hidden and tag in _STRUCTURE and tag not in _DROPPED and _only_header(names)
+            own.headings = bool(up and up.headings) or header and not (up and up.dropped) and bool(up and up.main)
+            own.first_dropped = up.first_dropped if up and up.dropped else len(stack)
+            own.holder = up.holder if up else -1
             if tag in _CONTAINERS and not own.dropped:
-                own.number = container(tag, path)
+                own.holder = container(tag, own.node, own.digest, own.holder)
+            open_tags[tag] += 1
             stack.append(own)
     add(source[at:])
     end_block()
-    for k, path in enumerate(page.paths):
-        last = path.rpartition(">")[2]
+    for k, node in enumerate(page.nodes):
+        last = page.steps[node]
         if last.startswith(("article", "main")):
             page.scores[k] = page.scores[k] * 1.5 + 1
         elif _MAIN_NAMES.search(last.partition(".")[2]):
@@ -227,15 +297,34 @@ def best_container(page: Page) -> int:
 
 
 def text_of(page: Page, path: str | None) -> str:
-    """Text inside the containers on ``path``, or in the best container if there is none on it."""
-    chosen = {k for k, p in enumerate(page.paths) if p == path} if path else set()
+    """Text inside the containers on ``path`` (one a line), or in the best ones if there is none on it."""
+    wanted = {path_digest(x) for x in path.split("\n")} if path else set()
+    chosen = {k for k, x in enumerate(page.digests) if x in wanted}
     if not any(k in chosen for k, _ in page.blocks) and not _inside(page, chosen):
         best = best_container(page)
         if best < 0:
             return " ".join(x for _, x in page.blocks)
-        chosen = {best}
+        chosen = {best} | _neighbours(page, best)
     inside = _inside(page, chosen)
-    return " ".join(x for k, x in page.blocks if k in inside)
+    first = next((n for n, (k, _) in enumerate(page.blocks) if k in inside), 0)
+    # A title right before its article, where the article has none.
+    titles = {n for n in page.titles if n < first and page.blocks[n][0] in {page.parents[k] for k in chosen}}
+    if any(page.blocks[n][0] in inside for n in page.titles):
+        titles = set()
+    return " ".join(x for n, (k, x) in enumerate(page.blocks) if k in inside or n in titles)
+
+
+def _neighbours(page: Page, best: int) -> set[int]:
+    """Where the best container is none of an article or main: the others beside it that hold a paragraph of their own."""
+    body = page.parents[best]
+    if page.tag(best) in ("article", "main") or page.tag(body) != "body":
+        return set()
+    return {k for k, up in enumerate(page.parents) if up == body and page.tops[k] == k and page.longest[k] >= _PARAGRAPH}
+
+
+def voted_path(page: Page, best: int) -> str:
+    """The paths of the best container and its neighbours, one a line."""
+    return "\n".join(sorted({page.path(k) for k in {best} | _neighbours(page, best)}))
 
 
 def _inside(page: Page, chosen: set[int]) -> set[int]:
@@ -259,7 +348,7 @@ def host_votes(pages: DataFrame) -> DataFrame:
                 best = best_container(page)
                 if best >= 0 and page.scores[best] > 0:
                     hosts.append(host)
-                    paths.append(page.paths[best])
+                    paths.append(voted_path(page, best))
                     scores.append(page.scores[best])
             return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 
