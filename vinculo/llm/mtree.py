@@ -135,13 +135,9 @@ class MTree:
     sample: np.ndarray
 
 
-def build_index(rows: DataFrame, rules: TreeRules = TreeRules()) -> MTree | None:
-    """The tree over stored rows (vec_id, x, norm) of the commonest dimension; None without rows."""
-    sizes = rows.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None:
-        return None
-    dim, n, most = sizes["dim"], sizes["n"], float(sizes["most"])
-    rows = rows.filter(F.size("x") == dim)
+def build_index(rows: DataFrame, dim: int, rules: TreeRules = TreeRules()) -> MTree:
+    """The tree over stored rows (vec_id, x, norm), all of dimension ``dim``."""
+    n, most = rows.agg(F.count(F.lit(1)), F.max("norm").cast("double")).first()
     some = rows.select("vec_id", "x", "norm").orderBy(F.xxhash64("vec_id"), "vec_id").limit(rules.sample).toArrow().combine_chunks()
     ids, x = int64s(some.column("vec_id").combine_chunks()), _matrix(some.column("x").combine_chunks())
     routes = _lift(x, some.column("norm").to_numpy().astype(float), most)[: max(1, min(len(ids), math.ceil(n / rules.per_route)))]
@@ -262,7 +258,6 @@ def _search_cell(queries: pa.Table, nodes: pa.Table, dim: int, most: float, k: i
 
 def search_index(tree: MTree, queries: DataFrame, k: int, rules: TreeRules = TreeRules()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query (query_id, x), without the row of its own id."""
-    queries = queries.filter(F.size("x") == tree.dim)
     sample_ids, sample, most, dim = tree.sample_ids, tree.sample, tree.most, tree.dim
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,12 +285,15 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, rules: TreeRules = T
     """The k rows of highest inner product for each row whose id is divisible by ``every``.
 
     Ties go to the smaller id; with fewer than k other rows all are returned. What
-    takes no part is said at ``quantised``; besides, vectors of another than the
-    commonest dimension do not. An empty table gives no rows.
+    takes no part is said at ``quantised``. Vectors meet those of their own
+    dimension only: each dimension has its own tree. An empty table gives no rows.
     """
     rows = materialize(quantised(vectors), "quantised")
-    tree = build_index(rows, rules)
-    if tree is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("norm").alias("score"))
-    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x")
-    return search_index(tree, queries, k, rules)
+    out = None
+    # One tree per dimension, few in any table of embeddings.
+    for (dim,) in sorted(rows.select(F.size("x")).distinct().collect()):
+        own = rows.filter(F.size("x") == dim)
+        queries = own.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x")
+        found = search_index(build_index(own, dim, rules), queries, k, rules)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
