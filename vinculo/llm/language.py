@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from vinculo.llm.bytewords import slices
 from vinculo.llm.common import column, held_in_worker, map_batches, map_slices, materialize
 
+#: Letters, and signs that count as numbers without being digits, such as fractions and circled numbers.
 _WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words held per task before their counts are passed on, and word scores remembered per task.
 _FLUSH, _REMEMBERED = 150_000, 150_000
@@ -53,7 +54,11 @@ class LanguageModel:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case."""
+    words = _WORD.findall(text.lower())
+    if words and not "".join(words).isalpha():
+        words = [x for word in words for x in "".join(c if c.isalpha() else " " for c in word).split()]
+    return words
 
 
 def grams_of(word: str, n: int) -> list[str]:
