@@ -190,11 +190,14 @@ def fit_factor_machine(docs: DataFrame, labels: DataFrame, rules: FactorRules =
     """A model from ``labels`` (doc_id, quality 0/1), at most ``train_rows`` of them.
 
     Rows with a null id or label teach nothing; a document labelled both ways
-    counts as bad; texts that are missing or null teach as empty texts.
+    counts as bad; texts that are null teach as empty texts. Of the rows of one id the
+    smallest text teaches.
     """
     one = labels.filter(F.col(doc_id).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.train_rows)
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # However often an id repeats, it teaches once, so the sample keeps its bound.
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def make():
         def features(part: pa.RecordBatch) -> pa.RecordBatch:

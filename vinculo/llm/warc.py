@@ -87,7 +87,8 @@ def decode_payload(fields: dict[str, str], payload: bytes) -> str:
     declared = _CHARSET.search(fields.get("content-type", "")) or _CHARSET.search(payload[:2048].decode("latin-1"))
     try:
         return payload.decode(declared[1] if declared else "utf-8", "replace")
-    except LookupError:
+    # Names of no charset, and codecs that can't read bytes like these or pass over errors.
+    except (LookupError, ValueError):
         return payload.decode("utf-8", "replace")
 
 
