@@ -2,7 +2,7 @@
 
 import numpy as np
 from vinculo.llm import warc
-from vinculo.llm.host_paths import best_container, extract_pages, read_page, text_of
+from vinculo.llm.host_paths import best_container, extract_pages, read_page, text_of, voted_path
 from vinculo.llm.mtree import TreeRules, build_tree, search_tree, top_k
 
 PAGE = "page_id long, url string, html string, host string, path string, score double"
@@ -171,3 +171,57 @@ def test_bounds_spare_distances():
         s[k] = -np.inf
         assert ids[owner == k].tolist() == np.lexsort((np.arange(4000), -s))[:10].tolist()
     assert sum(visits) < 0.5 * 50 * 4000
+
+
+def test_headings_attributes_and_neighbours_of_the_article():
+    long = "A sentence of the article that is long enough to be a paragraph of its own, as articles have."
+    cases = {
+        f'<body><article><section title="hidden treasures"><p>{long}</p></section><p>x <a title="hidden gem">gem</a></p></article>': f"{long} x gem",
+        f'<article><div data-role="navigation"><p>{long}</p></div></article>': long,
+        f'<article><div class="post-header"><h1>Title</h1><p>by me</p></div><p>{long}</p></article>': f"Title {long}",
+        f'<body><h1>Title</h1><div class=content><p>{long}</p></div>': f"Title {long}",
+        f'<body><h1>Site</h1><article><h1>Title</h1><p>{long}</p></article>': f"Title {long}",
+        f"<body><div class=intro><p>{long}</p></div><div class=story><p>{long * 9}</p></div><div class=nav><p>{long}</p></div><div>short</div>": f"{long} {long * 9}",
+        f'<article><h2 class="header">Part</h2><p>{long}</p><p class="share">to share</p><p class="ad">buy</p></article>': f"Part {long} to share",
+        f'<article><div style="Display: none"><p>{long}</p></div><p>shown</p></article>': "shown",
+        f'<body><div class="a>b"><p>{long}</p></div>': long,
+    }
+    for source, text in cases.items():
+        page = read_page(source)
+        assert text_of(page, None) == text, source
+        assert text_of(page, voted_path(page, best_container(page))) == text, source
+
+
+def test_deep_nesting_takes_linear_work():
+    import time
+    import tracemalloc
+
+    for junk in ("", "</table>", "<article>", "<header>"):
+        source = "<body>" + ("<div class=box>" + junk) * 40_000 + "deep text"
+        tracemalloc.start()
+        begin = time.monotonic()
+        page = read_page(source)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.monotonic() - begin < 30 and peak < 400 * len(source), junk
+        assert page.blocks == [] if junk == "<header>" else "deep text" in text_of(page, None)
+
+
+def test_vectors_meet_their_own_dimension(spark):
+    rng = np.random.default_rng(6)
+    dims = {i: (3, 5, 8)[i % 3] for i in range(240)}
+    vectors = {i: [float(np.float32(v)) for v in rng.normal(size=d)] for i, d in dims.items()}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    found = {}
+    for r in sorted(top_k(frame).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {}
+    for d in (3, 5, 8):
+        want |= plain_top({i: v for i, v in vectors.items() if dims[i] == d}, 20)
+    assert found == want
+
+
+def test_charsets_that_cannot_be_read_end_no_run():
+    for charset in ("idna", "undefined", "no-such-charset", "base64"):
+        text = warc.decode_payload({"content-type": f"text/html; charset={charset}"}, b"<p>a..b \xff text")
+        assert text == "<p>a..b � text"

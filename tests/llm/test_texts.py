@@ -12,10 +12,11 @@ import public_tokenizers
 import pytest
 from vinculo.llm.factor_machine import FactorMachine, FactorRules, Features, fit_factor_machine, score_documents
 from vinculo.llm.language import fit_language_model, keep_languages, predict_languages
+from vinculo.llm.language import words_of as letters_of
 from vinculo.llm.line_rules import LineRules, clean_documents, line_fails, line_verdicts
 from vinculo.llm.packing import PackRules, WordIds, best_fit, pack_documents, swap_search
 from vinculo.llm.shingle_join import JoinRules, components, least_common, near_duplicates, overlaps, signatures, tau
-from vinculo.llm.token_transducer import TokenCounter, count_tokens
+from vinculo.llm.token_transducer import FIRST, TokenCounter, count_tokens
 from vinculo.llm.trie_bpe import TrieCodec, encode_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -352,3 +353,41 @@ def test_factor_machine_score_is_the_sum_over_pairs(spark, nothing):
     scores = {r.doc_id: r.score for r in score_documents(docs, fitted).collect()}
     assert set(scores) == {1, 2, 3} and scores[1] > scores[2]
     assert score_documents(nothing, fit_factor_machine(nothing, labels, rules)).collect() == []
+
+
+def test_texts_without_a_space_are_counted_in_chunks():
+    import sentencepiece
+
+    rng = random.Random(8)
+    library, counter = sentencepiece.SentencePieceProcessor(model_file=PIECES), TokenCounter(PIECES)
+    for signs, n in (("aeinrst", 300_000), ("中文字日本語", 300_000), ("ab", 1_000_000), (" ", 200_000)):
+        text = "".join(rng.choice(signs) for _ in range(n))
+        assert counter.count_text(text) == len(library.encode(text)), signs
+
+
+def test_a_chunk_maps_states_to_states_and_counts():
+    counter = TokenCounter(PIECES)
+    text = " strengthening the internationalisation ofunspacedlongwordsthatgoonandon 中文字日本語中文字"
+    for cut in range(1, len(text)):
+        first, second = counter.chunk_maps(text, cut)[:2]
+        entry, tokens = first(FIRST)
+        # The state that the first chunk ends in is among those that the second one was read from.
+        assert entry in second.held
+        assert counter.machine.run(FIRST, text[: 2 * cut].replace(" ", "▁"))[1] == tokens + second(entry)[1]
+    # Behind a border all entry states come to one.
+    whole = counter.chunk_maps("ab cd", 5)[0]
+    states = {counter.machine.run(FIRST, x)[0] for x in ("▁inter", "▁x", "中", "")}
+    assert len(states) > 1 and len({whole(s)[0] for s in states}) == 1
+
+
+def test_number_signs_are_no_letters(spark):
+    assert letters_of("½ ² ① Ⅷ x²y Été 一 3a") == ["x", "y", "été", "一", "a"]
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(i, f"word{i % 7} some text of row {i}", None) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = spark.createDataFrame(rows + [rows[3]] * 500 + [(4, "zzz later text", None)], "doc_id long, text string, lang string")
+    a, b = fit_factor_machine(once, labels), fit_factor_machine(often, labels)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.factors, b.factors) and a.bias == b.bias
