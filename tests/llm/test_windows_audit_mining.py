@@ -240,3 +240,17 @@ def test_walk_is_best_first_and_complete():
         for bound, place, upper, lower in steps:
             scores = x[at == place] @ q
             assert lower <= scores.min() and scores.max() <= upper <= bound + 1e-3
+
+
+def test_words_of_all_kinds_are_learnt_as_the_library_has_them():
+    """One reader serves all tasks of a worker, with the vocabulary's sentence ends found once."""
+    from vinculo.llm.window_cuts import _reader
+
+    words, sentence_ends = _reader(WORDS)
+    library = Tokenizer.from_file(WORDS)
+    texts = ["Plain words, PLAIN Words; plain!", "Straße ǅ ﬁne İstanbul ȧ̈ naïve.", "a1 b_2 $5.00 (x) \"end.\" ...", "", "plain 中文。 words\nnext words ,,", None] * 2
+    for _ in range(2):
+        got = [np.frombuffer(raw, np.uint32).tolist() for raw in words.encode_all(texts)]
+        assert got == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    ids = np.array(library.encode("one. two 3 .", add_special_tokens=False).ids, np.uint32)
+    assert sentence_ends.after(ids).size >= 1

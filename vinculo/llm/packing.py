@@ -17,7 +17,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -77,42 +77,53 @@ class WordIds:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, fresh: set[str]) -> None:
-        plain: list[tuple[str, str, bytes]] = []
+        # Lists side by side: a tuple for each of some hundred thousand words would cost more than what is in it.
+        words: list[str] = []
+        cores: list[str] = []
+        behind: list[bytes] = []
         others: list[str] = []
         for word in fresh:
             core = word.rstrip(_SIGNS)
             signs = word[len(core) :]
             if core.isascii():
                 core = core.lower()
-            # A letter whose composed form or small letter is more than letters would give more than one word.
-            if core.isalpha() and (core.isascii() or _letters(core)):
+                whole = core.isalpha()
+            else:
+                # A letter whose composed form or small letter is more than letters would give more than one word.
+                whole = core.isalpha() and _letters(core)
+            if whole:
                 if signs not in self.signs:
                     self.signs[signs] = self._ids(signs).tobytes()
-                plain.append((word, core, self.signs[signs]))
+                words.append(word)
+                cores.append(core)
+                behind.append(self.signs[signs])
             else:
                 others.append(word)
-        ids_of = {core: self.held[core] for _, core, _ in plain if core in self.held}
-        cores = list({core for _, core, _ in plain} - ids_of.keys())
-        for k in range(0, len(cores), 5_000):
-            some = cores[k : k + 5_000]
+        distinct = set(cores)
+        ids_of = {core: self.held[core] for core in distinct & self.held.keys()}
+        todo = list(distinct - ids_of.keys())
+        unsure: set[str] = set()
+        for k in range(0, len(todo), 5_000):
+            some = todo[k : k + 5_000]
             ids = self._ids(" ".join(some))
             if np.count_nonzero(self.ends[ids]) != len(some):
                 # The library's Unicode tables may differ from Python's: every word ends at least once, some more often.
-                unsure = set(some)
-                others += [word for word, core, _ in plain if core in unsure]
-                plain = [x for x in plain if x[1] not in unsure]
+                unsure.update(some)
                 continue
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            raw = ids.tobytes()
-            ids_of.update((word, raw[a:b]) for word, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
-        self.held.update((word, ids_of[core] + signs) for word, core, signs in plain)
+            ids_of.update(zip(some, map(ids.tobytes().__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        if unsure:
+            others += [word for word, core in zip(words, cores, strict=True) if core in unsure]
+            known = [core not in unsure for core in cores]
+            words, cores, behind = (list(compress(x, known)) for x in (words, cores, behind))
+        self.held.update(zip(words, map(bytes.__add__, map(ids_of.__getitem__, cores), behind), strict=True))
         for k in range(0, len(others), 5_000):
             some = others[k : k + 5_000]
             ids = self._ids(self.mark.join(some))
             marks = np.flatnonzero(ids == self.mark_id)
             raw = ids.tobytes()
             starts, ends = [0, *((marks + 1) * 4).tolist()], [*(marks * 4).tolist(), len(raw)]
-            self.held.update((word, raw[a:b]) for word, a, b in zip(some, starts, ends, strict=True))
+            self.held.update(zip(some, map(raw.__getitem__, map(slice, starts, ends)), strict=True))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null is empty."""

@@ -38,8 +38,8 @@ from vinculo.llm.bytewords import slices
 from vinculo.llm.common import column, held_in_worker, map_batches
 from vinculo.llm.packing import WordIds
 
-#: Words remembered per worker (some 200 MB at most); only speed depends on it.
-_REMEMBERED = 1 << 20
+#: Words remembered per worker (some 400 MB at most); only speed depends on it.
+_REMEMBERED = 1 << 21
 _SENTENCE_ENDS = ".!?…。！？"
 _CLOSERS = "\"')]}»”’"
 
@@ -131,6 +131,11 @@ class SentenceEnds:
         return np.flatnonzero(ends) + 1
 
 
+def _reader(tokenizer: str) -> tuple[WordIds, SentenceEnds]:
+    words = WordIds(tokenizer, _REMEMBERED)
+    return words, SentenceEnds(words)
+
+
 def _places(ends: np.ndarray, sentences: np.ndarray, rules: CutRules) -> tuple[np.ndarray, list[int]]:
     """Places of a stretch and their costs: 0, document ends, sentence ends, and grid places in long runs."""
     # Of sentences that end close together the first is enough of a choice.
@@ -217,8 +222,8 @@ def window_pieces(
     end = np.array([rules.end], np.uint32).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held_in_worker(("windows", tokenizer), lambda: WordIds(tokenizer, _REMEMBERED))
-        stream = Stream(rules, SentenceEnds(words))
+        words, sentence_ends = held_in_worker(("windows", tokenizer), lambda: _reader(tokenizer))
+        stream = Stream(rules, sentence_ends)
         base, id_kind = TaskContext.get().partitionId() << 32, kind
 
         def rows(last: bool) -> Iterator[pa.RecordBatch]:
