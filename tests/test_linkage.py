@@ -157,3 +157,38 @@ def test_first_page_per_file_equals_nested_loop(spark):
             if (n, r.file_ord) not in want and brute.page_hit(n, r.norm, r.payees):
                 want[n, r.file_ord] = r.page_no
     assert got == want and len(want) > 20
+
+
+def test_frequent_words_of_a_name_cost_their_number(spark):
+    """The words of a name stand on one page very often, but never as the name."""
+    import time
+
+    from vinculo.functions.fold import let
+    from vinculo.operators.postings import at_distance, phrase_start, place
+
+    n = 20_000
+    far = spark.range(1).select(*[F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i, k=k: ((i * 40 + k * 11 + 1) * 4 + 3).cast("int")).alias(c) for k, c in enumerate("abc")])
+    offsets = F.array(F.lit(0), F.lit(4), F.lit(9))
+    begun = time.time()
+    got = far.select(at_distance(F.col("a"), F.col("c"), F.lit(9)).alias("d"), let(phrase_start(F.array("a", "b", "c"), offsets), lambda s: place(s)).alias("s")).first()
+    assert (got.d, got.s) == (False, None)
+    assert time.time() - begun < 60
+
+
+def test_phrase_start_is_the_first_of_all(spark):
+    from vinculo.operators.postings import at_distance, phrase_start
+
+    rng = random.Random(5)
+    offsets, rows = (0, 4, 9), []
+    for _ in range(300):
+        rows.append(tuple([sorted(p * 4 + rng.choice([3, 3, 3, 0, 1, 2]) for p in rng.sample(range(1, 30), rng.randint(0, 12))) for _ in offsets]))
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>, c array<int>")
+    ats = F.array("a", "b", "c")
+    got = df.select("a", "b", "c", phrase_start(ats, F.array(*map(F.lit, offsets))).alias("s"), at_distance(F.col("a"), F.col("c"), F.lit(9)).alias("d")).collect()
+    assert len(got) == 300 and any(r.s is not None for r in got)
+    for r in got:
+        def follows(p):
+            spots = [any(q >> 2 == (p >> 2) + o and q & f == f for q in at) for at, o, f in zip((r.a, r.b, r.c), offsets, (1, 3, 2))]
+            return all(spots)
+        assert r.s == next((p for p in r.a if follows(p)), None)
+        assert r.d == any((q >> 2) - (p >> 2) == 9 for p in r.a for q in r.c)
