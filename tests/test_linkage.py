@@ -192,3 +192,17 @@ def test_phrase_start_is_the_first_of_all(spark):
             return all(spots)
         assert r.s == next((p for p in r.a if follows(p)), None)
         assert r.d == any((q >> 2) - (p >> 2) == 9 for p in r.a for q in r.c)
+
+
+def test_stored_tables_of_a_run_are_never_sent_to_the_driver(spark):
+    """Names and pairs of names are small on disk and large in memory, so their joins are shuffles at any size."""
+    from vinculo.operators.linkage import name_dictionaries, prepare_targets
+
+    norms = spark.createDataFrame([("MARIA DA SILVA",), ("JOAO SOUZA",)], "norm string")
+    targets = prepare_targets(norms)
+    payees = targets.select(F.col("norm").alias("payee"), F.col("f1").alias("f2"), F.col("s1").alias("s2"))
+    first, sur = name_dictionaries(targets, payees, MatchConfig())
+    joined = targets.join(first, "f1").join(sur, F.array_contains("s1", F.col("x")) & (F.col("f2") == F.col("y")), "left")
+    plan = targets.join(first, "f1")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == 2
