@@ -1,9 +1,13 @@
 """Bucketed tables of streams, and streams that settle by event time."""
 
+import glob
 import os
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from vinculo.operators.linkage import employees_from_slips
+from vinculo.operators.scale import shared_folder
+from vinculo.plans.registered import QUERIES
 from vinculo.streaming import incremental
 from vinculo.streaming.buckets import BucketTable, bucket_of
 
@@ -101,3 +105,47 @@ def test_versions_that_are_late_missing_or_retried(spark, tmp_path):
     assert [len(x) for x in seen[:3]] == [0, 0, 0]
     assert sorted((r.file_id, r.page_no, r.text) for r in seen[3]) == [("f", 1, long), ("f", 2, "a longer text of the retry"), ("f", 3, "o" * 50), ("f", 4, "[Empty page 4]")]
     assert sorted((r.file_id, r.page_no) for r in seen[4]) == [("f", 1), ("f", 2), ("f", 3), ("f", 4), ("g", 1)]
+
+
+def slips(spark, numbers):
+    """One page per number, with a name of its own, or none for every fourth."""
+    word = "".join(f"substr('ABCDEFGHIJ', n DIV {k} % 10 + 1, 1), " for k in (100, 10, 1))
+    pages = spark.createDataFrame([(n,) for n in numbers], "n int").withColumn("name", F.expr(f"concat('Maria ', {word}'KER')"))
+    text = F.when(F.col("n") % 4 == 0, F.lit("12/05, 10.")).otherwise(F.concat(F.lit("Nome do Funcionário: "), "name", F.lit(" CPF: 1")))
+    return pages.select(F.lit("f").alias("file_id"), F.lit(1).alias("file_ord"), F.col("n").alias("page_no"), F.lit(at(0)).alias("started_at"), text.alias("text"))
+
+
+def test_pages_are_searched_once(spark):
+    table = spark.createDataFrame([("f", 1, 1, at(0), "x")], slips(spark, [1]).schema)
+    plan = incremental.extract_slips(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FAVORECIDO *:?") == 1
+    plan = employees_from_slips(table.withColumn("file_name", F.lit("f")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FAVORECIDO *:?") == 1
+
+
+def test_extraction_deals_a_file_to_all_cores_and_goes_on(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def run(k, numbers):
+        slips(spark, numbers).coalesce(1).write.parquet(str(tmp_path / "in" / f"d={k}"))
+        stream = spark.readStream.schema(slips(spark, [1]).schema).parquet(str(tmp_path / "in" / "*"))
+        incremental.resume_extraction(stream, out, str(tmp_path / "cp")).awaitTermination()
+        found = spark.read.schema(incremental.extract_slips(stream).schema).parquet(out)
+        return sorted((r.page_no, r.norm) for r in found.collect()), found.select(F.input_file_name()).distinct().count()
+
+    def want(numbers):
+        return [(n, "MARIA " + "".join("ABCDEFGHIJ"[int(x)] for x in f"{n:03}") + "KER") for n in numbers if n % 4]
+
+    rows_, files = run(0, range(400))
+    assert rows_ == want(range(400)) and files >= spark.sparkContext.defaultParallelism
+    assert run(1, range(400, 410))[0] == want(range(410))
+
+
+def test_extraction_takes_a_file_for_every_core_in_a_batch(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    docs = slips(spark, range(60)).select(F.col("page_no").cast("long").alias("doc_id"), "text", F.lit("pt").alias("lang"), F.lit("src7").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs.repartition(cores + 1).write.parquet(str(tmp_path / "documents.parquet"))
+    told = set(glob.glob(f"{shared_folder(spark)}/vinculo/stream-*"))
+    assert QUERIES["stream_extraction"](spark, str(tmp_path)).select("page_no").distinct().count() == 45
+    (folder,) = set(glob.glob(f"{shared_folder(spark)}/vinculo/stream-*")) - told
+    assert len(glob.glob(f"{folder}/checkpoint/commits/[0-9]*")) == 2

@@ -314,9 +314,9 @@ def allow_list(spark, sf):
 # Streams
 # ---------------------------------------------------------------------------
 
-def _stream(spark, sf, name):
+def _stream(spark, sf, name, files=1):
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}.parquet*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf}/{name}.parquet*")
 
 
 def _splits(spark, sf, name):
@@ -340,8 +340,8 @@ def _finish(q):
         {S.fold('name', repair=True)} AS norm FROM documents JOIN n USING (doc_id) WHERE name IS NOT NULL"""
 )
 def stream_extraction(spark, sf):
-    """T-1: documents arrive as files, names are extracted, the stored result is read back."""
-    pages = _stream(spark, sf, "documents").select(
+    """T-1: documents arrive as files, a batch has one for every core; names are extracted, the stored result is read back."""
+    pages = _stream(spark, sf, "documents", spark.sparkContext.defaultParallelism).select(
         F.col("source").alias("file_id"), F.substring("source", 4, 9).cast("int").alias("file_ord"),
         F.col("doc_id").cast("int").alias("page_no"), F.lit("2026-01-01").cast("timestamp").alias("started_at"), "text",
     )

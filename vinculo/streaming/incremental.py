@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.extract import employee_name
+from ..functions.extract import employee_names
 from ..functions.fold import fold_name_ocr
 from ..operators import merge
 from ..operators.linkage import first_seen
@@ -39,13 +39,17 @@ def _buckets_in(rows: DataFrame) -> list[int]:
 
 def extract_slips(pages: DataFrame) -> DataFrame:
     """Slip entries of a (streaming) page table."""
-    named = pages.select("file_id", "file_ord", "page_no", "started_at", employee_name(F.col("text")).alias("name"))
-    return named.filter("name is not null").withColumn("norm", fold_name_ocr(F.col("name")))
+    named = pages.select("file_id", "file_ord", "page_no", "started_at", employee_names(F.col("text")).alias("name"))
+    return named.withColumn("norm", fold_name_ocr(F.col("name")))
 
 
 def resume_extraction(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """T-1. Extract all pages not yet seen; started again with the same checkpoint it goes on where it stopped."""
-    return append_stream(extract_slips(pages), out, checkpoint)
+    """T-1. Extract all pages not yet seen; started again with the same checkpoint it goes on where it stopped.
+
+    The pages of a batch are dealt to all cores: a batch may have one split, and a page costs much more to search than to move.
+    """
+    tasks = 2 * pages.sparkSession.sparkContext.defaultParallelism
+    return append_stream(extract_slips(pages.repartition(tasks)), out, checkpoint)
 
 
 def first_seen_stream(entries: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
