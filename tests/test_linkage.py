@@ -206,3 +206,42 @@ def test_stored_tables_of_a_run_are_never_sent_to_the_driver(spark):
     plan = targets.join(first, "f1")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert joined.count() == 2
+
+
+def test_first_names_are_only_related_where_surnames_meet(spark, monkeypatch):
+    """Very many alike first names with surnames of their own make no pairs."""
+    from vinculo.operators import blocking
+
+    letters = "ABCDEFGHIJKLMNOPQRST"
+    alike = [f"MARIA{a}{b}" for a in letters for b in letters]
+    names = [f"{f} {a * 3}{b * 3}{a * 2}" for f, (a, b) in zip(alike, ((a, b) for a in letters for b in letters))]
+    payees = [f"{f} Z{b * 4}{a * 3}XZ" for f, (a, b) in zip(alike, ((a, b) for a in letters for b in letters))] + [names[7]]
+    emp, pg = frames(spark, list(enumerate(names)), [(k % 3, k, p, [p]) for k, p in enumerate(payees)])
+    rows = {}
+
+    def counted(df, name, store=linkage.store):
+        out = store(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    for module in (blocking, linkage, nearest):
+        monkeypatch.setattr(module, "store", counted, raising=False)
+    run = linkage.prepare_run(emp, pg, MatchConfig())
+    links = linkage.link_prepared(run, MatchConfig()).filter("method = 'favorecido'").collect()
+    assert [r.norm for r in links] == [names[7]]
+    assert max(rows.values()) < 10 * len(names), rows
+
+
+def test_first_name_pairs_equal_all_pairs(spark):
+    from vinculo.functions.similarity import first_names_pass, jaro_winkler
+    from vinculo.operators.blocking import first_name_pairs
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("ABE") for _ in range(rng.randint(1, 9))) for _ in range(160)} | {"", "MARIA", "MARIANA"})
+    left = spark.createDataFrame([(w,) for w in words], "f1 string")
+    right = left.select(F.col("f1").alias("f2"))
+    got = {(r.f1, r.f2): r.fj for r in first_name_pairs(left, right, MatchConfig(pairs_per_cell=500)).collect()}
+    every = left.filter("f1 <> ''").crossJoin(right.filter("f2 <> ''")).withColumn("fj", jaro_winkler(F.col("f1"), F.col("f2")))
+    want = {(r.f1, r.f2): r.fj for r in every.collect() if r.f1 == r.f2 or r.fj >= 0}
+    passed = every.filter(first_names_pass(F.col("f1"), F.col("f2"), F.col("fj"))).collect()
+    assert got == {(r.f1, r.f2): want[r.f1, r.f2] for r in passed}
